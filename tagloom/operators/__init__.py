@@ -1,0 +1 @@
+"""operators of the tag and entity engine."""

@@ -1,0 +1 @@
+"""sources of the tag and entity engine."""

@@ -1,0 +1 @@
+"""streaming of the tag and entity engine."""
