@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,8 +70,7 @@ STYLE_BONUS, STYLE_PENALTY, FACE_BONUS, FACE_PENALTY = 0.035, 0.050, 0.120, 0.12
 FACE_QUERY, FACE_MATCH, FACE_MISS = 0.25, 0.28, 0.10
 
 
-def _best(v: Column, tags: list[tuple[str, int, str]], name: str) -> list[Column]:
-    scores = scores_at(v, [p for _, p, _ in tags]) if len(tags) >= 2 else F.array(F.lit(0.0), F.lit(0.0))
+def _best(scores: Column, tags: list[tuple[str, int, str]], name: str) -> list[Column]:
     ranked = F.sort_array(scores, asc=False)
     place = F.array_position(scores, F.array_max(scores)).cast("int")
     groups = F.array(*[F.lit(g) for _, _, g in tags]) if tags else F.array(F.lit(""))
@@ -83,23 +82,34 @@ def _best(v: Column, tags: list[tuple[str, int, str]], name: str) -> list[Column
     ]
 
 
-def attribute_features(v: Column, spec: AttributeSpec) -> Column:
-    """Everything the pair terms need from one vector, computed once per row.
+def with_attribute_features(df: DataFrame, vector: str, name: str, spec: AttributeSpec) -> DataFrame:
+    """Add a struct of everything the pair terms need from one vector.
 
-    Built before the join, so a match costs a few comparisons and no second
-    walk over two whole vectors.
+    Built once per row before the join, so a match costs a few comparisons
+    and no second walk over two whole vectors. The score arrays are columns
+    of their own first: Catalyst then evaluates each only once.
     """
+    v = F.col(vector)
     empty = F.array().cast("array<double>")
+    pick = lambda tags: scores_at(v, [p for _, p, _ in tags]) if len(tags) >= 2 else F.array(F.lit(0.0), F.lit(0.0))
     closed = tag_score_at(v, spec.closed_eyes) if spec.closed_eyes is not None else F.lit(0.0)
-    return F.struct(
+    arrays = {
+        "_hair": pick(spec.hair),
+        "_eyes": pick(spec.eyes),
+        "_style": scores_at(v, spec.style) if spec.style else empty,
+        "_face": scores_at(v, spec.face) if spec.face else empty,
+        "_multi": max_group_score(v, spec.multi_person),
+    }
+    features = F.struct(
         F.size(v).alias("dim"),
-        *_best(v, spec.hair, "hair"),
-        *_best(v, spec.eyes, "eyes"),
-        (scores_at(v, spec.style) if spec.style else empty).alias("style"),
-        (scores_at(v, spec.face) if spec.face else empty).alias("face"),
-        max_group_score(v, spec.multi_person).alias("multi"),
+        *_best(F.col("_hair"), spec.hair, "hair"),
+        *_best(F.col("_eyes"), spec.eyes, "eyes"),
+        F.col("_style").alias("style"),
+        F.col("_face").alias("face"),
+        F.col("_multi").alias("multi"),
         closed.alias("closed"),
     )
+    return df.withColumns(arrays).withColumn(name, features).drop(*arrays)
 
 
 def exclusive_term(q: Column, r: Column, name: str, bonus: float, penalty: Column) -> Column:
