@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import humanize_id, infer_language, strip
+from tagloom.functions.text import humanize_id, infer_language, let, strip
 
 LANGUAGES = ("zh-CN", "en-US", "ja-JP", "ko-KR")
 
@@ -72,9 +72,11 @@ def first_entries(entries: Column, key) -> Column:
 
 
 def alias_entry(name: Column, language: Column) -> Column:
-    text = strip(name)
-    return F.struct(
-        text.alias("name"), language_code_by_prefix(language, infer_language(text)).alias("language")
+    return let(
+        strip(name),
+        lambda text: F.struct(
+            text.alias("name"), language_code_by_prefix(language, infer_language(text)).alias("language")
+        ),
     )
 
 
@@ -87,7 +89,7 @@ def alias_entries(display_name: Column, entries: Column) -> Column:
     head = F.array(alias_entry(display_name, F.lit("")))
     tail = F.transform(F.coalesce(entries, F.array()), lambda e: alias_entry(e["name"], e["language"]))
     kept = F.filter(F.concat(head, tail), lambda e: e["name"] != "")
-    return first_entries(kept, lambda e: F.concat(F.lower(e["name"]), F.lit("\u0000"), e["language"]))
+    return let(kept, lambda k: first_entries(k, lambda e: F.concat(F.lower(e["name"]), F.lit("\u0000"), e["language"])))
 
 
 def alias_entries_from_variant(display_name: Column, items: Column) -> Column:
@@ -111,12 +113,14 @@ def alias_entries_from_variant(display_name: Column, items: Column) -> Column:
 
 def localized_alias(default: Column, entries: Column, language: str, editor: bool = False) -> Column:
     """First alias in the order of preferred languages, else the default text."""
-    all_entries = alias_entries(default, entries)
-    picks = [
-        F.get(F.filter(all_entries, lambda e, code=code: e["language"] == code), F.lit(0))["name"]
-        for code in preferred_languages(language, editor)
-    ]
-    return F.coalesce(*picks, strip(default))
+
+    def pick(all_entries: Column) -> Column:
+        def of(code: str) -> Column:
+            return F.get(F.filter(all_entries, lambda e: e["language"] == code), F.lit(0))["name"]
+
+        return F.coalesce(*[of(code) for code in preferred_languages(language, editor)])
+
+    return F.coalesce(let(alias_entries(default, entries), pick), strip(default))
 
 
 def provider_links(provider: Column, entity_id: Column, links: Column) -> Column:
@@ -133,7 +137,7 @@ def provider_links(provider: Column, entity_id: Column, links: Column) -> Column
         F.transform(F.coalesce(links, F.array()), lambda x: link(x["provider"], x["provider_entity_id"])),
     )
     kept = F.filter(both, lambda x: x["provider_entity_id"] != "")
-    return first_entries(kept, link_key)
+    return let(kept, lambda k: first_entries(k, link_key))
 
 
 def link_key(link: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ HAN_QUERY = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expression once, so a long chain does not repeat it in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space; NULL becomes the empty string."""
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -96,6 +102,10 @@ def _cut_before(text: Column, tokens: tuple[str, ...]) -> Column:
     return F.when(spot.isNull(), text).otherwise(strip(F.substring(text, F.lit(1), spot - 1)))
 
 
+def _cutter(tokens: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda text: _cut_before(text, tokens)
+
+
 def _py_slug(value: str) -> str:
     return re.sub(r"[^\w]+", "", value.strip().lower().replace(" ", "_").replace("-", "_")).strip("_")
 
@@ -109,13 +119,16 @@ def canonical_source_key(c: Column) -> Column:
     """Work title without its suffix, slugged and mapped to a canonical key."""
     title = strip(c)
     for tokens in (TITLE_SEPARATORS, ("（",), ("(",)):
-        title = _cut_before(title, tokens)
-    key = F.coalesce(F.nullif(slug(title), F.lit("")), F.nullif(slug(c), F.lit("")))
-    result = F.when(key.isNull(), F.lit("unknown_source"))
-    for canonical, spellings in source_aliases():
-        hit = reduce(lambda a, b: a | b, [(key == s) | key.startswith(s + "_") for s in spellings])
-        result = result.when(hit, F.lit(canonical))
-    return result.otherwise(key)
+        title = let(title, _cutter(tokens))
+
+    def named(key: Column) -> Column:
+        result = F.when(key.isNull(), F.lit("unknown_source"))
+        for canonical, spellings in source_aliases():
+            hit = reduce(lambda a, b: a | b, [(key == s) | key.startswith(s + "_") for s in spellings])
+            result = result.when(hit, F.lit(canonical))
+        return result.otherwise(key)
+
+    return let(F.coalesce(F.nullif(slug(title), F.lit("")), F.nullif(slug(c), F.lit(""))), named)
 
 
 def title_variant_keys(c: Column, separators: tuple[str, ...] = SOURCE_KEY_SEPARATORS) -> Column:
