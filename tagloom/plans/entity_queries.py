@@ -195,7 +195,7 @@ def _(d):
 def _(d):
     ids = d.customer.select(F.concat(F.lit("e"), F.col("c_custkey") * 2).alias("id"))
     rest, summary = N.library_delete(entities(d), ids)
-    return summary.join(rest.agg(F.count(F.lit(1)).alias("remaining")), F.lit(True))
+    return summary.withColumn("remaining", rest.agg(F.count(F.lit(1))).scalar())
 
 
 @query("library_lookup", BASE + " SELECT id, display_name FROM entities WHERE ordinal IN (SELECT c_custkey FROM customer)")
