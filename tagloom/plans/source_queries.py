@@ -65,7 +65,7 @@ def _(d):
     return S.parse_json_lines(d.events.select("event_id", line.alias("line")), "line", "k BIGINT")
 
 
-@query("library_source", f"""SELECT p_partkey, p_name AS id, {uniq("[p_brand || ':' || 'en-US', p_name || ':' || 'ja-JP']").replace('list_filter', 'list_filter')}[1] AS first_alias, CAST(2 AS BIGINT) AS alias_count, 'manual:' || p_type AS link FROM @part WHERE p_size <= 40""")
+@query("library_source", f"""SELECT p_partkey, p_name AS id, {uniq("[p_brand || ':' || 'en-US', p_name || ':' || 'ja-JP']")}[1] AS first_alias, CAST(2 AS BIGINT) AS alias_count, 'manual:' || p_type AS link FROM @part WHERE p_size <= 40""")
 def _(d):
     record = F.struct(
         F.col("p_name").alias("id"), F.col("p_brand").alias("display_name"), F.array(F.struct(F.col("p_name").alias("name"), F.lit("ja").alias("language"))).alias("aliases"),
@@ -135,17 +135,14 @@ def _(d):
 
 
 def flat(rows):
-    return longs(rows.select("request_id", "ordinal", "provider", "provider_entity_id", "display_name", "source_title", "avatar_url", F.array_join("aliases", "|").alias("aliases")), "ordinal")
-
-
-SAME = "upper(p_name) || '|' || p_name || '|' || p_brand"
+    place = F.col("ordinal").cast("bigint").bitwiseAND(F.lit((1 << P.PAGE_BITS) - 1)).alias("ordinal")
+    return longs(rows.select("request_id", place, "provider", "provider_entity_id", "display_name", "source_title", "avatar_url", F.array_join("aliases", "|").alias("aliases")), "ordinal")
 
 
 @query("provider_payload_anilist", """SELECT p_partkey AS request_id, CAST(o AS BIGINT) AS ordinal, 'anilist' AS provider, CAST(p_partkey AS VARCHAR) AS provider_entity_id, CASE o WHEN 1 THEN p_name ELSE p_brand END AS display_name,
  CASE WHEN o = 2 THEN '' WHEN p_size > 25 THEN p_type ELSE p_brand END AS source_title, CASE o WHEN 1 THEN 'm/' || p_type ELSE '' END AS avatar_url,
  CASE o WHEN 1 THEN p_name || '|' || p_brand || '|' || split_part(p_name, ' ', 2) || '|' || p_name || '空' ELSE p_brand END AS aliases FROM @part, (SELECT unnest([1, 2]) AS o)""")
 def _(d):
-    t = lambda c: c.alias  # noqa: E731,F841
     title = F.struct(F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(" ").alias("english"), F.col("p_brand").alias("romaji"))
     nick = F.array(F.substring_index("p_name", " ", -1), F.lit("unrelated"), F.concat("p_name", F.lit("空")), F.col("p_name"))
     one = F.struct(
@@ -154,7 +151,7 @@ def _(d):
     )
     two = F.struct(F.col("p_partkey").alias("id"), F.struct(F.lit("").alias("full"), F.concat("p_brand", F.lit(" ")).alias("native"), F.lit("zz").alias("alternativeSpoiler")).alias("name"))
     bare = F.struct(F.col("p_partkey").alias("id"), F.struct(F.lit(" ").alias("full")).alias("name"))
-    body = F.concat(F.lit('{"data":{"Page":{"characters":['), F.to_json(one), F.lit(","), F.upper(F.lit("")), F.to_json(one), F.lit(","), F.to_json(bare), F.lit(","), F.to_json(two), F.lit("]}}}"))
+    body = F.concat(F.lit('{"data":{"Page":{"characters":['), F.to_json(one), F.lit(","), F.to_json(one), F.lit(","), F.to_json(bare), F.lit(","), F.to_json(two), F.lit("]}}}"))
     return flat(P.people_payload(d.part.select(F.col("p_partkey").alias("request_id"), F.lit(1).alias("page"), body.alias("body"))))
 
 
@@ -169,9 +166,6 @@ def _(d):
     return flat(P.media_payload(rows.select(F.col("s_suppkey").alias("request_id"), F.lit(1).alias("page"), body.alias("body")), 2))
 
 
-INFO = F.lit
-
-
 def infobox_body():
     box = F.concat(
         F.lit('[{"key":"简体中文名","value":"'), "p_name", F.lit('"},{"key":"别名","value":[{"v":"'), "p_type", F.lit('"},{"k":"罗马字","v":"'), "p_brand",

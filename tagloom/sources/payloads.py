@@ -8,7 +8,6 @@ here are no longer than a page; requests spread over tasks.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as X
@@ -39,6 +38,7 @@ SUBJECT_PAGE = f"data ARRAY<STRUCT<id:STRING,name:STRING,name_cn:STRING,characte
 SOURCE_KEYS = ("引用来源", "出处", "来源", "所属作品", "登场作品")
 NAME_MARKS = ("名", "别名", "昵称")
 NO_TEXTS = "array<string>"
+PAGE_BITS = 20  # a response page holds far fewer than 2^20 items
 
 
 def text_or_list(raw: Column) -> Column:
@@ -64,9 +64,9 @@ def _flatten(landed: DataFrame, items: Column, key) -> DataFrame:
     named = F.filter(items, lambda i: i["display_name"] != "")
     unique = X.let(named, lambda arr: first_entries(arr, key))
     rows = landed.select("request_id", "page", F.posexplode(unique).alias("pos", "i"))
-    # pages of one request are few and short: a running number per request
-    order = W.partitionBy("request_id").orderBy("page", "pos")
-    return rows.select("request_id", F.row_number().over(order).alias("ordinal"), "i.*")
+    # page number in the high bits, place in the low ones: no shuffle, no window
+    ordinal = F.shiftleft(F.col("page").cast("bigint"), PAGE_BITS) + F.col("pos") + 1
+    return rows.select("request_id", ordinal.alias("ordinal"), "i.*")
 
 
 def _title(t: Column) -> Column:
@@ -106,7 +106,7 @@ def media_payload(landed: DataFrame, limit: int) -> DataFrame:
     media = _empty(F.from_json("body", MEDIA_PAGE)["data"]["Page"]["media"])
     nodes = lambda m: F.transform(_empty(m["characters"]["edges"]), lambda e: _person(e["node"], _title(m["title"])))
     rows = _flatten(landed, F.flatten(F.transform(media, nodes)), _person_key)
-    return rows.filter(F.col("ordinal") <= limit)
+    return top_n(rows, ["request_id"], ["ordinal"], limit).drop("rank")
 
 
 def infobox_values(infobox: Column, marks: tuple[str, ...]) -> Column:
