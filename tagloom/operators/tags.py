@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import normalize_token
+from tagloom.functions.text import let, normalize_token
 
 FEATURE_CATEGORIES = ("general", "rating")
 DEFAULT_RANK = 999
@@ -238,25 +238,106 @@ def preview_with_forced(tags: Column, forced: list[str], limit: int = 8) -> Colu
     return F.when((F.size(tags) > limit) & (F.size(missing) > 0), swapped).otherwise(head)
 
 
-def annotation_records(
-    images: DataFrame, tags: DataFrame, characters: DataFrame, work_rows: DataFrame, root: str, now: str
+def token_rules(
+    aliases: DataFrame,
+    taxonomy: DataFrame,
+    thresholds: DataFrame,
+    blocked: DataFrame,
+    caps: DataFrame,
+    category_rank: DataFrame,
+    tag_rank: DataFrame,
+    work_map: DataFrame,
+    minimum: float,
 ) -> DataFrame:
+    """All rules of a token in one small table: (token, rule STRUCT, work).
+
+    One join with this table replaces a chain of joins over the predictions.
+    """
+    by_tag = thresholds.filter(F.col("scope") == "tag").select(F.col("key").alias("tag"), F.col("min_score").alias("_t"))
+    by_category = thresholds.filter(F.col("scope") == "category").select(F.col("key").alias("category_id"), F.col("min_score").alias("_c"))
+    rows = (
+        aliases.withColumnRenamed("canonical_id", "tag")
+        .join(blocked.select(F.col("tag_id").alias("tag")), "tag", "left_anti")
+        .join(taxonomy.select(F.col("tag_id").alias("tag"), "category_id", "name"), "tag")
+        .join(by_tag, "tag", "left").join(by_category, "category_id", "left").join(caps, "category_id", "left")
+        .join(category_rank.select("category_id", F.col("rank").alias("_cr")), "category_id", "left")
+        .join(tag_rank.select(F.col("tag_id").alias("tag"), F.col("rank").alias("_tr")), "tag", "left")
+    )
+    rule = F.struct(
+        "tag", "category_id", F.coalesce("name", "tag").alias("name"), F.coalesce("_t", "_c", F.lit(minimum)).alias("min_score"),
+        F.coalesce("cap", F.lit(DEFAULT_RANK)).alias("cap"), F.coalesce("_cr", F.lit(DEFAULT_RANK)).alias("category_rank"),
+        F.coalesce("_tr", F.lit(DEFAULT_RANK)).alias("tag_rank"),
+    )
+    return rows.select("token", rule.alias("rule")).join(work_map.select("token", "work"), "token", "full_outer")
+
+
+def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float, work_min: float = 0.70) -> DataFrame:
+    """One pass over the predictions: (image_id, features, characters, works).
+
+    ``features`` are ordered rule structs, best score first; the others ordered
+    names. A row belongs to one category and so to one list. Rows shrink to
+    distinct (image, list, value) before they are gathered by image, so a hot
+    image brings no more than the vocabulary.
+    """
+    rows = predictions.withColumn("token", normalize_token(F.col("tag"))).join(rules, "token", "left")
+    category, score = F.col("category"), F.col("score")
+    feature = category.isin(*FEATURE_CATEGORIES) & (score >= F.col("rule.min_score"))
+    character = (category == "character") & (score >= character_min)
+    work = (category == "copyright") & (score >= work_min) & F.col("work").isNotNull()
+    rows = rows.select(
+        "image_id",
+        F.when(feature, 0).when(character, 1).when(work, 2).alias("kind"),
+        F.when(feature, F.col("rule.tag")).when(character, F.col("tag")).otherwise(F.col("work")).alias("value"),
+        F.struct(F.when(feature, -score).otherwise(F.lit(0.0)).alias("neg"), "pos").alias("place"),
+        F.when(feature, F.col("rule")).alias("rule"),
+    ).filter(F.col("kind").isNotNull())
+    first = rows.groupBy("image_id", "kind", "value").agg(F.min("place").alias("place"), F.any_value("rule").alias("rule"))
+    listed = first.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("kind", "place", "value", "rule"))).alias("all"))
+
+    def names(kind: int) -> Column:
+        return F.transform(F.filter("all", lambda e: e["kind"] == kind), lambda e: e["value"])
+
+    features = F.transform(F.filter("all", lambda e: e["kind"] == 0), lambda e: e["rule"])
+    return listed.select("image_id", features.alias("features"), names(1).alias("characters"), names(2).alias("works"))
+
+
+def precise_features(features: Column, groups: list[tuple[str, list[str]]]) -> Column:
+    """Exclusive groups in order, then category caps, on an image's feature list."""
+    def apply(kept: Column, group: Column) -> Column:
+        winner = F.get(F.filter(kept, lambda e: F.array_contains(group, e["tag"])), F.lit(0))["tag"]
+        return F.filter(kept, lambda e: ~F.array_contains(group, e["tag"]) | (e["tag"] == winner))
+
+    def cap(kept: Column) -> Column:
+        earlier = lambda e, i: F.filter(F.slice(kept, F.lit(1), i), lambda o: o["category_id"] == e["category_id"])
+        return F.filter(kept, lambda e, i: F.size(earlier(e, i)) < e["cap"])
+
+    if groups:
+        rules = F.array(*[F.array(*[F.lit(t) for t in members]) for _, members in groups])
+        features = F.aggregate(rules, features, apply)
+    return let(features, cap)
+
+
+def displayed_names(features: Column) -> Column:
+    """Localised names by category rank, tag rank and list place."""
+    ranked = F.transform(
+        features, lambda e, i: F.struct(e["category_rank"].alias("c"), e["tag_rank"].alias("t"), i.alias("i"), e["name"].alias("n"))
+    )
+    return F.transform(F.sort_array(ranked), lambda e: e["n"])
+
+
+def annotation_records(images: DataFrame, labels: DataFrame, root: str, now: str) -> DataFrame:
     """One record per image of ``images(image_id, image_path)``."""
     empty = F.array().cast("array<string>")
     prefix = root.rstrip("/") + "/"
     path = F.translate(F.col("image_path"), "\\", "/")
     relative = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
-    joined = (
-        images.join(as_lists(tags, "tag", "feature_tags"), "image_id", "left")
-        .join(as_lists(characters, "name", "characters"), "image_id", "left")
-        .join(as_lists(work_rows, "work", "source_game"), "image_id", "left")
-    )
-    return joined.select(
+    tags = F.transform("features", lambda e: e["tag"])
+    return images.join(labels, "image_id", "left").select(
         "image_id",
         relative.alias("image_path"),
         F.coalesce("characters", empty).alias("characters"),
-        F.coalesce("feature_tags", empty).alias("feature_tags"),
-        F.coalesce("source_game", empty).alias("source_game"),
+        F.coalesce(tags, empty).alias("feature_tags"),
+        F.coalesce("works", empty).alias("source_game"),
         F.lit(False).alias("review_required"),
         F.lit("labeled_draft").alias("status"),
         F.lit(now).alias("created_at"),

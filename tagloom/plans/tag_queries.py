@@ -114,23 +114,23 @@ def sorted_tags(d: Data):
     return T.taxonomy_join(rows, rule(d, "taxonomy"))
 
 
-def characters(d: Data):
-    rows = predictions(d).filter((F.col("category") == "character") & (F.col("score") >= 0.85))
-    return rows.groupBy("image_id", F.col("tag").alias("name")).agg(F.min("pos").alias("pos"))
-
-
 def work_rows(d: Data):
     return T.works(predictions(d), rule(d, "work_map"))
 
 
+def labels(d: Data):
+    rules = T.token_rules(
+        aliases(d), rule(d, "taxonomy"), rule(d, "thresholds"), rule(d, "blocked"), rule(d, "caps"), rule(d, "category_rank"),
+        rule(d, "tag_rank"), rule(d, "work_map"), MINIMUM,
+    )
+    return T.image_labels(predictions(d), rules, 0.85)
+
+
 def keywords(d: Data):
     """(image_id, keywords ARRAY) for every image that has any."""
-    parts = (
-        T.as_lists(characters(d), "name", "names")
-        .join(T.as_lists(sorted_tags(d), "name", "tags"), "image_id", "full_outer")
-        .join(T.as_lists(work_rows(d), "work", "works"), "image_id", "full_outer")
-    )
-    return parts.select("image_id", T.keyword_list(F.col("names"), F.col("tags"), F.col("works")).alias("keywords"))
+    tags = T.displayed_names(T.precise_features(F.col("features"), OVERLAPPING_GROUPS))
+    rows = labels(d).select("image_id", T.keyword_list(F.col("characters"), tags, F.col("works")).alias("keywords"))
+    return rows.filter(F.size("keywords") > 0)
 
 
 def big(df, *names):
@@ -284,9 +284,7 @@ RECORD_SQL = """records AS (
 
 
 def records(d: Data):
-    return T.annotation_records(
-        d.sql(IMAGES).select("image_id", "image_path"), canon(d), characters(d), work_rows(d), ROOT, NOW
-    )
+    return T.annotation_records(d.sql(IMAGES).select("image_id", "image_path"), labels(d), ROOT, NOW)
 
 
 def flat_records(df):
