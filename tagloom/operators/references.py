@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions import vectors as V
+from tagloom.session import materialize
 
 # Fixed values of the identity filter.
 CENTROID_MIN, AVATAR_MIN, AVATAR_BAND, SEED_AVATAR_MIN = 0.45, 0.52, 0.10, 0.50
@@ -99,8 +100,33 @@ def seed_rows(avatars: DataFrame, references: DataFrame, limit: int = MAX_SEEDS)
     return picked.withColumn("vector", V.l2_normalize(F.col("vector"), zero_to_null=True))
 
 
+def seed_state(seeds: DataFrame) -> DataFrame:
+    """Per entity: seed counts, the avatar vector, the centre of the clean seeds.
+
+    An entity has at most ``MAX_SEEDS`` seeds, so they are handled as one
+    short array and need no further join. Seeds far from the avatar do not count.
+    """
+    listed = seeds.groupBy("entity_id").agg(F.collect_list(F.struct("pos", "vector")).alias("s"))
+    rows = listed.select(
+        "entity_id",
+        F.size("s").alias("seeds"),
+        F.exists("s", lambda x: x["pos"] == -1).alias("has_avatar"),
+        F.get(F.filter("s", lambda x: x["pos"] == -1), F.lit(0))["vector"].alias("avatar_vector"),
+        F.filter("s", lambda x: x["vector"].isNotNull()).alias("u"),
+    )
+    near = lambda x: V.dot(x["vector"], F.col("avatar_vector")) >= SEED_AVATAR_MIN
+    clean = F.filter("u", lambda x: F.col("avatar_vector").isNull() | (x["pos"] == -1) | near(x))
+    rows = rows.withColumn("c", F.transform(clean, lambda x: x["vector"]))
+    total = F.aggregate(F.slice("c", 2, MAX_SEEDS), F.get("c", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    rows = rows.withColumn("sum", F.when(F.size("c") > 0, total))
+    return rows.select(
+        "entity_id", "seeds", "has_avatar", "avatar_vector", F.size("u").alias("seed_vectors"), F.size("c").alias("seed_count"),
+        V.l2_normalize(F.col("sum"), zero_to_null=True).alias("centroid"),
+    )
+
+
 def clean_seeds(seeds: DataFrame) -> DataFrame:
-    """Seeds that agree with the avatar; without an avatar vector all count."""
+    """The seeds themselves that agree with the avatar, as rows."""
     avatar = seeds.filter(F.col("pos") == -1).select("entity_id", F.col("vector").alias("avatar"))
     rows = seeds.filter(F.col("vector").isNotNull()).join(avatar, "entity_id", "left")
     near = V.dot(F.col("vector"), F.col("avatar")) >= SEED_AVATAR_MIN
@@ -118,79 +144,67 @@ def identity_filter(
     ``candidates(entity_id, pos, path, width, height, vector)``; a NULL vector
     is an unreadable image. ``limits`` is one number or (entity_id, quota).
     """
-    seeds = seed_rows(avatars, references)
-    clean = clean_seeds(seeds)
-    has_avatar = avatars.select("entity_id").distinct().withColumn("has_avatar", F.lit(True))
-    seen = seeds.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("seeds"),
-        F.count("vector").alias("seed_vectors"),
-    )
-    avatar = seeds.filter(F.col("pos") == -1).select("entity_id", F.col("vector").alias("avatar_vector"))
-    seen = seen.join(avatar, "entity_id", "left")
-    centers = vector_centroid(clean, "entity_id", "vector", unit=True).select(
-        "entity_id", F.col("n").alias("seed_count"), "centroid"
-    )
-    state = (
-        candidates.groupBy("entity_id").agg(F.count(F.lit(1)).alias("candidate_count"))
-        .join(seen, "entity_id", "left").join(centers, "entity_id", "left").join(has_avatar, "entity_id", "left")
-        .withColumn("seeds", F.coalesce("seeds", F.lit(0))).withColumn("seed_vectors", F.coalesce("seed_vectors", F.lit(0)))
-        .withColumn("seed_count", F.coalesce("seed_count", F.lit(0))).withColumn("has_avatar", F.coalesce("has_avatar", F.lit(False)))
-    )
-    passthrough = (F.col("seeds") == 0) | ((F.col("seed_vectors") == 0) & ~F.col("has_avatar"))
+    state = seed_state(seed_rows(avatars, references))
+    rows = candidates.join(state, "entity_id", "left")
     if isinstance(limits, int):
-        state = state.withColumn("quota", F.lit(max(1, limits)))
+        rows = rows.withColumn("quota", F.lit(max(1, limits)))
     else:
-        state = state.join(limits.select("entity_id", "quota"), "entity_id")
-
-    rows = candidates.join(state.select("entity_id", "centroid", "avatar_vector", "quota", passthrough.alias("pass")), "entity_id")
+        rows = rows.join(limits.select("entity_id", "quota"), "entity_id")
     v = V.l2_normalize(F.col("vector"), zero_to_null=True)
     usable = min_size(F.col("width"), F.col("height")) & F.col("centroid").isNotNull()
-    rows = rows.withColumn("_v", F.when(usable & ~F.col("pass"), v))
-    rows = rows.withColumn("centroid_similarity", F.when(F.col("_v").isNotNull(), V.dot(F.col("_v"), F.col("centroid"))))
-    rows = rows.withColumn(
-        "avatar_similarity",
-        F.when(F.col("_v").isNull(), F.lit(None).cast("double"))
-        .when(F.col("avatar_vector").isNull(), F.col("centroid_similarity"))
-        .otherwise(V.dot(F.col("_v"), F.col("avatar_vector"))),
-    ).drop("_v", "centroid")
-    rows = rows.withColumn("weighted", F.col("centroid_similarity") * 0.65 + F.col("avatar_similarity") * 0.35)
-
-    best = rows.groupBy("entity_id").agg(
-        F.max("avatar_similarity").alias("best_avatar"),
+    rows = rows.withColumn("_v", F.when(usable, v))
+    to_centroid = F.when(F.col("_v").isNotNull(), V.dot(F.col("_v"), F.col("centroid")))
+    to_avatar = F.when(F.col("_v").isNotNull() & F.col("avatar_vector").isNotNull(), V.dot(F.col("_v"), F.col("avatar_vector")))
+    scored = rows.select(
+        "entity_id", "pos", "path", "quota",
+        F.coalesce("seeds", F.lit(0)).alias("seeds"),
+        F.coalesce("seed_vectors", F.lit(0)).alias("seed_vectors"),
+        F.coalesce("seed_count", F.lit(0)).alias("seed_count"),
+        F.coalesce("has_avatar", F.lit(False)).alias("has_avatar"),
+        F.col("avatar_vector").isNotNull().alias("avatar_seen"),
+        F.col("centroid").isNotNull().alias("centered"),
+        to_centroid.alias("centroid_similarity"),
+        F.coalesce(to_avatar, to_centroid).alias("avatar_similarity"),
+    )
+    scored = scored.withColumn("weighted", F.col("centroid_similarity") * 0.65 + F.col("avatar_similarity") * 0.35)
+    scored = materialize(scored, "identity-scored")  # vectors are done with; three readers follow
+
+    same = ("quota", "seeds", "seed_vectors", "seed_count", "has_avatar", "avatar_seen", "centered")
+    state = scored.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("candidate_count"),
         F.count("weighted").alias("scored_count"),
+        F.max("avatar_similarity").alias("best_avatar"),
         F.max("weighted").alias("best_similarity"),
+        *[F.any_value(c).alias(c) for c in same],
     )
-    rows = rows.join(best.select("entity_id", "best_avatar"), "entity_id")
-    floor = dynamic_floor(F.col("best_avatar"))
+    passed = (F.col("seeds") == 0) | ((F.col("seed_vectors") == 0) & ~F.col("has_avatar"))
     good = (F.col("centroid_similarity") >= CENTROID_MIN) & (
-        F.col("avatar_vector").isNull() | (F.col("avatar_similarity") >= floor)
+        ~F.col("avatar_seen") | (F.col("avatar_similarity") >= dynamic_floor(F.col("best_avatar")))
     )
-    kept_rows = rows.filter(F.col("pass") | good)
     order = W.partitionBy("entity_id").orderBy(F.desc(F.round(F.coalesce("weighted", F.lit(0.0)), 12)), "pos")
-    kept = kept_rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("quota"))
+    kept = scored.join(state.select("entity_id", "best_avatar"), "entity_id").filter(passed | good)
+    kept = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("quota"))
     kept = kept.select("entity_id", "rank", "pos", "path", "weighted", "centroid_similarity", "avatar_similarity")
 
     counts = kept.groupBy("entity_id").agg(F.count(F.lit(1)).alias("kept_count"), F.min("weighted").alias("worst_kept"))
-    report = state.join(best, "entity_id", "left").join(counts, "entity_id", "left")
     mode = (
         F.when(F.col("seeds") == 0, "passthrough_no_seed")
         .when((F.col("seed_vectors") == 0) & F.col("has_avatar"), "reject_no_seed_vector")
         .when(F.col("seed_vectors") == 0, "passthrough_no_seed_vector")
         .when(F.col("seed_count") == 0, "reject_no_clean_seed_vector")
-        .when(F.col("centroid").isNull(), "reject_invalid_seed_center")
+        .when(~F.col("centered"), "reject_invalid_seed_center")
         .when(F.col("scored_count") == 0, "reject_no_candidate_vector")
         .when(F.col("kept_count") > 0, "filtered")
         .otherwise("reject_low_confidence")
     )
-    passed = F.col("seeds") == 0
-    report = report.select(
+    report = state.join(counts, "entity_id", "left").select(
         "entity_id",
         mode.alias("mode"),
         "candidate_count",
-        F.coalesce("scored_count", F.lit(0)).alias("scored_count"),
+        "scored_count",
         F.coalesce("kept_count", F.lit(0)).alias("kept_count"),
-        F.when(passed | (F.col("seed_vectors") == 0), F.lit(0)).otherwise(F.col("seed_count")).alias("seed_count"),
-        F.when(F.col("avatar_vector").isNotNull(), dynamic_floor(F.col("best_avatar"))).otherwise(F.lit(0.0)).alias("avatar_dynamic_floor"),
+        F.col("seed_count").cast("bigint").alias("seed_count"),
+        F.when(F.col("avatar_seen"), dynamic_floor(F.col("best_avatar"))).otherwise(F.lit(0.0)).alias("avatar_dynamic_floor"),
         F.coalesce("best_similarity", F.lit(0.0)).alias("best_similarity"),
         F.coalesce("worst_kept", F.lit(0.0)).alias("worst_kept_similarity"),
     )
