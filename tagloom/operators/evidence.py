@@ -54,14 +54,14 @@ def match_scores(
     queries: DataFrame, refs: DataFrame, spec: V.AttributeSpec, top_k: int, profiles: DataFrame | None = None
 ) -> DataFrame:
     """(image_id, region, character_id, character_name, row_index, score) of re-scored matches."""
-    matches = vector_topk(queries, refs, candidate_limit(top_k), min_similarity=0.0)
     q = V.with_attribute_features(queries.filter(F.col("weight") > 0), "embedding", "q", spec)
-    q = q.select("query_id", "image_id", "region", "weight", "q")
+    q = q.select("query_id", "image_id", "region", "weight", "q", "embedding")
+    matches = vector_topk(q, refs, candidate_limit(top_k), min_similarity=0.0).drop("embedding")
     named = refs.filter((F.trim("character_name") != "") & (F.trim("character_id") != ""))
     r = V.with_attribute_features(named, "embedding", "r", spec)
     r = r.select("row_index", "character_id", "character_name", "r")
     profiles = attribute_profile(refs, spec) if profiles is None else profiles
-    rows = profile_join(matches.join(q, "query_id").join(r, "row_index"), profiles)
+    rows = profile_join(matches.join(r, "row_index"), profiles)
     hair, eyes = V.dominant_group(F.col("q"), "hair"), V.dominant_group(F.col("q"), "eyes")
     factor = V.correlation_multiplier(
         hair, F.col("q.hair_best"), eyes, F.col("q.eyes_best"), F.col("hair_groups"), F.col("eye_groups")

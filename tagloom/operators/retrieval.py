@@ -66,51 +66,62 @@ def vector_topk(
     broadcast_limit: int = 64 << 20,
     block_rows: int = 8192,
 ) -> DataFrame:
-    """(query_id, row_index, similarity, rank) with rank <= k, exact.
+    """The query rows with (row_index, similarity, rank) of their top-k, exact.
 
-    ``query_id`` and ``row_index`` are BIGINT. Zero or wrong-size queries give
-    no rows; the similarity minimum applies after the top-k.
+    ``query_id`` and ``row_index`` are BIGINT; all other query columns are
+    kept. Zero or wrong-size queries give no rows; the similarity minimum
+    applies after the top-k.
 
     A library whose measured size is below ``broadcast_limit`` goes to every
-    executor and no row is shuffled. A larger one is split into cells around
-    pivots. A query first visits the nearest cells that hold k rows; the k-th
-    similarity found there bounds, by the triangle inequality on angles, which
-    other cells can still hold a better row, and only those are visited. Cells
-    and their visitors are cut into blocks of about ``block_rows``, so a hot
-    cell is spread over many tasks and every block product fits in memory.
+    executor: the match is a column computed next to the query, no row is
+    shuffled and only the vector travels to Python. A larger library is split
+    into cells around pivots. A query first visits the nearest cells that hold
+    k rows; the k-th similarity found there bounds, by the triangle inequality
+    on angles, which other cells can still hold a better row, and only those
+    are visited. Cells and their visitors are cut into blocks of about
+    ``block_rows``, so a hot cell is spread over many tasks and every block
+    product fits in memory.
     """
-    q = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v"))
     r = refs.select(F.col(ref_id).cast("bigint").alias("r"), F.col(vector).alias("v"))
     size = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, d = size["n"], size["d"] or 0
-    q = q.filter((F.size("v") == d) & F.exists("v", lambda x: x != 0))
+    usable = queries.filter((F.size(vector) == d) & F.exists(vector, lambda x: x != 0))
     if n == 0:
-        out = q.select("q", F.lit(0).cast("bigint").alias("r"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    elif n * d * 8 <= broadcast_limit:
-        out = _topk_broadcast(q, r, k)
+        empty = {ref_id: F.lit(0).cast("bigint"), "similarity": F.lit(0.0), "rank": F.lit(0)}
+        return usable.withColumns(empty).limit(0)
+    if n * d * 8 <= broadcast_limit:
+        found = usable.withColumn("_m", _topk_column(r, k)(F.col(vector)))
+        pairs = F.arrays_zip(F.col("_m.r").alias("r"), F.col("_m.s").alias("s"))
+        rows = found.select(*queries.columns, F.posexplode(pairs).alias("_pos", "_p"))
+        out = rows.select(
+            *queries.columns, F.col("_p.r").alias(ref_id), F.col("_p.s").alias("similarity"), (F.col("_pos") + 1).alias("rank")
+        )
     else:
-        out = _topk_cells(q, r, k, n, block_rows)
-    if min_similarity is not None:
-        out = out.filter(F.col("similarity") >= min_similarity)
-    return out.select(
-        F.col("q").alias(query_id), F.col("r").alias(ref_id), "similarity", F.col("rank").cast("int").alias("rank")
-    )
+        q = usable.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v"))
+        cells = _topk_cells(q, r, k, n, block_rows).select(
+            F.col("q").alias(query_id), F.col("r").alias(ref_id), "similarity", F.col("rank").cast("int").alias("rank")
+        )
+        # the callers that only want matches do not pay for this join
+        extra = [c for c in queries.columns if c not in (query_id, vector)]
+        out = usable.join(cells, query_id) if extra else cells
+    return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
 
 MATCH = "q bigint, r bigint, similarity double, rank bigint"
 
 
-def _topk_broadcast(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
+def _topk_column(r: DataFrame, k: int):
     library = r.orderBy("r").toPandas()  # size checked by the caller
-    shared = q.sparkSession.sparkContext.broadcast((library["r"].to_numpy(), _units(_matrix(library["v"]))))
+    shared = r.sparkSession.sparkContext.broadcast((library["r"].to_numpy(), _units(_matrix(library["v"]))))
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("r array<bigint>, s array<double>")
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids, units = shared.value
-        for pdf in batches:
-            if len(pdf):
-                yield _emit(pdf["q"].to_numpy(), ids, _units(_matrix(pdf["v"])), units, k)
+        for vectors in batches:
+            best = list(_best(_units(_matrix(vectors)), units, k)) if len(vectors) else []
+            yield pd.DataFrame({"r": [ids[near] for _, near, _ in best], "s": [sims for _, _, sims in best]})
 
-    return q.mapInPandas(match, MATCH)
+    return match
 
 
 def _topk_cells(q: DataFrame, r: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:

@@ -281,7 +281,7 @@ def _(d):
 
 @query("vector_topk_join", CTES + "SELECT query_id, row_index, round(similarity, 6) AS similarity, rank FROM top WHERE rank <= 5 AND similarity >= 0.4")
 def _(d):
-    top = vector_topk(region_queries(d), refs(d), 5, min_similarity=0.4)
+    top = vector_topk(region_queries(d).select("query_id", "embedding"), refs(d), 5, min_similarity=0.4).drop("embedding")
     return longs(rounded(top, "similarity"), "rank")
 
 

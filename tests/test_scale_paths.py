@@ -33,7 +33,7 @@ def test_topk_paths_equal_brute_force(spark, limit):
     q = centers[rng.integers(0, 12, 80)] + 0.3 * rng.normal(size=(80, 8))
     refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "row_index bigint, embedding array<double>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(900, [0.0] * 8), (901, [1.0])], "query_id bigint, embedding array<double>")
-    got = vector_topk(queries, refs, 15, broadcast_limit=limit, block_rows=64)
+    got = vector_topk(queries.withColumn("tag", F.lit(1)), refs, 15, broadcast_limit=limit, block_rows=64)
     assert {(x["query_id"], x["row_index"]) for x in got.collect()} == brute_topk(q, r, 15)
 
 
