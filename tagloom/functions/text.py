@@ -33,6 +33,12 @@ CANONICAL_SOURCES = {
     ),
 }
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Code ranges that tell the writing system of a character.
 HANGUL = r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}"
 KANA = r"\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{FF66}-\x{FF9D}"
@@ -49,7 +55,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space; NULL becomes the empty string."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.trim(F.coalesce(c.cast("string"), F.lit("")), F.lit(WHITE_SPACE))
 
 
 def first_text(*cols: Column) -> Column:
@@ -193,9 +199,9 @@ def strip_tag_prefix(c: Column) -> Column:
 
 
 def library_search_text(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(strip(c)), r"(?U)[_\-\s]+", "")
+    """Lower case without separators and symbols; the CJK ranges stay whole."""
     return F.regexp_replace(
-        t, r"[^\p{L}\p{N}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]+", ""
+        F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]+", ""
     )
 
 

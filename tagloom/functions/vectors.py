@@ -38,7 +38,8 @@ def tag_score_at(v: Column, position: int | Column) -> Column:
 
 
 def scores_at(v: Column, positions: list[int]) -> Column:
-    return F.array(*[tag_score_at(v, p) for p in positions])
+    """Clipped scores at a list of positions; one expression whatever its length."""
+    return F.transform(F.array(*[F.lit(p) for p in positions]), lambda p: tag_score_at(v, p))
 
 
 def max_group_score(v: Column, positions: list[int]) -> Column:

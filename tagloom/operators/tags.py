@@ -289,9 +289,11 @@ def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float,
         F.when(feature, 0).when(character, 1).when(work, 2).alias("kind"),
         F.when(feature, F.col("rule.tag")).when(character, F.col("tag")).otherwise(F.col("work")).alias("value"),
         F.struct(F.when(feature, -score).otherwise(F.lit(0.0)).alias("neg"), "pos").alias("place"),
-        F.when(feature, F.col("rule")).alias("rule"),
     ).filter(F.col("kind").isNotNull())
-    first = rows.groupBy("image_id", "kind", "value").agg(F.min("place").alias("place"), F.any_value("rule").alias("rule"))
+    first = rows.groupBy("image_id", "kind", "value").agg(F.min("place").alias("place"))
+    # the rule is looked up again on the reduced rows, so it is not shuffled
+    known = rules.filter(F.col("rule").isNotNull()).groupBy(F.col("rule.tag").alias("value")).agg(F.any_value("rule").alias("rule"))
+    first = first.join(known.withColumn("kind", F.lit(0)), ["kind", "value"], "left")
     listed = first.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("kind", "place", "value", "rule"))).alias("all"))
 
     def names(kind: int) -> Column:
