@@ -9,7 +9,7 @@ from tagloom.plans.registry import QUERIES
 from tagloom.session import local_session
 
 HEADLINE = (
-    "keyword_export", "tagging_pipeline", "tag_canonicalize", "precision_filter", "head_score", "alias_canonical_join",
+    "keyword_export", "tagging_run", "tag_canonicalize", "precision_filter", "head_score", "alias_canonical_join",
     "vector_topk_join", "character_resolve", "attribute_profile", "mean_pairwise_similarity", "library_audit_summary",
     "identity_filter", "match_key", "metadata_tokens", "library_search", "identity_fuzzy_join", "priority_merge",
     "unseen_first_page", "queue_append", "provider_payload_anilist", "stream_latest_by_key",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import vectors as V
 from tagloom.operators.retrieval import reference_count, vector_topk
+from tagloom.session import small_side
 
 # Fixed values of the ranking rules.
 MIN_CANDIDATES, CANDIDATES_PER_K = 96, 64
@@ -57,11 +58,12 @@ def match_scores(
     q = V.with_attribute_features(queries.filter(F.col("weight") > 0), "embedding", "q", spec)
     q = q.select("query_id", "image_id", "region", "weight", "q", "embedding")
     matches = vector_topk(q, refs, candidate_limit(top_k), min_similarity=0.0).drop("embedding")
+    # everything about the library in one table, so matches meet one join
     named = refs.filter((F.trim("character_name") != "") & (F.trim("character_id") != ""))
-    r = V.with_attribute_features(named, "embedding", "r", spec)
-    r = r.select("row_index", "character_id", "character_name", "r")
     profiles = attribute_profile(refs, spec) if profiles is None else profiles
-    rows = profile_join(matches.join(r, "row_index"), profiles)
+    library = V.with_attribute_features(named, "embedding", "r", spec)
+    library = profile_join(library.select("row_index", "character_id", "character_name", "r"), profiles)
+    rows = matches.join(small_side(library, "library-features"), "row_index")
     hair, eyes = V.dominant_group(F.col("q"), "hair"), V.dominant_group(F.col("q"), "eyes")
     factor = V.correlation_multiplier(
         hair, F.col("q.hair_best"), eyes, F.col("q.eyes_best"), F.col("hair_groups"), F.col("eye_groups")
@@ -98,7 +100,7 @@ def character_evidence(matches: DataFrame, floor: float) -> DataFrame:
 
 def evidence_score(evidence: DataFrame, counts: DataFrame, heads: DataFrame, top_k: int) -> DataFrame:
     """Add ``score``; ``counts`` are references per entity, ``heads`` regions per image."""
-    rows = evidence.join(counts, "character_id", "left").join(heads, "image_id", "left")
+    rows = evidence.join(small_side(counts, "reference-counts"), "character_id", "left").join(heads, "image_id", "left")
     regions, refs = F.col("supported_regions"), F.col("reference_rows")
     score = (
         F.col("best_score")

@@ -16,6 +16,7 @@ from tagloom.session import materialize
 SIMILARITY_DIGITS = 12  # equal vectors tie whatever the order of summation
 MAX_CELLS = 256
 TILE = 1024
+TASK_CELLS = 20_000_000_000  # vector cells compared by one task
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -73,8 +74,10 @@ def vector_topk(
     applies after the top-k.
 
     A library whose measured size is below ``broadcast_limit`` goes to every
-    executor: the match is a column computed next to the query, no row is
-    shuffled and only the vector travels to Python. A larger library is split
+    executor and the match is a column computed next to the query, so only the
+    vector travels to Python and matches are never shuffled to be re-scored.
+    Queries are spread first: a split of a file holds far too many of them for
+    one task. A larger library is split
     into cells around pivots. A query first visits the nearest cells that hold
     k rows; the k-th similarity found there bounds, by the triangle inequality
     on angles, which other cells can still hold a better row, and only those
@@ -90,7 +93,7 @@ def vector_topk(
         empty = {ref_id: F.lit(0).cast("bigint"), "similarity": F.lit(0.0), "rank": F.lit(0)}
         return usable.withColumns(empty).limit(0)
     if n * d * 8 <= broadcast_limit:
-        found = usable.withColumn("_m", _topk_column(r, k)(F.col(vector)))
+        found = _spread(usable, query_id, n * d).withColumn("_m", _topk_column(r, k)(F.col(vector)))
         pairs = F.arrays_zip(F.col("_m.r").alias("r"), F.col("_m.s").alias("s"))
         rows = found.select(*queries.columns, F.posexplode(pairs).alias("_pos", "_p"))
         out = rows.select(
@@ -107,6 +110,14 @@ def vector_topk(
     return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
 
+def _spread(queries: DataFrame, query_id: str, cells_per_query: int) -> DataFrame:
+    """Queries in partitions of bounded matching work."""
+    total = queries.count()
+    per_task = max(256, min(50_000, TASK_CELLS // max(1, cells_per_query)))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return queries.repartition(max(math.ceil(total / per_task), min(cores, math.ceil(total / 256)), 1), query_id)
+
+
 MATCH = "q bigint, r bigint, similarity double, rank bigint"
 
 

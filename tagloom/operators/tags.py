@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import let, normalize_token
+from tagloom.session import small_side
 
 FEATURE_CATEGORIES = ("general", "rating")
 DEFAULT_RANK = 999
@@ -252,6 +253,8 @@ def token_rules(
     """All rules of a token in one small table: (token, rule STRUCT, work).
 
     One join with this table replaces a chain of joins over the predictions.
+    It is written and counted, because estimates through several joins are far
+    too high and would make Spark shuffle the predictions by token.
     """
     by_tag = thresholds.filter(F.col("scope") == "tag").select(F.col("key").alias("tag"), F.col("min_score").alias("_t"))
     by_category = thresholds.filter(F.col("scope") == "category").select(F.col("key").alias("category_id"), F.col("min_score").alias("_c"))
@@ -268,7 +271,8 @@ def token_rules(
         F.coalesce("cap", F.lit(DEFAULT_RANK)).alias("cap"), F.coalesce("_cr", F.lit(DEFAULT_RANK)).alias("category_rank"),
         F.coalesce("_tr", F.lit(DEFAULT_RANK)).alias("tag_rank"),
     )
-    return rows.select("token", rule.alias("rule")).join(work_map.select("token", "work"), "token", "full_outer")
+    table = rows.select("token", rule.alias("rule")).join(work_map.select("token", "work"), "token", "full_outer")
+    return small_side(table, "token-rules")
 
 
 def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float, work_min: float = 0.70) -> DataFrame:
@@ -293,7 +297,8 @@ def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float,
     first = rows.groupBy("image_id", "kind", "value").agg(F.min("place").alias("place"))
     # the rule is looked up again on the reduced rows, so it is not shuffled
     known = rules.filter(F.col("rule").isNotNull()).groupBy(F.col("rule.tag").alias("value")).agg(F.any_value("rule").alias("rule"))
-    first = first.join(known.withColumn("kind", F.lit(0)), ["kind", "value"], "left")
+    known = small_side(known.withColumn("kind", F.lit(0)), "tag-rules")
+    first = first.join(known, ["kind", "value"], "left")
     listed = first.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("kind", "place", "value", "rule"))).alias("all"))
 
     def names(kind: int) -> Column:

@@ -297,7 +297,7 @@ def _(d):
     return flat_records(records(d))
 
 
-@query("tagging_pipeline", CTES + f", {RECORD_SQL} SELECT image_id, image_path, characters, feature_tags, source_game FROM records")
+@query("tagging_run", CTES + f", {RECORD_SQL} SELECT image_id, image_path, characters, feature_tags, source_game FROM records")
 def _(d):
     return flat_records(records(d)).select("image_id", "image_path", "characters", "feature_tags", "source_game")
 

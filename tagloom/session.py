@@ -8,6 +8,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str, cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -47,3 +48,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
+    """A join side that is usually small: written once, its rows counted, and
+    broadcast only below the limit; a larger one is joined by shuffle."""
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table
