@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,14 +33,34 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tagloom-")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is used.
+    A single-machine session may leave it unset and gets a folder of its own;
+    on a cluster a missing setting is an error, since tables written to local
+    disks would come back without rows.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session has ended; nothing else can be done here
+        pass
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared folder; it goes when the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +71,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
-    """A join side that is usually small: written once, its rows counted, and
-    broadcast only below the limit; a larger one is joined by shuffle."""
-    table = materialize(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table
+def table_bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A join side that is usually small: written once, so that Spark knows its
+    bytes and broadcasts it by its own threshold; a larger one is joined by
+    shuffle."""
+    return materialize(df, name)
