@@ -9,9 +9,9 @@ part in its own band and in the bands its larger partners can lie in. Equal
 block words meet by a hash exchange, pairs that meet are verified on whole
 sets, and components follow from the verified links.
 
-Words of zero (mostly blocks without shingles) say little and are common: a
-set with at most e of them leaves them out, since then some equal block is
-not zero.
+Blocks with no or one shingle say little and meet often. At least 1 + e blocks
+hold the same shingles in both sets, so a set with at most e such weak blocks
+leaves them out: some block that both hold alike is not weak, and both emit it.
 """
 
 from __future__ import annotations
@@ -53,15 +53,15 @@ def allowed_difference(a: int, b: int, num: int, den: int) -> int:
 
 
 def bands(largest: int, num: int, den: int) -> list[int]:
-    """Lower ends of the size bands, each about (den/num)^3 times the one before."""
+    """Lower ends of the size bands, each about (den/num)^2 times the one before."""
     ends = [1]
     while ends[-1] <= largest * den // num:
-        ends.append(max(ends[-1] + 1, ends[-1] * den**3 // num**3))
+        ends.append(max(ends[-1] + 1, ends[-1] * den**2 // num**2))
     return ends
 
 
 def block_keys(s: np.ndarray, ends: list[int], num: int, den: int) -> np.ndarray:
-    """Keys of one set: its non-zero block words under every band it takes part in."""
+    """Keys of one set: its block words under every band it takes part in."""
     if not len(s):
         return np.zeros(0, np.uint64)
     own = int(np.searchsorted(ends, len(s), side="right")) - 1
@@ -72,15 +72,18 @@ def block_keys(s: np.ndarray, ends: list[int], num: int, den: int) -> np.ndarray
         d = allowed_difference(top, top, num, den)
         if d == 0:
             continue  # only equal sets reach the similarity
-        spare = 1 + d // 20
+        spare = 1 + d // 10
         n = d + 1 + spare
         block = ((s >> U(32)) * U(n)) >> U(32)  # ascending, as s is
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         word = np.zeros(n, np.uint64)
         word[block[cut]] = np.bitwise_xor.reduceat(U(1) << (s & U(63)), cut)
+        size = np.bincount(block.astype(np.int64), minlength=n)
         at = np.arange(n, dtype=np.uint64)
-        if n - np.count_nonzero(word) <= spare:
-            at = at[word != 0]
+        for weak in (size <= 1, size == 0):
+            if np.count_nonzero(weak) <= spare:
+                at = at[~weak]
+                break
         place = at + (U(band + 1) << U(40))
         out.append(mixed(word[at.astype(np.int64)] ^ mixed(place * STEP)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -241,10 +244,28 @@ def _linked(num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """Pairs (a < b) whose whole sets reach the similarity."""
+    """Pairs (a < b) whose whole sets reach the similarity; sketches go first,
+    so that whole sets travel only for pairs that can still link."""
+    small = sets.mapInArrow(_sketches, "node bigint, n bigint, sketch binary")
+    a = small.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("sketch_a"))
+    b = small.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("sketch_b"))
+    near = materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_near(num, den), "a bigint, b bigint"), f"{name}-near")
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), name)
+    return materialize(near.join(a, "a").join(b, "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), name)
+
+
+def _near(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("sketch_a"), batch.column("sketch_b")
+            na, nb = (x.field("n").to_numpy() for x in (a, b))
+            ka, kb = (np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint64).reshape(-1, FOLD) for x in (a, b))
+            far = np.bitwise_count(ka ^ kb).sum(axis=1, dtype=np.int64)
+            near = (far <= (den - num) * (na + nb) // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+
+    return run
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +343,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = found.filter(F.col("doc").isNotNull()).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     lists = found.filter(F.col("members").isNotNull()).select("key", "members")
     members = lists.select("key", F.explode("members").alias("node")).distinct()
-    star = lists.select(F.col("members")[0].alias("x"), F.col("members")[F.pmod("key", F.size("members")).cast("int")].alias("z"), F.explode(F.slice("members", 2, LIST_ROWS)).alias("y"))
+    second = F.when(F.size("members") > 8, F.pmod("key", F.size("members")).cast("int")).otherwise(F.lit(0))
+    star = lists.select(F.col("members")[0].alias("x"), F.col("members")[second].alias("z"), F.explode(F.slice("members", 2, LIST_ROWS)).alias("y"))
     pairs = star.select("y", F.explode(F.array_distinct(F.array("x", F.when(F.col("z") != F.col("y"), F.col("z")).otherwise(F.col("x"))))).alias("x"))
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "ngram-pairs")
 
