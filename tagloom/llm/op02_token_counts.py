@@ -10,6 +10,7 @@ first reaches them; a piece seen before is one transition of its own.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import query, table
-from tagloom.llm.pieces import END, PieceTable, piece_starts, with_stops
+from tagloom.llm.pieces import END, PieceTable, character_classes, piece_starts, with_stops
 from tagloom.llm.texts import kept, slices, span_hashes, text_bytes
 
 NEVER = 1 << 60
@@ -41,7 +42,8 @@ class CountTransducer:
     cuts and the token counts there relative to the count now.
     """
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, classes: bytes) -> None:
+        self.classes = np.frombuffer(classes, np.uint8)
         spec = json.loads(text)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec["normalizer"]:
@@ -137,8 +139,8 @@ class CountTransducer:
 
 def tokens_per_text(buf: np.ndarray, offsets: np.ndarray, machine: CountTransducer, known: PieceTable) -> np.ndarray:
     """Tokens of each text of a buffer."""
-    buf, offsets, specials = with_stops(buf, offsets, machine.specials)
-    starts = piece_starts(buf)
+    buf, offsets, places, _ = with_stops(buf, offsets, machine.specials)
+    starts = piece_starts(buf, machine.classes)
     ends = np.append(starts[1:], len(buf)) if len(starts) else starts
     real = buf[starts] != END
     starts, ends = starts[real], ends[real]
@@ -156,12 +158,23 @@ def tokens_per_text(buf: np.ndarray, offsets: np.ndarray, machine: CountTransduc
         known.put(new, counts)
         value[unknown] = np.asarray(counts, np.int32)[back]
     sums = np.concatenate([[0], np.cumsum(value, dtype=np.int64)])
+    specials = np.diff(np.searchsorted(places, offsets))
     return np.diff(sums[np.searchsorted(starts, offsets)]) + specials
 
 
+def compiled(spark: SparkSession, path: str):
+    """The vocabulary file and its character classes as a broadcast of fixed
+    size, and a name for them."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    name = f"{zlib.crc32(text.encode()):08x}"
+    classes = kept(f"classes-{name}", lambda: character_classes(text))
+    return spark.sparkContext.broadcast((text, classes)), name
+
+
 def _counts(vocabulary, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = kept(f"counts-{name}", lambda: CountTransducer(vocabulary.value))
+        machine = kept(f"counts-{name}", lambda: CountTransducer(*vocabulary.value))
         known = kept(f"counted-{name}", PieceTable)
         for batch in slices(batches, "text"):
             buf, offsets = text_bytes(batch.column("text"))
@@ -180,13 +193,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     and empty texts have no bytes and no tokens; repeated rows each get a row;
     doc_id may be null; other columns are ignored.
     """
-    import zlib
-
-    with open(vocabulary, encoding="utf-8") as f:
-        text = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast(text)
+    shared, name = compiled(docs.sparkSession, vocabulary)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = slim.mapInArrow(_counts(shared, f"{zlib.crc32(text.encode()):08x}"), "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    out = slim.mapInArrow(_counts(shared, name), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

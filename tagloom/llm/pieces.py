@@ -62,47 +62,53 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
     return nxt.reshape(-1), out.reshape(-1)
 
 
-def _classes() -> np.ndarray:
-    """Symbol of every code point."""
-    import regex
+# The characters with the White_Space property.
+WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
+
+def character_classes(vocabulary: str) -> bytes:
+    """Symbol of every code point, as the tokenizer of this file sees it: each
+    stands between a letter and a digit, and the cuts tell what it is."""
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_str(vocabulary).pre_tokenizer
     table = np.full(0x110000, OTHER, np.uint8)
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    for pattern, symbol in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\p{White_Space}+", WHITE)):
-        for m in regex.finditer(pattern, text):
-            lo, hi = (x if x < 0xD800 else x + 0x800 for x in (m.start(), m.end() - 1))
-            table[lo : hi + 1] = symbol
-    for chars, symbol in ((" ", SPACE), ("'", QUOTE), ("stmd", T_LIKE), ("r", R), ("e", E), ("v", V), ("l", L_)):
-        table[[ord(c) for c in chars]] = symbol
-    return table
-
-
-def with_stops(buf: np.ndarray, offsets: np.ndarray, specials: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 50_000):
+        some = np.array(every[at : at + 50_000])
+        begins = np.zeros(3 * len(some) + 1, bool)
+        begins[[lo for _, (lo, _) in cut.pre_tokenize_str("".join(f"a{chr(c)}1" for c in some))]] = True
+        table[some[~begins[1::3]]] = LETTER
+        table[some[~begins[2::3]]] = DIGIT
+    for codes, symbol in ((WHITE_SPACE, WHITE), (b" ", SPACE), (b"'", QUOTE), (b"stmd", T_LIKE), (b"r", R), (b"e", E), (b"v", V), (b"l", L_)):
+        table[list(codes)] = symbol
+    return table.tobytes()
+
+
+def with_stops(buf: np.ndarray, offsets: np.ndarray, specials: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts with a stop byte behind each and special strings overwritten
-    by stops; new offsets; how many special strings each text holds."""
+    by stops; new offsets; the places of the special strings and which they are."""
     rows = len(offsets) - 1
     out = np.full(len(buf) + rows, END, np.uint8)
     out[np.arange(len(buf)) + np.repeat(np.arange(rows), np.diff(offsets))] = buf
     offsets = offsets + np.arange(rows + 1)
-    counts = np.zeros(rows, np.int64)
-    for special in specials:
+    found = []
+    for which, special in enumerate(specials):
         data, at = out.tobytes(), -1
         while (at := data.find(special, at + 1)) >= 0:
-            if out[at] == END:
-                continue
-            out[at : at + len(special)] = END
-            counts[np.searchsorted(offsets, at, side="right") - 1] += 1
-    return out, offsets, counts
+            if out[at] != END:
+                out[at : at + len(special)] = END
+                found.append((at, which))
+    places = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return out, offsets, places[:, 0], places[:, 1]
 
 
-def symbols(buf: np.ndarray) -> np.ndarray:
-    table = kept("codepoint-classes", _classes)
+def symbols(buf: np.ndarray, classes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(buf), np.uint8)
     stop = buf == END
     lead = (buf & 0xC0) != 0x80
     text = np.where(stop, np.uint8(32), buf).tobytes().decode("utf-8", "surrogatepass")
-    out[lead] = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    out[lead] = classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     out[stop] = STOP
     return out
 
@@ -116,7 +122,7 @@ def compose(maps: np.ndarray) -> np.ndarray:
     return maps
 
 
-def piece_starts(buf: np.ndarray) -> np.ndarray:
+def piece_starts(buf: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Byte positions at which pieces begin; every stop byte is a piece of its own."""
     if not len(buf):
         return np.zeros(0, np.int64)
@@ -124,7 +130,7 @@ def piece_starts(buf: np.ndarray) -> np.ndarray:
     n = len(buf)
     chunks = -(-n // CHUNK)
     code = np.zeros(chunks * CHUNK, np.uint8)  # filled up with the neutral symbol
-    code[:n] = symbols(buf)
+    code[:n] = symbols(buf, classes)
     lanes = np.ascontiguousarray(code.reshape(chunks, CHUNK).T)
     state = np.repeat(np.arange(N_STATES, dtype=np.uint8)[:, None], chunks, axis=1)
     here = np.arange(chunks)
