@@ -1,3 +1,3 @@
 """Operators for training-data pipelines over documents and pages."""
 
-MODULES = ("op02_token_counts", "op06_ngram_join", "op10_decontamination")
+MODULES = ("op02_token_counts", "op05_packing", "op06_ngram_join", "op10_decontamination")
