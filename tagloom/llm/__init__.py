@@ -1,3 +1,5 @@
 """Operators for training-data pipelines over documents and pages."""
 
-MODULES = ("op02_token_counts", "op05_packing", "op06_ngram_join", "op10_decontamination")
+MODULES = (
+    "op02_token_counts", "op04_quality", "op05_packing", "op06_ngram_join", "op07_toxicity", "op08_line_dedup", "op10_decontamination",
+)
