@@ -1,5 +1,6 @@
 """Operators for training-data pipelines over documents and pages."""
 
 MODULES = (
-    "op02_token_counts", "op04_quality", "op05_packing", "op06_ngram_join", "op07_toxicity", "op08_line_dedup", "op10_decontamination",
+    "op01_sharding", "op02_token_counts", "op03_url_filters", "op04_quality", "op05_packing", "op06_ngram_join", "op07_toxicity",
+    "op08_line_dedup", "op09_quality_rules", "op10_decontamination",
 )
