@@ -34,7 +34,6 @@ from tagloom.llm.texts import (
     mixed,
     ragged,
     shingle_sets,
-    signed,
     slices,
     span_hashes,
     text_bytes,
@@ -44,7 +43,7 @@ from tagloom.session import materialize
 
 BLOCK_KEYS = 1 << 20  # keys that a mapper groups at once
 LIST_ROWS = 128  # members of one tile
-FOLD = 32  # 64-bit words of the folded sketch for the last filter
+LEAST_WORDS = 8  # 64-bit words of the smallest folded sketch that pairs are filtered by
 
 
 def allowed_difference(a: int, b: int, num: int, den: int) -> int:
@@ -53,10 +52,10 @@ def allowed_difference(a: int, b: int, num: int, den: int) -> int:
 
 
 def bands(largest: int, num: int, den: int) -> list[int]:
-    """Lower ends of the size bands, each about (den/num)^2 times the one before."""
+    """Lower ends of the size bands, each about den/num times the one before."""
     ends = [1]
     while ends[-1] <= largest * den // num:
-        ends.append(max(ends[-1] + 1, ends[-1] * den**2 // num**2))
+        ends.append(max(ends[-1] + 1, ends[-1] * den // num))
     return ends
 
 
@@ -103,8 +102,46 @@ def set_id(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-EXCHANGED = "bucket int, doc bigint, n bigint, node bigint, keys binary"
-FOUND = "doc bigint, n bigint, node bigint, key bigint, members array<bigint>"
+DOC, LIST, PACKED = range(3)  # what a row of the exchange holds
+EXCHANGED = "bucket int, kind int, doc bigint, n bigint, node bigint, data binary"
+FOUND = "doc bigint, n bigint, node bigint, sketch binary, key bigint, members array<bigint>"
+
+
+def folded(s: np.ndarray) -> bytes:
+    """The sketch of a set folded to about a bit per shingle, a power of two
+    of words; two of them, the longer folded to the shorter, still differ in
+    no more bits than the sets in shingles."""
+    size = max(LEAST_WORDS, 1 << (max(1, len(s) // 64) - 1).bit_length())
+    word = np.zeros(size, np.uint64)
+    np.bitwise_xor.at(word, ((s >> U(40)) & U(size - 1)).astype(np.int64), U(1) << (s & U(63)))
+    return word.tobytes()
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches (rows) of two lengths, row by row."""
+    n = min(a.shape[-1], b.shape[-1])
+    a, b = (x if x.shape[-1] == n else np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], x.shape[-1] // n, n), axis=-2) for x in (a, b))
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def by_length(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, sketches as rows) of each length."""
+    sizes = np.array([len(x) // 8 for x in sketches], np.int64)
+    return [(at, np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(len(at), -1)) for at in (np.flatnonzero(sizes == n) for n in np.unique(sizes))]
+
+
+def pack_keys(key: np.ndarray, node: np.ndarray) -> bytes:
+    """Rows ordered by node as one string: each node once, 48 bits of a key."""
+    head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    count = np.diff(np.append(head, len(node)))
+    return b"".join([np.array([len(head), len(key)], np.int64).tobytes(), node[head].tobytes(), count.astype(np.int32).tobytes(), (key >> U(32)).astype(np.uint32).tobytes(), (key >> U(16)).astype(np.uint16).tobytes()])
+
+
+def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(data, np.int64, 2).tolist()
+    node, count = np.frombuffer(data, np.int64, n, 16), np.frombuffer(data, np.int32, n, 16 + 8 * n)
+    high, low = np.frombuffer(data, np.uint32, m, 16 + 12 * n), np.frombuffer(data, np.uint16, m, 16 + 12 * n + 4 * m)
+    return (high.astype(np.uint64) << U(32)) | (low.astype(np.uint64) << U(16)), np.repeat(node, count)
 
 
 def _lists(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -133,30 +170,27 @@ def _map_keys(k: int, num: int, den: int, buckets: int):
         def flush():
             key = np.concatenate([x for x, _ in held])
             node = np.concatenate([np.full(len(x), y, np.int64) for x, y in held])
-            key, node, tiles = _lists(key, node)
-            bucket = (key % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.empty((len(key), 2), np.int64)
-            packed[:, 0], packed[:, 1] = signed(key[order]), node[order]
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(key) else []
-            stop = np.append(cut, len(key))[1:] if len(key) else []
-            out = [(int(bucket[order[a]]), packed[a:b].tobytes(), False) for a, b in zip(cut, stop)]
+            key, node, tiles = _lists(key & ~U(0xFFFF), node)
+            bucket = mixed(key) % U(buckets)
+            order = np.lexsort((node, bucket))
+            key, node, bucket = key[order], node[order], bucket[order].astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            out = [(int(bucket[a]), pack_keys(key[a:b], node[a:b]), False) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)])]
             for key_, tile in tiles:  # travels on as a finished list
                 out.append((key_ % buckets, np.concatenate([[np.uint64(key_).view(np.int64)], tile]).tobytes(), True))
             for at in range(0, len(out), 10_000):
                 some = out[at : at + 10_000]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([x[0] for x in some], pa.int32()),
-                    "doc": pa.array([None] * len(some), pa.int64()),
-                    "n": pa.array([0 if x[2] else None for x in some], pa.int64()),
-                    "node": pa.array([None] * len(some), pa.int64()),
-                    "keys": pa.array([x[1] for x in some], pa.binary()),
-                })
+                none = pa.array([None] * len(some), pa.int64())
+                kinds = [LIST if x[2] else PACKED for x in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in some], pa.int32()), pa.array(kinds, pa.int32()), none, none, none, pa.array([x[1] for x in some], pa.binary())],
+                    ["bucket", "kind", "doc", "n", "node", "data"])
 
         for batch in slices(batches, "text"):
-            nodes, sizes = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            nodes, sizes, sketch = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64), []
             for i, s in enumerate(_sets(batch, k)):
                 nodes[i], sizes[i] = set_id(s), len(s)
+                sketch.append(folded(s))
                 while len(s) >= ends[-2] * num // den:
                     ends.extend(bands(2 * len(s), num, den)[len(ends) :])
                 keys = block_keys(s, ends, num, den)
@@ -167,25 +201,22 @@ def _map_keys(k: int, num: int, den: int, buckets: int):
                     yield from flush()
                     held, rows = [], 0
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array((nodes % buckets).astype(np.int32)),
-                "doc": pa.array(ids.astype(np.int64)),
-                "n": pa.array(sizes),
-                "node": pa.array(nodes, mask=sizes == 0),
-                "keys": pa.array([None] * batch.num_rows, pa.binary()),
-            })
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.abs(nodes % buckets).astype(np.int32)), pa.array(np.full(len(nodes), DOC, np.int32)), pa.array(ids.astype(np.int64)),
+                 pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array(sketch, pa.binary())],
+                ["bucket", "kind", "doc", "n", "node", "data"])
         if held:
             yield from flush()
 
     return run
 
 
-def _found(key, members) -> pa.RecordBatch:
-    n = len(key)
-    none = pa.array([None] * n, pa.int64())
-    flat = np.concatenate(members) if n else np.zeros(0, np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in members])]) if n else [0]
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array(key, pa.int64()), ragged(offsets, flat, pa.int64())], ["doc", "n", "node", "key", "members"])
+def _found(tiles: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(tiles), 5000):
+        key, members = zip(*tiles[at : at + 5000])
+        none = pa.array([None] * len(key), pa.int64())
+        lists = ragged(np.concatenate([[0], np.cumsum([len(x) for x in members])]), np.concatenate(members), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([None] * len(key), pa.binary()), pa.array(key, pa.int64()), lists], ["doc", "n", "node", "sketch", "key", "members"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,22 +224,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists the nodes of each key that came from more than one mapper."""
     packed = []
     for batch in batches:
-        doc = batch.filter(batch.column("keys").is_null())
-        yield pa.RecordBatch.from_arrays([doc.column("doc"), doc.column("n"), doc.column("node"), pa.array([None] * doc.num_rows, pa.int64()), pa.array([None] * doc.num_rows, pa.list_(pa.int64()))], ["doc", "n", "node", "key", "members"])
-        rows = batch.filter(batch.column("keys").is_valid())
-        lists = rows.filter(rows.column("n").is_valid()).column("keys").to_pylist()
-        for at in range(0, len(lists), 5000):
-            arrays = [np.frombuffer(x, np.int64) for x in lists[at : at + 5000]]
-            yield _found([int(x[0]) for x in arrays], [x[1:] for x in arrays])
-        keys = rows.filter(rows.column("n").is_null()).column("keys")
-        packed.extend(np.frombuffer(x, np.int64).reshape(-1, 2) for x in keys.to_pylist())
+        kind = batch.column("kind").to_numpy()
+        doc = batch.filter(pa.array(kind == DOC))
+        none = pa.array([None] * doc.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [doc.column("doc"), doc.column("n"), doc.column("node"), doc.column("data"), none, pa.array([None] * doc.num_rows, pa.list_(pa.int64()))],
+            ["doc", "n", "node", "sketch", "key", "members"])
+        lists = [np.frombuffer(x, np.int64) for x in batch.column("data").filter(pa.array(kind == LIST)).to_pylist()]
+        yield from _found([(int(x[0]), x[1:]) for x in lists])
+        packed.extend(unpack_keys(x) for x in batch.column("data").filter(pa.array(kind == PACKED)).to_pylist())
     if packed:
-        both = np.concatenate(packed)
+        key, node = (np.concatenate(x) for x in zip(*packed))
         packed = None
-        _, _, tiles = _lists(both[:, 0].view(np.uint64), both[:, 1])
-        for at in range(0, len(tiles), 5000):
-            some = tiles[at : at + 5000]
-            yield _found([np.uint64(x).view(np.int64) for x, _ in some], [y for _, y in some])
+        _, _, tiles = _lists(key, node)
+        yield from _found([(int(np.uint64(key).view(np.int64)), nodes) for key, nodes in tiles])
 
 
 def _set_rows(k: int):
@@ -243,16 +272,26 @@ def _linked(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """Pairs (a < b) whose whole sets reach the similarity; sketches go first,
-    so that whole sets travel only for pairs that can still link."""
-    small = sets.mapInArrow(_sketches, "node bigint, n bigint, sketch binary")
+def _near_pairs(pairs: DataFrame, small: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """Pairs whose sizes and sketches do not rule the similarity out, so that
+    whole sets travel for few pairs only."""
     a = small.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("sketch_a"))
     b = small.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("sketch_b"))
-    near = materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_near(num, den), "a bigint, b bigint"), f"{name}-near")
+    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_near(num, den), "a bigint, b bigint"), name)
+
+
+def _sets_of(nodes: DataFrame, rows: DataFrame, slim: DataFrame, k: int, name: str) -> DataFrame:
+    """The whole set of each node, from the text of its first document."""
+    holders = materialize(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{name}-holders")
+    texts = slim.join(holders, "doc_id").select("node", "text")
+    return materialize(texts.mapInArrow(_set_rows(k), "node bigint, items binary"), name)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """Pairs (a < b) whose whole sets reach the similarity."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    return materialize(near.join(a, "a").join(b, "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), name)
+    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_linked(num, den), "a bigint, b bigint"), name)
 
 
 def _near(num: int, den: int):
@@ -260,67 +299,73 @@ def _near(num: int, den: int):
         for batch in batches:
             a, b = batch.column("sketch_a"), batch.column("sketch_b")
             na, nb = (x.field("n").to_numpy() for x in (a, b))
-            ka, kb = (np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint64).reshape(-1, FOLD) for x in (a, b))
-            far = np.bitwise_count(ka ^ kb).sum(axis=1, dtype=np.int64)
-            near = (far <= (den - num) * (na + nb) // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            sa, sb = (x.field("sketch").to_pylist() for x in (a, b))
+            near = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+            left = np.flatnonzero(near)
+            for at, x in by_length([sa[i] for i in left.tolist()]):
+                for to, y in by_length([sb[i] for i in left[at].tolist()]):
+                    at_ = left[at[to]]
+                    near[at_] = distances(x[to], y) <= (den - num) * (na[at_] + nb[at_]) // (den + num)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
     return run
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, sizes = [], []
-        for x in batch.column("items"):
-            s = np.frombuffer(x.as_buffer(), np.uint64)
-            word = np.zeros(FOLD, np.uint64)
-            np.bitwise_xor.at(word, (s >> U(40)) % U(FOLD), U(1) << (s & U(63)))
-            out.append(word.tobytes())
-            sizes.append(len(s))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["node", "n", "sketch"])
-
-
 def _across(num: int, den: int):
     """Pairs of a tile pair that lie in different components and whose sketches
     do not rule the similarity out."""
 
-    def side(batch, name):
-        for x in batch.column(name):
-            rows = x.as_py()
-            yield (np.array([r["node"] for r in rows], np.int64), np.array([r["root"] for r in rows], np.int64),
-                   np.array([r["n"] for r in rows], np.int64), np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), FOLD))
+    def side(rows):
+        return [(at, x, *(np.array([rows[i][f] for i in at.tolist()], np.int64) for f in ("node", "root", "n"))) for at, x in by_length([r["sketch"] for r in rows])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (na, ra, sa, ka), (nb, rb, sb, kb) in zip(side(batch, "left"), side(batch, "right")):
-                far = np.zeros((len(na), len(nb)), np.int64)
-                for j in range(FOLD):
-                    far += np.bitwise_count(ka[:, j, None] ^ kb[None, :, j])
-                near = far <= (den - num) * (sa[:, None] + sb[None, :]) // (den + num)
-                near &= np.minimum(sa[:, None], sb[None, :]) * den >= np.maximum(sa[:, None], sb[None, :]) * num
-                near &= ra[:, None] != rb[None, :]
-                x, y = np.nonzero(near)
-                low, high = np.minimum(na[x], nb[y]), np.maximum(na[x], nb[y])
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                for _, x, na, ra, sa in side(left.as_py()):
+                    for _, y, nb, rb, sb in side(right.as_py()):
+                        near = ra[:, None] != rb[None, :]
+                        near &= np.minimum(sa[:, None], sb[None, :]) * den >= np.maximum(sa[:, None], sb[None, :]) * num
+                        i, j = np.nonzero(near)
+                        close = distances(x[i], y[j]) <= (den - num) * (sa[i] + sb[j]) // (den + num)
+                        i, j = i[close], j[close]
+                        low, high = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+                        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Untried pairs: nodes under one key whose components still differ."""
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches folded to their smallest length."""
+    for batch in batches:
+        sketches = batch.column("sketch").to_pylist()
+        out = [b""] * len(sketches)
+        for at, x in by_length(sketches):
+            for i, row in zip(at.tolist(), np.bitwise_xor.reduce(x.reshape(len(x), -1, LEAST_WORDS), axis=1)):
+                out[i] = row.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(out, pa.binary())], ["node", "n", "sketch"])
+
+
+def _open_pairs(members: DataFrame, roots: DataFrame, small: DataFrame, num: int, den: int) -> DataFrame:
+    """Untried pairs: nodes under one key whose components still differ. Keys
+    of two nodes were tried as they are."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 2")
+    some = materialize(members.join(sizes, "key"), "ngram-members")
+    rooted = some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "ngram-rooted")
-    keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
-    keys = keys.filter("lo < hi").select("key", F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("tiles"))
-    sketches = sets.mapInArrow(_sketches, "node bigint, n bigint, sketch binary")
-    rows = rooted.join(keys, "key").join(sketches, "node")
+    keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    tiles = F.ceil(F.col("size") / LIST_ROWS).cast("int")
+    rows = rooted.join(keys, "key").select("key", "node", "root", tiles.alias("tiles"))
+    # most open keys have the same few members as others: one stands for all of them
+    lists = rows.filter("tiles = 1").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("members"))
+    lists = lists.dropDuplicates(["members"]).select("key", F.lit(1).alias("tiles"), F.explode("members").alias("m")).select("key", "m.node", "m.root", "tiles")
+    rows = materialize(lists.unionByName(rows.filter("tiles > 1")), "ngram-open-members")
+    short = small.mapInArrow(_short, "node bigint, n bigint, sketch binary")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    tiles = rows.groupBy("key", "tiles", tile.alias("tile")).agg(F.sort_array(F.collect_list(F.struct("node", "root", "n", "sketch"))).alias("left"))
-    # most open keys have the same few members: one tile stands for all of them
-    whole = tiles.filter("tiles = 1").dropDuplicates(["left"]).select("left", F.col("left").alias("right"))
-    cut = materialize(tiles.filter("tiles > 1"), "ngram-tiles")
-    other = cut.select("key", F.col("tile").alias("tile_b"), F.col("left").alias("right"))
-    crossed = cut.join(other, "key").filter("tile <= tile_b").select("left", "right")
+    cut = rows.join(short, "node").groupBy("key", "tiles", tile.alias("tile")).agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("left"))
+    cut = materialize(cut, "ngram-tiles")
+    whole = cut.select("left", F.col("left").alias("right"))
+    other = cut.filter("tiles > 1").select("key", F.col("tile").alias("tile_b"), F.col("left").alias("right"))
+    crossed = cut.filter("tiles > 1").join(other, "key").filter("tile < tile_b").select("left", "right")
     return whole.unionByName(crossed).mapInArrow(_across(num, den), "a bigint, b bigint").distinct()
 
 
@@ -336,11 +381,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(1024, 8 * parts(spark))
+    buckets = parts(spark)
     mapped = slim.mapInArrow(_map_keys(k, num, den, buckets), EXCHANGED)
-    found = materialize(mapped.repartition(parts(spark), "bucket").mapInArrow(_meet, FOUND), "ngram-found")
+    found = materialize(mapped.repartitionById(buckets, "bucket").mapInArrow(_meet, FOUND), "ngram-found")
 
     rows = found.filter(F.col("doc").isNotNull()).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+    small = found.filter(F.col("node").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
     lists = found.filter(F.col("members").isNotNull()).select("key", "members")
     members = lists.select("key", F.explode("members").alias("node")).distinct()
     second = F.when(F.size("members") > 8, F.pmod("key", F.size("members")).cast("int")).otherwise(F.lit(0))
@@ -348,16 +394,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     pairs = star.select("y", F.explode(F.array_distinct(F.array("x", F.when(F.col("z") != F.col("y"), F.col("z")).otherwise(F.col("x"))))).alias("x"))
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "ngram-pairs")
 
-    nodes = lists.select(F.explode("members").alias("node")).distinct()
-    holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = slim.join(holders, "doc_id").select("node", "text")
-    sets = materialize(texts.mapInArrow(_set_rows(k), "node bigint, items binary").dropDuplicates(["node"]), "ngram-sets")
-
-    links = _verified(pairs, sets, num, den, "ngram-links")
+    near = _near_pairs(pairs, small, num, den, "ngram-near")
+    ends = lambda x: x.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets_of(ends(near), rows, slim, k, "ngram-sets")
+    links = _verified(near, sets, num, den, "ngram-links")
     roots = components(links)
-    more = _verified(_open_pairs(members, roots, sets, num, den), sets, num, den, "ngram-links-2")
+    more = materialize(_open_pairs(members, roots, small, num, den), "ngram-open")
+    more = _near_pairs(more, small, num, den, "ngram-near-2")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        other = _sets_of(ends(more).join(sets.select("node"), "node", "left_anti"), rows, slim, k, "ngram-sets-2")
+        links = links.unionByName(_verified(more, sets.unionByName(other), num, den, "ngram-links-2"))
+        roots = components(links)
 
     full = rows.filter("node IS NOT NULL").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     full = materialize(full.select("doc_id", "n_shingles", "root"), "ngram-roots")

@@ -220,7 +220,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
     item. A row with a null doc_id is judged by its own text like any other."""
     found = contamination(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, window)
     gone = materialize(found.filter("n_hit > 0").select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return docs.withColumn("_row", F.xxhash64("text")).join(gone, "_row", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64("text").alias("_row"))
+    return keyed.join(gone, "_row", "left_anti").select("_all.*")
 
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
