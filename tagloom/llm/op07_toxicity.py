@@ -28,20 +28,32 @@ def weight(sizes: np.ndarray) -> np.ndarray:
 
 
 class SparseRows:
-    """Rows of bucket lists, each divided by the fourth root of its length."""
+    """Rows of bucket lists, each divided by the fourth root of its length,
+    laid out by row and by bucket."""
 
     def __init__(self, lists: list[np.ndarray]) -> None:
         self.n = len(lists)
-        self.bucket = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
         sizes = np.array([len(x) for x in lists], np.int64)
-        self.row = np.repeat(np.arange(self.n), sizes)
-        self.value = weight(sizes)[self.row]
+        self.bucket = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.full = np.flatnonzero(sizes)
+        self.start = (np.cumsum(sizes) - sizes)[self.full]
+        self.scale = weight(sizes)
+        order = np.argsort(self.bucket, kind="stable")
+        self.row = row[order]
+        self.seen, self.first = np.unique(self.bucket[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.bucket] * self.value, self.n)
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(w.astype(np.float32)[self.bucket], self.start)
+        return out * self.scale
 
     def back(self, r: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.bucket, r[self.row] * self.value, size)
+        out = np.zeros(size)
+        if len(self.seen):
+            out[self.seen] = np.add.reduceat((r * self.scale).astype(np.float32)[self.row], self.first)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

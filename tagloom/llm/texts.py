@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # of text handled at once; one longer row is a slice of its own
+SLICE_BYTES = 1 << 20  # of text handled at once; one longer row is a slice of its own
 U = np.uint64
 MIX_1, MIX_2, STEP = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)
 
