@@ -67,8 +67,10 @@ def preferred_languages(requested: str, editor: bool = False) -> list[str]:
 
 def first_entries(entries: Column, key) -> Column:
     """Entries whose key was not seen earlier in the array, order kept."""
-    keys = F.transform(entries, key)
-    return F.filter(entries, lambda e, i: F.array_position(keys, key(e)) == i + 1)
+    return let(
+        F.transform(entries, key),
+        lambda keys: F.filter(entries, lambda e, i: F.array_position(keys, F.get(keys, i)) == i + 1),
+    )
 
 
 def alias_entry(name: Column, language: Column) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -25,9 +27,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column, zero_to_null: bool = False) -> Column:
-    unit = F.transform(v, lambda x: x.cast("double") / norm(v))
     zero = F.lit(None) if zero_to_null else F.transform(v, lambda x: x.cast("double"))
-    return F.when(norm(v) > 0, unit).otherwise(zero)
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(zero))
 
 
 def tag_score_at(v: Column, position: int | Column) -> Column:

@@ -157,9 +157,12 @@ def new_entity_id(display: Column, source: Column, provider: Column, entity_id:
     return F.concat(F.lit("custom_"), name, F.lit("_"), digest)
 
 
-def _new_id() -> Column:
+def _new_id(place: Column | None = None) -> Column:
+    """Id of a candidate; ``place`` tells apart equal ones without a link."""
     provider = F.coalesce(F.nullif(X.strip(F.col("provider")), F.lit("")), F.lit("manual"))
-    return new_entity_id(X.strip(F.col("display_name")), X.strip(F.col("source_title")), provider, X.strip(F.col("provider_entity_id")))
+    entity = X.strip(F.col("provider_entity_id"))
+    entity = entity if place is None else F.concat(entity, place)
+    return new_entity_id(X.strip(F.col("display_name")), X.strip(F.col("source_title")), provider, entity)
 
 
 def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -269,7 +272,7 @@ def library_upsert(entities: DataFrame, additions: DataFrame, now: str) -> DataF
     linked = first_per_key(fresh.filter(F.col("_link").isNotNull()), ["_link"], ["ordinal"])
     rows = linked.unionByName(fresh.filter(F.col("_link").isNull()).select(*linked.columns))
     new = rows.select(
-        _new_id().alias("id"),
+        _new_id(F.when(F.col("_link").isNull(), F.concat(F.lit("#"), F.col("ordinal").cast("string"))).otherwise(F.lit(""))).alias("id"),
         X.strip(F.col("display_name")).alias("display_name"),
         X.strip(F.col("source_title")).alias("source_title"),
         F.coalesce(F.nullif(X.strip(F.col("provider")), F.lit("")), F.lit("manual")).alias("provider"),

@@ -95,7 +95,8 @@ def region_queries(images: DataFrame, scorer: Callable[[DataFrame], Column], wei
     one = materialize(score_boxes(boxes.filter(F.col("box_no") < first), scorer, weights), "regions-first")
     picked = nms_select(one)
     weak = (F.size("chosen") < F.col("target")) | (F.coalesce(F.get("chosen", F.lit(0))["head_score"], F.lit(0.0)) < FALLBACK_SCORE)
-    again = materialize(picked.filter(weak).select("image_id"), "regions-again")
+    tried = images.select("image_id").join(picked, "image_id", "left")  # an image whose boxes all failed tries again as well
+    again = materialize(tried.filter(F.col("chosen").isNull() | weak).select("image_id"), "regions-again")
     more = boxes.filter((F.col("box_no") >= first) & (F.col("box_no") < last)).join(again, "image_id", "left_semi")
     two = score_boxes(more, scorer, weights)
     second = nms_select(one.join(again, "image_id", "left_semi").unionByName(two))

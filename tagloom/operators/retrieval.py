@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from tagloom.session import materialize
 
 SIMILARITY_DIGITS = 12  # equal vectors tie whatever the order of summation
-MAX_CELLS = 256
-TILE = 1024
-TASK_CELLS = 20_000_000_000  # vector cells compared by one task
+MAX_CELLS = 4096  # pivots that reach the driver at most
+TILE_CELLS = 8_000_000  # similarities held at once by a task
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -32,8 +31,9 @@ def _best(q: np.ndarray, r: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarra
     """(query row, library rows, similarities); the library is sorted by id,
     so a stable sort breaks ties on the lower id."""
     k = min(k, len(r))
-    for start in range(0, len(q), TILE):
-        sims = np.round(q[start : start + TILE] @ r.T, SIMILARITY_DIGITS)
+    tile = max(1, TILE_CELLS // max(1, len(r)))
+    for start in range(0, len(q), tile):
+        sims = np.round(q[start : start + tile] @ r.T, SIMILARITY_DIGITS)
         limit = np.partition(sims, len(r) - k, axis=1)[:, len(r) - k]
         for i, row in enumerate(sims):
             near = np.flatnonzero(row >= limit[i])
@@ -93,29 +93,27 @@ def vector_topk(
         empty = {ref_id: F.lit(0).cast("bigint"), "similarity": F.lit(0.0), "rank": F.lit(0)}
         return usable.withColumns(empty).limit(0)
     if n * d * 8 <= broadcast_limit:
-        found = _spread(usable, query_id, n * d).withColumn("_m", _topk_column(r, k)(F.col(vector)))
+        found = _spread(usable, query_id).withColumn("_m", _topk_column(r, k)(F.col(vector)))
         pairs = F.arrays_zip(F.col("_m.r").alias("r"), F.col("_m.s").alias("s"))
         rows = found.select(*queries.columns, F.posexplode(pairs).alias("_pos", "_p"))
         out = rows.select(
             *queries.columns, F.col("_p.r").alias(ref_id), F.col("_p.s").alias("similarity"), (F.col("_pos") + 1).alias("rank")
         )
     else:
-        q = usable.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v"))
-        cells = _topk_cells(q, r, k, n, block_rows).select(
-            F.col("q").alias(query_id), F.col("r").alias(ref_id), "similarity", F.col("rank").cast("int").alias("rank")
-        )
-        # the callers that only want matches do not pay for this join
-        extra = [c for c in queries.columns if c not in (query_id, vector)]
-        out = usable.join(cells, query_id) if extra else cells
+        # rows with the same id and vector match alike and are searched once
+        keyed = usable.withColumn("_q", F.xxhash64(query_id, vector))
+        q = keyed.select(F.col("_q").alias("q"), F.col(vector).alias("v")).dropDuplicates(["q"])
+        cells = _topk_cells(q, r, k, n, block_rows).select(F.col("q").alias("_q"), F.col("r").alias(ref_id), "similarity", F.col("rank").cast("int").alias("rank"))
+        out = keyed.join(cells, "_q").select(*queries.columns, ref_id, "similarity", "rank")
     return out if min_similarity is None else out.filter(F.col("similarity") >= min_similarity)
 
 
-def _spread(queries: DataFrame, query_id: str, cells_per_query: int) -> DataFrame:
-    """Queries in partitions of bounded matching work."""
-    total = queries.count()
-    per_task = max(256, min(50_000, TASK_CELLS // max(1, cells_per_query)))
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    return queries.repartition(max(math.ceil(total / per_task), min(cores, math.ceil(total / 256)), 1), query_id)
+def _spread(queries: DataFrame, query_id: str) -> DataFrame:
+    """Queries dealt out to all tasks; a split of a file may hold far too many
+    of them for one."""
+    spark = queries.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return queries.repartition(tasks, query_id)
 
 
 MATCH = "q bigint, r bigint, similarity double, rank bigint"
@@ -179,7 +177,8 @@ def _topk_cells(q: DataFrame, r: DataFrame, k: int, n: int, block_rows: int) ->
                 units = _units(_matrix(pdf["v"]))
                 cells = []
                 for a, kth in zip(angles(units), pdf["kth"].to_numpy(dtype=np.float64)):
-                    bound = math.pi if np.isnan(kth) else math.acos(max(-1.0, min(1.0, kth)))
+                    # a row that ties after rounding may be this much less similar
+                    bound = math.pi if np.isnan(kth) else math.acos(max(-1.0, min(1.0, kth - 2 * 10.0**-SIMILARITY_DIGITS)))
                     open_cells = np.flatnonzero((counts > 0) & (a - radius <= bound + 1e-7))
                     cells.append(np.setdiff1d(open_cells, first_cells(a)))
                 yield pd.DataFrame({"q": pdf["q"], "v": list(units), "cell": cells})

@@ -105,6 +105,17 @@ def grouped_item_search(items: DataFrame, group: str, text: Column, query: str)
 # -------------------------------------------------------------------- merging
 
 
+def merge_keys() -> tuple[Column, Column]:
+    """(provider:id, name:work) of a candidate; NULL where it says nothing, so
+    that blank links or names never make two candidates equal."""
+    source = X.match_key(F.col("source_title"))
+    name = X.match_key(F.col("display_name"))
+    name_work = F.when(source != "", F.concat_ws(":", name, source)).otherwise(F.nullif(name, F.lit("")))
+    p = F.lower(X.strip(F.col("provider")))
+    e = F.lower(X.strip(F.col("provider_entity_id")))
+    return F.when((p != "") | (e != ""), F.concat_ws(":", p, e)), name_work
+
+
 def priority_merge(primary: DataFrame, supplement: DataFrame, limit: int) -> DataFrame:
     """Primary then supplement, dropping a candidate whose provider key or
     name:work key was kept before; ``pos`` is the new order within the request."""
@@ -112,15 +123,10 @@ def priority_merge(primary: DataFrame, supplement: DataFrame, limit: int) -> Dat
     both = primary.withColumn("_layer", F.lit(0)).unionByName(supplement.withColumn("_layer", F.lit(1)))
     # ordinals are unique per request and layer
     both = both.withColumn("_order", F.col("_layer") * F.lit(1 << 62) + F.col("ordinal"))
-    source = X.match_key(F.col("source_title"))
-    name = X.match_key(F.col("display_name"))
-    name_source = F.when(source != "", F.concat_ws(":", name, source)).otherwise(F.nullif(name, F.lit("")))
-    p = F.lower(X.strip(F.col("provider")))
-    e = F.lower(X.strip(F.col("provider_entity_id")))
-    link = F.when((p != "") | (e != ""), F.concat_ws(":", p, e))
-    keyed = both.withColumns({"_a": link, "_b": name_source})
+    link, name_work = merge_keys()
+    keyed = both.withColumns({"_a": link, "_b": name_work})
     kept = greedy_distinct(keyed, "request_id", "_order", ("_a", "_b"))
-    best = top_n(kept, ["request_id"], ["_order"], max(1, min(limit, 300)), "pos")
+    best = top_n(kept, ["request_id"], ["_order"], limit, "pos")
     return best.select(*cols, "ordinal", "pos")
 
 
@@ -196,10 +202,8 @@ def provider_choice(
     order = F.col("_layer").cast("bigint") * F.lit(1 << 58) + F.col("ordinal")
     pool = pool.withColumn("_order", order).drop("_layer", "prefer_source", "b_name_first")
     merged = c.isin("a+b", "b+a", "b")
-    keyed = pool.withColumns({
-        "_a": F.when(merged, provider_key(F.col("provider"), F.col("provider_entity_id"))),
-        "_b": F.when(merged, F.concat_ws(":", X.match_key(F.col("display_name")), F.nullif(X.match_key(F.col("source_title")), F.lit("")))),
-    })
+    link, name_work = merge_keys()
+    keyed = pool.withColumns({"_a": F.when(merged, link), "_b": F.when(merged, name_work)})
     kept = greedy_distinct(keyed, "request_id", "_order", ("_a", "_b"))
     return top_n(kept, ["request_id"], ["_order"], limit, "pos").drop("_a", "_b", "_order")
 
@@ -234,7 +238,7 @@ def tiered_quota_fill(hits: DataFrame, n: int) -> DataFrame:
     """Fill a quota from ordered tiers with distinct URLs: ``hits(request_id, tier, pos, url)``."""
     rows = hits.withColumn("url", X.strip(F.col("url"))).filter(F.col("url") != "")
     first = first_per_key(rows, ["request_id", "url"], ["tier", "pos"])
-    return top_n(first, ["request_id"], ["tier", "pos"], max(1, min(n, 30)))
+    return top_n(first, ["request_id"], ["tier", "pos"], n)
 
 
 def popular_topn(pages: DataFrame, page_size: int, n: int, second: DataFrame | None = None) -> DataFrame:
@@ -249,4 +253,4 @@ def popular_topn(pages: DataFrame, page_size: int, n: int, second: DataFrame | N
     if second is not None:
         empty = pages.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
         out = out.unionByName(distinct_pages(second).filter(empty))
-    return out.orderBy("page", "pos").limit(max(1, min(n, 5000)))
+    return out.orderBy("page", "pos").limit(n)

@@ -176,7 +176,7 @@ def exclusive_first(tags: DataFrame, groups: list[tuple[str, list[str]]]) -> Dat
 
     def apply(kept: Column, group: Column) -> Column:
         winner = F.get(F.filter(kept, lambda e: F.array_contains(group, e["tag"])), F.lit(0))["tag"]
-        return F.filter(kept, lambda e: ~F.array_contains(group, e["tag"]) | (e["tag"] == winner))
+        return let(winner, lambda w: F.filter(kept, lambda e: ~F.array_contains(group, e["tag"]) | (e["tag"] == w)))
 
     return listed.select("image_id", F.inline(F.aggregate(rules, F.col("list"), apply)))
 
@@ -312,7 +312,7 @@ def precise_features(features: Column, groups: list[tuple[str, list[str]]]) -> C
     """Exclusive groups in order, then category caps, on an image's feature list."""
     def apply(kept: Column, group: Column) -> Column:
         winner = F.get(F.filter(kept, lambda e: F.array_contains(group, e["tag"])), F.lit(0))["tag"]
-        return F.filter(kept, lambda e: ~F.array_contains(group, e["tag"]) | (e["tag"] == winner))
+        return let(winner, lambda w: F.filter(kept, lambda e: ~F.array_contains(group, e["tag"]) | (e["tag"] == w)))
 
     def cap(kept: Column) -> Column:
         earlier = lambda e, i: F.filter(F.slice(kept, F.lit(1), i), lambda o: o["category_id"] == e["category_id"])

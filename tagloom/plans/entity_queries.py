@@ -167,7 +167,7 @@ def _(d):
 
 @query("library_upsert", BASE + f""", c AS (SELECT *, {LINK} AS lk FROM candidates), f AS (SELECT *, row_number() OVER (PARTITION BY coalesce(lk, '#' || candidate_id) ORDER BY ordinal) AS rn FROM c
   WHERE lk IS NULL OR lk NOT IN (SELECT link_key FROM ent_links))
-SELECT {NEW_ID} AS id, display_name, source_title, provider, '{NOW}' AS created_at FROM f WHERE rn = 1
+SELECT {NEW_ID.replace("provider_entity_id)", "provider_entity_id || CASE WHEN lk IS NULL THEN '#' || ordinal ELSE '' END)")} AS id, display_name, source_title, provider, '{NOW}' AS created_at FROM f WHERE rn = 1
 UNION ALL SELECT id, display_name, source_title, provider, '2023-01-01T00:00:00' FROM entities""")
 def _(d):
     old = entities(d).withColumns({"enabled": F.lit(True), "created_at": F.lit("2023-01-01T00:00:00"), "updated_at": F.lit("2023-01-01T00:00:00")})

@@ -37,8 +37,19 @@ def crop_scorer(rows):
     return F.transform(v, lambda x, i: x * ((b["l"] + 3 * b["t"] + 5 * i) % 7 + 4) / 10.0)
 
 
+def _list(rows) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{x!r}e0" for x in row) + "]" for row in rows) + "]"
+
+
+def _bands(middle: str, half: str, heights) -> str:
+    return f"[{{'l': greatest(0e0, {middle} - {half}), 't': y[1], 'r': least(1e0, {middle} + {half}), 'b': y[2]}} FOR y IN {_list(heights)}]"
+
+
 def _ratios(n: int) -> str:
-    return "[" + ", ".join(f"{{'l': {l!r}::DOUBLE, 't': {t!r}::DOUBLE, 'r': {r!r}::DOUBLE, 'b': {b!r}::DOUBLE}}" for l, t, r, b in B.ratio_boxes(n)) + "]"
+    base = f"[{{'l': x[1], 't': x[2], 'r': x[3], 'b': x[4]}} FOR x IN {_list(B.BASE_REGIONS)}]"
+    probes = f"flatten(flatten([[{_bands('c', 'w', B.PROBE_HEIGHTS)} FOR w IN {_list([B.PROBE_HALF_WIDTHS])}[1]] FOR c IN {_list([B.PROBE_CENTERS])}[1]]))"
+    split = f"flatten([{_bands(f'((i + 0.5e0) * (1e0 / {n}))', f'(least(0.5e0, greatest(0.28e0, 0.95e0 / {n})) / 2e0)', B.SPLIT_HEIGHTS)} FOR i IN range(0, {n})])"
+    return f"list_concat({split}, list_concat({base}, {probes}))" if n > 1 else f"list_concat({base}, {probes})"
 
 
 BOXES = f"""img AS ({DUCK_IMAGES}), ratio AS (SELECT c, unnest(s) AS s, generate_subscripts(s, 1) AS o FROM (VALUES (1, {_ratios(1)}), (2, {_ratios(2)}), (3, {_ratios(3)})) v(c, s)),

@@ -121,7 +121,7 @@ def _roles(rows):
     )
 
 
-LINK_OR_NULL = "CASE WHEN provider_entity_id <> '' THEN lower(provider || ':' || provider_entity_id) END"
+LINK_OR_NULL = "lower(provider || ':' || provider_entity_id)"
 CHOICE = f"""WITH RECURSIVE candidates AS (SELECT request_id || '-' || p_size AS rid, * FROM ({CANDIDATES})), requests AS (SELECT DISTINCT rid, query FROM candidates JOIN ({REQUESTS}) q ON q.request_id = candidates.request_id),
 c AS (SELECT c.*, query, CASE WHEN provider = 'jikan' THEN 'fb' WHEN provider = 'Anilist' THEN CASE WHEN p_size <= 25 THEN 'na' ELSE 'sa' END ELSE CASE WHEN p_size <= 25 THEN 'nb' ELSE 'sb' END END AS role,
   {near(key('query'), key('display_name'))} AS dh, {near(key('query'), key('source_title'))} AS sh FROM candidates c JOIN requests USING (rid)),
