@@ -77,15 +77,16 @@ def _solved(moments: DataFrame) -> DataFrame:
     return out.select("group", "n", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)])
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    solved: list[Column] = []
-    for i in range(len(VECTOR)):
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance, by forward substitution."""
+    d = range(len(VECTOR))
+    for i in d:
         z = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
-            z = z - F.col(f"l{i}{k}") * solved[k]
-        solved.append(z / F.col(f"l{i}{i}"))
-    return sum((z * z for z in solved[1:]), solved[0] * solved[0])
+            z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
+        rows = rows.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
+    total = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in d[1:]), F.col("z0") * F.col("z0"))
+    return rows.withColumn("d2", total).drop(*[f"z{i}" for i in d])
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _measured(rows: DataFrame, shape: DataFrame) -> DataFrame:
     names = [c for c in shape.columns if c != "group"]
-    return rows.join(shape, "group").withColumn("d2", _distance()).drop(*names)
+    return _with_distance(rows.join(shape, "group")).drop(*names)
 
 
 def shapes(rows: DataFrame) -> DataFrame:
@@ -134,8 +135,8 @@ def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     names = materialize(sizes.select("pair", F.when(F.col("size") >= LEAST, F.col("pair")).otherwise(F.lit("")).alias("group")), "rule-groups")
     grouped = rows.filter(~F.col("base_failed")).join(names, "pair").select("group", *VECTOR)
     shape = materialize(shapes(grouped), "rule-shapes").filter(F.col("n") >= LEAST * SHARE)
-    out = rows.join(names, "pair", "left").join(shape.withColumnRenamed("n", "group_rows"), "group", "left")
-    d2 = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
+    out = _with_distance(rows.join(names, "pair", "left").join(shape.withColumnRenamed("n", "group_rows"), "group", "left"))
+    d2 = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), kept.alias("kept"))
 
