@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import entities as N
 from tagloom.operators import ranking as K
 from tagloom.operators import regions as G
+from tagloom.operators import search as S
 from tagloom.operators.retrieval import vector_topk
 from tagloom.plans import region_queries as Q
 from tagloom.plans.registry import Data
@@ -43,6 +44,50 @@ def test_topk_larger_than_library(spark):
         assert vector_topk(refs.withColumnRenamed("row_index", "query_id"), refs, 5, broadcast_limit=limit).count() == 4
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_topk_paths_agree_on_near_equal_vectors(spark, seed):
+    """Same rows, ranks and schema, for vectors that tie after rounding and
+    queries that share an id."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(6, 2))
+    r = np.concatenate([b + 1e-7 * rng.normal(size=(12, 2)) for b in base])
+    q = np.concatenate([base + 1e-8 * rng.normal(size=base.shape), base[:2]])
+    refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "row_index bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i % 6, i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, tag int, embedding array<double>")
+    small, large = (vector_topk(queries, refs, 3, broadcast_limit=limit, block_rows=8) for limit in (1 << 30, 0))
+    assert small.dtypes == large.dtypes
+    rows = lambda df: sorted((x["tag"], x["rank"], x["row_index"], x["query_id"]) for x in df.collect())
+    assert rows(small) == rows(large) and len(rows(small)) == 24
+
+
+def test_limits_are_the_callers(spark):
+    hits = spark.createDataFrame([("r", 0, i, f"u{i}") for i in range(60)], "request_id string, tier int, pos int, url string")
+    assert S.tiered_quota_fill(hits, 40).count() == 40
+    pages = spark.range(7000).select(F.floor(F.col("id") / 100).alias("page"), F.col("id").alias("pos"), F.col("id").cast("string").alias("key"))
+    assert S.popular_topn(pages, 100, 6000).count() == 6000
+    many = spark.range(450).select(F.lit("r").alias("request_id"), F.col("id").alias("ordinal"), F.lit("p").alias("provider"), F.col("id").cast("string").alias("provider_entity_id"),
+                                   F.concat(F.lit("name"), "id").alias("display_name"), F.lit("").alias("source_title"))
+    assert S.priority_merge(many, many.limit(0), 400).count() == 400
+
+
+def test_blank_names_are_not_equal(spark):
+    rows = [("r", i, "p", str(i), name, "", []) for i, name in enumerate("★☆♪")]
+    schema = "request_id string, ordinal bigint, provider string, provider_entity_id string, display_name string, source_title string, aliases array<string>"
+    some = spark.createDataFrame(rows, schema)
+    none = some.limit(0)
+    requests = spark.createDataFrame([("r", "x")], "request_id string, query string")
+    assert S.provider_choice(requests, none, none, some, none, none, limit=12).count() == 3
+    assert S.priority_merge(some, none, 12).count() == 3
+
+
+def test_equal_additions_without_link_get_ids_of_their_own(spark):
+    schema = "ordinal int, display_name string, source_title string, provider string, provider_entity_id string"
+    twice = spark.createDataFrame([(1, "A", "B", "", ""), (2, "A", "B", "", "")], schema)
+    old = spark.createDataFrame([], "ordinal bigint, id string, display_name string, source_title string, provider string, provider_entity_id string, enabled boolean, created_at string, updated_at string, provider_links array<struct<provider:string,provider_entity_id:string>>")
+    ids = [x["id"] for x in N.library_upsert(old, twice, "now").collect()]
+    assert len(ids) == len(set(ids)) == 2
+
+
 def test_greedy_distinct(spark):
     random.seed(3)
     rows = [(g, i, random.choice([None, *range(12)]), random.choice([None, *range(12)])) for g in range(3) for i in range(60)]
