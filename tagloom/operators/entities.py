@@ -399,3 +399,30 @@ def feature_cascade(tokens: DataFrame, taxonomy: DataFrame, aliases: DataFrame)
     )
     found = out.select("item_id", "pos", F.coalesce("t1", "t2", "t3", "t4").alias("tag")).filter(F.col("tag").isNotNull())
     return found.groupBy("item_id", "tag").agg(F.min("pos").alias("pos")).select("item_id", "pos", "tag")
+
+
+# ------------------------------------------------------------------- reading
+
+
+def library_lookup(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entities whose id is asked for."""
+    return entities.join(ids.select("id"), "id", "left_semi")
+
+
+def library_listing(entities: DataFrame, language: str) -> DataFrame:
+    """One line per entity (id, display_name, aliases, source_title,
+    source_aliases, reference_images, enabled): names in a language, the number
+    of references, and a mark for those in use."""
+    filled = F.filter("reference_images", lambda r: X.strip(r) != "")
+    return entities.select(
+        "id", L.localized_alias(F.col("display_name"), F.col("aliases"), language).alias("name"),
+        L.localized_alias(F.col("source_title"), F.col("source_aliases"), language).alias("work"),
+        F.coalesce(F.size(filled), F.lit(0)).cast("bigint").alias("reference_count"),
+        F.when(F.col("enabled"), "✓").otherwise("").alias("mark"),
+    )
+
+
+def enabled_references(references: DataFrame, files: DataFrame) -> DataFrame:
+    """``references(id, path, enabled)`` of entities in use whose file exists;
+    an entity without a flag is in use."""
+    return references.filter(F.coalesce("enabled", F.lit(True))).join(files.select("path"), "path", "left_semi")

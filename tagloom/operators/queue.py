@@ -74,3 +74,8 @@ def bulk_summary(items: DataFrame) -> DataFrame:
         F.coalesce(F.sum("added"), F.lit(0)).alias("added"),
         F.coalesce(F.sum("pruned"), F.lit(0)).alias("pruned"),
     )
+
+
+def drop_tagged(rows: DataFrame, tagged: DataFrame, key: str) -> DataFrame:
+    """Rows whose key has no tags yet."""
+    return rows.join(tagged.select(key), key, "left_anti")

@@ -254,3 +254,32 @@ def popular_topn(pages: DataFrame, page_size: int, n: int, second: DataFrame | N
         empty = pages.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
         out = out.unionByName(distinct_pages(second).filter(empty))
     return out.orderBy("page", "pos").limit(n)
+
+
+# --------------------------------------------------------- pictures, editors
+
+# The order in which a provider's picture sizes are tried.
+PICTURE_ORDER = {
+    "anilist": ("large", "medium"),
+    "bangumi": ("medium", "large", "small", "grid"),
+}
+
+
+def image_url_candidates(provider: Column, pictures: Column, avatar: Column, at_most: int) -> Column:
+    """Distinct picture addresses in the provider's order, the avatar last
+    where the provider also names one; other providers have the avatar alone."""
+    order = F.array(avatar)
+    for name, sizes in PICTURE_ORDER.items():
+        order = F.when(F.lower(provider) == name, F.concat(F.array(*[pictures[s] for s in sizes]), F.array(avatar))).otherwise(order)
+    return F.slice(X.distinct_texts(order), 1, at_most)
+
+
+def editor_groups(tags: DataFrame, characters: DataFrame) -> DataFrame:
+    """Choices of the tag editor, (kind, group_name, label, value), as one
+    sorted table: a group is a run of rows, never one row that holds all items.
+
+    ``tags(category_id, name, tag_id)`` and ``characters(group_name, label, value)``.
+    """
+    features = tags.select(F.lit("feature").alias("kind"), F.col("category_id").alias("group_name"), F.coalesce("name", "tag_id").alias("label"), F.col("tag_id").alias("value"))
+    people = characters.select(F.lit("character").alias("kind"), "group_name", "label", "value")
+    return features.unionByName(people).orderBy("kind", F.lower("group_name"), F.lower("label"), "value")

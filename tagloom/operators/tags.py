@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import let, normalize_token
+from tagloom.functions.text import extension, let, normalize_token
 from tagloom.session import small_side
 
 FEATURE_CATEGORIES = ("general", "rating")
@@ -375,3 +375,23 @@ def merge_rule_rows(base: DataFrame, extra: DataFrame, key: list[str], value: li
     return both.groupBy(*key).agg(*columns, F.min(order).alias("_first")).select(
         *key, *value, F.col("_first._layer").alias("layer"), F.col("_first.ordinal").alias("ordinal")
     )
+
+
+def category_filter(tags: DataFrame, always: tuple[str, ...] = FEATURE_CATEGORIES, guarded: dict[str, float] | None = None) -> DataFrame:
+    """Tags of the categories that always count, and of ``guarded`` ones from
+    their score on (by default works from 0.70)."""
+    keep = F.col("category").isin(*always)
+    for name, least in (guarded if guarded is not None else {"copyright": 0.70}).items():
+        keep = keep | ((F.col("category") == name) & (F.col("score") >= least))
+    return tags.filter(keep)
+
+
+def target_records(records: DataFrame, statuses: list[str], extensions: tuple[str, ...] | list[str]) -> DataFrame:
+    """Records of writable files in one of the states; every state if none is named."""
+    kept = records.filter(extension(F.col("image_path")).isin(*extensions))
+    return kept.filter(F.col("status").isin(*statuses)) if statuses else kept
+
+
+def keyword_export(records: DataFrame, keywords: DataFrame, statuses: list[str], extensions: tuple[str, ...] | list[str]) -> DataFrame:
+    """Target records with their ordered keywords; images without any drop."""
+    return target_records(records, statuses, extensions).join(keywords, "image_id")

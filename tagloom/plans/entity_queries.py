@@ -201,28 +201,23 @@ def _(d):
 @query("library_lookup", BASE + " SELECT id, display_name FROM entities WHERE ordinal IN (SELECT c_custkey FROM customer)")
 def _(d):
     wanted = d.customer.select(F.concat(F.lit("e"), "c_custkey").alias("id"))
-    return entities(d).join(wanted, "id", "left_semi").select("id", "display_name")
+    return N.library_lookup(entities(d), wanted).select("id", "display_name")
 
 
 @query("library_listing", BASE + " SELECT id, display_name AS name, source_title AS work, CAST(CASE WHEN p_size > 30 THEN 2 ELSE 0 END AS BIGINT) AS reference_count, CASE WHEN p_size < 5 THEN '' ELSE '✓' END AS mark FROM entities")
 def _(d):
     refs = F.array(F.when(F.col("p_size") > 30, F.col("id")).otherwise(""), F.lit(" "), F.when(F.col("p_size") > 30, F.col("p_brand")).otherwise(""))
-    rows = entities(d).withColumns({"refs": refs, "enabled": F.col("p_size") >= 5})
-    return rows.select(
-        "id", L.localized_alias(F.col("display_name"), F.col("aliases"), "zh-CN").alias("name"),
-        L.localized_alias(F.col("source_title"), F.lit(None).cast("array<struct<name:string,language:string>>"), "zh-CN").alias("work"),
-        F.size(F.filter("refs", lambda r: F.trim(r) != "")).cast("bigint").alias("reference_count"),
-        F.when(F.col("enabled"), "✓").otherwise("").alias("mark"),
-    )
+    none = F.lit(None).cast("array<struct<name:string,language:string>>")
+    rows = entities(d).withColumns({"reference_images": refs, "enabled": F.col("p_size") >= 5, "source_aliases": none})
+    return N.library_listing(rows, "zh-CN")
 
 
 @query("enabled_reference_filter", BASE + " SELECT e.id, c.c_name AS path FROM entities e JOIN customer c ON c.c_custkey = e.ordinal WHERE e.p_size > 10 OR e.p_size < 3")
 def _(d):
     enabled = F.when(F.col("p_size") > 10, F.lit(True)).when(F.col("p_size") >= 3, F.lit(False))
-    rows = entities(d).select("id", "ordinal", enabled.alias("enabled")).filter(F.coalesce("enabled", F.lit(True)))
-    refs = rows.select("id", F.format_string("Customer#%09d", "ordinal").alias("path"))
+    refs = entities(d).select("id", F.format_string("Customer#%09d", "ordinal").alias("path"), enabled.alias("enabled"))
     files = d.customer.select(F.col("c_name").alias("path"))
-    return refs.join(files, "path", "left_semi").select("id", "path")
+    return N.enabled_references(refs, files).select("id", "path")
 
 
 @query("source_groups", "SELECT source AS source_title, count(*) AS character_count FROM @documents WHERE source <> '' GROUP BY source")

@@ -75,7 +75,7 @@ def _(d):
 
 @query("drop_tagged", "SELECT doc_id FROM @documents WHERE doc_id NOT IN (SELECT doc_id FROM @labels)")
 def _(d):
-    return d.documents.select("doc_id").join(d.labels, "doc_id", "left_anti")
+    return Q.drop_tagged(d.documents.select("doc_id"), d.labels, "doc_id")
 
 
 @query("queue_selection_join", "SELECT '/u/' || user_id AS path_key, arg_max(event_type, event_id) AS event_type, max(event_id) AS line_no FROM @events WHERE user_id IN (SELECT c_custkey FROM @customer) GROUP BY user_id")
@@ -194,13 +194,9 @@ def _(d):
 @query("image_url_candidates", f"""SELECT p_partkey, array_to_string(list_slice({uniq("CASE WHEN p_type IN ('PROMO', 'LARGE') THEN ['u/' || p_brand, 'u/' || p_type] WHEN p_type = 'SMALL' THEN ['u/' || p_type, 'u/' || p_brand, 'u/' || p_name] ELSE ['u/' || p_name] END")}, 1, 2), '|') AS urls FROM @part""")
 def _(d):
     u = lambda c: F.concat(F.lit("u/"), c)
-    image = F.struct(u("p_brand").alias("large"), u("p_type").alias("medium"), u("p_brand").alias("small"), F.lit("").alias("grid"))
-    raw = (
-        F.when(F.col("p_type").isin("PROMO", "LARGE"), F.array(image["large"], image["medium"]))
-        .when(F.col("p_type") == "SMALL", F.array(image["medium"], image["large"], image["small"], image["grid"], u("p_name")))
-        .otherwise(F.array(F.lit(" "), u("p_name")))
-    )
-    return d.part.select("p_partkey", F.array_join(F.slice(X.distinct_texts(raw), 1, 2), "|").alias("urls"))
+    pictures = F.struct(u("p_brand").alias("large"), u("p_type").alias("medium"), u("p_brand").alias("small"), F.lit("").alias("grid"))
+    provider = F.when(F.col("p_type").isin("PROMO", "LARGE"), "Anilist").when(F.col("p_type") == "SMALL", "bangumi").otherwise("jikan")
+    return d.part.select("p_partkey", F.array_join(S.image_url_candidates(provider, pictures, u("p_name"), 2), "|").alias("urls"))
 
 
 # --------------------------------------------------------------------- queue
@@ -265,14 +261,11 @@ def _(d):
  UNION ALL SELECT 'character', n_name, s_name, CAST(s_suppkey AS VARCHAR) FROM @supplier JOIN @nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0""")
 def _(d):
     used = d.part.select(F.translate("p_name", " ", "_").alias("tag_id")).distinct()
-    tags = rule(d, "taxonomy").join(used, "tag_id", "left_semi").select(
-        F.lit("feature").alias("kind"), F.col("category_id").alias("group_name"), F.coalesce("name", "tag_id").alias("label"), F.col("tag_id").alias("value")
-    )
+    tags = rule(d, "taxonomy").join(used, "tag_id", "left_semi")
     people = d.supplier.filter(F.col("s_acctbal") > 0).join(d.nation, F.col("n_nationkey") == F.col("s_nationkey"))
     none = F.lit(None).cast("array<struct<name:string,language:string>>")
     names = people.select(
-        F.lit("character").alias("kind"), F.col("n_name").alias("group_name"),
+        F.col("n_name").alias("group_name"),
         L.localized_alias(F.col("s_name"), none, "ja-JP", editor=True).alias("label"), F.col("s_suppkey").cast("string").alias("value"),
     )
-    # one sorted table: a group is a run of rows, never one row that holds all items
-    return tags.unionByName(names).orderBy("kind", F.lower("group_name"), F.lower("label"), "value")
+    return S.editor_groups(tags, names)

@@ -73,14 +73,11 @@ def _(d):
     )
     text = F.to_json(F.array(record))
     broken = F.when(F.col("p_size") > 45, F.substring(text, 1, 20)).when(F.col("p_size") > 40, F.to_json(record)).otherwise(text)
-    schema = "ARRAY<STRUCT<id:STRING,display_name:STRING,aliases:ARRAY<STRUCT<name:STRING,language:STRING>>,provider:STRING,provider_entity_id:STRING,provider_links:ARRAY<STRUCT<provider:STRING,provider_entity_id:STRING>>>>"
-    rows = d.part.select("p_partkey", broken.alias("body")).filter(F.trim("body").startswith("["))
-    rows = rows.select("p_partkey", F.explode(F.filter(F.from_json("body", schema), lambda r: r["id"].isNotNull())).alias("r"))
-    entries = L.alias_entries(F.col("r.display_name"), F.col("r.aliases"))
-    links = L.provider_links(F.col("r.provider"), F.col("r.provider_entity_id"), F.col("r.provider_links"))
+    rows = B.library_records(d.part.select("p_partkey", broken.alias("body")))
+    entries, links = F.col("aliases"), F.col("provider_links")
     show = lambda e: F.concat_ws(":", e["name"], e["language"])
     return rows.select(
-        "p_partkey", "r.id", show(F.get(entries, F.lit(0))).alias("first_alias"), F.size(entries).cast("bigint").alias("alias_count"),
+        "p_partkey", "id", show(F.get(entries, F.lit(0))).alias("first_alias"), F.size(entries).cast("bigint").alias("alias_count"),
         F.concat_ws(":", F.get(links, F.lit(0))["provider"], F.get(links, F.lit(0))["provider_entity_id"]).alias("link"),
     )
 

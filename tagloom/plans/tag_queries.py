@@ -160,9 +160,7 @@ def _(d):
 
 @query("tag_category_filter", CTES + "SELECT image_id, CAST(pos AS BIGINT) AS pos, tag, category, score FROM predictions WHERE category IN ('general','rating') OR (category = 'copyright' AND score >= 0.70)")
 def _(d):
-    c, s = F.col("category"), F.col("score")
-    keep = c.isin(*T.FEATURE_CATEGORIES) | ((c == "copyright") & (s >= 0.70))
-    return big(predictions(d).filter(keep), "pos")
+    return big(T.category_filter(predictions(d)), "pos")
 
 
 @query("blocklist_filter", CTES + "SELECT image_id, CAST(pos AS BIGINT) AS pos, canonical_id FROM matched WHERE canonical_id NOT IN (SELECT tag_id FROM blocked)")
@@ -307,17 +305,12 @@ WRITABLE = "lower(regexp_extract(image_path, '\\.[^./]+$')) IN (" + ", ".join(f"
 
 @query("target_record_filter", f"WITH images AS ({IMAGES}) SELECT image_id, image_path, status FROM images WHERE status IN ('F', 'P') AND {WRITABLE}")
 def _(d):
-    return target_records(d.sql(IMAGES), ["F", "P"])
-
-
-def target_records(rows, statuses: list[str], extensions=WRITABLE_EXTENSIONS):
-    kept = rows.filter(extension(F.col("image_path")).isin(*extensions))
-    return kept.filter(F.col("status").isin(*statuses)) if statuses else kept
+    return T.target_records(d.sql(IMAGES), ["F", "P"], WRITABLE_EXTENSIONS)
 
 
 def keyword_export(d: Data):
     """Records -> ordered localised keywords; images without any drop."""
-    return target_records(d.sql(IMAGES), ["F", "P"]).join(keywords(d), "image_id")
+    return T.keyword_export(d.sql(IMAGES), keywords(d), ["F", "P"], WRITABLE_EXTENSIONS)
 
 
 @query("keyword_export", CTES + f"SELECT image_id, image_path, keywords FROM images JOIN keywords USING (image_id) WHERE status IN ('F', 'P') AND {WRITABLE}")

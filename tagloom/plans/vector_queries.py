@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import vectors as V
 from tagloom.operators import audit as A
 from tagloom.operators import evidence as E
+from tagloom.operators import ranking as K
 from tagloom.operators import references as R
 from tagloom.operators.retrieval import reference_count, vector_topk
 from tagloom.plans.registry import Data, query
@@ -287,10 +288,7 @@ def _(d):
 
 @query("topk_per_query", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM @events) WHERE rank <= 3")
 def _(d):
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
-    rows = d.events.select("user_id", "event_id", "value").withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= 3)
+    rows = longs(K.top_n(d.events.select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.col("event_id")], 3), "rank")
     return rows.select("user_id", "event_id", "rank")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.functions import localize
 from tagloom.functions.text import extension, metadata_tokens, path_key
 
 # Formats that also carry the Windows keyword field.
@@ -76,3 +77,22 @@ def read_vector_table(spark: SparkSession, path: str, strict_dimension: bool = F
         check = F.assert_true(F.size("embedding") == meta["dimension"], F.lit("vector dimension differs"))
         rows = rows.filter(check.isNull())
     return rows
+
+
+LIBRARY = (
+    "ARRAY<STRUCT<id:STRING,display_name:STRING,aliases:ARRAY<STRUCT<name:STRING,language:STRING>>,"
+    "provider:STRING,provider_entity_id:STRING,provider_links:ARRAY<STRUCT<provider:STRING,provider_entity_id:STRING>>>>"
+)
+
+
+def library_records(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Entities of landed library files, other columns kept: records with an
+    id, their alias entries and links. A body that is no list, or that does not
+    parse, has none."""
+    others = [c for c in bodies.columns if c != body]
+    lists = bodies.filter(F.startswith(F.trim(F.col(body)), F.lit("[")))
+    rows = lists.select(*others, F.explode(F.filter(F.from_json(body, LIBRARY), lambda r: r["id"].isNotNull())).alias("r"))
+    return rows.select(
+        *others, "r.id", "r.display_name", localize.alias_entries(F.col("r.display_name"), F.col("r.aliases")).alias("aliases"),
+        localize.provider_links(F.col("r.provider"), F.col("r.provider_entity_id"), F.col("r.provider_links")).alias("provider_links"),
+    )
