@@ -1,13 +1,12 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics are taken in one pass over the texts and written; a bounded sample
-of labelled rows fits the trees on the driver; every row is then scored from
-its statistics with trees laid out as flat arrays.
+A bounded sample of labelled rows fits the trees on the driver; every text is
+then scored in one pass from its statistics, with trees laid out as flat arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,6 @@ from pyspark.sql import types as T
 from tagloom.llm.common import id_fold, query, table
 from tagloom.llm.features import STATISTICS, statistics
 from tagloom.llm.texts import slices
-from tagloom.session import materialize
 
 SAMPLE = 20_000  # labelled rows that fit the trees at most
 BINS = 64
@@ -83,45 +81,33 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rat
     return Trees(np.array(out_f, np.int64).reshape(shape), np.array(out_t).reshape(shape), np.array(out_l).reshape(-1, inner + 1), base)
 
 
-def document_statistics(rows: DataFrame, carry: str) -> DataFrame:
-    """``carry`` and ``stats`` (array of STATISTICS) for every row of (carry, text)."""
-    schema = T.StructType([rows.schema[carry], T.StructField("stats", T.ArrayType(T.FloatType()))])
+def scored(trees: Trees) -> Callable[[Column], Column]:
+    """The trees as a column of texts; other columns stay where they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x = statistics(batch.column("text")).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(carry), lists], [carry, "stats"])
+    def score(text: pa.Array) -> pa.Array:
+        parts = [trees.score(statistics(x.column(0))) for x in slices([pa.RecordBatch.from_arrays([text], ["text"])], "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return rows.select(carry, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return F.arrow_udf(score, T.DoubleType())
 
 
-def _score(trees: Trees, carry: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(carry), pa.array(trees.score(x.astype(np.float64)))], [carry, "score"])
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        x = statistics(batch.column("text"))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "stats"])
 
-    return run
 
-
-def labelled_sample(rows: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows that may be learnt from, chosen by a
-    hash of the id and so the same at every run."""
-    known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("_label")).dropDuplicates(["doc_id"])
-    return rows.join(known.filter(learn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-
-
-def learnt(stats: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Trees:
-    learn = id_fold("doc_id", 3) != 1
-    rows = labelled_sample(stats.select("doc_id", "stats"), labels, "quality", learn, limit).collect()
-    x = np.array([r["stats"] for r in rows], np.float64).reshape(len(rows), len(STATISTICS))
-    return fit_trees(x, np.array([r["_label"] for r in rows], np.float64))
-
-
-def _written(docs: DataFrame) -> DataFrame:
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialize(document_statistics(ids, "doc_id"), "quality-statistics")
+def learnt(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Trees:
+    """Trees from at most ``limit`` labelled rows outside the held-out fold,
+    chosen by a hash of the id and so the same at every run."""
+    known = labels.filter(F.col("quality").isin(0, 1)).filter(id_fold("doc_id", 3) != 1)
+    known = known.select("doc_id", F.col("quality").cast("double").alias("label")).dropDuplicates(["doc_id"])
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded, so it may travel to all tasks
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    found = sorted(rows.mapInArrow(_statistics, "doc_id bigint, label double, stats array<double>").collect())
+    x = np.array([r["stats"] for r in found], np.float64).reshape(len(found), len(STATISTICS))
+    return fit_trees(x, np.array([r["label"] for r in found], np.float64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -134,8 +120,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> D
     columns are ignored. ``labels`` may lack or repeat ids; labels other than
     0 and 1 are passed over.
     """
-    stats = _written(docs)
-    out = stats.mapInArrow(_score(learnt(stats, labels, limit), "doc_id"), "doc_id bigint, score double")
+    score = scored(learnt(docs, labels, limit))(F.col("text").cast("string"))
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score.alias("score"))
     held = F.coalesce(id_fold("doc_id", 3) == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -143,10 +129,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> D
 def good_documents(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the trees do not
     reject. Trees learn as in ``quality_scores``."""
-    trees = learnt(_written(docs), labels, limit)
-    whole = document_statistics(docs.select(F.struct(*docs.columns).alias("row"), "text"), "row")
-    schema = T.StructType([whole.schema["row"], T.StructField("score", T.DoubleType())])
-    return whole.mapInArrow(_score(trees, "row"), schema).filter("score >= 0.5").select("row.*")
+    score = scored(learnt(docs, labels, limit))(F.col("text").cast("string"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), score.alias("_score"))
+    return keyed.filter("_score >= 0.5").select("_all.*")
 
 
 @query("op4_histogram_boosted_quality")
