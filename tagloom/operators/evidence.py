@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import vectors as V
 from tagloom.operators.retrieval import reference_count, vector_topk
-from tagloom.session import small_side
+from tagloom.session import materialize, small_side
 
 # Fixed values of the ranking rules.
 MIN_CANDIDATES, CANDIDATES_PER_K = 96, 64
@@ -52,12 +52,20 @@ def profile_join(matches: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def match_scores(
-    queries: DataFrame, refs: DataFrame, spec: V.AttributeSpec, top_k: int, profiles: DataFrame | None = None
+    queries: DataFrame, refs: DataFrame, spec: V.AttributeSpec, top_k: int, profiles: DataFrame | None = None, limits: DataFrame | None = None
 ) -> DataFrame:
-    """(image_id, region, character_id, character_name, row_index, score) of re-scored matches."""
+    """(image_id, region, character_id, character_name, row_index, score) of re-scored matches.
+
+    ``limits(image_id, minimum, top_k)`` gives each image its own number of
+    candidates (at most that of ``top_k``); its columns are kept."""
     q = V.with_attribute_features(queries.filter(F.col("weight") > 0), "embedding", "q", spec)
     q = q.select("query_id", "image_id", "region", "weight", "q", "embedding")
     matches = vector_topk(q, refs, candidate_limit(top_k), min_similarity=0.0).drop("embedding")
+    carry = []
+    if limits is not None:
+        carry = ["minimum", "top_k"]
+        own = F.greatest(F.lit(MIN_CANDIDATES), CANDIDATES_PER_K * F.col("top_k"))
+        matches = matches.join(limits.select("image_id", *carry), "image_id").filter(F.col("rank") <= own)
     # everything about the library in one table, so matches meet one join
     named = refs.filter((F.trim("character_name") != "") & (F.trim("character_id") != ""))
     profiles = attribute_profile(refs, spec) if profiles is None else profiles
@@ -70,16 +78,19 @@ def match_scores(
     )
     adjustment = V.attribute_adjustment(F.col("q"), F.col("r"))
     score = V.region_adjust_weight(F.col("similarity") * factor, adjustment, F.col("weight"))
-    scored = rows.select("image_id", "region", "character_id", "character_name", "row_index", score.alias("score"))
+    scored = rows.select("image_id", "region", "character_id", "character_name", "row_index", score.alias("score"), *carry)
     return scored.filter(F.col("score") > 0)
 
 
-def character_evidence(matches: DataFrame, floor: float) -> DataFrame:
-    """One row per (image, entity); a single shuffle on that pair."""
+def character_evidence(matches: DataFrame, floor: float | Column) -> DataFrame:
+    """One row per (image, entity); a single shuffle on that pair. The limits
+    of the image, where the matches hold them, are kept."""
+    carry = [c for c in ("minimum", "top_k") if c in matches.columns]
     head = F.col("region") > 0
-    support = F.when(head & (F.col("score") >= floor * REGION_SUPPORT_RATIO), F.col("region"))
+    least = (floor if isinstance(floor, Column) else F.lit(floor)) * REGION_SUPPORT_RATIO
+    support = F.when(head & (F.col("score") >= least), F.col("region"))
     best_head = F.max(F.when(head, F.struct(F.col("score"), (-F.col("region")).alias("neg"))))
-    rows = matches.groupBy("image_id", "character_id").agg(
+    rows = matches.groupBy("image_id", "character_id", *carry).agg(
         F.max("character_name").alias("character_name"),
         F.max("score").alias("best_score"),
         best_head.alias("h"),
@@ -95,10 +106,11 @@ def character_evidence(matches: DataFrame, floor: float) -> DataFrame:
         F.coalesce(-F.col("h.neg"), F.lit(-1)).alias("best_head_region"),
         "supported_regions",
         "reference_rows",
+        *carry,
     )
 
 
-def evidence_score(evidence: DataFrame, counts: DataFrame, heads: DataFrame, top_k: int) -> DataFrame:
+def evidence_score(evidence: DataFrame, counts: DataFrame, heads: DataFrame, top_k: int | Column) -> DataFrame:
     """Add ``score``; ``counts`` are references per entity, ``heads`` regions per image."""
     rows = evidence.join(small_side(counts, "reference-counts"), "character_id", "left").join(heads, "image_id", "left")
     regions, refs = F.col("supported_regions"), F.col("reference_rows")
@@ -108,7 +120,7 @@ def evidence_score(evidence: DataFrame, counts: DataFrame, heads: DataFrame, top
         + F.when(refs >= 2, F.least(F.lit(ROW_BONUS_MAX), refs - 1) * ROW_BONUS).otherwise(F.lit(0.0))
     )
     weak = (
-        F.lit(top_k > 1)
+        (top_k > 1 if isinstance(top_k, Column) else F.lit(top_k > 1))
         & (F.coalesce("head_regions", F.lit(0)) >= 2)
         & (F.coalesce("reference_count", F.lit(1)) <= 1)
         & (F.col("best_head_score") < WEAK_HEAD)
@@ -141,32 +153,35 @@ def secondary_ratio(library_rows: Column) -> Column:
     return steps.otherwise(result)
 
 
-def relative_cutoff(scores: DataFrame, minimum: float, library_rows: int) -> DataFrame:
+def relative_cutoff(scores: DataFrame, minimum: float | Column, library_rows: int) -> DataFrame:
     """Multi mode: keep scores near enough to the image's best."""
     best = F.max("score").over(W.partitionBy("image_id"))
-    required = F.greatest(F.lit(minimum), F.col("best") * secondary_ratio(F.lit(library_rows)))
+    minimum = minimum if isinstance(minimum, Column) else F.lit(minimum)
+    required = F.greatest(minimum, F.col("best") * secondary_ratio(F.lit(library_rows)))
     rows = scores.withColumn("best", best)
     return rows.filter((F.col("best") >= minimum) & (F.col("score") >= required))
 
 
-def region_exclusive_select(candidates: DataFrame, top_k: int) -> DataFrame:
+def region_exclusive_select(candidates: DataFrame, top_k: int | Column) -> DataFrame:
     """Greedy choice: an entity whose head region is taken is skipped unless its
-    head score is near the best score. (image_id, rank, character_id, character_name)"""
+    head score is near the best score. (image_id, rank, character_id, character_name)
+
+    A column ``top_k`` has one value per image."""
     item = F.struct(
         (-F.col("score")).alias("neg"), "character_id", "character_name",
         F.col("best_head_region").cast("int").alias("region"), F.col("best_head_score").alias("head"),
     )
     lists = candidates.groupBy("image_id").agg(
-        F.sort_array(F.collect_list(item)).alias("list"), F.max("score").alias("best")
+        F.sort_array(F.collect_list(item)).alias("list"), F.max("score").alias("best"), F.max(top_k if isinstance(top_k, Column) else F.lit(top_k)).alias("most")
     )
     start = F.struct(
         F.array().cast("array<struct<character_id:string,character_name:string>>").alias("chosen"),
         F.array().cast("array<int>").alias("used"),
     )
 
-    def step(acc: Column, c: Column, best: Column) -> Column:
+    def step(acc: Column, c: Column, best: Column, most: Column) -> Column:
         taken = (c["region"] > 0) & F.array_contains(acc["used"], c["region"])
-        skip = (F.size(acc["chosen"]) >= top_k) | (taken & (c["head"] < best * REGION_REUSE_RATIO))
+        skip = (F.size(acc["chosen"]) >= most) | (taken & (c["head"] < best * REGION_REUSE_RATIO))
         pick = F.array(F.struct(c["character_id"].alias("character_id"), c["character_name"].alias("character_name")))
         return F.when(skip, acc).otherwise(
             F.struct(
@@ -175,7 +190,7 @@ def region_exclusive_select(candidates: DataFrame, top_k: int) -> DataFrame:
             )
         )
 
-    folded = F.aggregate(F.col("list"), start, lambda acc, c: step(acc, c, F.col("best")))
+    folded = F.aggregate(F.col("list"), start, lambda acc, c: step(acc, c, F.col("best"), F.col("most")))
     chosen = lists.select("image_id", folded["chosen"].alias("chosen"))
     return chosen.select("image_id", F.posexplode("chosen").alias("rank", "c")).select(
         "image_id", (F.col("rank") + 1).alias("rank"), "c.character_id", "c.character_name"
@@ -200,3 +215,21 @@ def resolve_characters(
         best = top2_margin(scores, minimum, margin)
         return best.select("image_id", F.lit(1).alias("rank"), "character_id", "character_name")
     return region_exclusive_select(relative_cutoff(scores, minimum, refs.count()), top_k)
+
+
+def resolve_by_image(
+    queries: DataFrame, refs: DataFrame, spec: V.AttributeSpec, limits: DataFrame, margin: float = 0.0, profiles: DataFrame | None = None
+) -> DataFrame:
+    """As ``resolve_characters``, with ``limits(image_id, minimum, top_k)`` per
+    image, for instance from ``tags.effective_threshold`` and
+    ``tags.effective_top_k``; images without limits are left out."""
+    limits = limits.select("image_id", F.greatest(F.lit(0.0), F.col("minimum")).alias("minimum"), F.greatest(F.lit(1), F.col("top_k").cast("int")).alias("top_k"))
+    limits = materialize(limits, "resolve-limits")
+    most = limits.agg(F.max("top_k")).first()[0] or 1
+    heads = queries.groupBy("image_id").agg((F.count(F.lit(1)) - 1).alias("head_regions"))
+    evidence = character_evidence(match_scores(queries, refs, spec, most, profiles, limits), F.col("minimum"))
+    scores = materialize(evidence_score(evidence, reference_count(refs), heads, F.col("top_k")), "resolve-scores")
+    one = top2_margin(scores.filter("top_k = 1"), 0.0, margin).join(limits, "image_id").filter("score >= minimum")
+    one = one.select("image_id", F.lit(1).alias("rank"), "character_id", "character_name")
+    many = relative_cutoff(scores.filter("top_k > 1"), F.col("minimum"), refs.count())
+    return one.unionByName(region_exclusive_select(many, F.col("top_k")))

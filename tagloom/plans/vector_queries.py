@@ -10,6 +10,7 @@ from tagloom.operators import evidence as E
 from tagloom.operators import ranking as K
 from tagloom.operators import references as R
 from tagloom.operators.retrieval import reference_count, vector_topk
+from tagloom.operators.tags import effective_threshold, effective_top_k
 from tagloom.plans.registry import Data, query
 
 # Colour tags and the groups near colours share.
@@ -312,8 +313,11 @@ def _(d):
     return rounded(scores(d).select("image_id", "character_id", "score"), "score")
 
 
-@query("top2_margin", match_ctes(1) + f"""SELECT image_id, character_id, round(score, 6) AS score FROM (
- SELECT *, lead(score) OVER (PARTITION BY image_id ORDER BY rank) AS second FROM rk) WHERE rank = 1 AND score >= {MIN_SCORE} AND (second IS NULL OR score - second >= {MARGIN})""")
+SINGLE_SQL = match_ctes(1) + f"""SELECT image_id, character_id, round(score, 6) AS score FROM (
+ SELECT *, lead(score) OVER (PARTITION BY image_id ORDER BY rank) AS second FROM rk) WHERE rank = 1 AND score >= {MIN_SCORE} AND (second IS NULL OR score - second >= {MARGIN})"""
+
+
+@query("top2_margin", SINGLE_SQL)
 def _(d):
     best = E.top2_margin(scores(d, 1), MIN_SCORE, MARGIN)
     return rounded(best.select("image_id", "character_id", "score"), "score")
@@ -356,6 +360,17 @@ def _(d):
     return longs(rows.select("image_id", "rank", "character_id"), "rank")
 
 
+@query("character_resolve_by_image", f"""SELECT image_id, rank, character_id FROM ({resolve_sql(TOP_K)}) WHERE image_id % 3 > 0
+ UNION ALL SELECT image_id, CAST(1 AS BIGINT), character_id FROM ({SINGLE_SQL}) WHERE image_id % 3 = 0""")
+def _(d):
+    queries = region_queries(d)
+    # images with one expected subject and images with several
+    count = F.when(F.col("image_id") % 3 == 0, 1).otherwise(TOP_K)
+    limits = queries.select("image_id").distinct().select("image_id", effective_threshold(MIN_SCORE, count, MIN_SCORE).alias("minimum"), effective_top_k(1, count, count).alias("top_k"))
+    rows = E.resolve_by_image(queries, refs(d), SPEC, limits, MARGIN)
+    return longs(rows.select("image_id", "rank", "character_id"), "rank")
+
+
 # ------------------------------------------------------- reference quality
 
 CENTROIDS = """cen AS (SELECT character_id, i, avg(v[i]) AS x FROM (SELECT character_id, v, unnest(range(1, 65)) AS i FROM refs) GROUP BY 1, 2),
