@@ -395,3 +395,12 @@ def target_records(records: DataFrame, statuses: list[str], extensions: tuple[st
 def keyword_export(records: DataFrame, keywords: DataFrame, statuses: list[str], extensions: tuple[str, ...] | list[str]) -> DataFrame:
     """Target records with their ordered keywords; images without any drop."""
     return target_records(records, statuses, extensions).join(keywords, "image_id")
+
+
+def with_resolved(labels: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``labels`` with the characters of ``resolved(image_id, rank,
+    character_name)`` in place of those the tagger named; an image that only
+    one side knows is kept. The resolver bounds the names of an image."""
+    names = resolved.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "character_name"))).alias("_names"))
+    rows = labels.join(names, "image_id", "full_outer")
+    return rows.withColumn("characters", F.transform(F.coalesce("_names", F.array().cast("array<struct<rank:int,character_name:string>>")), lambda e: e["character_name"])).drop("_names")

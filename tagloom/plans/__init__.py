@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("tag_queries", "text_queries", "source_queries", "entity_queries", "search_queries", "vector_queries", "region_queries")
+MODULES = ("tag_queries", "text_queries", "source_queries", "entity_queries", "search_queries", "vector_queries", "region_queries", "pipeline_queries")
 
 
 def load_all() -> None:

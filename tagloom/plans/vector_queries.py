@@ -360,15 +360,21 @@ def _(d):
     return longs(rows.select("image_id", "rank", "character_id"), "rank")
 
 
-@query("character_resolve_by_image", f"""SELECT image_id, rank, character_id FROM ({resolve_sql(TOP_K)}) WHERE image_id % 3 > 0
- UNION ALL SELECT image_id, CAST(1 AS BIGINT), character_id FROM ({SINGLE_SQL}) WHERE image_id % 3 = 0""")
-def _(d):
+BY_IMAGE_SQL = f"""SELECT image_id, rank, character_id FROM ({resolve_sql(TOP_K)}) WHERE image_id % 3 > 0
+ UNION ALL SELECT image_id, CAST(1 AS BIGINT), character_id FROM ({SINGLE_SQL}) WHERE image_id % 3 = 0"""
+
+
+def resolved_by_image(d: Data):
     queries = region_queries(d)
     # images with one expected subject and images with several
     count = F.when(F.col("image_id") % 3 == 0, 1).otherwise(TOP_K)
     limits = queries.select("image_id").distinct().select("image_id", effective_threshold(MIN_SCORE, count, MIN_SCORE).alias("minimum"), effective_top_k(1, count, count).alias("top_k"))
-    rows = E.resolve_by_image(queries, refs(d), SPEC, limits, MARGIN)
-    return longs(rows.select("image_id", "rank", "character_id"), "rank")
+    return E.resolve_by_image(queries, refs(d), SPEC, limits, MARGIN)
+
+
+@query("character_resolve_by_image", BY_IMAGE_SQL)
+def _(d):
+    return longs(resolved_by_image(d).select("image_id", "rank", "character_id"), "rank")
 
 
 # ------------------------------------------------------- reference quality
