@@ -1,10 +1,11 @@
 """N-gram Jaccard join over parity sketches.
 
 A document is the set of its distinct k-word shingles. The hash range is cut
-into blocks; each shingle flips one bit of its block's 64-bit word, so two
-sketches differ in no more words than their sets differ in shingles. Sets that
-reach the similarity differ in at most D shingles, hence of D + 1 + e blocks at
-least 1 + e are equal. Sizes fall into bands; a band fixes D, and a set takes
+into blocks, and each shingle flips one bit of its block's wide stretch of the
+sketch; a stretch is mostly zeros and is held as the XOR of a 64-bit code per
+bit that is set. Two sketches differ in no more blocks than their sets differ
+in shingles. Sets that reach the similarity differ in at most D shingles, hence
+of D + 1 + e blocks at least 1 + e are equal. Sizes fall into bands; a band fixes D, and a set takes
 part in its own band and in the bands its larger partners can lie in. Equal
 block words meet by a hash exchange, pairs that meet are verified on whole
 sets, and components follow from the verified links.
@@ -65,6 +66,8 @@ def block_keys(s: np.ndarray, ends: list[int], num: int, den: int) -> np.ndarray
         return np.zeros(0, np.uint64)
     own = int(np.searchsorted(ends, len(s), side="right")) - 1
     last = int(np.searchsorted(ends, len(s) * den // num, side="right")) - 1
+    with np.errstate(over="ignore"):
+        code = mixed(s * STEP)
     out = []
     for band in range(own, last + 1):
         top = ends[band + 1] - 1
@@ -76,7 +79,7 @@ def block_keys(s: np.ndarray, ends: list[int], num: int, den: int) -> np.ndarray
         block = ((s >> U(32)) * U(n)) >> U(32)  # ascending, as s is
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         word = np.zeros(n, np.uint64)
-        word[block[cut]] = np.bitwise_xor.reduceat(U(1) << (s & U(63)), cut)
+        word[block[cut]] = np.bitwise_xor.reduceat(code, cut)
         size = np.bincount(block.astype(np.int64), minlength=n)
         at = np.arange(n, dtype=np.uint64)
         for weak in (size <= 1, size == 0):
