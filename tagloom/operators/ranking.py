@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,14 +40,51 @@ def group_numbers(rows: DataFrame, key: str, order: str, width: int = 1 << 16, n
     return numbered.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
 
 
+FOLD_ROWS = 10_000  # of a group that one task folds at most; larger groups go in rounds
+
+
+def _split(rows: DataFrame, group: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups small enough for a fold, and those of the others, if any."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FOLD_ROWS)
+    large = materialize(sizes.select(group), name)
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, group, "left_anti"), rows.join(large, group, "left_semi")
+
+
 def greedy_distinct(rows: DataFrame, group: str, order: str, keys: tuple[str, str]) -> DataFrame:
     """Keep a row unless an earlier kept row of its group shares one of two keys.
 
-    Exact and without folding a group in one task: in each round the rows that
-    come first under both of their keys are kept and every row that shares a
-    key with them leaves. A NULL key never conflicts. ``order`` is unique
-    within a group.
+    Exact. Groups of at most FOLD_ROWS rows are walked once, on ids and keys
+    alone; larger ones never meet in one task. A NULL key never conflicts.
+    ``order`` is unique within a group.
     """
+    rows = materialize(rows, "greedy-rows")
+    small, large = _split(rows, group, "greedy-large")
+    a, b = keys
+    slim = small.select(group, order, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        seen_a, seen_b, keep = set(), set(), []
+        for x, y in zip(pdf["_a"], pdf["_b"]):
+            x, y = (None if pd.isna(v) else v for v in (x, y))
+            new = (x is None or x not in seen_a) and (y is None or y not in seen_b)
+            keep.append(new)
+            if new:
+                seen_a.add(x)
+                seen_b.add(y)
+        return pdf.loc[keep, [group, order]]
+
+    chosen = slim.groupBy(group).applyInPandas(walk, slim.select(group, order).schema)
+    kept = small.join(chosen, [group, order], "left_semi").select(*rows.columns)
+    return kept if large is None else kept.unionByName(_distinct_rounds(large, group, order, keys))
+
+
+def _distinct_rounds(rows: DataFrame, group: str, order: str, keys: tuple[str, str]) -> DataFrame:
+    """The same without folding a group: in each round the rows that come first
+    under both of their keys are kept and every row that shares a key with them
+    leaves."""
     a, b = keys
     open_rows, kept, step = materialize(rows, "greedy-0"), None, 0
     while not open_rows.isEmpty():
@@ -92,6 +131,30 @@ def keep_unlike(rows: DataFrame, group: str, order: str, hashed: str, accepted:
     # equal hashes: only the first can stay, the others share its fate
     firsts = hashes.groupBy(group, hashed).agg(F.min(order).alias(order), F.bool_or("_in").alias("_in"))
     firsts = materialize(firsts, "unlike-hashes")
+    small, large = _split(firsts, group, "unlike-large")
+    kept = small.select(group, order, hashed, "_in").groupBy(group).applyInPandas(_walk_unlike(group, order, hashed), small.select(group, order).schema)
+    if large is not None:
+        kept = kept.unionByName(_unlike_rounds(large, group, order, hashed))
+    stay = marked.join(kept.withColumn("_kept", F.lit(True)), [group, order], "left")
+    keep = F.col("_in") | F.col(hashed).isNull() | F.coalesce("_kept", F.lit(False))
+    return stay.filter(keep).select(*rows.columns)
+
+
+def _walk_unlike(group: str, order: str, hashed: str):
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        given = pdf["_in"].to_numpy(bool)
+        h = pdf[hashed].to_numpy(np.int64).view(np.uint64)
+        kept, n, keep = np.zeros(len(h), np.uint64), 0, given.copy()
+        for i in range(len(h)):
+            if given[i] or not (np.bitwise_count(kept[:n] ^ h[i]) <= 2).any():
+                keep[i], kept[n], n = True, h[i], n + 1
+        return pdf.loc[keep, [group, order]]
+
+    return walk
+
+
+def _unlike_rounds(firsts: DataFrame, group: str, order: str, hashed: str) -> DataFrame:
     edges = materialize(near_pairs(firsts, group, order, hashed), "unlike-pairs")
     kept, open_rows, step = firsts.filter("_in").select(group, order), firsts.filter(~F.col("_in")).select(group, order), 0
     new = kept
@@ -109,9 +172,7 @@ def keep_unlike(rows: DataFrame, group: str, order: str, hashed: str, accepted:
         )
         kept = kept.unionByName(new)
         open_rows = open_rows.join(new, [group, order], "left_anti")
-    stay = marked.join(kept.withColumn("_kept", F.lit(True)), [group, order], "left")
-    keep = F.col("_in") | F.col(hashed).isNull() | F.coalesce("_kept", F.lit(False))
-    return stay.filter(keep).select(*rows.columns)
+    return kept
 
 
 def root_labels(parents: DataFrame, node: str, parent: str) -> DataFrame:

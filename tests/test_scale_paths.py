@@ -88,7 +88,9 @@ def test_equal_additions_without_link_get_ids_of_their_own(spark):
     assert len(ids) == len(set(ids)) == 2
 
 
-def test_greedy_distinct(spark):
+@pytest.mark.parametrize("fold", [10_000, 5])
+def test_greedy_distinct(spark, monkeypatch, fold):
+    monkeypatch.setattr(K, "FOLD_ROWS", fold)
     random.seed(3)
     rows = [(g, i, random.choice([None, *range(12)]), random.choice([None, *range(12)])) for g in range(3) for i in range(60)]
     rows += [(7, i, 1, i) for i in range(200)]  # one hot key
@@ -106,7 +108,9 @@ def test_greedy_distinct(spark):
     assert {(r["g"], r["i"]) for r in got} == want
 
 
-def test_keep_unlike(spark):
+@pytest.mark.parametrize("fold", [10_000, 5])
+def test_keep_unlike(spark, monkeypatch, fold):
+    monkeypatch.setattr(K, "FOLD_ROWS", fold)
     random.seed(5)
     rows = []
     for g in range(3):
