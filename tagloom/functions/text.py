@@ -68,6 +68,13 @@ def distinct_texts(arr: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(arr, strip), lambda x: x != ""))
 
 
+def distinct_case_free(arr: Column) -> Column:
+    """As ``distinct_texts``, where spellings that differ in case are one value."""
+    texts = F.filter(F.transform(arr, strip), lambda x: x != "")
+    keys = lambda xs: F.transform(xs, F.lower)
+    return let(texts, lambda xs: let(keys(xs), lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
+
+
 def normalize_token(c: Column) -> Column:
     """Lower-case ASCII token with '_' for '-' and blank.
 

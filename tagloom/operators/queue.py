@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import distinct_texts, path_key
+from tagloom.functions.text import distinct_case_free, distinct_texts, path_key, strip
 
 
 def queue_selection(queue: DataFrame, selected: DataFrame) -> DataFrame:
@@ -54,10 +54,22 @@ def queue_append(queue: DataFrame, edits: DataFrame, now: str) -> DataFrame:
     return _finish(rows.withColumn("feature_tags", tags), queue.columns, now)
 
 
-def metadata_append(selected: DataFrame, existing: DataFrame, replace: bool = False) -> DataFrame:
+def metadata_append(selected: DataFrame, existing: DataFrame, replace: bool = False, names: DataFrame | None = None) -> DataFrame:
     """Keywords to write per selected item: ``selected(key, tokens)`` united
-    with ``existing(key, keywords)``, old ones first; ``replace`` drops the old."""
+    with ``existing(key, keywords)``, old ones first; ``replace`` drops the old.
+
+    ``names(token, name)`` gives display names; a token without one stands for
+    itself. New keywords are distinct without regard to case. Keys are unique.
+    """
     empty = F.array().cast("array<string>")
+    if names is not None:
+        tokens = selected.select("key", F.posexplode("tokens").alias("pos", "raw")).withColumn("token", strip(F.col("raw")))
+        shown = tokens.join(names.select("token", F.nullif(strip(F.col("name")), F.lit("")).alias("name")), "token", "left")
+        item = F.struct("pos", F.coalesce("name", "token").alias("name"))
+        shown = shown.groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        shown = shown.select("key", F.transform("items", lambda e: e["name"]).alias("tokens"))
+        selected = selected.select("key").join(shown, "key", "left").withColumn("tokens", F.coalesce("tokens", empty))
+    selected = selected.withColumn("tokens", distinct_case_free(F.col("tokens")))
     rows = selected.join(existing, "key", "left")
     old = empty if replace else F.coalesce("keywords", empty)
     return rows.select("key", distinct_texts(F.concat(old, F.col("tokens"))).alias("keywords"))
