@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import query, table
+from tagloom.llm.common import bounded_batches, query, table
 from tagloom.llm.op04_quality import good_documents
 from tagloom.llm.op05_packing import pack
 from tagloom.llm.op06_ngram_join import representatives
@@ -29,11 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts (and their n_chars) without later repeated runs of lines; a
     document goes if nothing but white space is left of a text that had more."""
-    out = without_repeated_lines(docs, removed="removed_lines")
+    removed = "removed_lines"
+    while removed in docs.columns:
+        removed += "_"
+    out = without_repeated_lines(docs, removed=removed)
     if "n_chars" in docs.columns:
-        count = F.when(F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        count = F.when(F.size(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return out.filter((F.size("removed_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).drop("removed_lines")
+    return out.filter((F.size(removed) == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).drop(removed)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, closing=1)
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("decontaminate", decontaminate), ("packing", packing)]
+def _bounded(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _bounded(stage)) for stage in (quality, line_dedup, near_copies, decontaminate, packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
