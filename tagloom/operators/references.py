@@ -138,9 +138,12 @@ def identity_filter(
     avatars: DataFrame,
     references: DataFrame,
     limits: DataFrame | int,
+    entities: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Choose candidates that look like the entity; (kept, report).
 
+    ``entities(entity_id)`` are reported even without any candidate.
+
     ``candidates(entity_id, pos, path, width, height, vector)``; a NULL vector
     is an unreadable image. ``limits`` is one number or (entity_id, quota).
     """
@@ -208,6 +211,10 @@ def identity_filter(
         F.coalesce("best_similarity", F.lit(0.0)).alias("best_similarity"),
         F.coalesce("worst_kept", F.lit(0.0)).alias("worst_kept_similarity"),
     )
+    if entities is not None:
+        bare = entities.select("entity_id").distinct().join(state.select("entity_id"), "entity_id", "left_anti")
+        zeros = [F.lit(0).cast(report.schema[c].dataType).alias(c) for c in report.columns[2:]]
+        report = report.unionByName(bare.select("entity_id", F.lit("empty").alias("mode"), *zeros))
     return kept, report
 
 

@@ -541,10 +541,12 @@ def identity_inputs(d: Data):
  WHEN coalesce(sn, 0) = 0 THEN 'reject_no_candidate_vector' WHEN kn > 0 THEN 'filtered' ELSE 'reject_low_confidence' END AS mode,
  candidate_count, coalesce(sn, 0) AS scored_count, coalesce(kn, 0) AS kept_count, seed_count, round(CASE WHEN av IS NOT NULL THEN greatest(0.52, ba - 0.10) ELSE 0 END, 6) AS avatar_dynamic_floor,
  round(coalesce(bw, 0), 6) AS best_similarity, round(coalesce(wk, 0), 6) AS worst_kept_similarity
- FROM st LEFT JOIN (SELECT entity_id, count(w) AS sn, max(w) AS bw, max(ba) AS ba FROM ww GROUP BY 1) USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS kn, min(w) AS wk FROM kept GROUP BY 1) USING (entity_id)""")
+ FROM st LEFT JOIN (SELECT entity_id, count(w) AS sn, max(w) AS bw, max(ba) AS ba FROM ww GROUP BY 1) USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS kn, min(w) AS wk FROM kept GROUP BY 1) USING (entity_id)
+ UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'empty', 0, 0, 0, 0, 0, 0, 0 FROM nation WHERE CAST(n_nationkey AS VARCHAR) NOT IN (SELECT entity_id FROM st)""")
 def _(d):
     rows, avatars, references = identity_inputs(d)
-    _, report = R.identity_filter(rows, avatars, references, 12)
+    every = d.nation.select(F.col("n_nationkey").cast("string").alias("entity_id"))
+    _, report = R.identity_filter(rows, avatars, references, 12, every)
     return rounded(report, "avatar_dynamic_floor", "best_similarity", "worst_kept_similarity")
 
 
