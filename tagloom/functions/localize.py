@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,7 +142,3 @@ def provider_links(provider: Column, entity_id: Column, links: Column) -> Column
 
 def link_key(link: Column) -> Column:
     return F.lower(F.concat(link["provider"], F.lit(":"), link["provider_entity_id"]))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -232,13 +232,3 @@ def reference_prune(references: DataFrame, avatars: DataFrame) -> DataFrame:
     kept, _ = identity_filter(many, avatars, many.limit(0), sizes.filter(F.col("quota") > 1))
     single = references.join(sizes.filter(F.col("quota") == 1), "entity_id", "left_semi")
     return kept.select("entity_id", "pos", "path").unionByName(single.select("entity_id", "pos", "path"))
-
-
-def hash_bands(h: Column, bands: int = 3) -> Column:
-    """Bands of a 64-bit hash: two hashes at distance < ``bands`` share one."""
-    width = 64 // bands
-    cuts = [(i * width, 64 if i == bands - 1 else (i + 1) * width) for i in range(bands)]
-    return F.array(*[
-        F.concat_ws(":", F.lit(i), F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
-        for i, (low, high) in enumerate(cuts)
-    ])

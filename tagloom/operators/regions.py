@@ -18,7 +18,7 @@ from tagloom.session import materialize
 
 # Fixed values of the region choice: evaluated boxes (first, fallback) by mode.
 EVAL_SINGLE, EVAL_MULTI = (12, 8), (16, 10)
-FALLBACK_SCORE, MIN_HEAD_SCORE = 0.30, 0.22
+FALLBACK_SCORE = 0.30
 NMS_IOU, SAME_VECTOR = 0.28, 0.985
 
 
