@@ -15,9 +15,25 @@ ORACLES: dict[str, str] = {}
 NO_ID = -(1 << 63)  # stands for a null id inside an operator
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts travel to Python in batches of about 4 MB instead of 64: with both
+    sides' copies, a large batch in each running task is much of an executor's
+    memory. A session that set a value of its own keeps it."""
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def query(name: str, oracle: str | None = None):
     def wrap(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            bounded_batches(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

@@ -10,6 +10,7 @@ is left in open bins meets once more in groups of workers.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ class PieceIds:
     """Ids of pieces by the library, each distinct piece encoded once."""
 
     def __init__(self, vocabulary: str, classes: bytes, closing: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already; a pool per worker only holds memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -52,11 +54,13 @@ class PieceIds:
         self.starts = self.ends - sizes
 
     def _add(self, h: np.ndarray, pieces: list[str]) -> np.ndarray:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        encoded = []
+        for at in range(0, len(pieces), 2000):
+            encoded += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 2000], add_special_tokens=False)]
         sizes = np.array([len(x) for x in encoded])
         ends = len(self.ids) + np.cumsum(sizes)
         entry = len(self.ends) + np.arange(len(encoded))
-        self.ids = np.concatenate([self.ids, np.concatenate([np.array(x, np.uint32) for x in encoded])])
+        self.ids = np.concatenate([self.ids, np.concatenate(encoded)])
         self.starts, self.ends = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.ends, ends])
         self.known.put(h, entry)
         return entry.astype(np.int32)

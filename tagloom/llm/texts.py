@@ -7,6 +7,7 @@ at byte level equals cutting at character level.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -27,6 +28,15 @@ def kept(name: str, build):
     return store[name]
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker, which outlives its tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -37,6 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             before, at = ends[to - 1], to
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
