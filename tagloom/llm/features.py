@@ -108,7 +108,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 BARE = "".join(map(chr, range(33))) + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x7f"
 
 
-PREFIXES = (4, 6)  # bytes of a word's beginning that are features besides the word
+PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features besides the word
 
 
 def hashed_words(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
