@@ -48,22 +48,32 @@ class PieceIds:
 
     def clear(self) -> None:
         self.known.clear()
-        self.ids = np.array([x for part in self.first for x in part], np.uint32)
-        sizes = np.array([len(part) for part in self.first])
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.n_ids = self.n_pieces = 0
+        self._store([np.array(part, np.uint32) for part in self.first])
+
+    def _store(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Numbers of new entries; the arrays double when they are full."""
+        sizes = np.array([len(x) for x in parts], np.int32)
+        n_ids, n_pieces = self.n_ids + int(sizes.sum()), self.n_pieces + len(parts)
+        while n_ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n_pieces > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.n_ids : n_ids] = np.concatenate(parts)
+        self.sizes[self.n_pieces : n_pieces] = sizes
+        self.starts[self.n_pieces : n_pieces] = self.n_ids + np.cumsum(sizes) - sizes
+        entries = np.arange(self.n_pieces, n_pieces, dtype=np.int32)
+        self.n_ids, self.n_pieces = n_ids, n_pieces
+        return entries
 
     def _add(self, h: np.ndarray, pieces: list[str]) -> np.ndarray:
         encoded = []
         for at in range(0, len(pieces), 2000):
             encoded += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 2000], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in encoded])
-        ends = len(self.ids) + np.cumsum(sizes)
-        entry = len(self.ends) + np.arange(len(encoded))
-        self.ids = np.concatenate([self.ids, np.concatenate(encoded)])
-        self.starts, self.ends = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.ends, ends])
-        self.known.put(h, entry)
-        return entry.astype(np.int32)
+        entries = self._store(encoded)
+        self.known.put(h, entries)
+        return entries
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row offsets); each text ends with the closing id."""
@@ -85,7 +95,7 @@ class PieceIds:
             texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
             value[unknown] = self._add(new, texts)[back]
         entry[real] = value
-        lo, size = self.starts[entry], (self.ends - self.starts)[entry]
+        lo, size = self.starts[entry].astype(np.int64), self.sizes[entry].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(lo - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offsets)]
