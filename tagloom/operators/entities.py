@@ -81,9 +81,9 @@ def source_compatible(left: Column, right: Column, lc: Column, rc: Column, lv: C
     return (X.strip(left) == "") | (X.strip(right) == "") | (lc == rc) | overlap
 
 
-def _substrings(key: Column, lengths: list[int]) -> Column:
-    """All substrings of the listed lengths."""
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(key))
+def _substrings(key: Column, lengths: list[int], least: Column) -> Column:
+    """All substrings of the listed lengths from ``least`` on."""
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: (n >= least) & (n <= F.length(key)))
     cuts = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substring(key, i, n)))
     return F.array_distinct(F.flatten(cuts))
 
@@ -98,11 +98,16 @@ def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A containment is an equality between a key and a substring of the other,
     so both directions are equi-joins: no block of similar names is ever
-    multiplied out and nothing is compared twice.
+    multiplied out and nothing is compared twice. The overlap is at least two
+    and what the left key asks for; shorter parts never reach a join, so one
+    short name does not meet every name that holds it.
     """
-    left, right = left.distinct(), right.distinct()
-    big_left = left.select(F.col("key").alias("l"), F.explode(_substrings(F.col("key"), _lengths(right) or [1])).alias("key"))
-    big_right = right.select(F.col("key").alias("r"), F.explode(_substrings(F.col("key"), _lengths(left) or [1])).alias("key"))
+    key = F.col("key")
+    least = F.greatest(F.lit(2), X.minimum_match_length(key))
+    left, right = left.distinct(), right.distinct().filter(F.length("key") >= 2)
+    big_left = left.select(key.alias("l"), F.explode(_substrings(key, _lengths(right) or [1], least)).alias("key"))
+    left = left.filter(F.length("key") >= least)
+    big_right = right.select(key.alias("r"), F.explode(_substrings(key, _lengths(left) or [1], F.lit(2))).alias("key"))
     inside = big_left.join(right, "key").select("l", F.col("key").alias("r"))
     around = big_right.join(left, "key").select(F.col("key").alias("l"), "r")
     return inside.union(around).distinct().withColumn("overlap", F.least(F.length("l"), F.length("r")))

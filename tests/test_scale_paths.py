@@ -280,3 +280,13 @@ def test_vector_table_mismatch(spark, tmp_path):
     rows.write.mode("append").parquet(f"{path}/rows")
     with pytest.raises(ValueError):
         tables.read_vector_table(spark, path)
+
+
+def test_containing_pairs_equal_brute_force(spark):
+    random.seed(11)
+    names = ["".join(random.choice("abä") for _ in range(random.randint(1, 9))) for _ in range(160)]
+    left, right = names[:80], names[80:]
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    need = lambda k: max(2, 2 if "ä" in k else 4)
+    want = {(a, b, min(len(a), len(b))) for a in left for b in right if (a in b or b in a) and min(len(a), len(b)) >= need(a)}
+    assert {tuple(r) for r in N.containing_pairs(frame(left), frame(right)).collect()} == want and want
