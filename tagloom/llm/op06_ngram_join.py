@@ -31,6 +31,7 @@ from tagloom.llm.texts import (
     STEP,
     U,
     byte_table,
+    give_back,
     lowered,
     mixed,
     ragged,
@@ -241,6 +242,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = None
         _, _, tiles = _lists(key, node)
         yield from _found([(int(np.uint64(key).view(np.int64)), nodes) for key, nodes in tiles])
+    key = node = None
+    give_back()
 
 
 def _set_rows(k: int):

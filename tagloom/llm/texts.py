@@ -109,20 +109,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-
-    def build():
+    """Byte codes, and powers up to ``n`` with their inverses: one table that
+    grows, as a worker keeps it."""
+    store = kept("powers", lambda: {"codes": np.random.default_rng(20240607).integers(1, 1 << 64, 256, dtype=np.uint64), "size": 0})
+    if store["size"] < n:
+        size = 1 << max(16, int(n).bit_length())
         p = 0x5851F42D4C957F2D
         inverse = pow(p, -1, 1 << 64)
         with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(p))]), dtype=np.uint64)
-            down = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(inverse))]), dtype=np.uint64)
-        return np.random.default_rng(20240607).integers(1, 1 << 64, 256, dtype=np.uint64), up, down
-
-    return kept(f"powers-{size}", build)
+            for name, base in (("up", p), ("down", inverse)):
+                powers = np.full(size, U(base))
+                powers[0] = 1
+                store[name] = np.cumprod(powers, dtype=np.uint64, out=powers)
+        store["size"] = size
+    return store["codes"], store["up"], store["down"]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 200_000) -> np.ndarray:
     """64-bit hashes of ascending, disjoint byte spans, a stretch of the buffer at a time."""
     out = np.empty(len(starts), np.uint64)
     at = 0
