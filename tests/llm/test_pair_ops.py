@@ -185,6 +185,34 @@ def test_long_passages_are_deleted_after_their_first_place(spark):
     assert all(out[i] == f"own line number {i} of this text\nlast words of {i}" for i in range(1, 40))
 
 
+def later_runs(pairs, noise):
+    """Lines of every run of at least ``noise`` words that also stands at an
+    earlier place, from all runs of all texts."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    seen, gone = {}, collections.defaultdict(set)
+    for doc, text in sorted(pairs):
+        kept = [(i, strip(x)) for i, x in enumerate(text.split("\n")) if strip(x)]
+        for a in range(len(kept)):
+            for b in range(a, len(kept)):
+                run = tuple(x for _, x in kept[a : b + 1])
+                if sum(len(x.split()) for x in run) >= noise and seen.setdefault(run, (doc, a)) != (doc, a):
+                    gone[doc] |= {i for i, _ in kept[a : b + 1]}
+    return {k: sorted(v) for k, v in gone.items()}
+
+
+def test_a_repeated_line_of_eight_words_goes_whatever_stands_beside_it(spark):
+    rng = random.Random(8)
+    common = [" ".join(f"c{i}x{j}" for j in range(8 + i % 4)) for i in range(6)]
+    pairs = []
+    for i in range(120):
+        lines = [" ".join(f"o{i}y{n}z{j}" for j in range(rng.randint(1, 14))) for n in range(6)]
+        lines[rng.randrange(6)] = rng.choice(common)
+        pairs.append((i, "\n".join(lines)))
+    want = later_runs(pairs, 8)
+    assert sum(map(len, want.values())) == 120 - len(common)
+    assert {r.doc_id: r.removed for r in repeated_lines(frame(spark, pairs)).collect()} == want
+
+
 PAGES = [
     (1, "http://A.Example.NET/en/x?q"), (2, "https://b.net/#f"), (3, "https://b.net"), (4, "http://x.example.com/de/1"), (5, "http://x.example.com/fr/1"),
     (6, "http://w.org/fr/"), (7, "http://worg/fr/"), (8, None), (9, "nothing"), (10, "s://h://y"), (11, "http://u:p@k.co.uk:80/a"), (11, "http://u:p@k.co.uk:80/a"), (None, "http://10.0.0.1/a"),
