@@ -213,6 +213,23 @@ def test_a_repeated_line_of_eight_words_goes_whatever_stands_beside_it(spark):
     assert {r.doc_id: r.removed for r in repeated_lines(frame(spark, pairs)).collect()} == want
 
 
+def test_short_lines_of_a_run_go_though_its_lines_first_stand_apart(spark):
+    long = " ".join(f"w{j}" for j in range(9))
+    run = f"{long}\nshort tail"
+    pairs = [(0, f"{long}\nalone here"), (1, f"first copy\n{run}\nown end 1"), (2, f"second copy\n{run}\nown end 2"), (3, f"a b c d\ne f\n{run}"), (4, f"x\na b c d\ne f\n{long}")]
+    want = later_runs(pairs, 8)
+    assert want == {1: [1], 2: [1, 2], 3: [2, 3], 4: [1, 2, 3]}
+    assert {r.doc_id: r.removed for r in repeated_lines(frame(spark, pairs)).collect()} == want
+
+
+@pytest.mark.parametrize(("seed", "noise"), [(1, 8), (2, 8), (3, 5), (4, 20)])
+def test_every_later_run_of_the_noise_length_goes(spark, seed, noise):
+    pairs = [(i, t) for i, t in line_corpus(seed) if t is not None]
+    want = later_runs(set(pairs), noise)
+    got = {r.doc_id: r.removed for r in repeated_lines(frame(spark, pairs + pairs[:9]), noise).collect()}
+    assert want and got == want
+
+
 PAGES = [
     (1, "http://A.Example.NET/en/x?q"), (2, "https://b.net/#f"), (3, "https://b.net"), (4, "http://x.example.com/de/1"), (5, "http://x.example.com/fr/1"),
     (6, "http://w.org/fr/"), (7, "http://worg/fr/"), (8, None), (9, "nothing"), (10, "s://h://y"), (11, "http://u:p@k.co.uk:80/a"), (11, "http://u:p@k.co.uk:80/a"), (None, "http://10.0.0.1/a"),
