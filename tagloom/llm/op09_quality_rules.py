@@ -23,7 +23,8 @@ STEPS = 3
 LEAST = 50  # rows of a group with an estimate of its own; smaller ones are pooled
 FLOOR = (0.3, 0.1, 0.4, 0.4, 0.4)  # standard deviations that the estimate is not to go below
 CHI_MEDIAN = 4.351  # median of chi-square with five degrees of freedom
-CUT = 60.0  # squared distance that is still kept
+CHI_FAR = 20.515  # its 0.999 quantile, the least squared distance to be rejected
+NORMAL_FAR = 3.0902  # the normal's 0.999 quantile
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -101,9 +102,12 @@ def _measured(rows: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def shapes(rows: DataFrame) -> DataFrame:
-    """Centre, factor and scale per group, by concentration steps from the
+    """Centre, factor, scale and cut per group, by concentration steps from the
     medians; ``scale``, at least one,
-    corrects for the half of the rows that the estimate left out."""
+    corrects for the half of the rows that the estimate left out. Cube roots of
+    chi-square values are close to normal: ``cut`` is the 0.999 quantile of the
+    normal with the median and quartiles of the cube roots of the group's own
+    squared distances, at least that of chi-square."""
     middle = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(x) for x in VECTOR]
     start = rows.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), *middle)
     d = range(len(VECTOR))
@@ -114,14 +118,18 @@ def shapes(rows: DataFrame) -> DataFrame:
         far = _measured(rows, shape)
         limit = materialize(far.groupBy("group").agg(F.percentile_approx("d2", SHARE, 1000).alias("most")), f"outlier-limit-{step}")
         shape = materialize(_solved(_moments(far.join(limit, "group").filter("d2 <= most"))), f"outlier-shape-{step}")
-    scale = _measured(rows, shape).groupBy("group").agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    quarters = _measured(rows, shape).groupBy("group").agg(F.percentile_approx("d2", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
+    scale = quarters.withColumn("scale", F.greatest(F.col("q")[1] / CHI_MEDIAN, F.lit(1.0)))
+    root = [F.cbrt(F.col("q")[i] / F.col("scale")) for i in range(3)]
+    far = F.pow(root[1] + NORMAL_FAR * (root[2] - root[0]) / 1.349, F.lit(3.0))
+    scale = scale.select("group", "scale", F.greatest(far, F.lit(CHI_FAR)).alias("cut"))
     return shape.join(scale, "group")
 
 
-def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
+def judged(docs: DataFrame, cut: float | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, lang, source) with its counts,
     base_failed, the squared distance (null where no group has an estimate or
-    the base failed) and kept.
+    the base failed) and kept. ``cut`` replaces the groups' own cuts.
 
     Null and empty texts have no words and fail the base. A null language or
     source is a value of its own. Groups under LEAST rows are pooled; a pool
@@ -137,7 +145,7 @@ def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     shape = materialize(shapes(grouped), "rule-shapes").filter(F.col("n") >= LEAST * SHARE)
     out = _with_distance(rows.join(names, "pair", "left").join(shape.withColumnRenamed("n", "group_rows"), "group", "left"))
     d2 = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(d2 <= (F.col("cut") if cut is None else F.lit(cut)), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"), kept.alias("kept"))
 
 

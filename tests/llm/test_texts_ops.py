@@ -133,6 +133,18 @@ def test_rule_counts_and_outliers(spark, awkward, nothing):
     assert judged(nothing).collect() == []
 
 
+def test_a_text_far_out_in_one_count_is_rejected_where_the_others_are_alike(spark):
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ala", "ore", "inte", "u", "essa")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 200))) for _ in range(400)]
+    texts.append(" ".join(rng.choice(vocabulary) for _ in range(100)) + "\nhome" * 11)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, "x", 2, 3) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r for r in judged(docs).collect()}
+    assert out[400].n_dup_lines == 10 and not out[400].base_failed and out[400].distance < 60 and not out[400].kept
+    assert all(out[i].kept for i in range(400))
+    assert {r.kept for r in judged(docs, cut=60.0).collect()} == {True}
+
+
 ITEMS = ["one two three four five six seven eight nine ten eleven twelve", "Alpha beta, gamma!", "", None, "x " * 30, "one two three four five six seven eight nine ten else", "日本 語 x1"]
 
 
