@@ -22,8 +22,8 @@ def longs(df, *names):
 
 @query("scan_media")
 def _(d):
-    rows = S.scan_media(d.spark, d.folder, (".parquet",))
-    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.lower("path").alias("key"), "length")
+    rows = S.media_paths(d.pages.select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length")), (".html", ".org"))
+    return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), X.path_key(F.col("path")).alias("key"), "length")
 
 
 @query("scan_path_list", r"SELECT arg_min(url, page_id) AS path FROM @pages WHERE regexp_matches(lower(url), '[^/\\.][^/\\]*\.(html|org)$') GROUP BY lower(url)")

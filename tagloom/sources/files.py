@@ -29,7 +29,12 @@ def scan_media(
     Only the listing is read: the content column is pruned.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    return files.select("path", "length").filter(extension(F.col("path")).isin(*extensions)).orderBy("path")
+    return media_paths(files.select("path", "length"), extensions)
+
+
+def media_paths(files: DataFrame, extensions: tuple[str, ...] = SCAN_EXTENSIONS) -> DataFrame:
+    """The rows of ``files(path, ...)`` that are media files, in path order."""
+    return files.filter(extension(F.col("path")).isin(*extensions)).orderBy("path")
 
 
 def scan_path_list(lines: DataFrame, extensions: tuple[str, ...], root: str = "") -> DataFrame:

@@ -1,11 +1,13 @@
 """The paths meant for large or skewed inputs against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tagloom.operators import entities as N
 from tagloom.operators import ranking as K
 from tagloom.operators import regions as G
@@ -290,3 +292,15 @@ def test_containing_pairs_equal_brute_force(spark):
     need = lambda k: max(2, 2 if "ä" in k else 4)
     want = {(a, b, min(len(a), len(b))) for a in left for b in right if (a in b or b in a) and min(len(a), len(b)) >= need(a)}
     assert {tuple(r) for r in N.containing_pairs(frame(left), frame(right)).collect()} == want and want
+
+
+def test_scan_media_lists_the_pages_by_extension(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("url", "html").collect()
+    urls = sorted((r.url, len(r.html.encode())) for r in pages if r.url and re.search(r"[^/\\.][^/\\]*\.(html|org)$", r.url.lower()))
+    got = [tuple(r) for r in entry.queries()["scan_media"](spark, folder).collect()]
+    assert urls and sorted(got) == sorted((u.split("/")[-1], u.replace("\\", "/").lower(), n) for u, n in urls)
+    assert [k for _, k, _ in got] == [u.lower() for u, _ in urls]
+    for name in ("b.JPG", "a.png", "c.txt"):
+        (tmp_path / name).write_bytes(b"xy")
+    assert [(r.path.split("/")[-1], r.length) for r in files.scan_media(spark, str(tmp_path)).collect()] == [("a.png", 2), ("b.JPG", 2)]
