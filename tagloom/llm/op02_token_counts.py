@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import query, table
-from tagloom.llm.pieces import END, PieceTable, character_classes, piece_starts, with_stops
+from tagloom.llm.pieces import END, KNOWN_BYTES, PieceTable, character_classes, piece_starts, with_stops
 from tagloom.llm.texts import kept, slices, span_hashes, text_bytes
 
 NEVER = 1 << 60
@@ -144,19 +144,23 @@ def tokens_per_text(buf: np.ndarray, offsets: np.ndarray, machine: CountTransduc
     ends = np.append(starts[1:], len(buf)) if len(starts) else starts
     real = buf[starts] != END
     starts, ends = starts[real], ends[real]
-    h = span_hashes(buf, starts, ends)
-    value, unknown = known.look(h)
-    if len(unknown):
+    value = np.zeros(len(starts), np.int32)
+    short = np.flatnonzero(ends - starts <= KNOWN_BYTES)
+    h = span_hashes(buf, starts[short], ends[short])
+    value[short], unknown = known.look(h)
+    if len(unknown) or len(short) < len(starts):
+        data = buf.tobytes()
         if known.full():
             known.clear()
         new, first, back = np.unique(h[unknown], return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        at = unknown[first]
-        counts = [machine.count(data[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        at = short[unknown[first]]
+        counts = np.array([machine.count(data[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())], np.int32)
+        known.put(new, counts)
+        value[short[unknown]] = counts[back]
+        long = np.flatnonzero(ends - starts > KNOWN_BYTES)
+        value[long] = [machine.count(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
         if len(machine.keys) > MAX_STATES:
             machine.clear()
-        known.put(new, counts)
-        value[unknown] = np.asarray(counts, np.int32)[back]
     sums = np.concatenate([[0], np.cumsum(value, dtype=np.int64)])
     specials = np.diff(np.searchsorted(places, offsets))
     return np.diff(sums[np.searchsorted(starts, offsets)]) + specials

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import query, table
 from tagloom.llm.op02_token_counts import compiled
-from tagloom.llm.pieces import END, PieceTable, piece_starts, with_stops
+from tagloom.llm.pieces import END, KNOWN_BYTES, PieceTable, piece_starts, with_stops
 from tagloom.llm.texts import kept, slices, span_hashes, text_bytes
 from tagloom.session import materialize
 
 WORKERS = 64  # map tasks whose open bins are closed together
+MAX_IDS = 1 << 24  # stored ids of pieces after which a worker starts anew
 SLACK = 50  # a piece that misses its class's share by at most 1/SLACK is not cut
 
 
@@ -67,17 +68,15 @@ class PieceIds:
         self.n_ids, self.n_pieces = n_ids, n_pieces
         return entries
 
-    def _add(self, h: np.ndarray, pieces: list[str]) -> np.ndarray:
+    def _add(self, pieces: list[str]) -> np.ndarray:
         encoded = []
         for at in range(0, len(pieces), 2000):
             encoded += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 2000], add_special_tokens=False)]
-        entries = self._store(encoded)
-        self.known.put(h, entries)
-        return entries
+        return self._store(encoded) if encoded else np.zeros(0, np.int32)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row offsets); each text ends with the closing id."""
-        if self.known.full():
+        if self.known.full() or self.n_ids > MAX_IDS:
             self.clear()
         buf, offsets, places, which = with_stops(buf, offsets, self.specials)
         starts = piece_starts(buf, self.classes)
@@ -85,16 +84,19 @@ class PieceIds:
         entry = np.zeros(len(starts), np.int32)
         entry[np.searchsorted(starts, offsets[1:] - 1)] = 1
         entry[np.searchsorted(starts, places)] = 2 + which
-        real = np.flatnonzero(buf[starts] != END)
-        h = span_hashes(buf, starts[real], ends[real])
+        real = buf[starts] != END
+        short, long = (np.flatnonzero(real & x) for x in (ends - starts <= KNOWN_BYTES, ends - starts > KNOWN_BYTES))
+        h = span_hashes(buf, starts[short], ends[short])
         value, unknown = self.known.look(h)
-        if len(unknown):
-            new, first, back = np.unique(h[unknown], return_index=True, return_inverse=True)
-            at = real[unknown[first]]
+        if len(unknown) or len(long):
             data = buf.tobytes()
-            texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            value[unknown] = self._add(new, texts)[back]
-        entry[real] = value
+            text = lambda at: [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            new, first, back = np.unique(h[unknown], return_index=True, return_inverse=True)
+            added = self._add(text(short[unknown[first]]))
+            self.known.put(new, added)
+            value[unknown] = added[back]
+            entry[long] = self._add(text(long))
+        entry[short] = value
         lo, size = self.starts[entry].astype(np.int64), self.sizes[entry].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(lo - total[:-1], size) + np.arange(total[-1])]

@@ -20,6 +20,7 @@ S, LET, NUM, OTH, P, Q, WP, WQ, A, AR, AV, AL = range(12)
 N_STATES, N_SYMBOLS = 12, 16
 HERE, LAST = 1, 2  # a piece begins before this character / before the last one
 CHUNK = 512
+KNOWN_BYTES = 64  # longer pieces are encoded each time and never taken for a known one
 
 
 def _machine() -> tuple[np.ndarray, np.ndarray]:
