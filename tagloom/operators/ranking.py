@@ -40,6 +40,27 @@ def group_numbers(rows: DataFrame, key: str, order: str, width: int = 1 << 16, n
     return numbered.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
 
 
+def running_numbers(rows: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
+    """0-based running number per key by any order that sorts.
+
+    Rows are sorted by ranges of (key, order) and numbered inside their range;
+    earlier ranges of the key shift them. At most one offset per range and key
+    that meet, so neither a hot key nor no key at all is numbered by one task.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranges = materialize(ranges.withColumns({"_range": F.spark_partition_id(), "_line": F.monotonically_increasing_id()}), "numbered")
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    sizes = ranges.groupBy(key.alias("_key"), "_range").agg(F.min("_line").alias("begin"), F.count(F.lit(1)).alias("size"))
+    lists = sizes.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_range", "begin", "size"))).alias("all"))
+    before = lambda i: F.aggregate(F.slice("all", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["size"])
+    shifts = lists.select("_key", F.explode(F.transform("all", lambda x, i: F.struct(x["_range"].alias("_range"), (before(i) - x["begin"]).alias("_shift")))).alias("s"))
+    shifts = materialize(shifts.select("_key", "s.*"), "number-shifts")
+    numbered = ranges.withColumn("_key", key).alias("r").join(shifts.alias("s"), F.col("r._key").eqNullSafe(F.col("s._key")) & (F.col("r._range") == F.col("s._range")))
+    return numbered.select(*[F.col(f"r.`{c}`") for c in rows.columns], (F.col("r._line") + F.col("s._shift")).alias(name))
+
+
 FOLD_ROWS = 10_000  # of a group that one task folds at most; larger groups go in rounds
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import extension
@@ -10,6 +12,8 @@ from tagloom.plans.fixtures import (
     COUNT_PREDICTIONS, DISJOINT_GROUPS, IMAGES, MINIMUM, OVERLAPPING_GROUPS, PREDICTIONS, RULES, rule, rule_ctes,
 )
 from tagloom.plans.registry import Data, query, values
+from tagloom.session import materialize
+from tagloom.sources import rules as R
 from tagloom.sources.files import WRITABLE_EXTENSIONS
 
 NOW = "2024-01-01T00:00:00"
@@ -340,24 +344,72 @@ def _(d):
 
 # ------------------------------------------------------------- rule tables
 
-RULE_BASE = "SELECT DISTINCT p_type AS category_id, p_name AS tag_id, 0 AS ordinal FROM @part WHERE p_size <= 25"
-RULE_EXTRA = "SELECT DISTINCT p_type AS category_id, p_name AS tag_id, 0 AS ordinal FROM @part WHERE p_size > 20"
 RANK_BASE = "SELECT p_name AS tag_id, min(p_partkey) AS ordinal FROM @part WHERE p_size <= 25 GROUP BY p_name"
 RANK_EXTRA = "SELECT p_name AS tag_id, min(p_partkey) AS ordinal FROM @part WHERE p_size > 20 GROUP BY p_name"
-CAP_BASE = "SELECT p_type AS category_id, CAST(min(p_size) AS BIGINT) AS cap, CAST(0 AS BIGINT) AS ordinal FROM @part WHERE p_brand < 'Brand#2' GROUP BY p_type"
-CAP_EXTRA = "SELECT p_type AS category_id, CAST(max(p_size) AS BIGINT) AS cap, CAST(0 AS BIGINT) AS ordinal FROM @part WHERE p_type < 'P' GROUP BY p_type"
 
 
-@query("rule_merge", f"""SELECT 'tag' AS kind, category_id AS k1, tag_id AS k2, CAST(min(layer) AS BIGINT) AS v FROM (
-  SELECT *, 0 AS layer FROM ({RULE_BASE}) UNION ALL SELECT *, 1 FROM ({RULE_EXTRA})) GROUP BY category_id, tag_id
-UNION ALL SELECT 'cap', category_id, '', arg_max(cap, layer) FROM (
-  SELECT *, 0 AS layer FROM ({CAP_BASE}) UNION ALL SELECT *, 1 FROM ({CAP_EXTRA})) GROUP BY category_id""")
+# Documents: parts of size 1 to 10 make the base, each further size is an extension.
+RULE_ROWS = "SELECT CASE WHEN p_size <= 10 THEN 0 ELSE p_size END AS doc, p_type, p_name, split_part(p_name, ' ', 2) AS noun, p_brand, p_partkey FROM @part"
+
+
+def _document(body: str, name: str) -> str:
+    """One JSON document per ``doc`` of a table that has the fields in ``body``."""
+    return f"CASE WHEN doc = 0 THEN to_json(struct({body})) ELSE to_json(named_struct('{name}', struct({body}))) END"
+
+
+def _named(key: str, value: str, alias: str) -> str:
+    return f"SELECT doc, map_from_entries(array_sort(collect_list(struct(k, v)))) AS {alias} FROM (SELECT doc, {key} AS k, array_sort(collect_set({value})) AS v FROM rows GROUP BY doc, {key}) GROUP BY doc"
+
+
+RULE_DOCUMENTS = f"""
+WITH rows AS ({RULE_ROWS}),
+tags AS (SELECT doc, p_type AS id, array_sort(collect_set(struct(concat(' ', p_name) AS id, concat(p_name, ' ', doc) AS name_en))) AS tags FROM rows GROUP BY doc, p_type),
+categories AS (SELECT doc, array_sort(collect_list(struct(id, tags))) AS categories FROM tags GROUP BY doc),
+exclusive AS ({_named('noun', 'p_name', 'mutually_exclusive_groups')}),
+ranks AS (SELECT doc, transform(array_sort(collect_list(struct(k, p_name))), x -> x.p_name) AS tag_priority_order FROM (SELECT doc, p_name, min(p_partkey) AS k FROM rows GROUP BY doc, p_name) GROUP BY doc),
+layers AS ({_named('p_brand', 'p_name', 'adult_display_layers')}),
+caps AS (SELECT doc, map_from_entries(array_sort(collect_set(struct(p_type, CASE WHEN doc = 0 THEN '5' WHEN doc % 3 = 1 THEN 'none' WHEN doc % 3 = 2 THEN concat('-', doc) ELSE concat(' ', doc) END)))) AS max_tags_per_category FROM rows GROUP BY doc),
+posts AS (SELECT doc, array_sort(collect_set(struct(p_brand AS id, doc AS source))) AS post_rules FROM rows GROUP BY doc),
+names AS ({_named('p_name', 'p_type', 'canonical_to_aliases')})
+SELECT CAST(doc > 0 AS INT) AS layer, doc AS number,
+ {_document('categories, mutually_exclusive_groups', 'taxonomy')} AS taxonomy,
+ {_document('tag_priority_order, adult_display_layers, struct(max_tags_per_category) AS conflict_resolution, post_rules', 'priority_rules')} AS priorities,
+ {_document('canonical_to_aliases', 'synonyms')} AS synonyms
+FROM categories JOIN exclusive USING (doc) JOIN ranks USING (doc) JOIN layers USING (doc) JOIN caps USING (doc) JOIN posts USING (doc) JOIN names USING (doc)"""
+
+
+def _named_sql(kind: str, key: str) -> str:
+    return f"""SELECT '{kind}' AS kind, k AS k1, p_name AS k2, dense_rank() OVER (ORDER BY home, k) - 1 AS n,
+  CAST(row_number() OVER (PARTITION BY k ORDER BY d, p_name) - 1 AS VARCHAR) AS v FROM (
+    SELECT *, min(d) OVER (PARTITION BY k) AS home FROM (SELECT {key} AS k, p_name, min(doc) AS d FROM r GROUP BY ALL))"""
+
+
+@query("rule_merge", f"""WITH r AS ({RULE_ROWS}),
+t AS (SELECT p_type, p_name, min(doc) AS d, any_value(home) AS home FROM (SELECT *, min(doc) OVER (PARTITION BY p_type) AS home FROM r) GROUP BY p_type, p_name)
+SELECT 'tag' AS kind, p_type AS k1, p_name AS k2, row_number() OVER (ORDER BY home, p_type, d > home, d, p_name) - 1 AS n, concat(p_name, ' ', d) AS v
+FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY home DESC, p_type DESC) AS last FROM t) WHERE last = 1
+UNION ALL {_named_sql('group', 'noun')}
+UNION ALL {_named_sql('layer', 'p_brand')}
+UNION ALL SELECT 'rank', 'tag_priority_order', p_name, row_number() OVER (ORDER BY doc, k) - 1, '' FROM (
+  SELECT p_name, doc, k, row_number() OVER (PARTITION BY p_name ORDER BY doc) AS i FROM (SELECT doc, p_name, min(p_partkey) AS k FROM r GROUP BY doc, p_name)) WHERE i = 1
+UNION ALL SELECT 'cap', p_type, '', CASE WHEN max(doc) = 0 THEN 5 WHEN max(doc) % 3 = 2 THEN 0 ELSE max(doc) END, '' FROM r WHERE doc = 0 OR doc % 3 <> 1 GROUP BY p_type
+UNION ALL SELECT 'post', p_brand, '', row_number() OVER (ORDER BY min(doc), p_brand) - 1, CAST(min(doc) AS VARCHAR) FROM r GROUP BY p_brand
+UNION ALL SELECT 'alias', p_name, token, row_number() OVER (ORDER BY home, p_name, own, d, token) - 1, '' FROM (
+  SELECT p_name, p_type AS token, 1 AS own, d, min(d) OVER (PARTITION BY p_name) AS home FROM t
+  UNION ALL SELECT p_name, p_name, 0, 0, min(doc) FROM r GROUP BY p_name)""")
 def _(d):
-    tags = T.merge_rule_rows(d.sql(RULE_BASE), d.sql(RULE_EXTRA), ["category_id", "tag_id"], [])
-    caps = T.merge_rule_rows(d.sql(CAP_BASE), d.sql(CAP_EXTRA), ["category_id"], ["cap"], last_wins=True)
-    a = tags.select(F.lit("tag").alias("kind"), F.col("category_id").alias("k1"), F.col("tag_id").alias("k2"), F.col("layer").cast("bigint").alias("v"))
-    b = caps.select(F.lit("cap").alias("kind"), F.col("category_id").alias("k1"), F.lit("").alias("k2"), F.col("cap").alias("v"))
-    return a.unionByName(b)
+    documents = materialize(d.sql(RULE_DOCUMENTS), "rule-documents")
+    body = lambda name: documents.select("layer", "number", F.col(name).alias("body"))
+    tables = R.rule_tables(body("taxonomy"), body("priorities"), body("synonyms"))
+    nothing, json = F.lit(""), lambda path: F.get_json_object("body", path)
+    named = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.col("name").alias("k1"), F.col("value").alias("k2"), F.col("name_ordinal").alias("n"), F.col("ordinal").cast("string").alias("v"))
+    parts = [
+        tables["taxonomy"].select(F.lit("tag").alias("kind"), F.col("category_id").alias("k1"), F.col("tag_id").alias("k2"), F.col("ordinal").alias("n"), json("$.name_en").alias("v")),
+        named("group", tables["groups"]), named("layer", tables["layers"]),
+        tables["lists"].select(F.lit("rank"), "list", "value", "ordinal", nothing), tables["caps"].select(F.lit("cap"), "category_id", nothing, "cap", nothing),
+        tables["post_rules"].select(F.lit("post"), "rule_id", nothing, "ordinal", json("$.source")), tables["aliases"].select(F.lit("alias"), "canonical_id", "token", "ordinal", nothing),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 @query("vocab_union", f"""SELECT tag_id, CAST(layer AS BIGINT) AS layer, ordinal FROM (
