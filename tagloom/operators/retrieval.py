@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,6 +56,12 @@ def _emit(q_ids, r_ids, q: np.ndarray, r: np.ndarray, k: int) -> pd.DataFrame:
     )
 
 
+def _sound(vector: str) -> Column:
+    """Whether a vector has a direction: finite components, not all zero."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # NaN is above infinity
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def vector_topk(
     queries: DataFrame,
     refs: DataFrame,
@@ -70,8 +76,10 @@ def vector_topk(
     """The query rows with (row_index, similarity, rank) of their top-k, exact.
 
     ``query_id`` and ``row_index`` are BIGINT; all other query columns are
-    kept. Zero or wrong-size queries give no rows; the similarity minimum
-    applies after the top-k.
+    kept. A vector that is NULL, zero, of another size or holds a NULL, NaN or
+    infinite component matches nothing, on either side; the library's size is
+    its most frequent one (ties: the larger). The similarity minimum applies
+    after the top-k.
 
     A library whose measured size is below ``broadcast_limit`` goes to every
     executor and the match is a column computed next to the query, so only the
@@ -86,9 +94,12 @@ def vector_topk(
     product fits in memory.
     """
     r = refs.select(F.col(ref_id).cast("bigint").alias("r"), F.col(vector).alias("v"))
-    size = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n, d = size["n"], size["d"] or 0
-    usable = queries.filter((F.size(vector) == d) & F.exists(vector, lambda x: x != 0))
+    r = r.filter(_sound("v"))
+    sizes = r.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max(F.struct("n", "d")).alias("m")).first()["m"]
+    n, d = (most["n"], most["d"]) if most else (0, 0)
+    r = r.filter(F.size("v") == d)
+    usable = queries.filter((F.size(vector) == d) & _sound(vector))
     if n == 0:
         empty = {ref_id: F.lit(0).cast("bigint"), "similarity": F.lit(0.0), "rank": F.lit(0)}
         return usable.withColumns(empty).limit(0)
@@ -137,9 +148,7 @@ def _topk_cells(q: DataFrame, r: DataFrame, k: int, n: int, block_rows: int) ->
     spark = q.sparkSession
     m = min(MAX_CELLS, max(8, math.ceil(n / block_rows)))
     # at most MAX_CELLS vectors reach the driver
-    seeds = r.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("r"), "r").limit(m).collect()
-    if not seeds:
-        seeds = r.limit(1).collect()
+    seeds = r.orderBy(F.xxhash64("r"), "r").limit(m).collect()
     pivots = spark.sparkContext.broadcast(_units(np.array([s["v"] for s in seeds], dtype=np.float64)))
 
     def angles(units: np.ndarray) -> np.ndarray:

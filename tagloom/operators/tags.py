@@ -253,8 +253,8 @@ def token_rules(
     """All rules of a token in one small table: (token, rule STRUCT, work).
 
     One join with this table replaces a chain of joins over the predictions.
-    It is written and counted, because estimates through several joins are far
-    too high and would make Spark shuffle the predictions by token.
+    It is written, because estimates through several joins are far too high and
+    would make Spark shuffle the predictions by token.
     """
     by_tag = thresholds.filter(F.col("scope") == "tag").select(F.col("key").alias("tag"), F.col("min_score").alias("_t"))
     by_category = thresholds.filter(F.col("scope") == "category").select(F.col("key").alias("category_id"), F.col("min_score").alias("_c"))
@@ -275,26 +275,26 @@ def token_rules(
     return small_side(table, "token-rules")
 
 
-def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float, work_min: float = 0.70) -> DataFrame:
-    """One pass over the predictions: (image_id, features, characters, works).
-
-    ``features`` are ordered rule structs, best score first; the others ordered
-    names. A row belongs to one category and so to one list. Rows shrink to
-    distinct (image, list, value) before they are gathered by image, so a hot
-    image brings no more than the vocabulary.
-    """
+def label_values(predictions: DataFrame, rules: DataFrame, character_min: float, work_min: float = 0.70) -> DataFrame:
+    """Predictions with (kind, value, neg): 0 for a feature, 1 a character, 2 a
+    work, null where the row counts for nothing; its place in the list is
+    (neg, pos). The rules are looked up by token, so this works on a stream."""
     rows = predictions.withColumn("token", normalize_token(F.col("tag"))).join(rules, "token", "left")
     category, score = F.col("category"), F.col("score")
     feature = category.isin(*FEATURE_CATEGORIES) & (score >= F.col("rule.min_score"))
     character = (category == "character") & (score >= character_min)
     work = (category == "copyright") & (score >= work_min) & F.col("work").isNotNull()
-    rows = rows.select(
-        "image_id",
+    return rows.select(
+        *predictions.columns,
         F.when(feature, 0).when(character, 1).when(work, 2).alias("kind"),
         F.when(feature, F.col("rule.tag")).when(character, F.col("tag")).otherwise(F.col("work")).alias("value"),
-        F.struct(F.when(feature, -score).otherwise(F.lit(0.0)).alias("neg"), "pos").alias("place"),
-    ).filter(F.col("kind").isNotNull())
-    first = rows.groupBy("image_id", "kind", "value").agg(F.min("place").alias("place"))
+        F.when(feature, -score).otherwise(F.lit(0.0)).alias("neg"),
+    )
+
+
+def labels_of(first: DataFrame, rules: DataFrame) -> DataFrame:
+    """(image_id, features, characters, works) from distinct (image_id, kind,
+    value, place)."""
     # the rule is looked up again on the reduced rows, so it is not shuffled
     known = rules.filter(F.col("rule").isNotNull()).groupBy(F.col("rule.tag").alias("value")).agg(F.any_value("rule").alias("rule"))
     known = small_side(known.withColumn("kind", F.lit(0)), "tag-rules")
@@ -308,6 +308,18 @@ def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float,
     return listed.select("image_id", features.alias("features"), names(1).alias("characters"), names(2).alias("works"))
 
 
+def image_labels(predictions: DataFrame, rules: DataFrame, character_min: float, work_min: float = 0.70) -> DataFrame:
+    """One pass over the predictions: (image_id, features, characters, works).
+
+    ``features`` are ordered rule structs, best score first; the others ordered
+    names. A row belongs to one category and so to one list. Rows shrink to
+    distinct (image, list, value) before they are gathered by image, so a hot
+    image brings no more than the vocabulary.
+    """
+    rows = label_values(predictions, rules, character_min, work_min).filter(F.col("kind").isNotNull())
+    return labels_of(rows.groupBy("image_id", "kind", "value").agg(F.min(F.struct("neg", "pos")).alias("place")), rules)
+
+
 def precise_features(features: Column, groups: list[tuple[str, list[str]]]) -> Column:
     """Exclusive groups in order, then category caps, on an image's feature list."""
     def apply(kept: Column, group: Column) -> Column:

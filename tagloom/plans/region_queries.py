@@ -11,9 +11,13 @@ from tagloom.operators import ranking as K
 from tagloom.operators import references as R
 from tagloom.operators import regions as G
 from tagloom.plans.entity_queries import hashes
+from tagloom.plans.fixtures import IMAGES as TAG_IMAGES
 from tagloom.plans.registry import Data, query
+from tagloom.plans.tag_queries import CTES as TAG_CTES
+from tagloom.plans.tag_queries import NOW, RECORD_SQL, ROOT, flat_records, predictions, token_rules
 from tagloom.plans.vector_queries import CTES, IDENTITY, _cos, identity_inputs, longs, rounded
-from tagloom.session import work_folder
+from tagloom.session import materialize, work_folder
+from tagloom.sources.files import parse_json_lines
 from tagloom.streaming import streams as ST
 
 WEIGHTS = [(0, 0.35), (5, 0.18), (9, 0.24), (13, 0.28), (20, 0.12), (31, -0.45), (40, -0.20), (50, 0.30)]
@@ -118,7 +122,32 @@ def _(d):
     return out.select("image_id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("c.box_no").cast("bigint").alias("box_no"))
 
 
-@query("region_queries")
+def _walk(name: str, source: str) -> str:
+    """Greedy choice over a ranked list of boxes: ``{name}_done(image_id, ch)``."""
+    return f"""{name}_seq AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(e, 12) DESC, area, box_no) AS n FROM ({source})),
+{name}_walk AS (SELECT image_id, n, [{{'l': l, 't': t, 'r': r, 'b': b, 'v': v, 'head': head}}] AS ch FROM {name}_seq WHERE n = 1
+ UNION ALL SELECT w.image_id, s.n, CASE WHEN len(ch) >= s.subject_count OR len(list_filter(ch, lambda c: {_iou('c', 's')} >= 0.28 OR {_cos('c.v', 's.v')} >= 0.985)) > 0 THEN ch
+   ELSE list_append(ch, {{'l': s.l, 't': s.t, 'r': s.r, 'b': s.b, 'v': s.v, 'head': s.head}}) END FROM {name}_walk w JOIN {name}_seq s ON s.image_id = w.image_id AND s.n = w.n + 1),
+{name}_done AS (SELECT image_id, arg_max(ch, n) AS ch FROM {name}_walk GROUP BY 1)"""
+
+
+def _crop(i: int, box: tuple, weight: float) -> str:
+    l, t, r, b = box
+    return f"""SELECT image_id, {i + 1} AS region, {weight!r} AS weight, l, t FROM (SELECT image_id, x.l, x.t, greatest(x.l + 1, least(width, round_even(width * {r!r}, 0)))::BIGINT AS r, greatest(x.t + 1, least(height, round_even(height * {b!r}, 0)))::BIGINT AS b
+ FROM (SELECT image_id, width, height, greatest(0, least(width - 1, round_even(width * {l!r}, 0)))::BIGINT AS l, greatest(0, least(height - 1, round_even(height * {t!r}, 0)))::BIGINT AS t FROM img) x) WHERE r - l >= 96 AND b - t >= 96"""
+
+
+@query("region_queries", f"""WITH RECURSIVE {SCORED},
+{_walk('one', "SELECT * FROM eff WHERE box_no < CASE WHEN subject_count <= 1 THEN 12 ELSE 16 END")},
+again AS (SELECT img.image_id FROM img LEFT JOIN one_done d USING (image_id) WHERE d.image_id IS NULL OR len(ch) < subject_count OR ch[1].head < 0.30),
+{_walk('two', "SELECT * FROM eff WHERE image_id IN (SELECT image_id FROM again) AND box_no < CASE WHEN subject_count <= 1 THEN 20 ELSE 26 END")},
+chosen AS (SELECT * FROM one_done WHERE image_id NOT IN (SELECT image_id FROM again) UNION ALL SELECT * FROM two_done),
+heads AS (SELECT image_id, i AS region, 0.95 + least(0.30, greatest(0, ch[i].head)) AS weight, ch[i].v AS v FROM (SELECT *, unnest(range(1, len(ch) + 1)) AS i FROM chosen)),
+crops AS ({" UNION ALL ".join(_crop(i, box, w) for i, (box, w) in enumerate(B.FALLBACK_REGIONS))}),
+fixed AS (SELECT c.image_id, region, weight, {VECTOR} AS v FROM crops c JOIN embeddings ON vec_id = c.image_id WHERE c.image_id NOT IN (SELECT image_id FROM heads)),
+every AS (SELECT vec_id AS image_id, 0 AS region, {B.FULL_IMAGE_WEIGHT!r} AS weight, list_transform(range(1, 65), lambda i: abs(CAST(embedding[i] AS DOUBLE)) * 3.0) AS v FROM embeddings
+ UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM fixed)
+SELECT image_id, CAST(region AS BIGINT) AS region, round(CAST(weight AS DOUBLE), 6) AS weight, round(list_sum(v), 4) AS total FROM every""")
 def _(d):
     rows = G.region_queries(images(d), crop_scorer, WEIGHTS)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
@@ -183,42 +212,68 @@ def _(d):
 # --------------------------------------------------------------------- streams
 
 
-def event_stream(d: Data, files: int | None = None):
-    schema = d.events.schema
-    if files is None:
-        return d.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.folder)
-    # several files in time order, one per batch
+def written_batches(rows, order: str, batches: int, path: str, write) -> int:
+    """Write rows in ``batches`` steps of ascending ``order``, each by several
+    tasks; the number of files that each step has."""
+    files = 4
+    last = rows.agg(F.max(order)).first()[0]
+    for i in range(batches):
+        write(rows.filter(F.floor(F.col(order) * batches / (last + 1)) == i).repartition(files), path)
+    return files
+
+
+def event_stream(d: Data, batches: int, session=None):
     path = work_folder(d.spark, "events")
-    last = d.events.agg(F.max("event_id")).first()[0]
-    for i in range(files):
-        part = F.floor(F.col("event_id") * files / (last + 1)) == i
-        d.events.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = written_batches(d.events, "event_id", batches, path, lambda df, to: df.write.mode("append").parquet(to))
+    return (session or d.spark).readStream.schema(d.events.schema).option("maxFilesPerTrigger", files).parquet(path)
+
 
+PREDICTION = "image_id BIGINT, image_path STRING, n_rows BIGINT, pos BIGINT, tag STRING, category STRING, score DOUBLE"
 
-@query("stream_records", "SELECT event_id, user_id, event_type FROM @events WHERE event_type NOT IN ('error', 'view')")
+
+@query("stream_records", TAG_CTES + f", {RECORD_SQL} SELECT *, FALSE AS review_required, 'labeled_draft' AS status, '{NOW}' AS created_at FROM records")
 def _(d):
+    """Prediction lines, broken ones among them, come in batches that cut through the images."""
     out = work_folder(d.spark, "records")
-    good = F.to_json(F.struct("event_id", "user_id", "event_type"))
-    line = F.when(F.col("event_type") == "error", F.substring(good, 1, 9)).when(F.col("event_type") == "view", F.lit("log line")).otherwise(good)
-    schema = "event_id BIGINT, user_id BIGINT, event_type STRING"
-    ST.stream_records(event_stream(d).select(line.alias("line")), "line", schema, f"{out}/rows", f"{out}/checkpoint")
-    return d.spark.read.schema(schema).json(f"{out}/rows/batch=*")
+    rows = predictions(d)
+    counts = rows.groupBy("image_id").agg(F.countDistinct("pos", "tag", "category", "score").alias("n_rows"))
+    sizes = d.sql(TAG_IMAGES).select("image_id", "image_path").join(counts, "image_id", "left")
+    lines = sizes.join(rows, "image_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    good = F.to_json(F.struct(*[x.split()[0] for x in PREDICTION.split(", ")]))
+    pair = F.explode(F.when(F.xxhash64("image_id", "pos") % 5 == 0, F.array(good, F.substring(good, 1, 9), F.lit("log line"))).otherwise(F.array(good)))
+    lines = lines.select(F.pmod(F.xxhash64("image_id", "pos"), F.lit(300)).alias("at"), pair.alias("value"))
+    files = written_batches(materialize(lines, "prediction-lines"), "at", 3, f"{out}/lines", lambda df, to: df.select("value").write.mode("append").text(to))
+    stream = d.spark.readStream.option("maxFilesPerTrigger", files).text(f"{out}/lines")
+    found = parse_json_lines(stream, "value", PREDICTION)
+    ST.stream_annotations(found, token_rules(d), 0.85, ROOT, NOW, f"{out}/rows", f"{out}/checkpoint", buckets=64)
+    return flat_records(ST.read_annotations(d.spark, f"{out}/rows")).withColumn("image_id", F.col("image_id").cast("bigint"))
 
 
 @query("stream_latest_by_key", "SELECT '/u/' || user_id AS path_key, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM @events GROUP BY user_id")
 def _(d):
     out = work_folder(d.spark, "latest")
     rows = event_stream(d, 3).select(F.concat(F.lit("/U/"), "user_id").alias("path"), "event_id", "event_type")
-    ST.stream_latest(rows, "path", "event_id", f"{out}/rows", f"{out}/checkpoint")
+    ST.stream_latest(rows, "path", "event_id", f"{out}/rows", f"{out}/checkpoint", buckets=16)
     return ST.read_latest(d.spark, f"{out}/rows", "event_id").select("path_key", "event_id", "event_type")
 
 
-@query("stream_unseen_session")
+def _page_sql(batch: int) -> str:
+    """The page of a batch: keys that no earlier page showed first, each kind by position."""
+    shown = " UNION ALL ".join(f"SELECT session, key FROM p{i}" for i in range(batch)) or "SELECT session, key FROM k WHERE false"
+    return f"""p{batch} AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY k.session ORDER BY s.key IS NOT NULL, pos) AS rank
+  FROM k LEFT JOIN (SELECT DISTINCT * FROM ({shown})) s ON s.session = k.session AND s.key = k.key WHERE batch = {batch}) WHERE rank <= 4)"""
+
+
+@query("stream_unseen_session", f"""WITH k AS (
+  SELECT user_id AS session, CAST(floor(event_id * 3 / (last + 1)) AS BIGINT) AS batch, event_type || '-' || CAST(floor(value / 20) AS BIGINT) AS key, min(event_id) AS pos
+  FROM @events, (SELECT max(event_id) AS last FROM @events) GROUP BY ALL),
+{_page_sql(0)}, {_page_sql(1)}, {_page_sql(2)}
+SELECT session, rank, key, pos, batch FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)""")
 def _(d):
     out = work_folder(d.spark, "unseen")
-    pool = event_stream(d, 3).select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), F.concat_ws("-", "event_type", F.floor(F.col("value") / 20).cast("string")).alias("key"))
-    ST.stream_unseen_pages(pool, 4, f"{out}/rows", f"{out}/checkpoint")
+    key = F.concat_ws("-", "event_type", F.floor(F.col("value") / 20).cast("string"))
+    pools = lambda session: event_stream(d, 3, session).select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), key.alias("key"))
+    ST.stream_unseen_pages(d.spark, pools, 4, f"{out}/rows", f"{out}/checkpoint")
     return d.spark.read.parquet(f"{out}/rows").select("session", F.col("rank").cast("bigint").alias("rank"), "key", "pos", F.col("batch").cast("bigint").alias("batch"))
 
 

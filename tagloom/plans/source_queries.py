@@ -20,7 +20,8 @@ def longs(df, *names):
     return df.select(*[F.col(c).cast("bigint").alias(c) if c in names else c for c in df.columns])
 
 
-@query("scan_media")
+@query("scan_media", r"""SELECT regexp_extract(url, '([^/]+)$', 1) AS file, lower(replace(url, '\', '/')) AS key, strlen(html) AS length
+ FROM @pages WHERE regexp_matches(lower(url), '[^/\\.][^/\\]*\.(html|org)$')""")
 def _(d):
     rows = S.media_paths(d.pages.select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("length")), (".html", ".org"))
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), X.path_key(F.col("path")).alias("key"), "length")

@@ -122,12 +122,15 @@ def work_rows(d: Data):
     return T.works(predictions(d), rule(d, "work_map"))
 
 
-def labels(d: Data):
-    rules = T.token_rules(
+def token_rules(d: Data):
+    return T.token_rules(
         aliases(d), rule(d, "taxonomy"), rule(d, "thresholds"), rule(d, "blocked"), rule(d, "caps"), rule(d, "category_rank"),
         rule(d, "tag_rank"), rule(d, "work_map"), MINIMUM,
     )
-    return T.image_labels(predictions(d), rules, 0.85)
+
+
+def labels(d: Data):
+    return T.image_labels(predictions(d), token_rules(d), 0.85)
 
 
 def keywords(d: Data):

@@ -56,6 +56,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder; it goes when the program ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
