@@ -61,30 +61,82 @@ def running_numbers(rows: DataFrame, keys: list[str], order: list, name: str = "
     return numbered.select(*[F.col(f"r.`{c}`") for c in rows.columns], (F.col("r._line") + F.col("s._shift")).alias(name))
 
 
-FOLD_ROWS = 10_000  # of a group that one task folds at most; larger groups go in rounds
+FOLD_ROWS = 10_000  # of a group that one task folds at most; a larger one is cut into components
+COMPONENT_ROWS = 200_000  # of a component, on ids and keys alone, that one task walks; a larger one goes in rounds
 
 
-def _split(rows: DataFrame, group: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+def _large(rows: DataFrame, keys: list[str], limit: int, name: str) -> DataFrame:
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit)
+    return materialize(sizes.select(*keys), name)
+
+
+def _split(rows: DataFrame, keys: list[str], limit: int, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups small enough for a fold, and those of the others, if any."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FOLD_ROWS)
-    large = materialize(sizes.select(group), name)
+    large = _large(rows, keys, limit, name)
     if large.isEmpty():
         return rows, None
-    return rows.join(large, group, "left_anti"), rows.join(large, group, "left_semi")
+    return rows.join(large, keys, "left_anti"), rows.join(large, keys, "left_semi")
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of ``edges(u, v)`` (BIGINT): equal labels are
+    connected.
+
+    Each node hooks to its smallest neighbour if that is smaller; the forest is
+    flattened by pointer jumping and its roots, at most about half of the
+    nodes, make the next graph. Logarithmic in the nodes, also for a chain.
+    """
+    both = edges.filter("u <> v").select("u", "v")
+    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "component-edges")
+    label, step = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct(), 0
+    while not both.isEmpty():
+        step += 1
+        hook = both.groupBy("u").agg(F.min("v").alias("up")).filter("up < u")
+        root = materialize(root_labels(hook, "u", "up"), f"component-roots-{step}")
+        moved = label.join(root.select(F.col("u").alias("label"), "up"), "label", "left")
+        label = materialize(moved.select("node", F.coalesce("up", "label").alias("label")), f"component-labels-{step}")
+        for side in ("u", "v"):
+            to = root.select(F.col("u").alias(side), F.col("up").alias("_to"))
+            both = both.join(to, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        both = materialize(both.select("u", "v").filter("u <> v").distinct(), f"component-edges-{step}")
+    return label
 
 
 def greedy_distinct(rows: DataFrame, group: str, order: str, keys: tuple[str, str]) -> DataFrame:
     """Keep a row unless an earlier kept row of its group shares one of two keys.
 
     Exact. Groups of at most FOLD_ROWS rows are walked once, on ids and keys
-    alone; larger ones never meet in one task. A NULL key never conflicts.
-    ``order`` is unique within a group.
+    alone. In a larger one only the first row of a pair of keys can stay; the
+    graph whose nodes are the keys and whose edges these rows is cut into its
+    components, and each is walked on its own. Only a component of more than
+    COMPONENT_ROWS goes in rounds and never meets in one task; how many rounds
+    depends on the order of its rows. A NULL key never conflicts. ``order`` is
+    unique within a group.
     """
     rows = materialize(rows, "greedy-rows")
-    small, large = _split(rows, group, "greedy-large")
+    small, large = _split(rows, [group], FOLD_ROWS, "greedy-large")
     a, b = keys
-    slim = small.select(group, order, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"))
-
+    slim = lambda some: some.select(group, order, F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b"))
+    walk = _walk_distinct(group, order)
+    schema = rows.select(group, order).schema
+    chosen = slim(small).groupBy(group).applyInPandas(walk, schema)
+    if large is not None:
+        free = large.filter(F.col(a).isNull() & F.col(b).isNull()).select(group, order)
+        pairs = slim(large).filter("_a IS NOT NULL OR _b IS NOT NULL")
+        pairs = materialize(pairs.groupBy(group, "_a", "_b").agg(F.min(order).alias(order)), "greedy-pairs")
+        node = lambda k: F.xxhash64(group, F.lit(k), k)  # noqa: E731  two keys of one hash only join their components
+        edges = pairs.filter("_a IS NOT NULL AND _b IS NOT NULL").select(node("_a").alias("u"), node("_b").alias("v"))
+        own = F.when(F.col("_a").isNotNull(), node("_a")).otherwise(node("_b"))
+        parts = pairs.withColumn("node", own).join(component_labels(edges), "node", "left").withColumn("_part", F.coalesce("label", "node")).drop("node", "label")
+        parts = materialize(parts, "greedy-parts")
+        walked, huge = _split(parts, [group, "_part"], COMPONENT_ROWS, "greedy-huge")
+        chosen = chosen.unionByName(walked.groupBy(group, "_part").applyInPandas(walk, schema)).unionByName(free)
+        if huge is not None:
+            chosen = chosen.unionByName(_distinct_rounds(huge.drop("_part"), group, order, ("_a", "_b")).select(group, order))
+    return rows.join(chosen, [group, order], "left_semi").select(*rows.columns)
+
+
+def _walk_distinct(group: str, order: str):
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         seen_a, seen_b, keep = set(), set(), []
@@ -97,9 +149,7 @@ def greedy_distinct(rows: DataFrame, group: str, order: str, keys: tuple[str, st
                 seen_b.add(y)
         return pdf.loc[keep, [group, order]]
 
-    chosen = slim.groupBy(group).applyInPandas(walk, slim.select(group, order).schema)
-    kept = small.join(chosen, [group, order], "left_semi").select(*rows.columns)
-    return kept if large is None else kept.unionByName(_distinct_rounds(large, group, order, keys))
+    return walk
 
 
 def _distinct_rounds(rows: DataFrame, group: str, order: str, keys: tuple[str, str]) -> DataFrame:
@@ -145,17 +195,29 @@ def near_pairs(rows: DataFrame, group: str, order: str, hashed: str) -> DataFram
 def keep_unlike(rows: DataFrame, group: str, order: str, hashed: str, accepted: str | None = None) -> DataFrame:
     """Greedy near-duplicate removal: a row stays unless an earlier kept row of
     its group has a hash within two bits. NULL hashes stay. Rows flagged in
-    ``accepted`` are kept as they are."""
+    ``accepted`` are kept as they are. Groups of more than FOLD_ROWS distinct
+    hashes are cut into components of near pairs; only a component that is
+    itself larger goes in rounds."""
     flag = F.col(accepted) if accepted else F.lit(False)
     marked = rows.withColumn("_in", flag)
     hashes = marked.filter(F.col(hashed).isNotNull())
     # equal hashes: only the first can stay, the others share its fate
     firsts = hashes.groupBy(group, hashed).agg(F.min(order).alias(order), F.bool_or("_in").alias("_in"))
     firsts = materialize(firsts, "unlike-hashes")
-    small, large = _split(firsts, group, "unlike-large")
-    kept = small.select(group, order, hashed, "_in").groupBy(group).applyInPandas(_walk_unlike(group, order, hashed), small.select(group, order).schema)
+    small, large = _split(firsts, [group], FOLD_ROWS, "unlike-large")
+    walk, schema = _walk_unlike(group, order, hashed), firsts.select(group, order).schema
+    kept = small.select(group, order, hashed, "_in").groupBy(group).applyInPandas(walk, schema)
     if large is not None:
-        kept = kept.unionByName(_unlike_rounds(large, group, order, hashed))
+        # hashes that are near each other, directly or through others, are walked together
+        near = materialize(near_pairs(large, group, order, hashed), "unlike-pairs")
+        labels = component_labels(near.select(F.xxhash64(group, "low").alias("u"), F.xxhash64(group, "high").alias("v")))
+        parts = large.withColumn("node", F.xxhash64(group, order)).join(labels, "node", "left")
+        alone = parts.filter("label IS NULL").select(group, order)
+        parts = materialize(parts.filter("label IS NOT NULL").select(group, order, hashed, "_in", F.col("label").alias("_part")), "unlike-parts")
+        walked, huge = _split(parts, [group, "_part"], FOLD_ROWS, "unlike-huge")
+        kept = kept.unionByName(alone).unionByName(walked.groupBy(group, "_part").applyInPandas(walk, schema))
+        if huge is not None:
+            kept = kept.unionByName(_unlike_rounds(huge.drop("_part"), group, order, hashed))
     stay = marked.join(kept.withColumn("_kept", F.lit(True)), [group, order], "left")
     keep = F.col("_in") | F.col(hashed).isNull() | F.coalesce("_kept", F.lit(False))
     return stay.filter(keep).select(*rows.columns)

@@ -90,9 +90,10 @@ def test_equal_additions_without_link_get_ids_of_their_own(spark):
     assert len(ids) == len(set(ids)) == 2
 
 
-@pytest.mark.parametrize("fold", [10_000, 5])
-def test_greedy_distinct(spark, monkeypatch, fold):
+@pytest.mark.parametrize(("fold", "part"), [(10_000, 200_000), (5, 200_000), (5, 5)])
+def test_greedy_distinct(spark, monkeypatch, fold, part):
     monkeypatch.setattr(K, "FOLD_ROWS", fold)
+    monkeypatch.setattr(K, "COMPONENT_ROWS", part)
     random.seed(3)
     rows = [(g, i, random.choice([None, *range(12)]), random.choice([None, *range(12)])) for g in range(3) for i in range(60)]
     rows += [(7, i, 1, i) for i in range(200)]  # one hot key
@@ -110,6 +111,38 @@ def test_greedy_distinct(spark, monkeypatch, fold):
     assert {(r["g"], r["i"]) for r in got} == want
 
 
+def test_a_long_chain_ends_without_rounds(spark, monkeypatch):
+    """Rows that conflict one by one from first to last, a-b-a-b, in one group."""
+    def rounds(*_):
+        raise AssertionError("rounds over a chain that a task can walk")
+
+    monkeypatch.setattr(K, "_distinct_rounds", rounds)
+    n = 20_000
+    chain = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).alias("i"), F.floor(F.col("id") / 2).alias("a"), F.floor((F.col("id") + 1) / 2).alias("b"))
+    order = {i * 7919 % n: i for i in range(n)}
+    want, seen_a, seen_b = set(), set(), set()
+    for at in range(n):
+        i = order[at]
+        if i // 2 not in seen_a and (i + 1) // 2 not in seen_b:
+            want.add(at)
+            seen_a.add(i // 2)
+            seen_b.add((i + 1) // 2)
+    assert {r["i"] for r in K.greedy_distinct(chain, "g", "i", ("a", "b")).collect()} == want
+
+
+def test_component_labels(spark):
+    random.seed(12)
+    edges = [(random.randrange(300), random.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 5001 + i) for i in range(90)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for u, v in edges:
+        root[find(u)] = find(v)
+    got = {r.node: r.label for r in K.component_labels(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert set(got) == {x for u, v in edges if u != v for x in (u, v)}
+    pairs = {(find(x), label) for x, label in got.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 @pytest.mark.parametrize("fold", [10_000, 5])
 def test_keep_unlike(spark, monkeypatch, fold):
     monkeypatch.setattr(K, "FOLD_ROWS", fold)
