@@ -44,6 +44,7 @@ from tagloom.llm.texts import (
 from tagloom.session import materialize
 
 BLOCK_KEYS = 1 << 20  # keys that a mapper groups at once
+BUCKETS = 16  # of keys in a reducer, which holds one of them at a time
 LIST_ROWS = 128  # members of one tile
 LEAST_WORDS = 8  # 64-bit words of the smallest folded sketch that pairs are filtered by
 
@@ -224,25 +225,34 @@ def _found(tiles: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a reducer's buckets: passes documents and finished lists on, and
-    lists the nodes of each key that came from more than one mapper."""
-    packed = []
+    """Passes documents and finished lists on, and lists the nodes of each key
+    that came from more than one mapper. Rows come sorted by bucket; the keys
+    of one bucket are held at a time."""
+    packed, at = [], None
+
+    def flush():
+        key, node = (np.concatenate(x) for x in zip(*packed))
+        packed.clear()
+        _, _, tiles = _lists(key, node)
+        yield from _found([(int(np.uint64(key).view(np.int64)), nodes) for key, nodes in tiles])
+
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
+        kind, bucket = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
         doc = batch.filter(pa.array(kind == DOC))
         none = pa.array([None] * doc.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [doc.column("doc"), doc.column("n"), doc.column("node"), doc.column("data"), none, pa.array([None] * doc.num_rows, pa.list_(pa.int64()))],
             ["doc", "n", "node", "sketch", "key", "members"])
-        lists = [np.frombuffer(x, np.int64) for x in batch.column("data").filter(pa.array(kind == LIST)).to_pylist()]
+        data = batch.column("data")
+        lists = [np.frombuffer(x, np.int64) for x in data.filter(pa.array(kind == LIST)).to_pylist()]
         yield from _found([(int(x[0]), x[1:]) for x in lists])
-        packed.extend(unpack_keys(x) for x in batch.column("data").filter(pa.array(kind == PACKED)).to_pylist())
+        for i in np.flatnonzero(kind == PACKED).tolist():
+            if bucket[i] != at and packed:
+                yield from flush()
+            at = bucket[i]
+            packed.append(unpack_keys(data[i].as_py()))
     if packed:
-        key, node = (np.concatenate(x) for x in zip(*packed))
-        packed = None
-        _, _, tiles = _lists(key, node)
-        yield from _found([(int(np.uint64(key).view(np.int64)), nodes) for key, nodes in tiles])
-    key = node = None
+        yield from flush()
     give_back()
 
 
@@ -387,9 +397,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = parts(spark)
-    mapped = slim.mapInArrow(_map_keys(k, num, den, buckets), EXCHANGED)
-    found = materialize(mapped.repartitionById(buckets, "bucket").mapInArrow(_meet, FOUND), "ngram-found")
+    tasks = parts(spark)
+    mapped = slim.mapInArrow(_map_keys(k, num, den, tasks * BUCKETS), EXCHANGED)
+    dealt = mapped.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    found = materialize(dealt.mapInArrow(_meet, FOUND), "ngram-found")
 
     rows = found.filter(F.col("doc").isNotNull()).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     small = found.filter(F.col("node").isNotNull()).select("node", "n", "sketch").dropDuplicates(["node"])
