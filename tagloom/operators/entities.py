@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import localize as L
 from tagloom.functions import text as X
 from tagloom.operators.ranking import first_per_key, root_labels
-from tagloom.session import materialize
+from tagloom.session import materialize, small_side
 
 # The source whose identity wins in a merge.
 PROVIDER_PRIORITY = {"anilist": 4, "bangumi": 3, "jikan": 2, "manual": 1}
@@ -113,35 +113,77 @@ def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return inside.union(around).distinct().withColumn("overlap", F.least(F.length("l"), F.length("r")))
 
 
+BLANK, ANY = "blank", "any"  # work keys of untitled works
+
+
+def work_keys(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(title, work) of both sides: two titles are compatible exactly when they
+    share a work key.
+
+    ``left`` and ``right`` are distinct titles. A title has its canonical key;
+    the right one its variants and the left one the right variants that one of
+    its own contains or is contained in, found once per distinct variant. An
+    untitled right work has a key that every left one has, and the other way
+    round. So works never meet works in a product.
+    """
+    title = lambda rows: with_source_keys(rows.select(F.col("title").alias("t")), "t", "t").select(F.col("t").alias("title"), "t_canonical", "t_variants")
+    left, right = materialize(title(left), "left-works"), materialize(title(right), "right-works")
+    of = lambda rows: rows.select("title", F.explode("t_variants").alias("key"))
+    pairs = containing_pairs(of(left).select("key"), of(right).select("key"))
+    by_variant = of(left).withColumnRenamed("key", "l").join(pairs, "l").select("title", F.concat(F.lit("v:"), "r").alias("work"))
+    empty = X.strip(F.col("title")) == ""
+    keys = lambda always, untitled: F.array_compact(F.array(F.concat(F.lit("c:"), "t_canonical"), F.lit(always), F.when(empty, F.lit(untitled))))
+    lefts = left.select("title", F.explode(keys(BLANK, ANY)).alias("work")).unionByName(by_variant).distinct()
+    rights = right.select("title", F.explode(keys(ANY, BLANK)).alias("work")).unionByName(of(right).select("title", F.concat(F.lit("v:"), "key").alias("work"))).distinct()
+    return small_side(lefts, "left-work-keys"), small_side(rights, "right-work-keys")
+
+
+HOT_ROWS = 4096  # of a join key that one task gets
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Equi-join in which a key may hold any number of rows of ``many``: those
+    of a hot key are dealt out over salts, and its rows of ``few`` go to each."""
+    sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = small_side(sizes.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_salts")), "hot-keys")
+    salt = F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    spread = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def identity_fuzzy_join(candidates: DataFrame, entities: DataFrame, strict_source: bool = False) -> DataFrame:
     """(candidate_id, id): first entity, in ordinal order, with the same identity.
 
     A name key contains the other with enough letters and the works agree, or
     the display name matches with one letter more whatever the work. Candidate
     keys include the work title; ``strict_source`` drops that and the second rule.
+
+    Per name pair the entities are first reduced to the first one of each work
+    key, so a name in m works on one side and n on the other costs m + n rows.
     """
     names = F.array(F.col("display_name"), *([] if strict_source else [F.col("source_title")]))
     c_keys = candidates.select(
-        "candidate_id", F.coalesce("source_title", F.lit("")).alias("c_source"), X.match_key(F.col("display_name")).alias("display"),
-        F.explode(X.match_keys(F.concat(names, F.coalesce("aliases", F.array())))).alias("key"),
+        "candidate_id", F.coalesce("source_title", F.lit("")).alias("title"), X.match_key(F.col("display_name")).alias("display"),
+        F.explode(X.match_keys(F.concat(names, F.coalesce("aliases", F.array())))).alias("l"),
     )
     e_names = F.concat(F.array("display_name"), F.transform(F.coalesce("aliases", F.array()), lambda a: a["name"]))
     e_keys = entities.select(
-        "ordinal", F.coalesce("source_title", F.lit("")).alias("e_source"), F.explode(X.match_keys(e_names)).alias("key")
+        "ordinal", F.coalesce("source_title", F.lit("")).alias("title"), F.explode(X.match_keys(e_names)).alias("r")
     )
     # equal names collapse before anything is paired
-    c_side = c_keys.select(F.col("key").alias("l"), "c_source").distinct()
-    e_side = e_keys.groupBy(F.col("key").alias("r"), "e_source").agg(F.min("ordinal").alias("ordinal"))
-    pairs = containing_pairs(c_keys.select("key"), e_keys.select("key"))
+    c_keys = materialize(c_keys, "candidate-keys")
+    e_side = materialize(e_keys.groupBy("r", "title").agg(F.min("ordinal").alias("ordinal")), "entity-keys")
+    pairs = materialize(containing_pairs(c_keys.select(F.col("l").alias("key")), e_side.select(F.col("r").alias("key"))), "name-pairs")
+    c_works, e_works = work_keys(c_keys.select("title").distinct(), e_side.select("title").distinct())
     need = X.minimum_match_length(F.col("l"))
 
-    enough = pairs.filter(F.col("overlap") >= F.greatest(F.lit(2), need))
-    wide = enough.join(with_source_keys(c_side, "c_source", "c"), "l").join(with_source_keys(e_side, "e_source", "e"), "r")
-    same_work = source_compatible(
-        F.col("c_source"), F.col("e_source"), F.col("c_canonical"), F.col("e_canonical"), F.col("c_variants"), F.col("e_variants")
-    )
-    by_name = wide.filter(same_work).groupBy("l", "c_source").agg(F.min("ordinal").alias("ordinal"))
-    hits = c_keys.join(by_name.withColumnRenamed("l", "key"), ["key", "c_source"]).select("candidate_id", "ordinal")
+    enough = pairs.filter(F.col("overlap") >= F.greatest(F.lit(2), need)).select("l", "r")
+    firsts = e_side.join(e_works, "title").groupBy("r", "work").agg(F.min("ordinal").alias("ordinal"))
+    firsts = salted_join(firsts, enough, "r").groupBy("l", "work").agg(F.min("ordinal").alias("ordinal"))
+    by_work = c_keys.select("l", "title").distinct().join(c_works, "title").join(firsts, ["l", "work"])
+    by_name = by_work.groupBy("l", "title").agg(F.min("ordinal").alias("ordinal"))
+    hits = c_keys.join(by_name, ["l", "title"]).select("candidate_id", "ordinal")
     if not strict_source:
         e_first = e_side.groupBy("r").agg(F.min("ordinal").alias("ordinal"))
         long_enough = pairs.filter(F.col("overlap") >= F.greatest(F.lit(2), need + 1))

@@ -61,6 +61,33 @@ def running_numbers(rows: DataFrame, keys: list[str], order: list, name: str = "
     return numbered.select(*[F.col(f"r.`{c}`") for c in rows.columns], (F.col("r._line") + F.col("s._shift")).alias(name))
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the key, by ranges like
+    ``running_numbers``."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.withColumn("_value", value).repartitionByRange(n, *keys, *order)
+    ranges = materialize(ranges.withColumn("_range", F.spark_partition_id()), "summed")
+    inside = F.sum("_value").over(W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    sizes = ranges.groupBy(*keys, "_range").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    summed = ranges.withColumn("_inside", inside).join(offsets, [*keys, "_range"])
+    return summed.withColumn(name, F.col("_before") + F.coalesce("_inside", F.lit(0))).drop("_value", "_range", "_inside", "_before")
+
+
+def top_per_key(rows: DataFrame, keys: list[str], order: list, n: str, most: int, name: str = "rank") -> DataFrame:
+    """Rows of rank <= the column ``n`` per key; no ``n`` is above ``most``.
+
+    For a moderate ``most`` each task first keeps its own best rows of a key,
+    so a hot key brings few of them to its reducer; beyond that ranks are
+    running numbers over ranges of the order."""
+    if most <= FOLD_ROWS:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn(name, place).filter((F.col(name) <= most) & (F.col(name) <= F.col(n)))
+    ranked = running_numbers(rows, keys, order, name)
+    return ranked.withColumn(name, (F.col(name) + 1).cast("int")).filter(F.col(name) <= F.col(n))
+
+
 FOLD_ROWS = 10_000  # of a group that one task folds at most; a larger one is cut into components
 COMPONENT_ROWS = 200_000  # of a component, on ids and keys alone, that one task walks; a larger one goes in rounds
 

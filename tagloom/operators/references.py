@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagloom.functions import text as X
 from tagloom.functions import vectors as V
+from tagloom.operators.ranking import first_per_key, keep_unlike, running_numbers, top_per_key
 from tagloom.session import materialize
 
 # Fixed values of the identity filter.
@@ -145,8 +147,10 @@ def identity_filter(
     ``entities(entity_id)`` are reported even without any candidate.
 
     ``candidates(entity_id, pos, path, width, height, vector)``; a NULL vector
-    is an unreadable image. ``limits`` is one number or (entity_id, quota).
+    is an unreadable image. ``limits`` is one number or (entity_id, quota). An
+    entity with very many candidates is ranked by many tasks.
     """
+    most = max(1, limits) if isinstance(limits, int) else (limits.agg(F.max("quota")).first()[0] or 0)
     state = seed_state(seed_rows(avatars, references))
     rows = candidates.join(state, "entity_id", "left")
     if isinstance(limits, int):
@@ -184,9 +188,9 @@ def identity_filter(
     good = (F.col("centroid_similarity") >= CENTROID_MIN) & (
         ~F.col("avatar_seen") | (F.col("avatar_similarity") >= dynamic_floor(F.col("best_avatar")))
     )
-    order = W.partitionBy("entity_id").orderBy(F.desc(F.round(F.coalesce("weighted", F.lit(0.0)), 12)), "pos")
     kept = scored.join(state.select("entity_id", "best_avatar"), "entity_id").filter(passed | good)
-    kept = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("quota"))
+    kept = kept.withColumn("_less", -F.round(F.coalesce("weighted", F.lit(0.0)), 12))
+    kept = top_per_key(kept, ["entity_id"], ["_less", "pos"], "quota", most)
     kept = kept.select("entity_id", "rank", "pos", "path", "weighted", "centroid_similarity", "avatar_similarity")
 
     counts = kept.groupBy("entity_id").agg(F.count(F.lit(1)).alias("kept_count"), F.min("weighted").alias("worst_kept"))
@@ -232,3 +236,59 @@ def reference_prune(references: DataFrame, avatars: DataFrame) -> DataFrame:
     kept, _ = identity_filter(many, avatars, many.limit(0), sizes.filter(F.col("quota") > 1))
     single = references.join(sizes.filter(F.col("quota") == 1), "entity_id", "left_semi")
     return kept.select("entity_id", "pos", "path").unionByName(single.select("entity_id", "pos", "path"))
+
+
+# ------------------------------------------------------------ new references
+
+
+def listed_references(references: DataFrame, files: DataFrame) -> DataFrame:
+    """``references(entity_id, pos, path, ...)`` that count: slashes unified,
+    not blank, the first of equal paths of an entity, present in ``files(path)``."""
+    rows = references.withColumn("path", X.strip(F.translate("path", "\\", "/"))).filter("path <> ''")
+    rows = rows.join(files.select("path").distinct(), "path", "left_semi").select(*references.columns)
+    return first_per_key(rows, ["entity_id", "path"], ["pos"])
+
+
+def reference_name(folder: Column, content_sha1: Column, source: Column) -> Column:
+    """Path of a stored file: its folder, 16 digits of its digest, its extension."""
+    return F.concat(folder, F.lit("/"), F.substring(content_sha1, 1, 16), F.coalesce(F.nullif(X.extension(source), F.lit("")), F.lit(".img")))
+
+
+def reference_append(references: DataFrame, additions: DataFrame) -> DataFrame:
+    """(entity_id, ordinal, path, added): the references of each entity with new
+    files behind them.
+
+    ``references(entity_id, pos, path, h)`` are listed ones;
+    ``additions(entity_id, pos, source, folder, sha1, h)`` are files, NULL
+    ``sha1`` for a missing one; ``h`` is the picture hash, NULL if it cannot be
+    read. A new file is left out if its stored name is there already or if its
+    hash is within two bits of one that is kept before it.
+    """
+    old = references.select("entity_id", F.lit(0).alias("layer"), F.col("pos").cast("bigint").alias("pos"), "path", "h")
+    new = additions.filter("sha1 IS NOT NULL").withColumn("path", reference_name(F.col("folder"), F.col("sha1"), F.col("source")))
+    new = new.join(references.select("entity_id", "path"), ["entity_id", "path"], "left_anti")
+    new = first_per_key(new.select("entity_id", F.lit(1).alias("layer"), F.col("pos").cast("bigint").alias("pos"), "path", "h"), ["entity_id", "path"], ["pos"])
+    rows = running_numbers(old.unionByName(new), ["entity_id"], ["layer", "pos", "path"], "o").withColumn("old", F.col("layer") == 0)
+    kept = keep_unlike(materialize(rows, "reference-files"), "entity_id", "o", "h", accepted="old")
+    return running_numbers(kept, ["entity_id"], ["o"], "ordinal").select("entity_id", "ordinal", "path", (~F.col("old")).alias("added"))
+
+
+def reference_augment(candidates: DataFrame, avatars: DataFrame, references: DataFrame, limit: int = MAX_REFERENCES) -> tuple[DataFrame, DataFrame]:
+    """(references after the run, summary per entity with free places).
+
+    ``candidates(entity_id, pos, path, width, height, vector, source, folder,
+    sha1, h)`` fill the free places of their entity, chosen by the identity
+    filter, unless they look like a reference. ``references(entity_id, pos,
+    path, vector, h)`` are listed ones. Summary: entity_id, quota, added.
+    """
+    counts = references.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    quotas = candidates.select("entity_id").distinct().join(counts, "entity_id", "left")
+    quotas = quotas.select("entity_id", remaining_quota(limit, F.coalesce("n", F.lit(0))).alias("quota")).filter(F.col("quota") > 0)
+    quotas = materialize(quotas, "augment-quotas")
+    wanted = candidates.join(quotas, "entity_id", "left_semi")
+    chosen, _ = identity_filter(wanted.select("entity_id", "pos", "path", "width", "height", "vector"), avatars, references.select("entity_id", "pos", "path", "vector"), quotas)
+    files = wanted.select("entity_id", "pos", "source", "folder", "sha1", "h").join(chosen.select("entity_id", "pos", "rank"), ["entity_id", "pos"])
+    after = reference_append(references, files.drop("pos").withColumnRenamed("rank", "pos"))
+    after = materialize(after, "augment-references")
+    added = after.filter("added").groupBy("entity_id").agg(F.count(F.lit(1)).alias("added"))
+    return after, quotas.join(added, "entity_id", "left").select("entity_id", "quota", F.coalesce("added", F.lit(0)).alias("added"))

@@ -58,12 +58,25 @@ src AS (SELECT t, {uniq(variant_keys('t'))} AS v, CASE WHEN k = 'genshin' OR sta
 compat AS (SELECT a.t AS l, b.t AS r FROM src a, src b WHERE a.t = '' OR b.t = '' OR a.c = b.c OR len(list_filter(a.v, lambda x: len(list_filter(b.v,
   lambda y: (contains(y, x) AND len(x) >= 4) OR (contains(x, y) AND len(y) >= 4))) > 0)) > 0)"""
 BASE = f"""WITH entities AS ({ENTITIES}), candidates AS ({CANDIDATES}), {LINKS}, {SOURCES}"""
-IDENT = f"""e_keys AS (SELECT DISTINCT ordinal, id, source_title, {key('display_name')} AS k FROM entities UNION SELECT ordinal, id, source_title, {key('p_brand')} FROM entities WHERE p_size = 7),
-c_keys AS (SELECT candidate_id, source_title, k, d FROM (SELECT candidate_id, source_title, {key('display_name')} AS d, unnest([{key('display_name')}, {key('source_title')}]) AS k FROM candidates) WHERE k <> ''),
-kp AS (SELECT l, r, {_overlap('l', 'r')} AS o FROM (SELECT DISTINCT k AS l FROM c_keys), (SELECT DISTINCT k AS r FROM e_keys)),
-rule1 AS (SELECT c.candidate_id, min(e.ordinal) AS ordinal FROM c_keys c JOIN kp ON kp.l = c.k AND kp.o >= 4 JOIN e_keys e ON e.k = kp.r JOIN compat ON compat.l = c.source_title AND compat.r = e.source_title GROUP BY 1),
-rule2 AS (SELECT c.candidate_id, min(e.ordinal) AS ordinal FROM (SELECT DISTINCT candidate_id, d FROM c_keys) c JOIN kp ON kp.l = c.d AND kp.o >= 5 JOIN e_keys e ON e.k = kp.r GROUP BY 1),
-ident AS (SELECT candidate_id, min(ordinal) AS ordinal FROM (SELECT * FROM rule1 UNION ALL SELECT * FROM rule2) GROUP BY 1)"""
+
+
+def _identity(name: str, entity_keys: str, candidate_keys: str) -> str:
+    """``{name}(candidate_id, ordinal)``: first entity of the same identity, from
+    keys (ordinal, source_title, k) and (candidate_id, source_title, d, k)."""
+    return f"""{name}_e AS ({entity_keys}), {name}_c AS ({candidate_keys}),
+{name}_kp AS (SELECT l, r, {_overlap('l', 'r')} AS o FROM (SELECT DISTINCT k AS l FROM {name}_c), (SELECT DISTINCT k AS r FROM {name}_e)),
+{name}_1 AS (SELECT c.candidate_id, min(e.ordinal) AS ordinal FROM {name}_c c JOIN {name}_kp kp ON kp.l = c.k AND kp.o >= 4 JOIN {name}_e e ON e.k = kp.r JOIN compat ON compat.l = c.source_title AND compat.r = e.source_title GROUP BY 1),
+{name}_2 AS (SELECT c.candidate_id, min(e.ordinal) AS ordinal FROM (SELECT DISTINCT candidate_id, d FROM {name}_c) c JOIN {name}_kp kp ON kp.l = c.d AND kp.o >= 5 JOIN {name}_e e ON e.k = kp.r GROUP BY 1),
+{name} AS (SELECT candidate_id, min(ordinal) AS ordinal FROM (SELECT * FROM {name}_1 UNION ALL SELECT * FROM {name}_2) GROUP BY 1)"""
+
+
+def _candidate_keys(source: str) -> str:
+    return f"SELECT candidate_id, source_title, k, d FROM (SELECT candidate_id, source_title, {key('display_name')} AS d, unnest([{key('display_name')}, {key('source_title')}]) AS k FROM {source}) WHERE k <> ''"
+
+
+IDENT = _identity(
+    "ident", f"SELECT DISTINCT ordinal, source_title, {key('display_name')} AS k FROM entities UNION SELECT ordinal, source_title, {key('p_brand')} FROM entities WHERE p_size = 7",
+    _candidate_keys("candidates"))
 
 
 def entities(d: Data):
@@ -107,16 +120,20 @@ def _(d):
 NEW_ID = f"'custom_' || {slug('display_name')} || '_' || substr(sha1(display_name || '|' || source_title || '|' || provider || '|' || provider_entity_id), 1, 8)"
 
 
-@query("library_import", BASE + f""", {IDENT}, c AS (SELECT *, {LINK} AS lk FROM candidates),
-linked AS (SELECT c.*, l.id FROM c LEFT JOIN ent_links l ON l.link_key = lk),
-acts AS (SELECT candidate_id, CASE WHEN id IS NOT NULL THEN 'existing' WHEN i.ordinal IS NOT NULL THEN 'merge' ELSE 'new' END AS action FROM linked LEFT JOIN ident i USING (candidate_id))
-SELECT action, count(*) AS n FROM acts GROUP BY action""")
-def _(d):
-    rows = N.library_import(candidates(d), entities(d))
-    # duplicates inside the batch are new to the library as well
-    ids = entities(d).select("id").withColumn("_old", F.lit(True))
-    acts = rows.join(ids, "id", "left").select(F.when(F.col("_old").isNull(), "new").otherwise(F.col("action")).alias("action"))
-    return acts.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+@query("library_import", BASE.replace("WITH", "WITH RECURSIVE", 1) + f""", {IDENT}, c AS (SELECT *, {LINK} AS lk FROM candidates),
+linked AS (SELECT c.*, l.id AS link_id, e.id AS same_id FROM c LEFT JOIN ent_links l ON l.link_key = lk LEFT JOIN ident i USING (candidate_id) LEFT JOIN entities e ON e.ordinal = i.ordinal),
+rest AS (SELECT *, min(ordinal) OVER (PARTITION BY coalesce(lk, '#' || candidate_id)) AS owner FROM linked WHERE link_id IS NULL AND same_id IS NULL),
+own AS (SELECT * FROM rest WHERE ordinal = owner),
+{_identity("batch", f"SELECT ordinal, source_title, {key('display_name')} AS k FROM own WHERE {key('display_name')} <> ''", _candidate_keys("own"))},
+parent AS (SELECT own.ordinal, least(own.ordinal, coalesce(b.ordinal, own.ordinal)) AS up FROM own LEFT JOIN batch b USING (candidate_id)),
+climb AS (SELECT ordinal, up FROM parent UNION SELECT c.ordinal, p.up FROM climb c JOIN parent p ON p.ordinal = c.up),
+root AS (SELECT ordinal AS owner, min(up) AS root FROM climb GROUP BY 1),
+ids AS (SELECT ordinal AS root, {NEW_ID} AS id FROM own)
+SELECT candidate_id, 'existing' AS action, link_id AS id FROM linked WHERE link_id IS NOT NULL
+UNION ALL SELECT candidate_id, 'merge', same_id FROM linked WHERE link_id IS NULL AND same_id IS NOT NULL
+UNION ALL SELECT candidate_id, CASE WHEN ordinal = root THEN 'new' WHEN ordinal = owner THEN 'merge' ELSE 'existing' END, ids.id FROM rest JOIN root USING (owner) JOIN ids USING (root)""")
+def _(d):
+    return N.library_import(candidates(d), entities(d)).select("candidate_id", "action", "id")
 
 
 @query("library_import_new", BASE + f""", c AS (SELECT *, coalesce({LINK}, '#' || candidate_id) AS lk FROM candidates WHERE NOT coalesce({LINK} IN (SELECT link_key FROM ent_links), FALSE)),

@@ -337,3 +337,36 @@ def test_scan_media_lists_the_pages_by_extension(spark, tmp_path):
     for name in ("b.JPG", "a.png", "c.txt"):
         (tmp_path / name).write_bytes(b"xy")
     assert [(r.path.split("/")[-1], r.length) for r in files.scan_media(spark, str(tmp_path)).collect()] == [("a.png", 2), ("b.JPG", 2)]
+
+
+def test_a_name_in_many_works_on_both_sides(spark, monkeypatch):
+    """One name, many works: the first compatible entity of each candidate, and
+    no join of works with works."""
+    monkeypatch.setattr(N, "HOT_ROWS", 50)
+    random.seed(21)
+    n = 700
+    title = lambda: random.choice(["", "Zeta", f"Saga {random.randrange(900)}", f"Story of {random.choice('abcdef')}{random.randrange(60)} - part {random.randrange(3)}"])
+    ents = [(f"e{i}", i, "Same Name", None, title()) for i in range(1, n)]
+    cands = [(i, i, "Same Name" if i % 9 else "Sam", title(), []) for i in range(n)]
+    e = spark.createDataFrame(ents, "id string, ordinal bigint, display_name string, aliases array<struct<name:string,language:string>>, source_title string")
+    c = spark.createDataFrame(cands, "candidate_id bigint, ordinal bigint, display_name string, source_title string, aliases array<string>")
+    got = {r.candidate_id: r.id for r in N.identity_fuzzy_join(c, e, strict_source=True).collect()}
+
+    key = lambda t: re.sub(r"[^0-9a-z]", "", t.lower())
+    variants = lambda t: {key(t), key(t.split(" - ")[0])} - {""}
+    cut = lambda t: key(t.split(" - ")[0])
+    def compatible(a, b):
+        if not a or not b or cut(a) == cut(b):
+            return True
+        return any((x in y and len(x) >= 4) or (y in x and len(y) >= 4) for x in variants(a) for y in variants(b))
+
+    works = {}
+    for _, i, _, _, t in ents:
+        works.setdefault(t, i)
+    want = {}
+    for i, _, name, t, _ in cands:
+        if name == "Same Name":
+            firsts = [o for w, o in works.items() if compatible(t, w)]
+            if firsts:
+                want[i] = f"e{min(firsts)}"
+    assert got == want and want
