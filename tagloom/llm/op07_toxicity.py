@@ -4,23 +4,36 @@ A linear model over hashed words is trained from confirmed toxic texts and
 unlabelled ones. With class prior p, the risk is p * E_P[l(f)] plus the risk
 of the negatives, E_U[l(-f)] - p * E_P[l(-f)], which is kept from going below
 zero: where it does, the step goes the other way.
+
+E_U is over all unlabelled texts. Each round begins with its value and gradient
+at the present weights, summed over the whole table; the steps of the round
+move from there by the difference that a sample of the texts shows between the
+weights then and now. A bounded sample thus steers the steps, and the whole
+table sets the risk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import id_fold, query, table
 from tagloom.llm.features import hashed_words
 from tagloom.llm.texts import slices
+from tagloom.session import materialize
 
 BITS = 18
-POSITIVES, UNLABELLED = 4_000, 10_000  # texts that training reads at most
+POSITIVES, UNLABELLED = 4_000, 4_000  # texts that come to the driver at most
+HELD_BYTES = 48 << 20  # of their bucket lists at most
+ROUNDS, STEPS = 20, 15  # sums over all unlabelled texts, and steps from each
+SLICE = 4096  # weights of a slice of the gradient
+SKIP = 0xFFFF  # in a coded list: no bucket, only a step of as many
 
 
 def weight(sizes: np.ndarray) -> np.ndarray:
@@ -60,53 +73,159 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(pos: SparseRows, unl: SparseRows, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4, size: int = 1 << BITS) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the corrected logistic risk."""
-    w, b = np.zeros(size + 1), 0.0
+Whole = Callable[[np.ndarray], tuple[float, np.ndarray]]
+
+
+def _unlabelled_risk(rows: SparseRows, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean of l(-f) over rows, its gradient's part by bucket, and by margin."""
+    z = rows.dot(w[:-1]) + w[-1]
+    r = sigmoid(z) / max(1, rows.n)
+    return float(np.logaddexp(0, z).mean()) if rows.n else 0.0, np.append(rows.back(r, len(w) - 1), r.sum()), z
+
+
+def fit_nnpu(pos: SparseRows, unl: SparseRows, prior: float, whole: Whole | None = None, rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-4, size: int = 1 << BITS) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the corrected logistic risk.
+
+    ``whole(weights)`` gives the mean of l(-f) over all unlabelled texts and its
+    gradient; without it the sample ``unl`` is all of them.
+    """
+    w = np.zeros(size + 1)
     if not pos.n or not unl.n:
         return w[:-1], -40.0 if not pos.n else 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, steps + 1):
-        zp, zu = pos.dot(w[:-1]) + w[-1], unl.dot(w[:-1]) + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    total = rounds * steps
+    for t in range(1, total + 1):
+        if whole is not None and (t - 1) % steps == 0:
+            risk, gradient = whole(w)
+            then_risk, then_gradient, _ = _unlabelled_risk(unl, w)
+            risk, gradient = risk - then_risk, gradient - then_gradient  # what the sample leaves out
+        zp = pos.dot(w[:-1]) + w[-1]
+        risk_u, gradient_u, _ = _unlabelled_risk(unl, w)
+        if whole is not None:
+            risk_u, gradient_u = risk_u + risk, gradient_u + gradient
+        negative = risk_u - prior * np.logaddexp(0, zp).mean()
         # gradients of the losses l(f) = log(1 + e^-f) and l(-f) by the margin
-        up, down_p, down_u = -sigmoid(-zp) / pos.n, sigmoid(zp) / pos.n, sigmoid(zu) / unl.n
-        if negative >= 0:
-            rp, ru = prior * up - prior * down_p, down_u
-        else:
-            rp, ru = prior * down_p, -down_u
-        g = np.append(pos.back(rp, size) + unl.back(ru, size), rp.sum() + ru.sum()) + decay * w
+        up, down = -sigmoid(-zp) / pos.n, sigmoid(zp) / pos.n
+        rp, sign = (prior * up - prior * down, 1.0) if negative >= 0 else (prior * down, -1.0)
+        g = np.append(pos.back(rp, size), rp.sum()) + sign * gradient_u + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (0.1 + 0.9 * (1 - t / steps))
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (0.1 + 0.9 * (1 - t / total))
     return w[:-1], float(w[-1])
 
 
+def coded(row: np.ndarray, bucket: np.ndarray, rows: int) -> list[bytes]:
+    """The ascending buckets of each row as steps of two bytes."""
+    step = np.diff(bucket, prepend=0)
+    new = np.diff(row, prepend=-1) != 0
+    step[new] = bucket[new]
+    skips = step // SKIP
+    out = np.full(len(step) + int(skips.sum()), SKIP, np.uint16)
+    at = np.arange(len(step)) + np.cumsum(skips)
+    out[at] = step - skips * SKIP
+    ends = np.searchsorted(row, np.arange(rows + 1))
+    cut = np.concatenate([[0], at + 1])[ends].tolist()
+    return [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+
+
+def decoded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of coded lists."""
+    flat = lists.cast(pa.large_binary())
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] // 2
+    data = flat.buffers()[2]
+    step = (np.frombuffer(data, np.uint16) if data is not None else np.zeros(0, np.uint16))[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    total = np.concatenate([[0], np.cumsum(step, dtype=np.int64)])
+    row = np.repeat(np.arange(len(flat)), np.diff(offsets))
+    real = step != SKIP
+    return row[real], (total[1:] - total[offsets[:-1]][row])[real]
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         row, bucket = hashed_words(batch.column("text"), BITS)
-        cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
-        flat = bucket.astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array([flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])])], ["doc_id", "part", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coded(row, bucket, batch.num_rows), pa.binary())], ["doc_id", "buckets"])
+
 
+def _margins(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    row, bucket = decoded(batch.column("buckets"))
+    scale = weight(np.bincount(row, minlength=batch.num_rows))
+    return np.bincount(row, w[bucket], batch.num_rows) * scale + w[-1], row, bucket, scale
 
-def _score(w: np.ndarray, bias: float):
+
+def _score(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            row, bucket = hashed_words(batch.column("text"), BITS)
-            sizes = np.bincount(row, minlength=batch.num_rows)
-            margin = np.bincount(row, w[bucket], batch.num_rows) * weight(sizes) + bias
+        for batch in batches:
+            margin, *_ = _margins(batch, weights.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(margin))], ["doc_id", "score"])
 
     return run
 
 
-def learnt(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, prior: float | None) -> tuple[np.ndarray, float]:
-    """The model from bounded samples of the rows that may be learnt from.
+PARTS = "slice int, n bigint, risk double, part binary"
+
+
+def _risk_parts(weights):
+    """A task's rows, risk and gradient, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        gradient, n, risk = np.zeros(len(w)), 0, 0.0
+        for batch in batches:
+            z, row, bucket, scale = _margins(batch, w)
+            r = sigmoid(z)
+            gradient[:-1] += np.bincount(bucket, (r * scale)[row], len(w) - 1)
+            gradient[-1] += r.sum()
+            n, risk = n + batch.num_rows, risk + float(np.logaddexp(0, z).sum())
+        cuts = [gradient[at : at + SLICE].astype(np.float32).tobytes() for at in range(0, len(w), SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([n] * len(cuts), pa.int64()), pa.array([risk] * len(cuts)), pa.array(cuts, pa.binary())], ["slice", "n", "risk", "part"])
+
+    return run
+
+
+def _summed(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x, np.float32) for x in parts["part"]], axis=0, dtype=np.float64)
+    return pd.DataFrame({"slice": [key[0]], "n": [parts["n"].sum()], "risk": [parts["risk"].sum()], "part": [total.astype(np.float32).tobytes()]})
+
+
+def whole_risk(features: DataFrame) -> Whole:
+    """The mean of l(-f) over all rows of ``features(buckets)`` and its gradient,
+    as a function of the weights. A task sums its rows; the sums of the tasks,
+    as many as the session has places for a few times over, meet by slices."""
+    context = features.sparkSession.sparkContext
+    tasks = 4 * max(context.defaultParallelism, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def whole(w: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = context.broadcast(w)
+        parts = features.select("buckets").coalesce(tasks).mapInArrow(_risk_parts(weights), PARTS)
+        found = sorted(parts.groupBy("slice").applyInPandas(_summed, PARTS).collect())
+        weights.unpersist()
+        n = max(1, found[0]["n"]) if found else 1
+        gradient = np.concatenate([np.frombuffer(r["part"], np.float32) for r in found]).astype(np.float64) if found else np.zeros(len(w))
+        return (found[0]["risk"] if found else 0.0) / n, gradient / n
+
+    return whole
+
+
+def _sample(features: DataFrame, ids: DataFrame, rows: int) -> SparseRows:
+    """The lists of ``ids`` (at most ``rows``), in a fixed order, as many as HELD_BYTES allow."""
+    chosen = features.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # bounded by the limit of ids
+    sized = chosen.withColumns({"o": F.xxhash64("doc_id"), "b": F.octet_length("buckets")})
+    upto = F.sum("b").over(W.orderBy("o", "doc_id"))
+    some = sized.withColumn("upto", upto).filter((F.col("upto") <= HELD_BYTES) | (F.col("upto") == F.col("b")))
+    lists = some.orderBy("o", "doc_id").select("buckets").limit(rows).toArrow()["buckets"].combine_chunks()
+    row, bucket = decoded(lists if isinstance(lists, pa.Array) else lists.chunk(0)) if len(lists) else (np.zeros(0, np.int64),) * 2
+    cut = np.searchsorted(row, np.arange(len(lists) + 1)).tolist()
+    return SparseRows([bucket[a:b] for a, b in zip(cut[:-1], cut[1:])])
+
+
+def learnt(features: DataFrame, labels: DataFrame, positives: int, unlabelled: int, prior: float | None) -> tuple[np.ndarray, float]:
+    """The model of (doc_id, buckets), from the rows that may be learnt from.
 
     Labels of 0 serve only for the prior (the share of toxic among labelled
-    rows), where none is given; the texts of the second sample count as
-    unlabelled whatever their label.
+    rows), where none is given; every other text is unlabelled, whatever its
+    label. Positives and the sample of the unlabelled are bounded in rows and
+    bytes; the sums over the unlabelled are not.
     """
     learn = id_fold("doc_id", 4) != 2
     known = labels.filter(F.col("toxic").isin(0, 1)).filter(learn).select("doc_id", "toxic").dropDuplicates(["doc_id"])
@@ -114,27 +233,28 @@ def learnt(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int,
         count = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
         prior = ((count["p"] or 0) + 1) / ((count["n"] or 0) + 10)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    pos = known.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives).withColumn("part", F.lit(1))
-    ids = docs.filter(learn).select("doc_id").distinct()
-    unl = ids.orderBy(*order).limit(unlabelled).withColumn("part", F.lit(0))
-    chosen = pos.unionByName(unl)  # bounded by the two parameters
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "part"]).select("doc_id", "part", "text")
-    found = sorted(rows.mapInArrow(_buckets, "doc_id bigint, part int, buckets binary").collect())
-    lists = [[np.frombuffer(r["buckets"], np.int32) for r in found if r["part"] == part] for part in (1, 0)]
-    return fit_nnpu(SparseRows(lists[0]), SparseRows(lists[1]), prior)
+    texts = features.filter(learn)
+    pos = known.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
+    unl = texts.select("doc_id").distinct().orderBy(*order).limit(unlabelled)
+    return fit_nnpu(_sample(texts, pos, positives), _sample(texts, unl, unlabelled), prior, whole_risk(texts))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    The model learns from at most ``positives`` toxic and ``unlabelled`` other
-    texts outside the held-out fold (crc32 of the id's text mod 4 is 2);
-    without a toxic text all scores are near 0. Null, empty and wordless texts
-    get the score of the bias alone. Repeated rows score alike; a null doc_id
-    is scored, not learnt from and not held out; other columns are ignored.
+    The model learns from at most ``positives`` toxic texts and from all others
+    outside the held-out fold (crc32 of the id's text mod 4 is 2); at most
+    ``unlabelled`` of these steer its steps. Without a toxic text all scores are
+    near 0. Null, empty and wordless texts get the score of the bias alone.
+    Repeated rows score alike; a null doc_id is scored, not learnt from and not
+    held out; ids that are no whole numbers are an error; other columns are
+    ignored; an empty table gives no rows.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = slim.mapInArrow(_score(*learnt(slim, labels, positives, unlabelled, prior)), "doc_id bigint, score double")
+    features = materialize(slim.mapInArrow(_buckets, "doc_id bigint, buckets binary"), "toxicity-words")
+    w, bias = learnt(features, labels, positives, unlabelled, prior)
+    weights = docs.sparkSession.sparkContext.broadcast(np.append(w, bias))
+    out = features.mapInArrow(_score(weights), "doc_id bigint, score double")
     held = F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
