@@ -1,18 +1,22 @@
 """Line dedup by winnowing over line hashes.
 
-A gram is the shortest run of lines from a place that holds ``noise`` words; a
-window is the shortest that holds ``guarantee`` words, and its smallest gram
-is a fingerprint. Any repeated run of at least ``guarantee`` words holds the
-same window wherever it stands, so it shares a fingerprint with its copies.
-Every place of a fingerprint is joined with the first one, the match is
-extended both ways over equal lines, and the later run is deleted.
-
-By default the two are equal. Every gram is a fingerprint then, the shortest
-runs that end at a place too, and the lines of each later place are deleted.
-That is whole without extension: in a run of ``noise`` words each line begins
-or ends a gram inside the run, or lies in the gram that begins with the run.
-A larger guarantee means fewer fingerprints, leaves shorter repeats to hash
-luck, and extends a match only against the first place of its fingerprint.
+A gram is the shortest run of lines from a place that holds half of ``noise``
+words; a window is the shortest run that holds ``noise`` words. The smallest
+gram of each window that begins at a line is a fingerprint, so any repeated
+run of ``noise`` words has one, the same wherever it stands. Every place of a
+fingerprint is joined with the first one, the match is extended both ways over
+equal lines, and the later run goes if it holds ``noise`` words.
+
+The first place of a fingerprint may stand among other lines than the run that
+is repeated. So a window, whether it begins or ends at a line, is joined by a
+second key as well: its smallest gram together with all its lines. That makes
+the result whole: in a run of ``noise`` words each line begins or ends a window
+inside the run, or lies in the window that begins with the run.
+
+A ``guarantee`` above ``noise`` asks for less: grams hold ``noise`` words and
+windows ``guarantee``; there are fewer fingerprints and no second keys, shorter
+repeats are left to hash luck, and a match is extended only against the first
+place of its fingerprint.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from tagloom.llm.common import NO_ID, query, table
 from tagloom.llm.texts import SPACES, STEP, U, byte_table, mixed, ragged, signed, slices, span_hashes, text_bytes, words
 from tagloom.session import materialize
 
-PRINTS = "doc_id bigint, row bigint, lines array<bigint>, at array<int>, print array<bigint>, first array<int>, last array<int>"
+PRINTS = "doc_id bigint, row bigint, lines array<bigint>, many array<int>, at array<int>, print array<bigint>, first array<int>, last array<int>, gram array<boolean>"
 
 
 def run_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -73,8 +77,36 @@ def grams(h: np.ndarray, many: np.ndarray, noise: int) -> tuple[np.ndarray, np.n
     return run_hashes(h, first, end), first, end - 1
 
 
+def window_prints(h: np.ndarray, many: np.ndarray, noise: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first line, last line) of the windows that begin or end at a line;
+    the key is the window's smallest gram together with its lines."""
+    total = np.concatenate([[0], np.cumsum(many)])
+    stop = np.searchsorted(total, total[:-1] + gram_words(noise), side="left")
+    here = np.flatnonzero(stop <= len(h))
+    gram = np.full(len(h), U(0xFFFFFFFFFFFFFFFF))
+    gram[here] = run_hashes(h, here, stop[here])
+    window, first, last = grams(h, many, noise)
+    least = gram[first]  # a window holds the gram that begins with it
+    for k in range(1, int((last - first).max()) + 1 if len(first) else 0):
+        at = np.minimum(first + k, len(h) - 1)
+        inside = (first + k <= last) & (stop[at] <= last + 1)
+        least = np.where(inside, np.minimum(least, gram[at]), least)
+    with np.errstate(over="ignore"):
+        return mixed(window + mixed(least * STEP)), first, last
+
+
+def gram_words(noise: int) -> int:
+    return max(1, noise // 2)
+
+
 def _prints(noise: int, guarantee: int):
-    select = (lambda h, many: grams(h, many, noise)) if guarantee == noise else (lambda h, many: fingerprints(h, many, noise, guarantee))
+    def select(h, many):
+        """Prints, first and last lines, and how many of them are fingerprints."""
+        if guarantee > noise:
+            found = fingerprints(h, many, noise, guarantee)
+            return (*found, len(found[0]))
+        gram, window = fingerprints(h, many, gram_words(noise), noise), window_prints(h, many, noise)
+        return (*(np.concatenate(x) for x in zip(gram, window)), len(gram[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -90,10 +122,11 @@ def _prints(noise: int, guarantee: int):
             found = [select(h[a:b], many[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
             sizes = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])])
             prints, lo, hi = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
+            is_gram = np.concatenate([np.arange(len(x[0])) < x[3] for x in found]) if found else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), ragged(cut, signed(h), pa.int64()), ragged(cut, number[head], pa.int32()),
-                 ragged(sizes, signed(prints), pa.int64()), ragged(sizes, lo, pa.int32()), ragged(sizes, hi, pa.int32())],
-                ["doc_id", "row", "lines", "at", "print", "first", "last"])
+                [batch.column("doc_id"), batch.column("row"), ragged(cut, signed(h), pa.int64()), ragged(cut, many, pa.int32()), ragged(cut, number[head], pa.int32()),
+                 ragged(sizes, signed(prints), pa.int64()), ragged(sizes, lo, pa.int32()), ragged(sizes, hi, pa.int32()), ragged(sizes, is_gram, pa.bool_())],
+                ["doc_id", "row", "lines", "many", "at", "print", "first", "last", "gram"])
 
     return run
 
@@ -109,57 +142,58 @@ def matched(lines: list[int], first: int, last: int, other: list[int], offset: i
     return lo, hi
 
 
-def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        drops = []
-        for lines, at, places in zip(*(batch.column(c) for c in ("lines", "at", "places"))):
-            lines, at, gone = lines.as_py(), at.as_py(), set()
-            for p in places.as_py():
-                lo, hi = matched(lines, p["first"], p["last"], p["around"], p["offset"])
-                gone.update(at[lo : hi + 1])
-            drops.append(sorted(gone))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(drops, pa.list_(pa.int32()))], ["doc_id", "row", "removed"])
+def _deleted(noise: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drops = []
+            for lines, many, at, places in zip(*(batch.column(c) for c in ("lines", "many", "at", "places"))):
+                lines, at, gone = lines.as_py(), at.as_py(), set()
+                total = np.concatenate([[0], np.cumsum(many.values.to_numpy())])
+                for p in places.as_py():
+                    lo, hi = p["first"], p["last"]
+                    if p["around"] is not None:
+                        lo, hi = matched(lines, lo, hi, p["around"], p["offset"])
+                    if total[hi + 1] - total[lo] >= noise:
+                        gone.update(at[lo : hi + 1])
+                drops.append(sorted(gone))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(drops, pa.list_(pa.int32()))], ["doc_id", "row", "removed"])
+
+    return run
 
 
 def repeated_lines(docs: DataFrame, noise: int = 8, guarantee: int | None = None) -> DataFrame:
     """(doc_id, row, removed): line numbers (from 0) of repeated runs, for each
     distinct (doc_id, text) that has any; row is xxhash64 of the text.
 
-    Lines end with a line feed and are compared without white space around
-    them; lines without a word never count. First is the place of the smallest
-    (doc_id, row, line); a null doc_id comes first and is returned as the
-    smallest bigint. Null and empty texts have no lines. Fully repeated rows
-    are one text. The lines of one text are handled together. ``guarantee`` is
-    ``noise`` unless given.
+    Every line goes that lies in a run of at least ``noise`` words which also
+    stands at an earlier place. Lines end with a line feed and are compared
+    without white space around them; lines without a word never count. First is
+    the place of the smallest (doc_id, row, line); a null doc_id comes first and
+    is returned as the smallest bigint. Null and empty texts have no lines.
+    Fully repeated rows are one text. The lines of one text are handled
+    together. An empty table gives no rows; ids that are no whole numbers are
+    an error.
     """
     guarantee = noise if guarantee is None else guarantee
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    whole = guarantee == noise
-    texts = slim.mapInArrow(_prints(noise, guarantee), PRINTS)
-    texts = materialize(texts.drop("lines") if whole else texts, "line-prints")
-    prints = texts.select("doc_id", "row", F.explode(F.arrays_zip("print", "first", "last")).alias("p"))
-    prints = prints.select("doc_id", "row", F.col("p.print").alias("print"), F.col("p.first").alias("first"), F.col("p.last").alias("last"))
+    texts = materialize(slim.mapInArrow(_prints(noise, guarantee), PRINTS), "line-prints")
+    prints = texts.select("doc_id", "row", F.explode(F.arrays_zip("print", "first", "last", "gram")).alias("p")).select("doc_id", "row", "p.*")
     place = F.struct("doc_id", "row", "first")
-    firsts = prints.groupBy("print").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l")
-    if whole:
-        firsts = materialize(firsts.select("print", F.col("f").alias("place")), "line-firsts")
-        later = prints.join(firsts, "print").filter(place != F.col("place"))
-        later = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("places"))
-        gone = F.flatten(F.transform("places", lambda p: F.slice("at", p["first"] + 1, p["last"] - p["first"] + 1)))
-        numbers = texts.select("doc_id", "row", "at").dropDuplicates(["doc_id", "row"])
-        return later.join(numbers, ["doc_id", "row"]).select("doc_id", "row", F.array_sort(F.array_distinct(gone)).alias("removed"))
-    firsts = firsts.select("print", F.col("f.doc_id").alias("doc_id"), F.col("f.row").alias("row"), F.col("f.first").alias("line"))
-    lines = texts.select("doc_id", "row", "lines", "at").dropDuplicates(["doc_id", "row"])
-    # a match is compared with at most 2 * ``guarantee`` lines of the first
-    # place; where the run's other fingerprints have other first places, short
-    # lines beyond that or unlike the first place's own stay
+    firsts = prints.groupBy("print").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.any_value("gram").alias("gram")).filter("f <> l")
+    firsts = materialize(firsts.select("print", "gram", F.col("f.doc_id").alias("doc_id"), F.col("f.row").alias("row"), F.col("f.first").alias("line")), "line-firsts")
+    lines = texts.select("doc_id", "row", "lines", "many", "at").dropDuplicates(["doc_id", "row"])
+    # a match is compared with some lines around the first place; in a longer run
+    # the next fingerprint goes on from there
     low = F.greatest(F.lit(0), F.col("line") - guarantee)
     around = F.slice("lines", low + 1, F.col("line") - low + 2 * guarantee)
-    firsts = firsts.join(lines, ["doc_id", "row"]).select("print", F.struct("doc_id", "row", F.col("line").alias("first")).alias("place"), around.alias("around"), (F.col("line") - low).alias("offset"))
-    firsts = materialize(firsts, "line-firsts")
-    later = prints.join(firsts, "print").filter(place != F.col("place"))
-    later = later.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "around", "offset")).alias("places"))
-    return later.join(lines, ["doc_id", "row"]).mapInArrow(_deleted, "doc_id bigint, row bigint, removed array<int>")
+    home = F.struct("doc_id", "row", F.col("line").alias("first")).alias("place")
+    grams_ = firsts.filter("gram").join(lines.select("doc_id", "row", "lines"), ["doc_id", "row"]).select("print", home, around.alias("around"), (F.col("line") - low).alias("offset"))
+    windows = firsts.filter("NOT gram").select("print", home, F.lit(None).cast("array<bigint>").alias("around"), F.lit(None).cast("int").alias("offset"))
+    known = materialize(grams_.unionByName(windows), "line-places")
+    later = prints.join(known, "print").filter(place != F.col("place"))
+    later = later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last", "around", "offset")).alias("places"))
+    found = later.join(lines, ["doc_id", "row"]).mapInArrow(_deleted(noise), "doc_id bigint, row bigint, removed array<int>")
+    return found.filter(F.size("removed") > 0)
 
 
 def without_repeated_lines(docs: DataFrame, noise: int = 8, guarantee: int | None = None, removed: str | None = None) -> DataFrame:
