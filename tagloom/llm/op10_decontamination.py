@@ -2,32 +2,49 @@
 
 Every shard (a slice of a task's documents) is a sequence of word hashes. Its
 suffix array holds the word positions in the order of what follows them, to
-the depth that the test suffixes are searched at; positions that cannot begin
-a test suffix are left out by a bit table before sorting. All suffixes of the
-test items are then binary-searched in every shard; the matches are extended
-to their full lengths and located in the documents.
+the depth that the test suffixes are searched at: ``window`` words, or a whole
+shorter item. All suffixes of the test items are binary-searched in every
+shard; a match is located in its document and extended to its full length, and
+the longest matches give the words that are hit and the items. Positions and
+test suffixes whose first words do not occur on the other side, by a table of
+bits, are left out before sorting and searching.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import NO_ID, query, table
-from tagloom.llm.texts import ALNUM, U, byte_table, gram_hashes, lowered, ragged, slices, span_hashes, text_bytes, words
+from tagloom.llm.texts import ALNUM, U, byte_table, gram_hashes, kept, lowered, ragged, slices, span_hashes, text_bytes, words
 from tagloom.session import materialize
 
 TEST_BYTES = 32 << 20  # of test text that travels to the tasks at once; more goes in blocks
 
 
+BITS = 22  # of the tables that leave out what cannot match
+
+
+def _marked(grams: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << BITS, bool)
+    bits[(grams & U((1 << BITS) - 1)).astype(np.int64)] = True
+    return bits
+
+
+def _among(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return bits[(grams & U((1 << BITS) - 1)).astype(np.int64)]
+
+
 class TestSuffixes:
     """Suffixes of the items of one block, by search depth: ``window`` words,
-    or the whole item where it is shorter."""
+    or the whole item where it is shorter. Some 30 bytes a word."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int) -> None:
         self.ids = ids
@@ -36,17 +53,15 @@ class TestSuffixes:
         starts, ends, first = words(buf, offsets, byte_table(words=ALNUM))
         self.h = span_hashes(buf, starts, ends)
         self.first = first
-        self.item = np.repeat(np.arange(len(ids)), np.diff(first))
+        self.item = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
         self.end = first[1:][self.item] if len(self.item) else np.zeros(0, np.int64)
         size = np.diff(first)
         self.depths = {}
         for d in sorted({min(window, int(n)) for n in size if n}):
             whole = (size >= window) if d == window else (size == d)
-            at = np.flatnonzero(whole[self.item] & (np.arange(len(self.h)) + d <= self.end))
+            at = np.flatnonzero(whole[self.item] & (np.arange(len(self.h)) + d <= self.end)).astype(np.int32)
             grams = gram_hashes(self.h, d)[at]
-            bits = np.zeros(1 << 22, bool)
-            bits[(grams & U((1 << 22) - 1)).astype(np.int64)] = True
-            self.depths[d] = (at, prefixes(self.h, at, d), bits)
+            self.depths[d] = (at, grams, _marked(grams))
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -55,11 +70,8 @@ def prefixes(h: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{8 * depth}").reshape(-1)
 
 
-def suffix_array(h: np.ndarray, doc_end: np.ndarray, depth: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(h: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in suffix order to ``depth`` words, with their first words."""
-    grams = gram_hashes(h, depth)
-    at = np.flatnonzero(bits[(grams & U((1 << 22) - 1)).astype(np.int64)])
-    at = at[at + depth <= doc_end[at]]
     keys = prefixes(h, at, depth)
     order = np.argsort(keys, kind="stable")
     return at[order], keys[order]
@@ -67,13 +79,40 @@ def suffix_array(h: np.ndarray, doc_end: np.ndarray, depth: int, bits: np.ndarra
 
 def _search(h, doc_end, tests: TestSuffixes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(training positions, test positions, depth) of all matches."""
-    for depth, (test_at, test_keys, bits) in tests.depths.items():
-        at, keys = suffix_array(h, doc_end, depth, bits)
+    for depth, (test_at, test_grams, bits) in tests.depths.items():
+        grams = gram_hashes(h, depth)
+        at = np.flatnonzero(_among(grams, bits))
+        at = at[at + depth <= doc_end[at]]
+        if not len(at):
+            continue
+        test = test_at[_among(test_grams, _marked(grams[at]))]
+        at, keys = suffix_array(h, at, depth)
+        test_keys = prefixes(tests.h, test, depth)
         low, high = np.searchsorted(keys, test_keys, "left"), np.searchsorted(keys, test_keys, "right")
         hit = np.flatnonzero(high > low)
         many = (high - low)[hit]
         place = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(hit) else np.zeros(0, np.int64)
-        yield at[place], np.repeat(test_at[hit], many), depth
+        yield at[place], np.repeat(test[hit], many).astype(np.int64), depth
+
+
+def _located(h, first, doc, doc_end, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(training position, test position, length) of the matches that cannot be
+    lengthened, each extended to its full length."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    for at, test, depth in _search(h, doc_end, tests):
+        same_left = (at > first[doc[at]]) & (test > tests.first[tests.item[test]])
+        left = np.flatnonzero(same_left)
+        same_left[left] = h[at[left] - 1] == tests.h[test[left] - 1]
+        at, test = at[~same_left], test[~same_left]
+        length = np.full(len(at), depth)
+        room = np.minimum(doc_end[at] - at, tests.end[test] - test)
+        going = np.flatnonzero(length < room)
+        while len(going):
+            going = going[h[at[going] + length[going]] == tests.h[test[going] + length[going]]]
+            length[going] += 1
+            going = going[length[going] < room[going]]
+        out.append((at, test, length))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _shard(batch: pa.RecordBatch):
@@ -85,60 +124,55 @@ def _shard(batch: pa.RecordBatch):
     return h, first, doc, first[1:][doc] if len(doc) else np.zeros(0, np.int64)
 
 
-def _spans(tests: TestSuffixes):
-    """Per document: its words, the stretches hit by windows, the items found."""
+Block = tuple[str, Broadcast]  # a name, and the ids and texts of its items
+
+
+def _tests(block: Block, window: int) -> TestSuffixes:
+    """A block's tables, built by a worker when it first meets the block; it
+    holds those of one block at a time."""
+    name, shared = block
+    held = kept("test-suffixes", dict)
+    if (name, window) not in held:
+        held.clear()
+        held[name, window] = TestSuffixes(*shared.value, window)
+    return held[name, window]
+
+
+def _spans(block: Block, window: int):
+    """Per document: its words, the stretches hit by located matches, the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = _tests(block, window)
         for batch in slices(batches, "text"):
             h, first, doc, doc_end = _shard(batch)
-            depth = np.zeros(len(h) + 1, np.int64)
-            pairs = []
-            for at, test, d in _search(h, doc_end, tests):
-                np.add.at(depth, at, 1)
-                np.add.at(depth, at + d, -1)
-                pairs.append(doc[at] * len(tests.ids) + tests.item[test])
-            inside = np.concatenate([[False], np.cumsum(depth)[:-1] > 0, [False]]) if len(h) else np.zeros(2, bool)
-            new_doc = np.zeros(len(h) + 1, bool)
-            new_doc[first[:-1]] = True
-            begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | new_doc[:-1])) if len(h) else np.zeros(0, np.int64)
-            stop = np.flatnonzero(inside[1:-1] & (~inside[2:] | new_doc[1:])) + 1 if len(h) else np.zeros(0, np.int64)
-            cut = np.searchsorted(begin, first)
+            at, test, length = _located(h, first, doc, doc_end, tests)
+            found = np.unique(doc[at] * len(tests.ids) + tests.item[test]) if len(at) else np.zeros(0, np.int64)
+            order = np.argsort(at, kind="stable")
+            at, length = at[order], length[order]
+            cut = np.searchsorted(at, first)
             base = np.repeat(first[:-1], np.diff(cut))
-            found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
             holder = found // max(1, len(tests.ids))
             items = pa.array([tests.ids[i] for i in (found % max(1, len(tests.ids))).tolist()], pa.string())
             item_cut = np.searchsorted(holder, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(np.diff(first), pa.int64()), ragged(cut, begin - base, pa.int64()),
-                 ragged(cut, stop - base, pa.int64()), pa.ListArray.from_arrays(pa.array(item_cut, pa.int32()), items)],
+                [batch.column("doc_id"), batch.column("row"), pa.array(np.diff(first), pa.int64()), ragged(cut, at - base, pa.int64()),
+                 ragged(cut, at + length - base, pa.int64()), pa.ListArray.from_arrays(pa.array(item_cut, pa.int32()), items)],
                 ["doc_id", "row", "n_words", "begins", "ends", "items"])
 
     return run
 
 
-def _longest(tests: TestSuffixes):
-    """Matches that cannot be lengthened, each extended to its full length."""
-
+def _longest(block: Block, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = _tests(block, window)
         for batch in slices(batches, "text"):
             h, first, doc, doc_end = _shard(batch)
-            for at, test, depth in _search(h, doc_end, tests):
-                same_left = (at > first[doc[at]]) & (test > tests.first[tests.item[test]])
-                left = np.flatnonzero(same_left)
-                same_left[left] = h[at[left] - 1] == tests.h[test[left] - 1]
-                at, test = at[~same_left], test[~same_left]
-                length = np.full(len(at), depth)
-                room = np.minimum(doc_end[at] - at, tests.end[test] - test)
-                going = np.flatnonzero(length < room)
-                while len(going):
-                    going = going[h[at[going] + length[going]] == tests.h[test[going] + length[going]]]
-                    length[going] += 1
-                    going = going[length[going] < room[going]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(doc[at])), pa.array(at - first[doc[at]], pa.int64()),
-                     pa.array([tests.ids[i] for i in tests.item[test].tolist()], pa.string()),
-                     pa.array(test - tests.first[tests.item[test]], pa.int64()), pa.array(length, pa.int64())],
-                    ["doc_id", "doc_word", "item_id", "item_word", "length"])
+            at, test, length = _located(h, first, doc, doc_end, tests)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc[at])), pa.array(at - first[doc[at]], pa.int64()),
+                 pa.array([tests.ids[i] for i in tests.item[test].tolist()], pa.string()),
+                 pa.array(test - tests.first[tests.item[test]], pa.int64()), pa.array(length, pa.int64())],
+                ["doc_id", "doc_word", "item_id", "item_word", "length"])
 
     return run
 
@@ -160,16 +194,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def test_blocks(items: DataFrame, window: int, limit: int = TEST_BYTES) -> list[TestSuffixes]:
-    """The test items as suffix tables, in blocks of at most about ``limit``
-    bytes by the measured size of all of them."""
+def test_blocks(items: DataFrame, limit: int = TEST_BYTES) -> list[Block]:
+    """The test items in blocks of at most about ``limit`` bytes by the measured
+    size of all of them. A block's texts are a broadcast; its tables are built
+    by the workers."""
+    spark = items.sparkSession
     slim = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = 1 + size // limit
     out = []
     for i in range(n):
         rows = slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else slim.collect()
-        out.append(TestSuffixes([r["item_id"] for r in rows], [r["text"] for r in rows], window))
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))))
     return out
 
 
@@ -192,7 +228,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, limit: in
     item_id counts as the empty string; other columns are ignored.
     """
     slim, schema = _slim(docs), "doc_id bigint, row bigint, n_words bigint, begins array<bigint>, ends array<bigint>, items array<string>"
-    blocks = [slim.mapInArrow(_spans(tests), schema) for tests in test_blocks(items, window, limit)]
+    blocks = [slim.mapInArrow(_spans(block, window), schema) for block in test_blocks(items, limit)]
     found = blocks[0]
     if len(blocks) > 1:
         for more in blocks[1:]:
@@ -206,11 +242,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, limit: in
 
 def longest_matches(docs: DataFrame, items: DataFrame, window: int = 10, limit: int = TEST_BYTES) -> DataFrame:
     """(doc_id, doc_word, item_id, item_word, length): the verbatim matches of
-    at least a window that cannot be lengthened, in words from 0."""
+    at least a window (or a whole shorter item) that cannot be lengthened, in
+    words from 0. Null and wordless texts match nothing; repeated rows of either
+    table give their matches each; a null item_id is the empty string; an empty
+    table on either side gives no rows."""
     slim, schema = _slim(docs), "doc_id bigint, doc_word bigint, item_id string, item_word bigint, length bigint"
     out = None
-    for tests in test_blocks(items, window, limit):
-        found = slim.mapInArrow(_longest(tests), schema)
+    for block in test_blocks(items, limit):
+        found = slim.mapInArrow(_longest(block, window), schema)
         out = found if out is None else out.unionByName(found)
     return out
 

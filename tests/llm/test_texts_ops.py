@@ -195,3 +195,16 @@ def test_longest_matches(spark):
     items = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
     got = {tuple(r) for r in longest_matches(docs, items).collect()}
     assert got == {(5, 1, "0", 0, 12), (5, 1, "5", 0, 10)}
+
+
+def test_longest_matches_of_awkward_rows(spark, awkward, nothing):
+    item = "north wind and the sun were disputing which was the stronger when a traveller came"
+    texts = [(1, f"the {item} along"), (1, f"the {item} along"), (2, None), (3, ""), (4, " ".join(item.split()[2:13]) + " x"), (None, item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([("a", item), ("a", item), (None, "came along"), ("e", ""), ("n", None)], "item_id string, text string")
+    got = collections.Counter(map(tuple, longest_matches(docs, items).collect()))
+    n = len(item.split())
+    want = collections.Counter({(1, 1, "a", 0, n): 4, (4, 0, "a", 2, 11): 2, (None, 0, "a", 0, n): 2, (1, n, "", 0, 2): 2})
+    assert got == want
+    assert collections.Counter(map(tuple, longest_matches(docs, items, limit=60).collect())) == want
+    assert longest_matches(nothing, items).collect() == [] and longest_matches(awkward, items.limit(0)).collect() == []
