@@ -445,21 +445,32 @@ def display_names(d: Data):
 
 
 def audit_entities(d: Data):
-    return A.audit_entities(A.audit_references(refs(d), AUDIT_RUN), display_names(d), AUDIT_RUN)
+    return A.audit_entities(refs(d), display_names(d), AUDIT_RUN)
 
 
-@query("library_audit", AUDIT_SQL + "SELECT character_id, display_name, reference_count, issue_references, round(ms, 6) AS mean_similarity, array_to_string(issues, '|') AS issues FROM rep")
+def _joined(field: str):
+    return F.array_join(F.transform("issues", lambda x: x[field]), "|")
+
+
+@query("library_audit", AUDIT_SQL + """SELECT character_id, display_name, reference_count, issue_references, round(ms, 6) AS mean_similarity, array_to_string(issues, '|') AS issues,
+ array_to_string(list_filter([CASE WHEN reference_count <= 1 THEN 'Only one reference image in library.' END, 'Conflicting dominant hair tags: ' || (SELECT string_agg(DISTINCT dominant_hair, ', ' ORDER BY dominant_hair) FROM sig s WHERE s.character_id = rep.character_id AND dominant_hair <> '' AND list_contains(issues, 'hair_color_conflict')),
+  'Conflicting dominant eye tags: ' || (SELECT string_agg(DISTINCT dominant_eyes, ', ' ORDER BY dominant_eyes) FROM sig s WHERE s.character_id = rep.character_id AND dominant_eyes <> '' AND list_contains(issues, 'eye_color_conflict')),
+  CASE WHEN ol > 0 THEN 'Outlier references: ' || ol END, CASE WHEN ms < 0.32 THEN printf('Mean pairwise similarity=%.3f < 0.320', ms) END], lambda x: x IS NOT NULL), '|') AS details FROM rep""")
 def _(d):
     rows = audit_entities(d).select(
-        "character_id", "display_name", "reference_count", "issue_references", "mean_similarity", F.array_join("issues", "|").alias("issues")
+        "character_id", "display_name", "reference_count", "issue_references", "mean_similarity", _joined("type").alias("issues"), _joined("detail").alias("details")
     )
     return rounded(rows, "mean_similarity")
 
 
 @query("library_audit_references", AUDIT_SQL + """SELECT row_index, character_id, round(single_subject, 4) AS single_subject, round(multi_person, 4) AS multi_person,
- round(screenshot_noise, 4) AS screenshot_noise, round(no_humans, 4) AS no_humans, dominant_hair, dominant_eyes, array_to_string(issues, '|') AS issues FROM items""")
+ round(screenshot_noise, 4) AS screenshot_noise, round(no_humans, 4) AS no_humans, dominant_hair, dominant_eyes, 'refs/' || row_index AS image_path, array_to_string(issues, '|') AS issues,
+ array_to_string(list_filter([CASE WHEN single_subject < 0.55 THEN printf('single-subject score=%.3f < 0.550', single_subject) END, CASE WHEN multi_person >= 0.45 THEN printf('multi-person score=%.3f >= 0.450', multi_person) END,
+  CASE WHEN screenshot_noise >= 0.45 THEN printf('screenshot-noise score=%.3f >= 0.450', screenshot_noise) END, CASE WHEN no_humans >= 0.55 THEN printf('no_humans score=%.3f >= 0.550', no_humans) END,
+  CASE WHEN outlier THEN 'Low similarity to character centroid.' END], lambda x: x IS NOT NULL), '|') AS details FROM items""")
 def _(d):
-    rows = A.audit_references(refs(d), AUDIT_RUN).drop("embedding").withColumn("issues", F.array_join("issues", "|"))
+    with_path = refs(d).withColumn("image_path", F.concat(F.lit("refs/"), "row_index"))
+    rows = A.audit_references(with_path, AUDIT_RUN).drop("embedding").withColumns({"issues": _joined("type"), "details": _joined("detail")})
     return rounded(rows, "single_subject", "multi_person", "screenshot_noise", "no_humans", digits=4)
 
 
