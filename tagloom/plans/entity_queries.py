@@ -9,6 +9,7 @@ from tagloom.functions import text as X
 from tagloom.functions import vectors as V
 from tagloom.operators import entities as N
 from tagloom.operators import ranking as K
+from tagloom.operators import references as Q
 from tagloom.operators.tags import run_summary  # noqa: F401
 from tagloom.plans.fixtures import RULES, rule
 from tagloom.plans.registry import Data, query
@@ -348,8 +349,7 @@ def _(d):
 
 
 # ---------------------------------------------------------------- pixel hashes
-# variants j of a vector's hash differ in j low bits; a greedy pass in order of
-# j keeps 0 and 3 and drops those within two bits of them
+# variants of a vector's hash differ in up to three scattered bits
 
 HASHES = """SELECT vec_id, label, embedding FROM @embeddings"""
 
@@ -378,21 +378,59 @@ def _(d):
 
 
 def variants(d: Data):
-    rows = hashes(d).select("vec_id", "label", "h", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j"))
-    flip = F.element_at(F.array(*[F.lit((1 << j) - 1).cast("bigint") for j in range(5)]), F.col("j") + 1)
-    return rows.select("vec_id", "label", "j", (F.col("vec_id") * 5 + F.col("j")).alias("ordinal"), F.col("h").bitwiseXOR(flip).alias("h"))
+    """Hashes of a label's pictures, four of each, with up to three bits flipped."""
+    rows = hashes(d).select("vec_id", "label", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    flips = F.lit(0).cast("bigint")
+    for step, every in ((7, 1), (11, 2), (13, 3)):
+        bit = F.expr(f"shiftleft(1L, CAST((vec_id * {step} + j * {step + 2}) % 62 AS INT))")
+        flips = flips.bitwiseXOR(F.when((F.col("vec_id") + F.col("j") * F.col("j")) % 4 >= every, bit).otherwise(F.lit(0).cast("bigint")))
+    return rows.select("vec_id", "label", "j", (F.col("vec_id") * 4 + F.col("j")).alias("ordinal"), F.col("h").bitwiseXOR(flips).alias("h"))
 
 
-@query("phash_dedupe_join", "SELECT vec_id, CAST(j AS BIGINT) AS j FROM (SELECT vec_id, unnest([0, 3]) AS j FROM @embeddings)")
+def _flip(step: int, every: int) -> str:
+    return f"CASE WHEN (vec_id + j * j) % 4 >= {every} THEN (1::BIGINT << CAST((vec_id * {step} + j * {step + 2}) % 62 AS INT)) ELSE 0::BIGINT END"
+
+
+VARIANTS = f"""{PIXELS}, var AS (SELECT vec_id, label, j, vec_id * 4 + j AS ordinal, xor(xor(xor(h, {_flip(7, 1)}), {_flip(11, 2)}), {_flip(13, 3)}) AS h FROM (SELECT *, unnest(range(0, 4)) AS j FROM hs))"""
+
+
+def _greedy(source: str, accepted: str) -> str:
+    """``walk(label, n, hit, kept)``: rows of (label, o, h, old) in the order o; a
+    row of ``accepted`` or one without a near kept hash is taken."""
+    return f"""seq AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY o) AS n FROM ({source})),
+walk AS (
+  SELECT label, CAST(0 AS BIGINT) AS n, FALSE AS taken, CAST([] AS BIGINT[]) AS kept FROM seq GROUP BY label
+  UNION ALL
+  SELECT label, n, taken, CASE WHEN taken THEN list_append(kept, h) ELSE kept END FROM (
+    SELECT s.label, s.n, s.h, kept, {accepted} OR len(list_filter(kept, lambda k: bit_count(xor(k, s.h)) <= 2)) = 0 AS taken FROM walk w JOIN seq s ON s.label = w.label AND s.n = w.n + 1)
+)"""
+
+
+@query("phash_dedupe_join", f"""WITH RECURSIVE {VARIANTS}, {_greedy("SELECT label, vec_id, j, ordinal AS o, h FROM var", "FALSE")}
+SELECT vec_id, CAST(j AS BIGINT) AS j FROM seq JOIN walk USING (label, n) WHERE taken""")
 def _(d):
     return longs(K.keep_unlike(variants(d), "label", "ordinal", "h").select("vec_id", "j"), "j")
 
 
-@query("reference_append", """SELECT CAST(label AS VARCHAR) AS entity_id, CASE WHEN j < 0 THEN 'old/' || vec_id ELSE substr(sha1(vec_id || '-' || j), 1, 16) || '.png' END AS path FROM (SELECT vec_id, label, unnest([-1, 3]) AS j FROM @embeddings)""")
-def _(d):
-    # existing references hold variant 0, new files bring variants 0..4 in order
-    old = variants(d).filter(F.col("j") == 0).select("label", F.col("ordinal").alias("o"), "h", F.concat(F.lit("old/"), "vec_id").alias("path"), F.lit(True).alias("kept"))
-    name = F.concat(F.substring(F.sha1(F.concat_ws("-", "vec_id", "j").cast("binary")), 1, 16), F.lit(".png"))
-    new = variants(d).select("label", (F.col("ordinal") + 1_000_000_000_000).alias("o"), "h", name.alias("path"), F.lit(False).alias("kept"))
-    rows = K.keep_unlike(old.unionByName(new), "label", "o", "h", accepted="kept")
-    return rows.select(F.col("label").cast("string").alias("entity_id"), "path")
+# old references: variant 0 of most pictures, some blank, repeated or gone; new
+# files: every variant, some missing, two variants of some pictures alike
+OLD_PATH = "concat('refs/', CAST(vec_id % 40 AS VARCHAR(9)), '.png')"
+
+
+@query("reference_append", f"""WITH RECURSIVE {VARIANTS},
+old AS (SELECT label, min(vec_id) AS pos, {OLD_PATH} AS path, arg_min(h, vec_id) AS h FROM var WHERE j = 0 AND vec_id % 3 > 0 AND vec_id % 40 < 35 GROUP BY label, {OLD_PATH}),
+new AS (SELECT label, min(ordinal) AS pos, 'refs/' || label || '/' || substr(sha1('c' || vec_id || '-' || CASE WHEN vec_id % 5 = 0 THEN 0 ELSE j END), 1, 16) || '.jpg' AS path,
+  arg_min(h, ordinal) AS h FROM var WHERE (vec_id + j) % 9 > 0 GROUP BY label, path),
+{_greedy("SELECT label, path, h, TRUE AS old, pos AS o FROM old UNION ALL SELECT label, path, h, FALSE, 1000000000000 + pos FROM new", "s.old")}
+SELECT CAST(label AS VARCHAR) AS entity_id, row_number() OVER (PARTITION BY label ORDER BY n) - 1 AS ordinal, path, NOT old AS added FROM seq JOIN walk USING (label, n) WHERE taken""")
+def _(d):
+    rows = variants(d).select(F.col("label").cast("string").alias("entity_id"), "vec_id", "j", "ordinal", "h")
+    path = F.expr(OLD_PATH)
+    raw = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("  "), F.translate(path, "/", "\\"))).otherwise(path)
+    old = rows.filter("j = 0").select("entity_id", F.col("vec_id").alias("pos"), F.when(F.col("vec_id") % 3 == 0, F.lit("  ")).otherwise(raw).alias("path"), "h")
+    files = rows.select(path.alias("path")).filter(F.col("vec_id") % 40 < 35).distinct()
+    content = F.concat(F.lit("c"), "vec_id", F.lit("-"), F.when(F.col("vec_id") % 5 == 0, 0).otherwise(F.col("j")))
+    new = rows.select(
+        "entity_id", F.col("ordinal").alias("pos"), F.lit("up/x.JPG").alias("source"), F.concat(F.lit("refs/"), "entity_id").alias("folder"),
+        F.when((F.col("vec_id") + F.col("j")) % 9 > 0, F.sha1(content.cast("binary"))).alias("sha1"), "h")
+    return Q.reference_append(Q.listed_references(old, files), new)

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import boxes as B
 from tagloom.operators import models as M
-from tagloom.operators import ranking as K
 from tagloom.operators import references as R
 from tagloom.operators import regions as G
-from tagloom.plans.entity_queries import hashes
+from tagloom.plans.entity_queries import PIXELS, _greedy, hashes
 from tagloom.plans.fixtures import IMAGES as TAG_IMAGES
 from tagloom.plans.registry import Data, query
 from tagloom.plans.tag_queries import CTES as TAG_CTES
@@ -282,21 +281,19 @@ def _(d):
 AUGMENT = IDENTITY.replace("FROM ids WHERE entity_id NOT IN ('9', '6')", "FROM old").replace("seed_all AS", "old AS (SELECT * FROM ids JOIN (SELECT row_index AS pos, v[4] AS v4 FROM refs) x USING (pos) WHERE v4 = 0 AND entity_id NOT IN ('9', '6')),\nquota AS (SELECT e.entity_id, greatest(0, 30 - count(o.pos)) AS quota FROM (SELECT DISTINCT entity_id FROM ids) e LEFT JOIN old o USING (entity_id) GROUP BY 1),\nseed_all AS", 1).replace("rank <= 12", "rank <= (SELECT quota FROM quota q WHERE q.entity_id = kept0.entity_id)")
 
 
-@query("reference_augment", CTES + AUGMENT + " SELECT q.entity_id, count(k.pos) FILTER (k.pos NOT IN (SELECT pos FROM old)) AS added, CAST(any_value(quota) AS BIGINT) AS quota FROM quota q LEFT JOIN kept k USING (entity_id) WHERE quota > 0 GROUP BY q.entity_id")
+NEW_FILES = """SELECT entity_id AS label, h, TRUE AS old, pos AS o FROM old JOIN hs ON vec_id = pos
+  UNION ALL SELECT entity_id, h, FALSE, 1000000000000 + rank FROM kept JOIN hs ON vec_id = pos WHERE entity_id IN (SELECT entity_id FROM quota WHERE quota > 0)"""
+
+
+@query("reference_augment", CTES.replace("WITH", "WITH RECURSIVE", 1) + AUGMENT + f""", {PIXELS}, {_greedy(NEW_FILES, "s.old")}
+SELECT q.entity_id, coalesce(n, 0) AS added, CAST(quota AS BIGINT) AS quota FROM quota q
+ LEFT JOIN (SELECT label, count(*) AS n FROM seq JOIN walk USING (label, n) WHERE taken AND NOT old GROUP BY label) x ON x.label = q.entity_id WHERE quota > 0""")
 def _(d):
     """Quota, identity filter, near-duplicate check against the references, summary."""
     rows, avatars, _ = identity_inputs(d)
     fourth = d.embeddings.select(F.col("vec_id").alias("pos"), (F.get("embedding", F.lit(3)) <= 0).alias("old"))
-    references = rows.join(fourth.filter("old").drop("old"), "pos", "left_semi").filter(~F.col("entity_id").isin("6", "9"))
-    counts = references.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    quotas = rows.select("entity_id").distinct().join(counts, "entity_id", "left").select("entity_id", R.remaining_quota(30, F.coalesce("n", F.lit(0))).alias("quota"))
-    quotas = quotas.filter(F.col("quota") > 0)
-    kept, _ = R.identity_filter(rows.join(quotas, "entity_id", "left_semi"), avatars, references, quotas)
     h = hashes(d).select(F.col("vec_id").alias("pos"), "h")
-    old = references.select("entity_id", "pos", F.col("pos").alias("o"), F.lit(True).alias("kept"))
-    new = kept.select("entity_id", "pos", (F.col("rank") + (1 << 40)).alias("o"), F.lit(False).alias("kept"))
-    stay = K.keep_unlike(old.unionByName(new).join(h, "pos"), "entity_id", "o", "h", accepted="kept")
-    added = stay.filter(~F.col("kept")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("added"))
-    return quotas.join(added, "entity_id", "left").select("entity_id", F.coalesce("added", F.lit(0)).alias("added"), F.col("quota").cast("bigint").alias("quota"))
-
-
+    references = rows.join(fourth.filter("old").drop("old"), "pos", "left_semi").filter(~F.col("entity_id").isin("6", "9")).join(h, "pos")
+    files = rows.join(h, "pos").withColumns({"source": F.lit("new.png"), "folder": F.lit("refs"), "sha1": F.sha1(F.col("path").cast("binary"))})
+    _, summary = R.reference_augment(files, avatars, references, 30)
+    return summary.select("entity_id", "added", F.col("quota").cast("bigint").alias("quota"))

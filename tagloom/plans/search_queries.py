@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tagloom.functions import localize as L
 from tagloom.functions import text as X
 from tagloom.operators import queue as Q
-from tagloom.operators import ranking as K
 from tagloom.operators import search as S
+from tagloom.operators.naming import conflict_free_names
 from tagloom.plans.entity_queries import CANDIDATES, _overlap, candidates, longs
 from tagloom.plans.fixtures import RULES, rule
 from tagloom.plans.registry import Data, query, values
@@ -185,11 +185,22 @@ def _(d):
     return S.popular_topn(pages, 50, 400, second=pages).select("key", "pos")
 
 
-@query("conflict_free_names", "SELECT doc_id, source || CASE WHEN n = 0 THEN '' ELSE '_' || n END || '.jpg' AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM @documents)")
+NAME_REQUESTS = "SELECT doc_id, concat(source, '/', CASE doc_id % 6 WHEN 3 THEN 'a_1.jpg' WHEN 4 THEN 'b.jpg' WHEN 5 THEN 'a_2_1.jpg' ELSE 'a.jpg' END) AS target FROM @documents"
+NAMES_TAKEN = "SELECT DISTINCT concat(source, CASE lang WHEN 'de' THEN '/a_3.jpg' WHEN 'fr' THEN '/b.jpg' ELSE '/a_1_1.jpg' END) AS path FROM @documents WHERE lang <> 'en'"
+
+
+@query("conflict_free_names", f"""WITH RECURSIVE req AS (SELECT *, regexp_extract(target, '^[^/]+') AS g, row_number() OVER (PARTITION BY regexp_extract(target, '^[^/]+') ORDER BY doc_id) AS n FROM ({NAME_REQUESTS})),
+taken AS (SELECT regexp_extract(path, '^[^/]+') AS g, list(path) AS used FROM ({NAMES_TAKEN}) GROUP BY 1),
+walk AS (
+  SELECT r.g, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS name, coalesce(any_value(used), []) AS used FROM req r LEFT JOIN taken USING (g) GROUP BY r.g
+  UNION ALL
+  SELECT g, n, doc_id, name, list_append(used, name) FROM (
+    SELECT r.g, r.n, r.doc_id, used, CASE WHEN NOT list_contains(used, target) THEN target ELSE concat(replace(target, '.jpg', ''), '_',
+      list_filter(range(1, r.n + 5), lambda i: NOT list_contains(used, concat(replace(target, '.jpg', ''), '_', i, '.jpg')))[1], '.jpg') END AS name
+    FROM walk w JOIN req r ON r.g = w.g AND r.n = w.n + 1)
+) SELECT doc_id, name FROM walk WHERE n > 0""")
 def _(d):
-    rows = K.group_numbers(d.documents.select("doc_id", "source"), "source", "doc_id", width=256)
-    suffix = F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n") - 1)).otherwise("")
-    return rows.select("doc_id", F.concat("source", suffix, F.lit(".jpg")).alias("name"))
+    return conflict_free_names(d.sql(NAME_REQUESTS), d.sql(NAMES_TAKEN), "doc_id", "target").select("doc_id", "name")
 
 
 @query("image_url_candidates", f"""SELECT p_partkey, array_to_string(list_slice({uniq("CASE WHEN p_type IN ('PROMO', 'LARGE') THEN ['u/' || p_brand, 'u/' || p_type] WHEN p_type = 'SMALL' THEN ['u/' || p_type, 'u/' || p_brand, 'u/' || p_name] ELSE ['u/' || p_name] END")}, 1, 2), '|') AS urls FROM @part""")
