@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,24 +13,6 @@ SOURCE_KEY_SEPARATORS = (" - ", " – ", " — ", "|", ":", "：", "（", "(")
 SEARCH_KEY_SEPARATORS = (" - ", " – ", " — ", "|", ":", "(")
 TOKEN_SEPARATORS = (" - ", " – ", " — ", "|", "(")
 
-# Canonical work keys and the spellings that lead to them.
-CANONICAL_SOURCES = {
-    "blue_archive": ("blue_archive", "bluearchive", "蔚蓝档案", "ブルーアーカイブ", "블루아카이브"),
-    "genshin_impact": (
-        "genshin_impact", "genshinimpact", "genshin", "yuanshen", "yuan_shen", "原神", "げんしん",
-    ),
-    "honkai_star_rail": (
-        "honkai_star_rail", "honkai_starrail", "hsr", "崩坏星穹铁道", "崩壊スターレイル",
-        "崩壞星穹鐵道", "붕괴스타레일",
-    ),
-    "honkai_impact_3rd": (
-        "honkai_impact_3rd", "honkai_impact3rd", "崩坏3", "崩壊3rd", "붕괴3rd",
-    ),
-    "zenless_zone_zero": (
-        "zenless_zone_zero", "zenlesszonezero", "zzz", "绝区零", "ゼンレスゾーンゼロ", "젠레스존제로",
-    ),
-}
-
 # The characters that count as white space at the ends of a text.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -119,29 +99,15 @@ def _cutter(tokens: tuple[str, ...]) -> Callable[[Column], Column]:
     return lambda text: _cut_before(text, tokens)
 
 
-def _py_slug(value: str) -> str:
-    return re.sub(r"[^\w]+", "", value.strip().lower().replace(" ", "_").replace("-", "_")).strip("_")
-
-
-def source_aliases() -> list[tuple[str, list[str]]]:
-    """(canonical key, slugged spellings) in rule order."""
-    return [(k, sorted({k, *map(_py_slug, v)})) for k, v in CANONICAL_SOURCES.items()]
+UNKNOWN_SOURCE = "unknown_source"  # the key of an untitled work
 
 
-def canonical_source_key(c: Column) -> Column:
-    """Work title without its suffix, slugged and mapped to a canonical key."""
+def source_slug(c: Column) -> Column:
+    """Work title without its suffix, slugged; NULL if nothing is left."""
     title = strip(c)
     for tokens in (TITLE_SEPARATORS, ("（",), ("(",)):
         title = let(title, _cutter(tokens))
-
-    def named(key: Column) -> Column:
-        result = F.when(key.isNull(), F.lit("unknown_source"))
-        for canonical, spellings in source_aliases():
-            hit = reduce(lambda a, b: a | b, [(key == s) | key.startswith(s + "_") for s in spellings])
-            result = result.when(hit, F.lit(canonical))
-        return result.otherwise(key)
-
-    return let(F.coalesce(F.nullif(slug(title), F.lit("")), F.nullif(slug(c), F.lit(""))), named)
+    return F.coalesce(F.nullif(slug(title), F.lit("")), F.nullif(slug(c), F.lit("")))
 
 
 def title_variant_keys(c: Column, separators: tuple[str, ...] = SOURCE_KEY_SEPARATORS) -> Column:

@@ -65,12 +65,34 @@ def existing_candidate_antijoin(candidates: DataFrame, entities: DataFrame) -> D
 # ----------------------------------------------------------- fuzzy identity
 
 
-def with_source_keys(rows: DataFrame, title: str, prefix: str) -> DataFrame:
+def canonical_sources(titles: DataFrame, title: str, aliases: DataFrame | None, name: str) -> DataFrame:
+    """``titles`` with the canonical key of each work.
+
+    ``aliases(alias, canonical)`` is the vocabulary of works: a title whose slug
+    is an alias, or begins with one and a word end, gets the canonical key of
+    the longest such alias; others keep their slug. Without a table every title
+    does. The prefixes of distinct slugs, up to the words of the longest alias,
+    meet the aliases in an equi-join.
+    """
+    rows = titles.withColumn("_slug", X.source_slug(F.col(title)))
+    if aliases is None:
+        return rows.withColumn(name, F.coalesce("_slug", F.lit(X.UNKNOWN_SOURCE))).drop("_slug")
+    own = aliases.select(F.col("canonical").alias("alias"), "canonical")
+    known = aliases.select("alias", "canonical").unionByName(own).select(X.slug(F.col("alias")).alias("prefix"), "canonical").filter("prefix <> ''")
+    known = small_side(known.groupBy("prefix").agg(F.min("canonical").alias("canonical")), "source-aliases")
+    longest = known.agg(F.max(F.size(F.split("prefix", "_")))).first()[0] or 1
+    words = F.split("_slug", "_")
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))), lambda n: F.array_join(F.slice(words, 1, n), "_"))
+    met = rows.select("_slug").filter("_slug IS NOT NULL").distinct().select("_slug", F.explode(prefixes).alias("prefix")).join(known, "prefix")
+    found = met.groupBy("_slug").agg(F.max_by("canonical", F.length("prefix")).alias("_canonical"))
+    found = small_side(found, "source-names")
+    return rows.join(found, "_slug", "left").withColumn(name, F.coalesce("_canonical", "_slug", F.lit(X.UNKNOWN_SOURCE))).select(*titles.columns, name)
+
+
+def with_source_keys(rows: DataFrame, title: str, prefix: str, aliases: DataFrame | None = None) -> DataFrame:
     """Add the canonical key and the variant keys of a work title."""
-    t = F.col(title)
-    return rows.withColumns(
-        {f"{prefix}_canonical": X.canonical_source_key(t), f"{prefix}_variants": X.title_variant_keys(t)}
-    )
+    named = canonical_sources(rows, title, aliases, f"{prefix}_canonical")
+    return named.withColumn(f"{prefix}_variants", X.title_variant_keys(F.col(title)))
 
 
 def source_compatible(left: Column, right: Column, lc: Column, rc: Column, lv: Column, rv: Column) -> Column:
@@ -116,7 +138,7 @@ def containing_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 BLANK, ANY = "blank", "any"  # work keys of untitled works
 
 
-def work_keys(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+def work_keys(left: DataFrame, right: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(title, work) of both sides: two titles are compatible exactly when they
     share a work key.
 
@@ -126,7 +148,7 @@ def work_keys(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     untitled right work has a key that every left one has, and the other way
     round. So works never meet works in a product.
     """
-    title = lambda rows: with_source_keys(rows.select(F.col("title").alias("t")), "t", "t").select(F.col("t").alias("title"), "t_canonical", "t_variants")
+    title = lambda rows: with_source_keys(rows.select(F.col("title").alias("t")), "t", "t", aliases).select(F.col("t").alias("title"), "t_canonical", "t_variants")
     left, right = materialize(title(left), "left-works"), materialize(title(right), "right-works")
     of = lambda rows: rows.select("title", F.explode("t_variants").alias("key"))
     pairs = containing_pairs(of(left).select("key"), of(right).select("key"))
@@ -152,12 +174,13 @@ def salted_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
 
 
-def identity_fuzzy_join(candidates: DataFrame, entities: DataFrame, strict_source: bool = False) -> DataFrame:
+def identity_fuzzy_join(candidates: DataFrame, entities: DataFrame, strict_source: bool = False, aliases: DataFrame | None = None) -> DataFrame:
     """(candidate_id, id): first entity, in ordinal order, with the same identity.
 
     A name key contains the other with enough letters and the works agree, or
     the display name matches with one letter more whatever the work. Candidate
-    keys include the work title; ``strict_source`` drops that and the second rule.
+    keys include the work title; ``strict_source`` drops that and the second
+    rule. ``aliases(alias, canonical)`` names works that have several titles.
 
     Per name pair the entities are first reduced to the first one of each work
     key, so a name in m works on one side and n on the other costs m + n rows.
@@ -175,7 +198,7 @@ def identity_fuzzy_join(candidates: DataFrame, entities: DataFrame, strict_sourc
     c_keys = materialize(c_keys, "candidate-keys")
     e_side = materialize(e_keys.groupBy("r", "title").agg(F.min("ordinal").alias("ordinal")), "entity-keys")
     pairs = materialize(containing_pairs(c_keys.select(F.col("l").alias("key")), e_side.select(F.col("r").alias("key"))), "name-pairs")
-    c_works, e_works = work_keys(c_keys.select("title").distinct(), e_side.select("title").distinct())
+    c_works, e_works = work_keys(c_keys.select("title").distinct(), e_side.select("title").distinct(), aliases)
     need = X.minimum_match_length(F.col("l"))
 
     enough = pairs.filter(F.col("overlap") >= F.greatest(F.lit(2), need)).select("l", "r")
@@ -212,7 +235,7 @@ def _new_id(place: Column | None = None) -> Column:
     return new_entity_id(X.strip(F.col("display_name")), X.strip(F.col("source_title")), provider, entity)
 
 
-def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "auto") -> DataFrame:
+def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "auto", aliases: DataFrame | None = None) -> DataFrame:
     """(candidate_id, action, id) with action existing / merge / new.
 
     A link match keeps the entity; an identity match merges (not under
@@ -225,7 +248,7 @@ def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "
     done = linked.filter(F.col("id").isNotNull()).select("candidate_id", F.lit("existing").alias("action"), "id")
     rest = materialize(linked.filter(F.col("id").isNull()).drop("id"), "import-rest")
     if strategy != "new":
-        merges = materialize(identity_fuzzy_join(rest, entities), "import-merge")
+        merges = materialize(identity_fuzzy_join(rest, entities, aliases=aliases), "import-merge")
         done = done.unionByName(merges.select("candidate_id", F.lit("merge").alias("action"), "id"))
         rest = rest.join(merges, "candidate_id", "left_anti")
     keyed = rest.withColumn("_link", F.coalesce(provider_key(F.col("provider"), F.col("provider_entity_id")), F.concat(F.lit("#"), F.col("candidate_id").cast("string"))))
@@ -239,7 +262,7 @@ def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "
             F.col("ordinal").alias("id"), "ordinal", "display_name", "source_title",
             F.transform(F.coalesce("aliases", F.array()), lambda a: F.struct(a.alias("name"), F.lit("").alias("language"))).alias("aliases"),
         )
-        first = identity_fuzzy_join(own, as_entities).withColumnRenamed("id", "match")
+        first = identity_fuzzy_join(own, as_entities, aliases=aliases).withColumnRenamed("id", "match")
         parent = own.join(first, "candidate_id", "left").select(
             "ordinal", F.least(F.coalesce("match", "ordinal"), F.col("ordinal")).alias("root")
         )
@@ -250,7 +273,7 @@ def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "
     return done.unionByName(named.select("candidate_id", action.alias("action"), "id"))
 
 
-def merged_fields(entities: DataFrame, merges: DataFrame) -> DataFrame:
+def merged_fields(entities: DataFrame, merges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Scalar fields of entities after merging ``merges(id, <candidate columns>)``.
 
     The highest provider priority wins the identity (the later of equals), the
@@ -278,7 +301,7 @@ def merged_fields(entities: DataFrame, merges: DataFrame) -> DataFrame:
     titles = titles.groupBy("id", "t").agg(F.min("ordinal").alias("ordinal"))
     base = rows.select("id", F.col("source_title").alias("b")).filter(F.col("b") != "")
     both = titles.join(base, "id").filter(F.length("t") > F.length("b"))
-    both = with_source_keys(with_source_keys(both, "t", "t"), "b", "b")
+    both = with_source_keys(with_source_keys(both, "t", "t", aliases), "b", "b", aliases)
     fit = source_compatible(F.col("b"), F.col("t"), F.col("b_canonical"), F.col("t_canonical"), F.col("b_variants"), F.col("t_variants"))
     longer = both.filter(fit).groupBy("id").agg(F.max_by("t", F.struct(F.length("t"), -F.col("ordinal"))).alias("_longer"))
     return rows.join(longer, "id", "left").withColumn("source_title", F.coalesce("_longer", "source_title")).drop("_longer")

@@ -107,15 +107,15 @@ def _(d):
 
 @query("source_compatible", BASE + " SELECT c.candidate_id, e.id, (c.source_title, e.source_title) IN (SELECT (l, r) FROM compat) AS compatible FROM candidates c JOIN entities e ON e.ordinal = c.ordinal + 1")
 def _(d):
-    c = N.with_source_keys(candidates(d).select("candidate_id", F.col("source_title").alias("l"), (F.col("ordinal") + 1).alias("ordinal")), "l", "l")
-    e = N.with_source_keys(entities(d).select("id", "ordinal", F.col("source_title").alias("r")), "r", "r")
+    c = N.with_source_keys(candidates(d).select("candidate_id", F.col("source_title").alias("l"), (F.col("ordinal") + 1).alias("ordinal")), "l", "l", rule(d, "source_aliases"))
+    e = N.with_source_keys(entities(d).select("id", "ordinal", F.col("source_title").alias("r")), "r", "r", rule(d, "source_aliases"))
     ok = N.source_compatible(F.col("l"), F.col("r"), F.col("l_canonical"), F.col("r_canonical"), F.col("l_variants"), F.col("r_variants"))
     return c.join(e, "ordinal").select("candidate_id", "id", ok.alias("compatible"))
 
 
 @query("identity_fuzzy_join", BASE + f", {IDENT} SELECT candidate_id, id FROM ident JOIN (SELECT DISTINCT ordinal, id FROM entities) USING (ordinal)")
 def _(d):
-    return N.identity_fuzzy_join(candidates(d), entities(d))
+    return N.identity_fuzzy_join(candidates(d), entities(d), aliases=rule(d, "source_aliases"))
 
 
 NEW_ID = f"'custom_' || {slug('display_name')} || '_' || substr(sha1(display_name || '|' || source_title || '|' || provider || '|' || provider_entity_id), 1, 8)"
@@ -134,7 +134,7 @@ SELECT candidate_id, 'existing' AS action, link_id AS id FROM linked WHERE link_
 UNION ALL SELECT candidate_id, 'merge', same_id FROM linked WHERE link_id IS NULL AND same_id IS NOT NULL
 UNION ALL SELECT candidate_id, CASE WHEN ordinal = root THEN 'new' WHEN ordinal = owner THEN 'merge' ELSE 'existing' END, ids.id FROM rest JOIN root USING (owner) JOIN ids USING (root)""")
 def _(d):
-    return N.library_import(candidates(d), entities(d)).select("candidate_id", "action", "id")
+    return N.library_import(candidates(d), entities(d), aliases=rule(d, "source_aliases")).select("candidate_id", "action", "id")
 
 
 @query("library_import_new", BASE + f""", c AS (SELECT *, coalesce({LINK}, '#' || candidate_id) AS lk FROM candidates WHERE NOT coalesce({LINK} IN (SELECT link_key FROM ent_links), FALSE)),
@@ -165,7 +165,7 @@ lg AS (SELECT id, source_title AS lt FROM (SELECT m.id, m.source_title, row_numb
 SELECT b.id, CASE WHEN pr >= ep THEN bp ELSE provider END AS provider, CASE WHEN pr >= ep THEN be ELSE provider_entity_id END AS provider_entity_id,
  coalesce(lt, t) AS source_title, avatar AS avatar_url FROM b LEFT JOIN lg ON lg.id = b.id""")
 def _(d):
-    rows = N.merged_fields(entities(d).withColumn("avatar_url", F.lit("")), merges(d))
+    rows = N.merged_fields(entities(d).withColumn("avatar_url", F.lit("")), merges(d), rule(d, "source_aliases"))
     return rows.select("id", "provider", "provider_entity_id", "source_title", "avatar_url")
 
 

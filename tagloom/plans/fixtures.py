@@ -21,7 +21,28 @@ def _name(tag: str) -> str | None:
     return f"{ZH_WORDS[first]} {second}" if first in ZH_WORDS else None
 
 
+# Canonical work keys and the spellings that lead to them: an input of the
+# operators; these are the works that the queries know.
+SOURCE_SPELLINGS = {
+    "blue_archive": ("blue_archive", "bluearchive", "蔚蓝档案", "ブルーアーカイブ", "블루아카이브"),
+    "genshin_impact": (
+        "genshin_impact", "genshinimpact", "genshin", "yuanshen", "yuan_shen", "原神", "げんしん",
+    ),
+    "honkai_star_rail": (
+        "honkai_star_rail", "honkai_starrail", "hsr", "崩坏星穹铁道", "崩壊スターレイル",
+        "崩壞星穹鐵道", "붕괴스타레일",
+    ),
+    "honkai_impact_3rd": (
+        "honkai_impact_3rd", "honkai_impact3rd", "崩坏3", "崩壊3rd", "붕괴3rd",
+    ),
+    "zenless_zone_zero": (
+        "zenless_zone_zero", "zenlesszonezero", "zzz", "绝区零", "ゼンレスゾーンゼロ", "젠레스존제로",
+    ),
+}
+
+
 RULES = {
+    "source_aliases": values("alias, canonical", [(x, k) for k, spellings in SOURCE_SPELLINGS.items() for x in spellings]),
     "taxonomy": values(
         "tag_id, category_id, ordinal, name",
         [(t, t.split("_")[0], i, _name(t)) for i, t in enumerate(TAG_IDS)],

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tagloom.functions import localize as L
 from tagloom.functions import text as X
+from tagloom.operators import entities as N
+from tagloom.plans.fixtures import SOURCE_SPELLINGS, rule
 from tagloom.plans.registry import Data, query
 
 TITLES = """
@@ -79,16 +83,18 @@ def _cut(c: str, tokens) -> str:
     return f"(CASE WHEN {spot} IS NULL THEN {c} ELSE {ws(f'substr({c}, 1, {spot} - 1)')} END)"
 
 
+SPELLINGS = [(k, sorted({re.sub(r"[^\w]+", "", x.lower().replace(" ", "_").replace("-", "_")).strip("_") for x in (k, *v)})) for k, v in SOURCE_SPELLINGS.items()]
 CANON_CTES = f"""t AS ({TITLES}), t1 AS (SELECT *, {_cut(ws('title'), X.TITLE_SEPARATORS)} AS c1 FROM t), t2 AS (SELECT *, {_cut('c1', ('（',))} AS c2 FROM t1),
 t3 AS (SELECT *, {_cut('c2', ('(',))} AS c3 FROM t2), t4 AS (SELECT *, coalesce(nullif({slug('c3')}, ''), nullif({slug('title')}, '')) AS k FROM t3),
 titles AS (SELECT p_partkey, p_name, p_brand, p_type, title, CASE WHEN k IS NULL THEN 'unknown_source' """ + " ".join(
-    "WHEN " + " OR ".join(f"k = '{s}' OR starts_with(k, '{s}_')" for s in spellings) + f" THEN '{name}'" for name, spellings in X.source_aliases()
+    "WHEN " + " OR ".join(f"k = '{s}' OR starts_with(k, '{s}_')" for s in spellings) + f" THEN '{name}'" for name, spellings in SPELLINGS
 ) + " ELSE k END AS source_key FROM t4)"
 
 
 @query("canonical_source_key", f"WITH {CANON_CTES} SELECT p_partkey, source_key FROM titles")
 def _(d):
-    return d.sql(TITLES).select("p_partkey", X.canonical_source_key(F.col("title")).alias("source_key"))
+    rows = N.canonical_sources(d.sql(TITLES).select("p_partkey", "title"), "title", rule(d, "source_aliases"), "source_key")
+    return rows.select("p_partkey", "source_key")
 
 
 def variant_keys(c: str, seps=X.SOURCE_KEY_SEPARATORS) -> str:

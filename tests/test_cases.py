@@ -7,6 +7,7 @@ from tagloom.functions import boxes as B
 from tagloom.functions import localize as L
 from tagloom.functions import text as X
 from tagloom.functions import vectors as V
+from tagloom.operators import entities as N
 from tagloom.operators import evidence as E
 from tagloom.operators import references as R
 from tagloom.operators import search as S
@@ -24,9 +25,8 @@ def one(spark, column):
         (X.normalize_token, "蓝发", ""),
         (X.match_key, "蔚蓝档案 Blue-Archive", "蔚蓝档案bluearchive"),
         (X.ascii_slug, "Orphie Magnusson & Magus", "orphie_magnusson_magus"),
-        (X.canonical_source_key, "Genshin - Chapter 2", "genshin_impact"),
-        (X.canonical_source_key, "", "unknown_source"),
-        (X.canonical_source_key, "|a|b (c)", "ab"),
+        (X.source_slug, "|a|b (c)", "ab"),
+        (X.source_slug, " - ", None),
         (X.release_date, "Released July 04, 2024 (1.0)", "2024-07-04"),
         (X.release_date, "Smarch 99, 2024", ""),
         (X.metadata_tokens, "a；b, c/d、a;??", ["a", "b", "c", "d"]),
@@ -41,6 +41,24 @@ def test_text(spark, fn, text, want):
     assert one(spark, fn(F.lit(text))) == want
 
 
+def test_canonical_sources_follow_their_table(spark):
+    titles = ["Genshin - Chapter 2", "Genshin Impact Two", "Genshinx", "原神", "", None, "|a|b (c)", "Blue Archive", "blue_archives"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string")
+    tables = [
+        None, [("genshin", "genshin_impact"), ("原神", "genshin_impact"), ("Blue-Archive", "ba")],
+        [("genshin", "other"), ("genshin impact", "longer"), ("ab", "letters"), ("", "nothing")],
+    ]
+    want = [
+        ["genshin", "genshin_impact_two", "genshinx", "原神", "unknown_source", "unknown_source", "ab", "blue_archive", "blue_archives"],
+        ["genshin_impact", "genshin_impact", "genshinx", "genshin_impact", "unknown_source", "unknown_source", "ab", "ba", "blue_archives"],
+        ["other", "longer", "genshinx", "原神", "unknown_source", "unknown_source", "letters", "blue_archive", "blue_archives"],
+    ]
+    for rows, expected in zip(tables, want):
+        aliases = None if rows is None else spark.createDataFrame(rows, "alias string, canonical string")
+        got = N.canonical_sources(frame, "t", aliases, "key").orderBy("i").collect()
+        assert [r.key for r in got] == expected
+
+
 def test_two_sided_text(spark):
     lit = F.lit
     assert one(spark, X.lcs_len(lit("abcdxyz"), lit("zzcdxy"))) == 4
