@@ -334,11 +334,21 @@ def _(d):
     return rows.select("p_partkey", "e.name", "e.language", (F.col("pos") + 1).cast("bigint").alias("pos"))
 
 
-@query("provider_links", """SELECT p_partkey, CAST(1 AS BIGINT) AS pos, 'manual' AS provider, p_name AS provider_entity_id FROM @part UNION ALL SELECT p_partkey, 2, p_brand, p_type FROM @part""")
+@query("provider_links", """WITH l AS (
+  SELECT p_partkey, 1 AS o, CASE WHEN p_size % 3 = 0 THEN 'manual' ELSE p_brand END AS provider, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS e FROM @part
+  UNION ALL SELECT p_partkey, 2, 'MANUAL', upper(p_name) FROM @part UNION ALL SELECT p_partkey, 3, p_brand, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END FROM @part
+  UNION ALL SELECT p_partkey, 4, lower(p_brand), CASE WHEN p_size % 5 = 0 THEN p_name ELSE lower(p_type) END FROM @part),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, lower(provider), lower(e) ORDER BY o) AS n FROM l WHERE e <> '')
+SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS pos, provider, e AS provider_entity_id FROM f WHERE n = 1""")
 def _(d):
     link = lambda p, e: F.struct(p.alias("provider"), e.alias("provider_entity_id"))
-    links = F.array(link(F.lit("MANUAL"), F.upper("p_name")), link(F.col("p_brand"), F.col("p_type")), link(F.col("p_brand"), F.lit(" ")), link(F.lower("p_brand"), F.lower("p_type")))
-    rows = d.part.select("p_partkey", F.posexplode(L.provider_links(F.lit(" "), F.col("p_name"), links)).alias("pos", "l"))
+    size, blank = F.col("p_size"), F.lit("  ")
+    links = F.array(
+        link(F.lit("MANUAL"), F.upper("p_name")), link(F.col("p_brand"), F.when(size % 2 == 0, blank).otherwise(F.col("p_type"))),
+        link(F.lower("p_brand"), F.when(size % 5 == 0, F.col("p_name")).otherwise(F.lower("p_type"))),
+    )
+    first = L.provider_links(F.when(size % 3 == 0, blank).otherwise(F.col("p_brand")), F.when(size % 7 == 0, blank).otherwise(F.col("p_name")), links)
+    rows = d.part.select("p_partkey", F.posexplode(first).alias("pos", "l"))
     return rows.select("p_partkey", (F.col("pos") + 1).cast("bigint").alias("pos"), "l.provider", "l.provider_entity_id")
 
 

@@ -157,8 +157,8 @@ def _(d):
 
 
 def make_predict():
-    """A fixed 64 x 8 linear model with a clip to 0..1."""
-    matrix = ((np.arange(64)[:, None] * 3 + np.arange(8)[None, :] * 5) % 11) / 10.0
+    """A fixed 64 x 64 linear model with a clip to 0..1."""
+    matrix = ((np.arange(64)[:, None] * 3 + np.arange(64)[None, :] * 5) % 11) / 10.0
 
     def predict(inputs: np.ndarray) -> np.ndarray:
         return np.clip(np.asarray(inputs, dtype=np.float64) @ matrix, 0.0, 1.0)
@@ -166,7 +166,7 @@ def make_predict():
     return predict
 
 
-SCORES = "list_transform(range(0, 8), lambda j: greatest(0.0, least(1.0, list_sum(list_transform(range(0, 64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * ((i * 3 + j * 5) % 11) / 10.0)))))"
+SCORES = "list_transform(range(0, 64), lambda j: greatest(0.0, least(1.0, list_sum(list_transform(range(0, 64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * ((i * 3 + j * 5) % 11) / 10.0)))))"
 
 
 def scored(d: Data):
@@ -174,14 +174,14 @@ def scored(d: Data):
     return M.model_score(d.embeddings.select("vec_id", "label", "embedding"), score("embedding"))
 
 
-@query("model_score", f"WITH s AS (SELECT vec_id, {SCORES} AS s FROM @embeddings) SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, round(s[i], 5) AS score FROM (SELECT *, unnest(range(1, 9)) AS i FROM s)")
+@query("model_score", f"WITH s AS (SELECT vec_id, {SCORES} AS s FROM @embeddings) SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, round(s[i], 5) AS score FROM (SELECT *, unnest(range(1, 65)) AS i FROM s)")
 def _(d):
     rows = scored(d).select("vec_id", F.posexplode("scores").alias("pos", "score"))
     return longs(rounded(rows, "score", digits=5), "pos")
 
 
 @query("explode_predictions", f"""WITH s AS (SELECT vec_id, {SCORES} AS s FROM @embeddings), v AS (SELECT p_partkey AS pos, p_name, p_type FROM @part)
-SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, p_name AS tag, p_type AS category, round(s[i], 5) AS score FROM (SELECT *, unnest(range(1, 9)) AS i FROM s) JOIN v ON pos = i - 1""")
+SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, p_name AS tag, p_type AS category, round(s[i], 5) AS score FROM (SELECT *, unnest(range(1, 65)) AS i FROM s) JOIN v ON pos = i - 1""")
 def _(d):
     vocab = d.part.select(F.col("p_partkey").cast("int").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("category"))
     return longs(rounded(M.explode_predictions(scored(d), vocab, "vec_id", "scores"), "score", digits=5), "pos")
@@ -189,23 +189,36 @@ def _(d):
 
 def make_embedder():
     """Fails on inputs whose first value is large, like an unreadable file."""
-    return lambda items: [None if x is None or x[0] > 0.1 else [float(y) * 2.0 for y in x[:16]] for x in items]
+    return lambda items: [None if x is None or x[0] > 0.1 else [float(y) * 2.0 for y in x] for x in items]
 
 
-@query("image_embed", "WITH e AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * 2.0) AS v FROM @embeddings) SELECT vec_id, CASE WHEN v[1] > 0.2 THEN NULL ELSE round(v[4] / sqrt(list_dot_product(v, v)), 5) + 0.0 END AS fourth FROM e")
+EMBEDDED = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2.0) AS v FROM @embeddings),
+u AS (SELECT vec_id, label, CASE WHEN v[1] <= 0.2 THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) END AS v FROM e)"""
+
+
+def _weighted(v: str):
+    """All components, each with its place as weight."""
+    return F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+@query("image_embed", f"WITH {EMBEDDED} SELECT vec_id, round(v[4], 5) + 0.0 AS fourth, CAST(len(v) AS BIGINT) AS dimension, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * i)), 4) + 0.0 AS weighted FROM u")
 def _(d):
     rows = M.image_embed(d.embeddings, M.content_scorer(make_embedder)(F.col("embedding")))
-    return rounded(rows.select("vec_id", F.get("vector", F.lit(3)).alias("fourth")), "fourth", digits=5)
+    size = F.when(F.col("vector").isNotNull(), F.size("vector")).cast("bigint")
+    out = rows.select("vec_id", F.get("vector", F.lit(3)).alias("fourth"), size.alias("dimension"), (F.round(_weighted("vector"), 4) + 0.0).alias("weighted"))
+    return rounded(out, "fourth", digits=5)
 
 
-@query("build_reference_vectors", "SELECT CAST(label AS VARCHAR) AS character_id, n_name AS character_name, 'f/' || vec_id AS image_path, CAST(16 AS BIGINT) AS dimension FROM @embeddings JOIN @nation ON n_nationkey = label WHERE n_regionkey < 4 AND NOT embedding[1] > 0.1")
+@query("build_reference_vectors", f"""WITH {EMBEDDED} SELECT CAST(label AS VARCHAR) AS character_id, n_name AS character_name, 'f/' || e.vec_id AS image_path, CAST(64 AS BIGINT) AS dimension,
+ round(list_sum(list_transform(range(1, 65), lambda i: v[i] * i)), 4) + 0.0 AS weighted FROM e JOIN @nation ON n_nationkey = label WHERE n_regionkey < 4 AND NOT v[1] > 0.2""")
 def _(d):
     path = F.concat(F.lit("f/"), "vec_id")
     refs = d.embeddings.select(F.col("label").cast("string").alias("character_id"), F.col("vec_id").alias("pos"), path.alias("path"))
     files = d.embeddings.select(path.alias("path"), F.col("embedding").alias("content"))
     names = d.nation.select(F.col("n_nationkey").cast("string").alias("character_id"), F.col("n_name").alias("character_name"), F.when(F.col("n_regionkey") >= 4, F.lit(False)).alias("enabled"))
     rows = M.build_reference_vectors(refs, files, M.content_scorer(make_embedder), names)
-    return rows.select("character_id", "character_name", "image_path", F.size("embedding").cast("bigint").alias("dimension"))
+    weighted = (F.round(_weighted("embedding"), 4) + 0.0).alias("weighted")
+    return rows.select("character_id", "character_name", "image_path", F.size("embedding").cast("bigint").alias("dimension"), weighted)
 
 
 # --------------------------------------------------------------------- streams

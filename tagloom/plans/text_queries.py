@@ -153,11 +153,13 @@ def _(d):
     return rows.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.md5("token").alias("token"))
 
 
-@query("strip_tag_prefix", "SELECT p_partkey, CASE WHEN p_size > 40 THEN p_name ELSE concat(p_name, ' Tags:') END AS text FROM @part")
+PREFIXED = """SELECT p_partkey, concat(CASE p_size % 9 WHEN 0 THEN '标签： ' WHEN 1 THEN ' Tags:' WHEN 2 THEN 'タグ: ' WHEN 3 THEN '태그：' WHEN 4 THEN 'tags: ' WHEN 5 THEN 'Tags ' WHEN 6 THEN 'Tags:Tags: ' WHEN 7 THEN 'x标签：' ELSE '' END,
+  p_name, CASE WHEN p_size > 25 THEN ' Tags: ' ELSE '' END) AS text FROM @part"""
+
+
+@query("strip_tag_prefix", rf"SELECT p_partkey, {ws(r"regexp_replace(trim(text), '^(标签|Tags|タグ|태그)[:：]\s*', '')")} AS text FROM ({PREFIXED})")
 def _(d):
-    prefix = F.when(F.col("p_size") % 4 == 0, "标签： ").when(F.col("p_size") % 4 == 1, " Tags:").when(F.col("p_size") % 4 == 2, "タグ: ").otherwise("태그：")
-    text = F.when(F.col("p_size") > 40, F.concat(prefix, "p_name")).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" Tags: ")))
-    return d.part.select("p_partkey", X.strip_tag_prefix(text).alias("text"))
+    return d.sql(PREFIXED).select("p_partkey", X.strip_tag_prefix(F.col("text")).alias("text"))
 
 
 SEARCH_TEXT = r"regexp_replace(regexp_replace(lower({0}), '[_\-\s]+', '', 'g'), '[^\p{{L}}\p{{N}}\x{{4E00}}-\x{{9FFF}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}]+', '', 'g')"
@@ -175,8 +177,8 @@ def _(d):
     return d.part.select("p_partkey", X.humanize_id(raw).alias("name"))
 
 
-@query("localized_name", """SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand WHEN p_type = 'PROMO' THEN concat(p_name, '-ja') ELSE p_name END AS ja,
- CASE WHEN p_type = 'SMALL' THEN p_brand WHEN p_size > 40 THEN '' || p_name ELSE p_name END AS zh FROM @part""")
+@query("localized_name", """SELECT p_partkey, CASE WHEN p_size > 40 THEN p_brand WHEN p_type = 'PROMO' THEN concat(p_name, '-ja') WHEN p_size >= 15 THEN p_name ELSE 'Long Hair' END AS ja,
+ CASE WHEN p_type = 'SMALL' THEN p_brand WHEN p_type = 'LARGE' THEN concat(p_name, '-zh') WHEN p_size >= 15 THEN p_name ELSE 'Long Hair' END AS zh FROM @part""")
 def _(d):
     names = F.create_map(
         F.lit("ja_JP"), F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise(" "),
@@ -184,8 +186,8 @@ def _(d):
     )
     fields = {
         "name_ja": F.when(F.col("p_type") == "PROMO", F.concat("p_name", F.lit("-ja"))),
-        "name_en": F.col("p_name"),
-        "name_zh": F.lit(""),
+        "name_en": F.when(F.col("p_size") >= 15, F.col("p_name")),
+        "name_zh": F.when(F.col("p_type") == "LARGE", F.concat("p_name", F.lit("-zh"))).otherwise(" "),
     }
     tag = F.lit("long_hair")
     return d.part.select(
@@ -193,21 +195,17 @@ def _(d):
     )
 
 
-@query("localized_alias", """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN concat('中', p_name) WHEN p_size > 30 THEN p_name ELSE p_name END AS zh,
- CASE WHEN p_size > 30 THEN concat(p_brand, '-j') ELSE p_name END AS ja, CASE WHEN p_size > 30 THEN concat(p_brand, '-j') ELSE p_name END AS editor_ko FROM @part""")
+NAMED = """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS shown, CASE WHEN p_size > 30 THEN concat(p_brand, '-j') ELSE '' END AS ja, CASE WHEN p_size % 5 = 0 THEN concat(p_type, '-k') ELSE '' END AS ko,
+  CASE WHEN p_type = 'PROMO' THEN concat('中', p_name) ELSE '' END AS zh, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS en FROM @part"""
+
+
+@query("localized_alias", f"""SELECT p_partkey, coalesce(zh, en, ja, ko, '') AS zh, coalesce(ja, en, ko, zh, '') AS ja, coalesce(ko, ja, en, zh, '') AS editor_ko
+ FROM (SELECT p_partkey, nullif(zh, '') AS zh, nullif(ja, '') AS ja, nullif(ko, '') AS ko, coalesce(nullif(shown, ''), nullif(en, '')) AS en FROM ({NAMED}))""")
 def _(d):
-    entry = lambda n, lang: F.struct(n.alias("name"), F.lit(lang).alias("language"))
-    entries = F.array(
-        entry(F.when(F.col("p_size") > 30, F.concat("p_brand", F.lit("-j"))).otherwise(""), "ja"),
-        entry(F.when(F.col("p_type") == "PROMO", F.concat(F.lit("中"), "p_name")).otherwise(""), ""),
-        entry(F.upper("p_name"), "en-US"),
-    )
-    return d.part.select(
-        "p_partkey",
-        L.localized_alias(F.col("p_name"), entries, "zh-CN").alias("zh"),
-        L.localized_alias(F.col("p_name"), entries, "ja-JP").alias("ja"),
-        L.localized_alias(F.col("p_name"), entries, "ko-KR", editor=True).alias("editor_ko"),
-    )
+    entry = lambda n, lang: F.struct(F.col(n).alias("name"), F.lit(lang).alias("language"))
+    entries = F.array(entry("ko", "ko_KR"), entry("ja", "ja"), entry("zh", ""), entry("en", "en-US"))
+    alias = lambda lang, **how: L.localized_alias(F.col("shown"), entries, lang, **how)
+    return d.sql(NAMED).select("p_partkey", alias("zh-CN").alias("zh"), alias("ja-JP").alias("ja"), alias("ko-KR", editor=True).alias("editor_ko"))
 
 
 @query("language_code", """SELECT doc_id, CASE lang WHEN 'zh' THEN 'zh-CN' WHEN 'en' THEN 'en-US' WHEN 'ja' THEN 'ja-JP' WHEN 'ko' THEN 'ko-KR' ELSE 'zh-CN' END AS exact,
@@ -238,12 +236,13 @@ def _(d):
     return d.sql(PAIRS).select("p_partkey", X.lcs_len(F.col("a"), F.col("b")).cast("bigint").alias("n"))
 
 
-@query("name_variant_predicate", f"WITH p AS ({PAIRS}) SELECT p_partkey, contains(a, b) OR contains(b, a) AS variant, TRUE AS foreign_variant FROM p")
+@query("name_variant_predicate", f"WITH p AS ({PAIRS}) SELECT p_partkey, contains(a, b) OR contains(b, a) AS variant, p_partkey % 3 = 0 OR contains(a, b) OR contains(b, a) AS foreign_variant FROM p")
 def _(d):
     a, b = F.col("a"), F.col("b")
+    ending = F.when(F.col("p_partkey") % 3 == 0, "空").otherwise("!")
     return d.sql(PAIRS).select(
         "p_partkey", X.name_variant_predicate(F.upper(b), F.array(a)).alias("variant"),
-        X.name_variant_predicate(F.concat(b, F.lit("空")), F.array(a)).alias("foreign_variant"),
+        X.name_variant_predicate(F.concat(b, ending), F.array(a)).alias("foreign_variant"),
     )
 
 
@@ -314,7 +313,10 @@ def _(d):
     )
 
 
-@query("malformed_token_predicate", "SELECT doc_id, lang NOT IN ('en', 'zh') AS malformed FROM @documents")
+TOKENS = "SELECT doc_id, translate(substr(text, CAST(1 + doc_id % 40 AS INT), CAST(doc_id % 4 AS INT)), 'aeiou', '?？�??') AS token FROM @documents"
+
+
+@query("malformed_token_predicate", rf"SELECT doc_id, regexp_matches({ws('token')}, '^[?？\x{{FFFD}}]*$') AS malformed FROM ({TOKENS})")
 def _(d):
-    token = F.when(F.col("lang") == "fr", "？?").when(F.col("lang") == "de", " \t").when(F.col("lang").isin("en", "zh"), F.concat("source", F.lit("?"))).otherwise("\ufffd?")
-    return d.documents.select("doc_id", X.is_malformed_token(token).alias("malformed"))
+    return d.sql(TOKENS).select("doc_id", X.is_malformed_token(F.col("token")).alias("malformed"))
+

@@ -197,10 +197,11 @@ def _(d):
     return rounded(unit.select("row_index", (F.col("pos") + 1).cast("bigint").alias("pos"), "x"), "x")
 
 
-@query("tag_score_at", "SELECT vec_id, greatest(0.0, least(1.0, CAST(embedding[3] AS DOUBLE))) AS third, 0.0::DOUBLE AS missing FROM embeddings")
+@query("tag_score_at", """SELECT vec_id, greatest(0.0, least(1.0, CAST(embedding[3] AS DOUBLE))) AS third,
+ CASE WHEN vec_id % 90 < 64 THEN greatest(0.0, least(1.0, CAST(embedding[CAST(vec_id % 90 + 1 AS INT)] AS DOUBLE))) ELSE 0.0 END AS placed FROM embeddings""")
 def _(d):
     v = F.col("embedding")
-    return d.embeddings.select("vec_id", V.tag_score_at(v, 2).alias("third"), V.tag_score_at(v, 900).alias("missing"))
+    return d.embeddings.select("vec_id", V.tag_score_at(v, 2).alias("third"), V.tag_score_at(v, (F.col("vec_id") % 90).cast("int")).alias("placed"))
 
 
 @query("max_group_score", CTES + "SELECT row_index, round(list_max(v[56:64]), 6) AS score FROM refs")
