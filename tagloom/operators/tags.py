@@ -196,24 +196,36 @@ def precision_filter(
     groups: list[tuple[str, list[str]]],
     caps: DataFrame,
 ) -> DataFrame:
-    """Block, unknown, distinct, exclusive groups, caps - in that order."""
-    rows = first_per_tag(keep_known(drop_blocked(tags, blocked, "tag"), taxonomy))
-    return cap_categories(exclusive_first(rows, groups), taxonomy, caps)
+    """Block, unknown, distinct, exclusive groups, caps - in that order.
+
+    What the rules say of a tag is one small table; groups and caps work on the
+    image's list of distinct tags. Two shuffles in all."""
+    rules = taxonomy.select(F.col("tag_id").alias("tag"), "category_id").dropDuplicates(["tag"])
+    rules = drop_blocked(rules, blocked, "tag").join(caps.select("category_id", "cap"), "category_id", "left")
+    rules = small_side(rules.select("tag", F.struct("category_id", F.coalesce("cap", F.lit(DEFAULT_RANK)).alias("cap")).alias("rule")), "precision-rules")
+    first = tags.join(rules, "tag").groupBy("image_id", "tag").agg(F.min("pos").alias("pos"), F.any_value("rule").alias("rule"))
+    item = F.struct("pos", "tag", "rule.category_id", "rule.cap")
+    listed = first.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("list"))
+    kept = F.transform(precise_features(F.col("list"), groups), lambda e: F.struct(e["pos"].alias("pos"), e["tag"].alias("tag")))
+    return listed.select("image_id", F.inline(kept))
 
 
 def display_sort(tags: DataFrame, taxonomy: DataFrame, category_rank: DataFrame, tag_rank: DataFrame) -> DataFrame:
-    """Re-number by category rank, tag rank and old position."""
+    """Re-number the distinct tags of an image by category rank, tag rank and
+    old position; the ranks of a tag are one small table, the order is taken on
+    the image's list."""
     cat = category_rank.select("category_id", F.col("rank").alias("_cat"))
     ranks = (
         taxonomy.select(F.col("tag_id").alias("tag"), "category_id")
         .join(cat, "category_id", "left")
         .join(tag_rank.select(F.col("tag_id").alias("tag"), F.col("rank").alias("_tag")), "tag", "full_outer")
-        .select("tag", "_cat", "_tag")
-    )
-    order = W.partitionBy("image_id").orderBy(
-        F.coalesce("_cat", F.lit(DEFAULT_RANK)), F.coalesce("_tag", F.lit(DEFAULT_RANK)), F.col("pos")
+        .select("tag", F.coalesce("_cat", F.lit(DEFAULT_RANK)).alias("c"), F.coalesce("_tag", F.lit(DEFAULT_RANK)).alias("t"))
     )
-    return tags.join(ranks, "tag", "left").select("image_id", F.row_number().over(order).alias("pos"), "tag")
+    place = F.struct(F.coalesce("c", F.lit(DEFAULT_RANK)), F.coalesce("t", F.lit(DEFAULT_RANK)), "pos", "tag")
+    rows = tags.join(small_side(ranks, "display-ranks"), "tag", "left").select("image_id", place.alias("place"), "tag")
+    listed = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", "tag"))).alias("list"))
+    numbered = listed.select("image_id", F.posexplode("list").alias("pos", "e"))
+    return numbered.select("image_id", (F.col("pos") + 1).alias("pos"), "e.tag")
 
 
 def as_lists(rows: DataFrame, value: str, name: str, key: str = "image_id") -> DataFrame:
