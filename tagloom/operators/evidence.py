@@ -208,6 +208,7 @@ def resolve_characters(
 ) -> DataFrame:
     """Weighted region queries -> (image_id, rank, character_id, character_name)."""
     top_k = max(1, top_k)
+    refs = small_side(refs, "library")  # read for the match, the features, the profiles and the counts
     heads = queries.groupBy("image_id").agg((F.count(F.lit(1)) - 1).alias("head_regions"))
     evidence = character_evidence(match_scores(queries, refs, spec, top_k, profiles), max(0.0, minimum))
     scores = evidence_score(evidence, reference_count(refs), heads, top_k)
@@ -226,6 +227,7 @@ def resolve_by_image(
     limits = limits.select("image_id", F.greatest(F.lit(0.0), F.col("minimum")).alias("minimum"), F.greatest(F.lit(1), F.col("top_k").cast("int")).alias("top_k"))
     limits = materialize(limits, "resolve-limits")
     most = limits.agg(F.max("top_k")).first()[0] or 1
+    refs = small_side(refs, "library")  # read for the match, the features, the profiles and the counts
     heads = queries.groupBy("image_id").agg((F.count(F.lit(1)) - 1).alias("head_regions"))
     evidence = character_evidence(match_scores(queries, refs, spec, most, profiles, limits), F.col("minimum"))
     scores = materialize(evidence_score(evidence, reference_count(refs), heads, F.col("top_k")), "resolve-scores")
