@@ -35,6 +35,9 @@ from tagloom.session import materialize
 PRINTS = "doc_id bigint, row bigint, lines array<bigint>, many array<int>, at array<int>, print array<bigint>, first array<int>, last array<int>, gram array<boolean>"
 
 
+LARGEST = U(0xFFFFFFFFFFFFFFFF)  # hash of a gram that is none
+
+
 def run_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of each run h[start:stop] of line hashes."""
     with np.errstate(over="ignore"):
@@ -45,52 +48,54 @@ def run_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return out
 
 
-def fingerprints(h: np.ndarray, many: np.ndarray, noise: int, guarantee: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first line, last line) of the selected grams of one text,
-    from its line hashes and their word counts."""
+def fingerprints(h: np.ndarray, many: np.ndarray, noise: int, guarantee: int, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first line, last line) of the selected grams, from line
+    hashes and their word counts; ``end`` tells for each line where its text
+    ends, if there are several."""
+    end = np.full(len(h), len(h)) if end is None else end
     total = np.concatenate([[0], np.cumsum(many)])
-    start = np.arange(len(h))
     gram_stop = np.searchsorted(total, total[:-1] + noise, side="left")
     window_stop = np.searchsorted(total, total[:-1] + guarantee, side="left")
-    grams = int(np.count_nonzero(gram_stop <= len(h)))
-    gram = run_hashes(h, start[:grams], gram_stop[:grams])
-    windows = int(np.count_nonzero(window_stop <= len(h)))
-    last_gram = np.searchsorted(gram_stop[:grams], window_stop[:windows], side="right") - 1
-    best = start[:windows].copy()
-    for k in range(1, int((last_gram - best).max()) + 1 if windows else 0):
-        inside = np.flatnonzero(start[:windows] + k <= last_gram)
-        better = inside[gram[inside + k] < gram[best[inside]]]
-        best[better] = better + k
+    gram = np.full(len(h), LARGEST)
+    whole = np.flatnonzero(gram_stop <= end)
+    gram[whole] = run_hashes(h, whole, gram_stop[whole])
+    window = np.flatnonzero(window_stop <= end)
+    last_gram = np.searchsorted(gram_stop, window_stop[window], side="right") - 1
+    best = window.copy()
+    for k in range(1, int((last_gram - window).max()) + 1 if len(window) else 0):
+        inside = np.flatnonzero(window + k <= last_gram)
+        better = inside[gram[window[inside] + k] < gram[best[inside]]]
+        best[better] = window[better] + k
     chosen = np.unique(best)
     return gram[chosen], chosen, gram_stop[chosen] - 1
 
 
-def grams(h: np.ndarray, many: np.ndarray, noise: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(h: np.ndarray, many: np.ndarray, noise: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first line, last line) of the shortest runs of ``noise`` words
-    that begin or end at a line of one text."""
+    that begin or end at a line and lie in its text [begin, end)."""
     total = np.concatenate([[0], np.cumsum(many)])
     stop = np.searchsorted(total, total[:-1] + noise, side="left")
     start = np.searchsorted(total, total[1:] - noise, side="right") - 1
-    begun, ended = np.flatnonzero(stop <= len(h)), np.flatnonzero(start >= 0)
+    begun, ended = np.flatnonzero(stop <= end), np.flatnonzero(start >= begin)
     runs = np.unique(np.concatenate([begun * (len(h) + 1) + stop[begun], start[ended] * (len(h) + 1) + ended + 1]))
-    first, end = runs // (len(h) + 1), runs % (len(h) + 1)
-    return run_hashes(h, first, end), first, end - 1
+    first, past = runs // (len(h) + 1), runs % (len(h) + 1)
+    return run_hashes(h, first, past), first, past - 1
 
 
-def window_prints(h: np.ndarray, many: np.ndarray, noise: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_prints(h: np.ndarray, many: np.ndarray, noise: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first line, last line) of the windows that begin or end at a line;
     the key is the window's smallest gram together with its lines."""
     total = np.concatenate([[0], np.cumsum(many)])
     stop = np.searchsorted(total, total[:-1] + gram_words(noise), side="left")
-    here = np.flatnonzero(stop <= len(h))
-    gram = np.full(len(h), U(0xFFFFFFFFFFFFFFFF))
+    here = np.flatnonzero(stop <= end)
+    gram = np.full(len(h), LARGEST)
     gram[here] = run_hashes(h, here, stop[here])
-    window, first, last = grams(h, many, noise)
+    window, first, last = grams(h, many, noise, begin, end)
     least = gram[first]  # a window holds the gram that begins with it
     for k in range(1, int((last - first).max()) + 1 if len(first) else 0):
-        at = np.minimum(first + k, len(h) - 1)
-        inside = (first + k <= last) & (stop[at] <= last + 1)
-        least = np.where(inside, np.minimum(least, gram[at]), least)
+        some = np.flatnonzero(first + k <= last)
+        some = some[stop[first[some] + k] <= last[some] + 1]
+        least[some] = np.minimum(least[some], gram[first[some] + k])
     with np.errstate(over="ignore"):
         return mixed(window + mixed(least * STEP)), first, last
 
@@ -100,13 +105,14 @@ def gram_words(noise: int) -> int:
 
 
 def _prints(noise: int, guarantee: int):
-    def select(h, many):
-        """Prints, first and last lines, and how many of them are fingerprints."""
+    def select(h, many, begin, end):
+        """Prints, first and last lines, and whether they are fingerprints."""
         if guarantee > noise:
-            found = fingerprints(h, many, noise, guarantee)
-            return (*found, len(found[0]))
-        gram, window = fingerprints(h, many, gram_words(noise), noise), window_prints(h, many, noise)
-        return (*(np.concatenate(x) for x in zip(gram, window)), len(gram[0]))
+            found = [fingerprints(h, many, noise, guarantee, end)]
+        else:
+            found = [fingerprints(h, many, gram_words(noise), noise, end), window_prints(h, many, noise, begin, end)]
+        is_gram = np.concatenate([np.full(len(x[0]), i == 0) for i, x in enumerate(found)])
+        return (*(np.concatenate(x) for x in zip(*found)), is_gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -118,14 +124,15 @@ def _prints(noise: int, guarantee: int):
             head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (number[1:] != number[:-1])])) if len(row) else np.zeros(0, np.int64)
             tail = np.append(head[1:], len(row)) - 1 if len(head) else head
             h = span_hashes(buf, starts[head], ends[tail])
-            many, cut = tail - head + 1, np.searchsorted(head, first)
-            found = [select(h[a:b], many[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            sizes = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])])
-            prints, lo, hi = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
-            is_gram = np.concatenate([np.arange(len(x[0])) < x[3] for x in found]) if found else np.zeros(0, bool)
+            many, cut, text = tail - head + 1, np.searchsorted(head, first), row[head]
+            prints, lo, hi, is_gram = select(h, many, cut[text], cut[text + 1])
+            order = np.argsort(text[lo], kind="stable")
+            prints, lo, hi, is_gram = (x[order] for x in (prints, lo, hi, is_gram))
+            sizes = np.searchsorted(text[lo], np.arange(batch.num_rows + 1))
+            base = cut[text[lo]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), ragged(cut, signed(h), pa.int64()), ragged(cut, many, pa.int32()), ragged(cut, number[head], pa.int32()),
-                 ragged(sizes, signed(prints), pa.int64()), ragged(sizes, lo, pa.int32()), ragged(sizes, hi, pa.int32()), ragged(sizes, is_gram, pa.bool_())],
+                 ragged(sizes, signed(prints), pa.int64()), ragged(sizes, lo - base, pa.int32()), ragged(sizes, hi - base, pa.int32()), ragged(sizes, is_gram, pa.bool_())],
                 ["doc_id", "row", "lines", "many", "at", "print", "first", "last", "gram"])
 
     return run
