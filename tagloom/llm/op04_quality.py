@@ -128,7 +128,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> D
 
 def good_documents(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the trees do not
-    reject. Trees learn as in ``quality_scores``."""
+    reject. Trees learn as in ``quality_scores``. Null and empty texts are judged
+    by their statistics of zero, equal texts alike, whatever their ids; an empty
+    table gives no rows."""
     score = scored(learnt(docs, labels, limit))(F.col("text").cast("string"))
     keyed = docs.select(F.struct(*docs.columns).alias("_all"), score.alias("_score"))
     return keyed.filter("_score >= 0.5").select("_all.*")
