@@ -22,13 +22,17 @@ ORACLE_SQL = None  # trees, winnowing and packing have no SQL form; tests compar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trees do not reject."""
+    """Documents that the trees do not reject. A null or empty text is judged by
+    its statistics of zero; rows with equal texts share their fate; a null id is
+    judged like any other. No labels: nothing is rejected."""
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts (and their n_chars) without later repeated runs of lines; a
-    document goes if nothing but white space is left of a text that had more."""
+    document goes if nothing but white space is left of a text that had more.
+    Null and empty texts pass as they are; of equal texts the smallest id keeps
+    its lines, and rows that repeat whole are one text; a null id comes first."""
     removed = "removed_lines"
     while removed in docs.columns:
         removed += "_"
@@ -40,17 +44,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8 or more."""
+    """One document of each group linked by five-word shingles at 0.8 or more: the
+    smallest id, with all its rows. Texts that are null or have no word, and rows
+    without an id, stay."""
     return representatives(docs, k=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten consecutive words of a benchmark item."""
+    """Documents without ten consecutive words of a benchmark item (or all words of
+    a shorter one). Null and empty texts stay; equal texts share their fate; an
+    empty benchmark removes nothing."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, packed into sequences of 2048 tokens."""
+    """Pieces of what is left, packed into sequences of 2048 tokens. A null or empty
+    text is its closing id; each row is packed, also one that repeats."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, closing=1)
