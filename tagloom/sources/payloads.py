@@ -38,7 +38,7 @@ SUBJECT_PAGE = f"data ARRAY<STRUCT<id:STRING,name:STRING,name_cn:STRING,characte
 SOURCE_KEYS = ("引用来源", "出处", "来源", "所属作品", "登场作品")
 NAME_MARKS = ("名", "别名", "昵称")
 NO_TEXTS = "array<string>"
-PAGE_BITS = 20  # a response page holds far fewer than 2^20 items
+PAGE_BITS = 32  # places in an array stay below 2^31, so no item runs into the next page
 
 
 def text_or_list(raw: Column) -> Column:
@@ -52,11 +52,15 @@ def text_or_list(raw: Column) -> Column:
 
 def with_variants(base: Column, extra: Column) -> Column:
     """Add each extra name that is a plausible variant of the names so far."""
-    def add(names: Column, alias: Column) -> Column:
-        fits = X.name_variant_predicate(alias, X.match_keys(names))
-        return F.when(fits, F.array_union(names, F.array(X.strip(alias)))).otherwise(names)
+    start = X.let(X.distinct_texts(base), lambda names: F.struct(names.alias("names"), X.match_keys(names).alias("keys")))
 
-    return F.aggregate(extra, X.distinct_texts(base), add)
+    def add(held: Column, alias: Column) -> Column:
+        more = F.struct(
+            F.array_union(held["names"], F.array(X.strip(alias))).alias("names"), F.array_union(held["keys"], F.array(X.match_key(alias))).alias("keys")
+        )
+        return F.when(X.name_variant_predicate(alias, held["keys"]), more).otherwise(held)
+
+    return F.aggregate(extra, start, add, lambda held: held["names"])
 
 
 def _flatten(landed: DataFrame, items: Column, key) -> DataFrame:
