@@ -166,6 +166,22 @@ def test_keep_unlike(spark, monkeypatch, fold):
     assert {(r["g"], r["i"]) for r in K.keep_unlike(df, "g", "i", "h").collect()} == want
 
 
+def test_large_groups_of_any_name_are_not_broadcast(spark, monkeypatch):
+    """Groups beyond a fold whose column has the name of a component's; hashes
+    meet by shuffles, since Spark judges them by bytes before they are multiplied."""
+    monkeypatch.setattr(K, "FOLD_ROWS", 5)
+    rows = [(g, i, (i % 40) << 20 | 1 << i % 3) for g in range(2) for i in range(80)]
+    kept = []
+    for g, i, h in rows:
+        if all(k != g or (h ^ x).bit_count() > 2 for k, _, x in kept):
+            kept.append((g, i, h))
+    for name in ("label", "node", "u"):
+        df = spark.createDataFrame(rows, f"{name} int, i int, h bigint")
+        assert {(r[0], r[1]) for r in K.keep_unlike(df, name, "i", "h").collect()} == {x[:2] for x in kept}
+    pairs = K.near_pairs(df, "u", "i", "h")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_group_numbers_over_ranges(spark):
     df = spark.range(1000).select(F.lit("hot").alias("k"), (F.col("id") * 7).alias("o"))
     got = K.group_numbers(df, "k", "o", width=100)
