@@ -68,18 +68,21 @@ def request_hit_flags(candidates: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def either_contains(text: Column, keys: Column) -> Column:
-    """Some key contains or is contained in the text's key; no keys match all."""
-    hit = X.let(X.match_key(text), lambda t: (t != "") & F.exists(keys, lambda k: F.contains(t, k) | F.contains(k, t)))
+def either_contains(text: Column, keys: Column, within: bool = True) -> Column:
+    """Some key is contained in the text's key or, ``within``, contains it; no
+    keys match all."""
+    near = lambda t, k: F.contains(t, k) | F.contains(k, t) if within else F.contains(t, k)
+    hit = X.let(X.match_key(text), lambda t: (t != "") & F.exists(keys, lambda k: near(t, k)))
     return (F.size(keys) == 0) | hit
 
 
-def source_strict_filter(hits: DataFrame, text: Column, name_keys: Column, source_keys: Column) -> DataFrame:
+def source_strict_filter(hits: DataFrame, text: Column, name_keys: Column, source_keys: Column, within: bool = True) -> DataFrame:
     """Hits that name the entity and, if any hit of the request does, the work too.
 
     Without work keys, or when the strict pass finds nothing, the name is enough.
+    A short title may lie ``within`` a key; in running text that says nothing.
     """
-    flagged = hits.withColumns({"_name": either_contains(text, name_keys), "_strict": (F.size(source_keys) > 0) & either_contains(text, source_keys)})
+    flagged = hits.withColumns({"_name": either_contains(text, name_keys, within), "_strict": (F.size(source_keys) > 0) & either_contains(text, source_keys, within)})
     named = flagged.filter("_name")
     tier = named.groupBy("request_id").agg(F.bool_or("_strict").alias("_any"))
     return named.join(tier, "request_id").filter(F.col("_strict") | ~F.col("_any")).drop("_name", "_strict", "_any")

@@ -64,7 +64,7 @@ a AS (SELECT request_id, bool_or(st) AS s FROM f WHERE nm GROUP BY 1) SELECT req
 def _(d):
     hits = d.documents.select(F.col("source").alias("request_id"), "doc_id", "text")
     keys = F.array(F.lit("the")), F.array(F.lit("theou"))
-    return S.source_strict_filter(hits, F.col("text"), *keys).select("request_id", "doc_id")
+    return S.source_strict_filter(hits, F.col("text"), *keys, within=False).select("request_id", "doc_id")
 
 
 @query("work_membership_filter", f"SELECT p_partkey FROM @part WHERE {near(key('p_type'), key('p_brand'))} OR contains('smallred', split_part(p_name, ' ', 1)) OR contains(split_part(p_name, ' ', 1), 'smallred')")

@@ -82,6 +82,15 @@ def test_blank_names_are_not_equal(spark):
     assert S.priority_merge(some, none, 12).count() == 3
 
 
+def test_a_text_inside_the_key_is_no_hit(spark, tmp_path):
+    rows = [(1, "He.", "a"), (2, "The rest.", "a"), (3, "Theo", "b"), (4, "the theou", "b"), (5, "the", "b"), (6, None, "a"), (7, "", "b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["source_strict_filter"](spark, str(tmp_path)).collect()
+    assert {(r.request_id, r.doc_id) for r in got} == {("a", 2), ("b", 4)}
+    titles = spark.createDataFrame([("r", "He"), ("r", "Bob")], "request_id string, title string")
+    assert S.source_strict_filter(titles, F.col("title"), F.array(F.lit("the")), F.array().cast("array<string>")).count() == 1
+
+
 def test_equal_additions_without_link_get_ids_of_their_own(spark):
     schema = "ordinal int, display_name string, source_title string, provider string, provider_entity_id string"
     twice = spark.createDataFrame([(1, "A", "B", "", ""), (2, "A", "B", "", "")], schema)
