@@ -257,7 +257,7 @@ def _(d):
     files = written_batches(materialize(lines, "prediction-lines"), "at", 3, f"{out}/lines", lambda df, to: df.select("value").write.mode("append").text(to))
     stream = d.spark.readStream.option("maxFilesPerTrigger", files).text(f"{out}/lines")
     found = parse_json_lines(stream, "value", PREDICTION)
-    ST.stream_annotations(found, token_rules(d), 0.85, ROOT, NOW, f"{out}/rows", f"{out}/checkpoint", buckets=64)
+    ST.stream_annotations(found, token_rules(d), 0.85, ROOT, NOW, f"{out}/rows", f"{out}/checkpoint")
     return flat_records(ST.read_annotations(d.spark, f"{out}/rows")).withColumn("image_id", F.col("image_id").cast("bigint"))
 
 

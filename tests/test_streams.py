@@ -57,6 +57,20 @@ def test_images_are_written_once_when_they_are_whole(spark, tmp_path):
     assert run(3) == got
 
 
+def test_open_images_are_a_table(spark, tmp_path):
+    """No rows of a bucket meet in a state: the rows held are files, two versions at most."""
+    for i in range(4):
+        lines = [json.dumps({"image_id": x, "image_path": f"/{x}", "n_rows": 4, "pos": i, "tag": "blue bolt", "category": "general", "score": 0.9}) for x in range(20)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(lines) + "\n")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+    out, checkpoint = tmp_path / "out", tmp_path / "checkpoint"
+    ST.stream_annotations(parse_json_lines(stream, "value", PREDICTION), token_rules(Data(spark, FOLDER)), 0.85, "/", "now", str(out), str(checkpoint))
+    assert ST.read_annotations(spark, str(out)).count() == 20
+    assert sorted(p.name for p in Path(out, "held").glob("batch=*")) == ["batch=2", "batch=3"]
+    assert not Path(checkpoint, "state").exists()
+
+
 def test_latest_table_stays_small_and_survives_a_replay(spark, tmp_path):
     rng = random.Random(2)
     table = ST.LatestTable(spark, str(tmp_path / "latest"), "at", buckets=4)
