@@ -6,9 +6,11 @@ import math
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.operators import retrieval
 from tagloom.operators import tags as T
 from tagloom.operators.retrieval import vector_topk
 from tagloom.plans.region_queries import PREDICTION
@@ -114,3 +116,11 @@ def test_vectors_without_a_direction_match_nothing(spark, limit):
     rows = lambda df: sorted((r.query_id, r["rank"], r.row_index, round(r.similarity, 9)) for r in df.collect())
     assert rows(clean) == rows(mixed) and len(rows(clean)) == 12
     assert rows(vector_topk(frame(good, "query_id"), frame(bad[:7], "row_index"), 3, broadcast_limit=limit)) == []
+
+
+def test_matches_leave_a_task_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MATCH_ROWS", 4, raising=False)
+    refs = spark.createDataFrame([(i, [1.0, i / 7]) for i in range(9)], "r bigint, v array<double>")
+    vectors = pd.Series([[1.0, x / 5] for x in range(10)])
+    pieces = list(retrieval._topk_column(refs, 3).func(iter([vectors, vectors[:0]])))
+    assert [len(p) for p in pieces] == [4, 4, 2] and all(len(r) == 3 for p in pieces for r in p["r"])
