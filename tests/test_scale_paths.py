@@ -152,6 +152,18 @@ def test_component_labels(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_components_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], K.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(K, "materialize", seen)
+    K.component_labels(spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("fold", [10_000, 5])
 def test_keep_unlike(spark, monkeypatch, fold):
     monkeypatch.setattr(K, "FOLD_ROWS", fold)
