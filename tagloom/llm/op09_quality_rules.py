@@ -176,10 +176,14 @@ def shapes(rows: DataFrame) -> DataFrame:
     to normal: ``cut`` is the 0.999 quantile of the normal with the median and
     quartiles of the cube roots of the group's own squared distances, at least
     that of chi-square."""
-    starts = {"quartiles": _from_quartiles(rows), "means": _solved(_moments(rows))}
-    found = [_concentrated(rows, start, name).withColumn("_o", F.lit(o)) for o, (name, start) in enumerate(starts.items())]
-    names = [c for c in found[0].columns if c not in ("group", "det", "_o")]
-    best = reduce(DataFrame.unionByName, found).groupBy("group").agg(F.min_by(F.struct(*names), F.struct("det", "_o")).alias("s"))
+    starts = [_from_quartiles(rows), _solved(_moments(rows))]
+    # both starts of a group take their steps together, under names of their own
+    own = [F.concat(F.lit(f"{o} "), F.col("group")) for o in range(len(starts))]
+    start = reduce(DataFrame.unionByName, [s.withColumn("group", name) for s, name in zip(starts, own)])
+    found = _concentrated(rows.withColumn("group", F.explode(F.array(*own))), start, "steps")
+    found = found.select(F.substring("group", 1, 1).alias("_o"), F.expr("substring(group, 3)").alias("group"), *[c for c in found.columns if c != "group"])
+    names = [c for c in found.columns if c not in ("group", "det", "_o")]
+    best = found.groupBy("group").agg(F.min_by(F.struct(*names), F.struct("det", "_o")).alias("s"))
     shape = materialize(best.select("group", "s.*"), "outlier-shape")
     quarters = _quantiles(_measured(rows, shape), ["group"], _bin(F.col("d2"), True), QUARTERS)
     q = [_middle(f"q{i}", True) for i in range(3)]
