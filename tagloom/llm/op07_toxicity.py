@@ -10,6 +10,11 @@ at the present weights, summed over the whole table; the steps of the round
 move from there by the difference that a sample of the texts shows between the
 weights then and now. A bounded sample thus steers the steps, and the whole
 table sets the risk.
+
+Only telling buckets take part: those that the toxic texts hold clearly more or
+less often than all texts do, by counts over the whole table. Most words are
+rare, and with few toxic texts the sum of their chance weights would drown the
+words that matter.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ POSITIVES, UNLABELLED = 4_000, 4_000  # texts that come to the driver at most
 HELD_BYTES = 48 << 20  # of their bucket lists at most
 ROUNDS, STEPS = 20, 15  # sums over all unlabelled texts, and steps from each
 SLICE = 4096  # weights of a slice of the gradient
+TELLING = 3.0  # standard deviations between a bucket's count in toxic texts and the expected one
 SKIP = 0xFFFF  # in a coded list: no bucket, only a step of as many
 
 
@@ -56,6 +62,14 @@ class SparseRows:
         self.row = row[order]
         self.seen, self.first = np.unique(self.bucket[order], return_index=True)
 
+    def only(self, keep: np.ndarray) -> SparseRows:
+        """The same rows without the buckets that are not to be kept."""
+        cut = np.append(self.start, len(self.bucket))
+        lists = [np.zeros(0, np.int32)] * self.n
+        for i, a, b in zip(self.full.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            lists[i] = self.bucket[a:b][keep[self.bucket[a:b]]]
+        return SparseRows(lists)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
         if len(self.full):
@@ -153,6 +167,18 @@ def _margins(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.bincount(row, w[bucket], batch.num_rows) * scale + w[-1], row, bucket, scale
 
 
+def _kept(keep):
+    """The lists without the buckets that do not tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket = decoded(batch.column("buckets"))
+            some = keep.value[bucket]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(coded(row[some], bucket[some], batch.num_rows), pa.binary())], ["doc_id", "buckets"])
+
+    return run
+
+
 def _score(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +191,14 @@ def _score(weights):
 PARTS = "slice int, n bigint, risk double, part binary"
 
 
+def _sliced(total: np.ndarray, n: int, risk: float) -> pa.RecordBatch:
+    """A task's sums, in slices."""
+    cuts = [total[at : at + SLICE].astype(np.float32).tobytes() for at in range(0, len(total), SLICE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([n] * len(cuts), pa.int64()), pa.array([risk] * len(cuts)), pa.array(cuts, pa.binary())], ["slice", "n", "risk", "part"])
+
+
 def _risk_parts(weights):
-    """A task's rows, risk and gradient, in slices."""
+    """A task's rows, risk and gradient."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -177,36 +209,62 @@ def _risk_parts(weights):
             gradient[:-1] += np.bincount(bucket, (r * scale)[row], len(w) - 1)
             gradient[-1] += r.sum()
             n, risk = n + batch.num_rows, risk + float(np.logaddexp(0, z).sum())
-        cuts = [gradient[at : at + SLICE].astype(np.float32).tobytes() for at in range(0, len(w), SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([n] * len(cuts), pa.int64()), pa.array([risk] * len(cuts)), pa.array(cuts, pa.binary())], ["slice", "n", "risk", "part"])
+        yield _sliced(gradient, n, risk)
 
     return run
 
 
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows, and how many of them hold each bucket."""
+    held, n = np.zeros(1 << BITS), 0
+    for batch in batches:
+        held += np.bincount(decoded(batch.column("buckets"))[1], minlength=1 << BITS)
+        n += batch.num_rows
+    yield _sliced(held, n, 0.0)
+
+
 def _summed(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(x, np.float32) for x in parts["part"]], axis=0, dtype=np.float64)
     return pd.DataFrame({"slice": [key[0]], "n": [parts["n"].sum()], "risk": [parts["risk"].sum()], "part": [total.astype(np.float32).tobytes()]})
 
 
+def _sums(features: DataFrame, run, size: int) -> tuple[int, float, np.ndarray]:
+    """(rows, risk, sums) over all rows of ``features(buckets)``. A task sums its
+    rows; the sums of the tasks, as many as the session has places for a few
+    times over, meet by slices."""
+    context = features.sparkSession.sparkContext
+    tasks = 4 * max(context.defaultParallelism, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = features.select("buckets").coalesce(tasks).mapInArrow(run, PARTS)
+    found = sorted(parts.groupBy("slice").applyInPandas(_summed, PARTS).collect())
+    if not found:
+        return 0, 0.0, np.zeros(size)
+    return found[0]["n"], found[0]["risk"], np.concatenate([np.frombuffer(r["part"], np.float32) for r in found]).astype(np.float64)
+
+
 def whole_risk(features: DataFrame) -> Whole:
     """The mean of l(-f) over all rows of ``features(buckets)`` and its gradient,
-    as a function of the weights. A task sums its rows; the sums of the tasks,
-    as many as the session has places for a few times over, meet by slices."""
+    as a function of the weights."""
     context = features.sparkSession.sparkContext
-    tasks = 4 * max(context.defaultParallelism, int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def whole(w: np.ndarray) -> tuple[float, np.ndarray]:
         weights = context.broadcast(w)
-        parts = features.select("buckets").coalesce(tasks).mapInArrow(_risk_parts(weights), PARTS)
-        found = sorted(parts.groupBy("slice").applyInPandas(_summed, PARTS).collect())
+        n, risk, gradient = _sums(features, _risk_parts(weights), len(w))
         weights.unpersist()
-        n = max(1, found[0]["n"]) if found else 1
-        gradient = np.concatenate([np.frombuffer(r["part"], np.float32) for r in found]).astype(np.float64) if found else np.zeros(len(w))
-        return (found[0]["risk"] if found else 0.0) / n, gradient / n
+        return risk / max(1, n), gradient / max(1, n)
 
     return whole
 
 
+def telling(pos: SparseRows, features: DataFrame) -> np.ndarray:
+    """Whether a bucket's count in the toxic texts departs from the one that its
+    share of all rows of ``features`` lets expect; with few toxic texts, less is
+    asked for."""
+    n, _, held = _sums(features, _count_parts, 1 << BITS)
+    expected = held * (pos.n / max(1, n))
+    seen = np.bincount(pos.bucket, minlength=1 << BITS)
+    return np.abs(seen - expected) >= min(TELLING, pos.n**0.5 / 2) * np.sqrt(expected + 1)
+
+
 def _sample(features: DataFrame, ids: DataFrame, rows: int) -> SparseRows:
     """The lists of ``ids`` (at most ``rows``), in a fixed order, as many as HELD_BYTES allow."""
     chosen = features.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # bounded by the limit of ids
@@ -219,8 +277,9 @@ def _sample(features: DataFrame, ids: DataFrame, rows: int) -> SparseRows:
     return SparseRows([bucket[a:b] for a, b in zip(cut[:-1], cut[1:])])
 
 
-def learnt(features: DataFrame, labels: DataFrame, positives: int, unlabelled: int, prior: float | None) -> tuple[np.ndarray, float]:
-    """The model of (doc_id, buckets), from the rows that may be learnt from.
+def learnt(features: DataFrame, labels: DataFrame, positives: int, unlabelled: int, prior: float | None) -> tuple[np.ndarray, float, DataFrame]:
+    """The model of (doc_id, buckets), from the rows that may be learnt from, and
+    the table with its telling buckets alone, to which the model belongs.
 
     Labels of 0 serve only for the prior (the share of toxic among labelled
     rows), where none is given; every other text is unlabelled, whatever its
@@ -233,10 +292,15 @@ def learnt(features: DataFrame, labels: DataFrame, positives: int, unlabelled: i
         count = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
         prior = ((count["p"] or 0) + 1) / ((count["n"] or 0) + 10)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
+    pos = _sample(features.filter(learn), chosen, positives)
+    keep = telling(pos, features.filter(learn))
+    mask = features.sparkSession.sparkContext.broadcast(keep)
+    features = materialize(features.mapInArrow(_kept(mask), "doc_id bigint, buckets binary"), "toxicity-telling")
     texts = features.filter(learn)
-    pos = known.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
     unl = texts.select("doc_id").distinct().orderBy(*order).limit(unlabelled)
-    return fit_nnpu(_sample(texts, pos, positives), _sample(texts, unl, unlabelled), prior, whole_risk(texts))
+    w, bias = fit_nnpu(pos.only(keep), _sample(texts, unl, unlabelled), prior, whole_risk(texts))
+    return w, bias, features
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> DataFrame:
@@ -245,14 +309,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, positives: int = POSITIV
     The model learns from at most ``positives`` toxic texts and from all others
     outside the held-out fold (crc32 of the id's text mod 4 is 2); at most
     ``unlabelled`` of these steer its steps. Without a toxic text all scores are
-    near 0. Null, empty and wordless texts get the score of the bias alone.
+    near 0. Null, empty and wordless texts, and those without a telling word, get
+    the score of the bias alone.
     Repeated rows score alike; a null doc_id is scored, not learnt from and not
     held out; ids that are no whole numbers are an error; other columns are
     ignored; an empty table gives no rows.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = materialize(slim.mapInArrow(_buckets, "doc_id bigint, buckets binary"), "toxicity-words")
-    w, bias = learnt(features, labels, positives, unlabelled, prior)
+    w, bias, features = learnt(features, labels, positives, unlabelled, prior)
     weights = docs.sparkSession.sparkContext.broadcast(np.append(w, bias))
     out = features.mapInArrow(_score(weights), "doc_id bigint, score double")
     held = F.coalesce(id_fold("doc_id", 4) == 2, F.lit(False))

@@ -89,3 +89,18 @@ def test_what_a_small_sample_misses_still_counts():
         flagged[name] = [np.mean([w[x].sum() * len(x) ** -0.25 + b > 0 for x in part]) for part in (pos, rare, plain)]
     assert flagged["whole"][0] > 0.95 and flagged["whole"][1] < 0.05 and flagged["whole"][2] < 0.05
     assert flagged["sample"][1] > 0.5
+
+
+def test_few_toxic_texts_among_many_rare_words(spark):
+    """Thirty toxic texts hold one of five words; every text has many rare ones."""
+    rng = np.random.default_rng(7)
+    marked = rng.random(2400) < 0.1
+    rare = lambda: ["w%x" % x for x in rng.integers(0, 60_000, 150)]
+    texts = [" ".join(rare() + [f"slur{rng.integers(0, 5)}"] * int(m)) for m in marked]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    labelled = [*np.flatnonzero(marked)[:40], *np.flatnonzero(~marked)[:360]]
+    labels = spark.createDataFrame([(int(i), int(marked[i])) for i in labelled], "doc_id bigint, toxic int")
+    found = T.toxicity_scores(docs, labels).toPandas().set_index("doc_id")
+    unseen = ~found.index.isin(labelled)
+    truth = marked[found.index]
+    assert found[unseen & truth]["predicted"].mean() > 0.9 and found[unseen & ~truth]["predicted"].mean() < 0.05
