@@ -407,3 +407,26 @@ def test_a_name_in_many_works_on_both_sides(spark, monkeypatch):
             if firsts:
                 want[i] = f"e{min(firsts)}"
     assert got == want and want
+
+
+def test_matches_meet_the_library_unsorted(spark, monkeypatch):
+    """Scored matches never go through a sorted join, and both joins give the same."""
+    from tagloom.operators import evidence as E
+    from tagloom.plans import vector_queries as VQ
+
+    d = Data(spark, FOLDER)
+    found = {}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, join in ((E.BROADCAST_BYTES, "BroadcastHashJoin"), (0, "ShuffledHashJoin")):
+            monkeypatch.setattr(E, "BROADCAST_BYTES", limit)
+            rows = E.match_scores(VQ.region_queries(d), VQ.refs(d), VQ.SPEC, 3)
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            last = plan[: plan.index("Generate")]
+            assert join in last and "SortMergeJoin" not in last
+            found[limit] = sorted(rows.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    a, b = found.values()
+    assert len(a) > 1000 and a == b
