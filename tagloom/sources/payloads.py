@@ -94,6 +94,14 @@ def _person_key(c: Column) -> Column:
     return F.lower(F.concat_ws(":", c["provider_entity_id"], c["display_name"], c["source_title"]))
 
 
+def _dealt(landed: DataFrame) -> DataFrame:
+    """Pages dealt out to all tasks before they are parsed; a split of a file
+    may hold far too many of them for one."""
+    spark = landed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return landed.repartition(tasks, "request_id", "page")
+
+
 def _empty(items: Column) -> Column:
     return F.coalesce(items, F.array())
 
@@ -102,14 +110,14 @@ def people_payload(landed: DataFrame) -> DataFrame:
     """Person search pages: names, first listed work, picture, name variants."""
     items = _empty(F.from_json("body", PEOPLE_PAGE)["data"]["Page"]["characters"])
     parsed = F.transform(items, lambda p: _person(p, _title(F.get(p["media"]["nodes"], F.lit(0))["title"])))
-    return _flatten(landed, parsed, _person_key)
+    return _flatten(_dealt(landed), parsed, _person_key)
 
 
 def media_payload(landed: DataFrame, limit: int) -> DataFrame:
     """Work pages: every character of a work, the work title as source."""
     media = _empty(F.from_json("body", MEDIA_PAGE)["data"]["Page"]["media"])
     nodes = lambda m: F.transform(_empty(m["characters"]["edges"]), lambda e: _person(e["node"], _title(m["title"])))
-    rows = _flatten(landed, F.flatten(F.transform(media, nodes)), _person_key)
+    rows = _flatten(_dealt(landed), F.flatten(F.transform(media, nodes)), _person_key)
     return top_n(rows, ["request_id"], ["ordinal"], limit).drop("rank")
 
 
@@ -150,13 +158,13 @@ def entry_payload(landed: DataFrame, provider: str = "bangumi") -> DataFrame:
             infobox_aliases(X.strip(p["name"]), p["infobox"]).alias("aliases"),
         )
 
-    return _flatten(landed, F.transform(items, one), lambda c: F.lower(F.concat_ws(":", c["provider_entity_id"], c["display_name"])))
+    return _flatten(_dealt(landed), F.transform(items, one), lambda c: F.lower(F.concat_ws(":", c["provider_entity_id"], c["display_name"])))
 
 
 def subject_payload(landed: DataFrame, requests: DataFrame, limit: int, subjects: int = 3, provider: str = "bangumi") -> DataFrame:
     """Works whose title matches the query, the first ``subjects`` of them, and
     their characters, distinct by id."""
-    works = landed.select("request_id", "page", F.posexplode(_empty(F.from_json("body", SUBJECT_PAGE)["data"])).alias("pos", "w"))
+    works = _dealt(landed).select("request_id", "page", F.posexplode(_empty(F.from_json("body", SUBJECT_PAGE)["data"])).alias("pos", "w"))
     works = works.join(requests.select("request_id", "query"), "request_id")
     title = X.first_text(F.col("w.name_cn"), F.col("w.name"))
     fits = X.meaningful_match(X.match_key(F.col("query")), X.match_key(title)) & (X.strip(F.col("w.id")) != "")
@@ -187,7 +195,7 @@ def list_payload(landed: DataFrame, provider: str = "jikan", source_title: str =
             with_variants(F.array(p["name"], p["name_kanji"]), text_or_list(p["nicknames"])).alias("aliases"),
         )
 
-    return _flatten(landed, F.transform(items, one), lambda c: F.lower(F.concat_ws(":", c["provider_entity_id"], c["display_name"])))
+    return _flatten(_dealt(landed), F.transform(items, one), lambda c: F.lower(F.concat_ws(":", c["provider_entity_id"], c["display_name"])))
 
 
 # ------------------------------------------------------------------------ html

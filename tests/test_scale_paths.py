@@ -430,3 +430,14 @@ def test_matches_meet_the_library_unsorted(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     a, b = found.values()
     assert len(a) > 1000 and a == b
+
+
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
+    from tagloom.sources import payloads as P
+
+    body = F.concat(F.lit('{"data":[{"mal_id":'), "id", F.lit(',"name":"n","nicknames":"n x"}]}'))
+    landed = spark.range(0, 400, 1, 1).select(F.col("id").alias("request_id"), F.lit(1).alias("page"), body.alias("body"))
+    for parse in (P.list_payload, P.entry_payload, P.people_payload):
+        assert parse(landed).rdd.getNumPartitions() > 1
+    rows = P.list_payload(landed).withColumn("task", F.spark_partition_id())
+    assert rows.count() == 400 and rows.select("task").distinct().count() > 1
