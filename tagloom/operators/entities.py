@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import localize as L
 from tagloom.functions import text as X
 from tagloom.operators.ranking import first_per_key, root_labels
-from tagloom.session import materialize, small_side
+from tagloom.session import dealt, materialize, small_side
 
 # The source whose identity wins in a merge.
 PROVIDER_PRIORITY = {"anilist": 4, "bangumi": 3, "jikan": 2, "manual": 1}
@@ -38,14 +38,16 @@ def provider_priority(c: Column) -> Column:
 def entity_links(entities: DataFrame) -> DataFrame:
     """(link_key, id): the first entity that holds a link."""
     links = L.provider_links(F.col("provider"), F.col("provider_entity_id"), F.col("provider_links"))
-    rows = entities.select("id", "ordinal", F.explode(links).alias("l"))
+    rows = dealt(entities, "id").select("id", "ordinal", F.explode(links).alias("l"))
     keyed = rows.select(L.link_key(F.col("l")).alias("link_key"), "id", "ordinal")
     return keyed.groupBy("link_key").agg(F.min_by("id", "ordinal").alias("id"))
 
 
 def provider_link_join(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """Candidates with the id of the entity that has their provider link."""
-    keyed = candidates.withColumn("link_key", provider_key(F.col("provider"), F.col("provider_entity_id")))
+    # rows without a link spread over keys that no link has: they hold no ':'
+    none = F.concat(F.lit("#"), F.xxhash64(*candidates.columns))
+    keyed = candidates.withColumn("link_key", F.coalesce(provider_key(F.col("provider"), F.col("provider_entity_id")), none))
     return keyed.join(entity_links(entities), "link_key", "left").drop("link_key")
 
 
@@ -148,8 +150,10 @@ def work_keys(left: DataFrame, right: DataFrame, aliases: DataFrame | None = Non
     untitled right work has a key that every left one has, and the other way
     round. So works never meet works in a product.
     """
-    title = lambda rows: with_source_keys(rows.select(F.col("title").alias("t")), "t", "t", aliases).select(F.col("t").alias("title"), "t_canonical", "t_variants")
-    left, right = materialize(title(left), "left-works"), materialize(title(right), "right-works")
+    # written first: Spark would leave out the distinct below another one and find the keys of every row
+    distinct = lambda rows, name: materialize(rows.select(F.col("title").alias("t")).distinct(), name)
+    title = lambda rows: with_source_keys(rows, "t", "t", aliases).select(F.col("t").alias("title"), "t_canonical", "t_variants")
+    left, right = (materialize(title(distinct(rows, f"{side}-titles")), f"{side}-works") for side, rows in (("left", left), ("right", right)))
     of = lambda rows: rows.select("title", F.explode("t_variants").alias("key"))
     pairs = containing_pairs(of(left).select("key"), of(right).select("key"))
     by_variant = of(left).withColumnRenamed("key", "l").join(pairs, "l").select("title", F.concat(F.lit("v:"), "r").alias("work"))
@@ -186,12 +190,12 @@ def identity_fuzzy_join(candidates: DataFrame, entities: DataFrame, strict_sourc
     key, so a name in m works on one side and n on the other costs m + n rows.
     """
     names = F.array(F.col("display_name"), *([] if strict_source else [F.col("source_title")]))
-    c_keys = candidates.select(
+    c_keys = dealt(candidates, "candidate_id").select(
         "candidate_id", F.coalesce("source_title", F.lit("")).alias("title"), X.match_key(F.col("display_name")).alias("display"),
         F.explode(X.match_keys(F.concat(names, F.coalesce("aliases", F.array())))).alias("l"),
     )
     e_names = F.concat(F.array("display_name"), F.transform(F.coalesce("aliases", F.array()), lambda a: a["name"]))
-    e_keys = entities.select(
+    e_keys = dealt(entities, "ordinal").select(
         "ordinal", F.coalesce("source_title", F.lit("")).alias("title"), F.explode(X.match_keys(e_names)).alias("r")
     )
     # equal names collapse before anything is paired
@@ -244,9 +248,9 @@ def library_import(candidates: DataFrame, entities: DataFrame, strategy: str = "
     the entity that the others join. Unlike one-by-one imports, aliases won
     inside the same batch do not widen later matches.
     """
-    linked = provider_link_join(candidates, entities)
+    linked = materialize(provider_link_join(dealt(candidates, "candidate_id"), entities), "import-linked")
     done = linked.filter(F.col("id").isNotNull()).select("candidate_id", F.lit("existing").alias("action"), "id")
-    rest = materialize(linked.filter(F.col("id").isNull()).drop("id"), "import-rest")
+    rest = linked.filter(F.col("id").isNull()).drop("id")
     if strategy != "new":
         merges = materialize(identity_fuzzy_join(rest, entities, aliases=aliases), "import-merge")
         done = done.unionByName(merges.select("candidate_id", F.lit("merge").alias("action"), "id"))

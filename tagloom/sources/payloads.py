@@ -15,6 +15,7 @@ from tagloom.functions.localize import first_entries
 from tagloom.operators.entities import coalescing_lookup
 from tagloom.operators.ranking import first_per_key
 from tagloom.operators.search import top_n
+from tagloom.session import dealt
 
 PERSON = (
     "id STRING, name STRUCT<full:STRING,native:STRING,userPreferred:STRING,alternative:STRING,alternativeSpoiler:STRING>,"
@@ -95,11 +96,8 @@ def _person_key(c: Column) -> Column:
 
 
 def _dealt(landed: DataFrame) -> DataFrame:
-    """Pages dealt out to all tasks before they are parsed; a split of a file
-    may hold far too many of them for one."""
-    spark = landed.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return landed.repartition(tasks, "request_id", "page")
+    """Pages dealt out to all tasks before they are parsed."""
+    return dealt(landed, "request_id", "page")
 
 
 def _empty(items: Column) -> Column:

@@ -261,6 +261,37 @@ def test_import_closes_new_candidates(spark):
     assert got[1][1] == got[2][1] == got[3][1] != got[4][1]
 
 
+def test_import_deals_out_rows_and_reads_a_title_once(spark, monkeypatch):
+    """One split of a file is not one task, a title's keys are found once, rows without a link spread."""
+    steps = {}
+
+    def spy(df, name, real=N.materialize):
+        steps.setdefault(name, (df.rdd.getNumPartitions(), df.inputFiles()))
+        return real(df, name)
+
+    monkeypatch.setattr(N, "materialize", spy)
+    c = spark.range(0, 400, 1, 1).select(
+        F.col("id").alias("candidate_id"), F.col("id").alias("ordinal"), F.lit("p").alias("provider"), F.lit("").alias("provider_entity_id"), F.concat(F.lit("Quux "), "id").alias("display_name"),
+        F.concat(F.lit("Saga "), F.col("id") % 3).alias("source_title"), F.lit("").alias("avatar_url"), F.array().cast("array<string>").alias("aliases"))
+    e = c.filter("candidate_id % 4 = 0").select(
+        F.concat(F.lit("e"), "candidate_id").alias("id"), "ordinal", "display_name", "source_title", "provider", F.col("candidate_id").cast("string").alias("provider_entity_id"),
+        F.lit(None).cast("array<struct<name:string,language:string>>").alias("aliases"), F.lit(None).cast("array<struct<provider:string,provider_entity_id:string>>").alias("provider_links"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert N.library_import(c, e).count() == 400
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        linked = N.provider_link_join(c, e)
+        assert linked.filter("id IS NULL").count() == 400
+        assert linked.select(F.spark_partition_id().alias("task"), "id").distinct().count() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert all(steps[k][0] > 1 for k in ("import-linked", "candidate-keys", "entity-keys"))
+    read = steps["left-works"][1] + steps["right-works"][1]
+    assert read and not any("candidate-keys" in f or "entity-keys" in f for f in read)
+
+
 def test_region_queries_equal_brute_force(spark):
     d = Data(spark, FOLDER)
     rows = {r["image_id"]: r for r in Q.images(d).collect()}
