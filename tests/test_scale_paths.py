@@ -99,6 +99,14 @@ def test_equal_additions_without_link_get_ids_of_their_own(spark):
     assert len(ids) == len(set(ids)) == 2
 
 
+def test_kept_rows_do_not_pass_the_driver(spark):
+    """Many small groups keep as many rows as few large ones."""
+    rows = spark.range(300).select((F.col("id") % 100).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    kept = K.greedy_distinct(rows, "g", "o", ("a", "b"))
+    assert "BroadcastExchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 300
+
+
 @pytest.mark.parametrize(("fold", "part"), [(10_000, 200_000), (5, 200_000), (5, 5)])
 def test_greedy_distinct(spark, monkeypatch, fold, part):
     monkeypatch.setattr(K, "FOLD_ROWS", fold)
