@@ -15,7 +15,7 @@ from tagloom.plans.registry import Data, query
 from tagloom.plans.tag_queries import CTES as TAG_CTES
 from tagloom.plans.tag_queries import NOW, RECORD_SQL, ROOT, flat_records, predictions, token_rules
 from tagloom.plans.vector_queries import CTES, IDENTITY, _cos, identity_inputs, longs, rounded
-from tagloom.session import materialize, work_folder
+from tagloom.session import delete_paths, work_folder
 from tagloom.sources.files import parse_json_lines
 from tagloom.streaming import streams as ST
 
@@ -224,13 +224,19 @@ def _(d):
 # --------------------------------------------------------------------- streams
 
 
+def in_batches(rows, order: str, batches: int):
+    """The rows in ``batches`` steps of ascending ``order``."""
+    last = rows.agg(F.max(order)).first()[0]
+    for i in range(batches):
+        yield rows.filter(F.floor(F.col(order) * batches / (last + 1)) == i)
+
+
 def written_batches(rows, order: str, batches: int, path: str, write) -> int:
     """Write rows in ``batches`` steps of ascending ``order``, each by several
     tasks; the number of files that each step has."""
     files = 4
-    last = rows.agg(F.max(order)).first()[0]
-    for i in range(batches):
-        write(rows.filter(F.floor(F.col(order) * batches / (last + 1)) == i).repartition(files), path)
+    for step in in_batches(rows, order, batches):
+        write(step.repartition(files), path)
     return files
 
 
@@ -243,21 +249,37 @@ def event_stream(d: Data, batches: int, session=None):
 PREDICTION = "image_id BIGINT, image_path STRING, n_rows BIGINT, pos BIGINT, tag STRING, category STRING, score DOUBLE"
 
 
+def prediction_rows(d: Data, path: str):
+    """Predictions with their image's path and number of rows, and the place in the stream."""
+    rows = predictions(d).repartition("image_id")  # one shuffle for the numbers and the rows
+    counts = rows.groupBy("image_id").agg(F.countDistinct("pos", "tag", "category", "score").alias("n_rows"))
+    sizes = d.sql(TAG_IMAGES).select("image_id", "image_path").join(counts, "image_id", "left")
+    found = sizes.join(rows, "image_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    found = found.withColumn("at", F.pmod(F.xxhash64("image_id", "pos"), F.lit(300)))
+    found.write.option("compression", "zstd").parquet(path)
+    return d.spark.read.schema(found.schema).parquet(path)
+
+
 @query("stream_records", TAG_CTES + f", {RECORD_SQL} SELECT *, FALSE AS review_required, 'labeled_draft' AS status, '{NOW}' AS created_at FROM records")
 def _(d):
-    """Prediction lines, broken ones among them, come in batches that cut through the images."""
+    """Prediction lines, broken ones among them, come in batches that cut through the images.
+
+    The stream is started again for each batch of lines; lines that were read
+    to the end go."""
     out = work_folder(d.spark, "records")
-    rows = predictions(d)
-    counts = rows.groupBy("image_id").agg(F.countDistinct("pos", "tag", "category", "score").alias("n_rows"))
-    sizes = d.sql(TAG_IMAGES).select("image_id", "image_path").join(counts, "image_id", "left")
-    lines = sizes.join(rows, "image_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    # all files are compressed well, so a split of the usual size would hold very many rows
+    session = ST.own_session(d.spark, ST.DROP_SHUFFLES | {"spark.sql.files.maxPartitionBytes": "16m"})
+    found = prediction_rows(Data(session, d.folder), f"{out}/predictions")
     good = F.to_json(F.struct(*[x.split()[0] for x in PREDICTION.split(", ")]))
     pair = F.explode(F.when(F.xxhash64("image_id", "pos") % 5 == 0, F.array(good, F.substring(good, 1, 9), F.lit("log line"))).otherwise(F.array(good)))
-    lines = lines.select(F.pmod(F.xxhash64("image_id", "pos"), F.lit(300)).alias("at"), pair.alias("value"))
-    files = written_batches(materialize(lines, "prediction-lines"), "at", 3, f"{out}/lines", lambda df, to: df.select("value").write.mode("append").text(to))
-    stream = d.spark.readStream.option("maxFilesPerTrigger", files).text(f"{out}/lines")
-    found = parse_json_lines(stream, "value", PREDICTION)
-    ST.stream_annotations(found, token_rules(d), 0.85, ROOT, NOW, f"{out}/rows", f"{out}/checkpoint")
+    rules, batches = token_rules(d), 3
+    for i, step in enumerate(in_batches(found, "at", batches)):
+        step.select(pair.alias("value")).write.option("compression", "gzip").text(f"{out}/lines")
+        if i == batches - 1:
+            delete_paths(d.spark, [f"{out}/predictions"])
+        lines = parse_json_lines(session.readStream.text(f"{out}/lines"), "value", PREDICTION)
+        ST.stream_annotations(lines, rules, 0.85, ROOT, NOW, f"{out}/rows", f"{out}/checkpoint")
+        delete_paths(d.spark, [f"{out}/lines"])
     return flat_records(ST.read_annotations(d.spark, f"{out}/rows")).withColumn("image_id", F.col("image_id").cast("bigint"))
 
 

@@ -4,6 +4,7 @@ settings of other streams; and vectors that match nothing."""
 import json
 import math
 import random
+import time
 from pathlib import Path
 
 import pandas as pd
@@ -13,13 +14,15 @@ from pyspark.sql import functions as F
 from tagloom.operators import retrieval
 from tagloom.operators import tags as T
 from tagloom.operators.retrieval import vector_topk
+from tagloom.plans import load_all, region_queries
 from tagloom.plans.region_queries import PREDICTION
-from tagloom.plans.registry import Data
+from tagloom.plans.registry import QUERIES, Data
 from tagloom.plans.tag_queries import token_rules
 from tagloom.sources.files import parse_json_lines
 from tagloom.streaming import streams as ST
 
 FOLDER = "/root/testdata/sf0.001"
+load_all()
 
 
 def test_images_are_written_once_when_they_are_whole(spark, tmp_path):
@@ -73,6 +76,52 @@ def test_open_images_are_a_table(spark, tmp_path):
     assert not Path(checkpoint, "state").exists()
 
 
+def shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(names.size()) if (n := names.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_open_images_take_little_disk(spark, tmp_path):
+    """Rows are held as they came, records are compressed, and no batch leaves shuffled rows behind."""
+    images, names = 3000, ["blue bolt", "red ring", "new gear", "large rod"]
+    for i in range(4):
+        lines = [json.dumps({"image_id": x, "image_path": f"/data/lib/{x}.jpg", "n_rows": 4, "pos": i, "tag": names[(x + i) % 4], "category": "general", "score": (x * 7 + i) % 50 / 50}) for x in range(images)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(lines) + "\n")
+    rules, settings, before = token_rules(Data(spark, FOLDER)), dict(spark.conf.getAll), shuffle_files(spark)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+    out = tmp_path / "out"
+    ST.stream_annotations(parse_json_lines(stream, "value", PREDICTION), rules, 0.85, "/data/lib", "now", str(out), str(tmp_path / "checkpoint"), buckets=2)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not left
+    assert dict(spark.conf.getAll) == settings
+    records = ST.read_annotations(spark, str(out))
+    text = records.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    size = lambda *folders: sum(p.stat().st_size for x in folders for p in x.rglob("*") if p.suffix in (".txt", ".json", ".gz", ".parquet"))
+    assert size(out / "held" / "batch=3") < size(tmp_path / "in") / 15
+    assert size(*out.glob("batch=*")) < text / 5
+    assert records.count() == images
+
+
+def test_a_stream_of_records_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    """The query's own lines and tables go; its rows are those of the same rules without a stream."""
+    rng, names = random.Random(7), [f"{a} {b}" for a in ("blue", "red", "cold", "new") for b in ("anvil", "bolt", "gear", "ring")]
+    parts = [(i, rng.choice(names), rng.choice(["PROMO", "STANDARD", "LARGE", "SMALL"])) for i in range(40)]
+    orders = [(i, rng.choice("FOP"), rng.choice(["1-URGENT", "5-LOW", "3-MEDIUM"])) for i in range(200)]
+    items = [(o, p + 1, rng.randrange(40), float(rng.randint(1, 50))) for o in range(180) for p in range(rng.randint(0, 6))]
+    tables = {"part": (parts, "p_partkey bigint, p_name string, p_type string"), "orders": (orders, "o_orderkey bigint, o_orderstatus string, o_orderpriority string"), "lineitem": (items, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(region_queries, "work_folder", lambda spark, name: str(tmp_path / name))
+    got = QUERIES["stream_records"](spark, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "records").iterdir()) == ["checkpoint", "rows"]
+    want = QUERIES["annotation_record"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert got.count() == 200
+
+
 def test_shown_keys_are_a_table(spark, tmp_path):
     """No session meets in a state of its own: shown keys are files, two versions at most."""
     for i in range(4):
